@@ -321,7 +321,7 @@ def bounded_question(questions: DataFrame, limit: int = 12_000) -> DataFrame:
 
 
 def choice_contexts(items: DataFrame, questions: DataFrame, block: Column | None = None) -> DataFrame:
-    """The choice items of each quiz as JSON documents of at most ten items.
+    """The choice items of each quiz as documents of at most ten items.
 
     A quiz of the settings' size gives one document; a larger group gives as
     many as it needs, so that none is gathered whole.
@@ -340,7 +340,7 @@ def choice_contexts(items: DataFrame, questions: DataFrame, block: Column | None
     )
     entry = F.struct("choice_no", "question_id", "title", "problem_statement", "constraints", "method")
     return joined.groupBy("quiz_id", "document_no").agg(
-        F.count("*").alias("items"), F.to_json(F.array_sort(F.collect_list(entry))).alias("contexts")
+        F.count("*").alias("items"), F.array_sort(F.collect_list(entry)).alias("contexts")
     )
 
 

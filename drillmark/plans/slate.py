@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from drillmark.plans import slate_progress  # noqa: F401
+from drillmark.plans import slate_catalog, slate_progress, slate_retrieval  # noqa: F401
 from drillmark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
