@@ -1,6 +1,11 @@
 """All registered queries."""
 
-from drillmark.plans import slate_catalog, slate_progress, slate_retrieval  # noqa: F401
+from drillmark.plans import (  # noqa: F401
+    slate_catalog,
+    slate_practice,
+    slate_progress,
+    slate_retrieval,
+)
 from drillmark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
