@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from drillmark.schemas import MAX_ARCHIVE_MEMBER_BYTES
+from drillmark.sources.shipping import ship_by_value
+
+ship_by_value(__name__)
 
 # The members of a task archive.
 INSTRUCTION, METADATA, TESTS = "instruction.md", "task.toml", "tests/test_data.json"

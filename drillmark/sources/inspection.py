@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from drillmark.functions.payload import kind
 from drillmark.sources.readers import list_files, read_lines, read_whole
+from drillmark.sources.shipping import ship_by_value
 from drillmark.sources.specs import DatasetSpec
 
+ship_by_value(__name__)
+
 
 def missing_fields(fields, required):
     """U4: required fields that are not present."""

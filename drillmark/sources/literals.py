@@ -8,9 +8,14 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from drillmark.sources.shipping import ship_by_value
 
-@F.pandas_udf("string")
+ship_by_value(__name__)
+
+
+@F.pandas_udf(StringType())
 def _literal_json(text: pd.Series) -> pd.Series:
     def convert(value):
         if value is None:

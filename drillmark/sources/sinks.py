@@ -9,11 +9,12 @@ way stays invisible to readers.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from drillmark import schemas as S
+from drillmark.functions.payload import field, list_field, text_field
 from drillmark.functions.scoring import syntax_language
 from drillmark.functions.text import content_hash, derived_id, file_name, is_blank
 from drillmark.operators.ordered import first_per_key
@@ -139,6 +140,11 @@ def generation_rows(inserted: DataFrame, stored: DataFrame) -> DataFrame:
 # --- Fan-out -----------------------------------------------------------------
 
 
+def _child_id(question_id: Column, place: Column) -> Column:
+    """Ids of a question's rows sort in the order of the source."""
+    return F.concat_ws("-", question_id, F.lpad(place.cast("string"), 6, "0"))
+
+
 def question_tables(questions: DataFrame) -> dict[str, DataFrame]:
     """The child tables of normalised questions; ids come from the source key."""
     keyed = with_completeness(questions).select(
@@ -154,8 +160,7 @@ def question_tables(questions: DataFrame) -> dict[str, DataFrame]:
     def children(column: str) -> DataFrame:
         exploded = keyed.select(F.col("id").alias("question_id"), F.posexplode(column).alias("_no", "_row"))
         return exploded.select(
-            # The place leads the id, so that id order is the source's order.
-            F.concat_ws("-", F.col("question_id"), F.lpad(F.col("_no").cast("string"), 6, "0")).alias("id"),
+            _child_id(F.col("question_id"), F.col("_no")).alias("id"),
             "question_id",
             "_row.*",
         )
@@ -182,28 +187,25 @@ def generated_question_tables(questions: DataFrame) -> dict[str, DataFrame]:
     """Tables of accepted generated questions.
 
     Rows hold (question_id, question_type, method, provider, model_id,
-    prompt_version, generation_metadata) and the typed members of the reply.
+    prompt_version, generation_metadata) and the accepted VARIANT ``reply``.
     """
     is_algorithm = F.col("question_type") == "algorithm"
-    analysis = F.array(*[F.lit(m) for m in S.DATA_ANALYSIS_METHODS])
-    methods = F.when(is_algorithm, F.array("method")).otherwise(analysis)
-
-    def per_method(column: str) -> DataFrame:
-        return questions.filter(~is_algorithm).select(
-            "question_id", F.explode(column).alias("method", "code")
+    reply = F.col("reply")
+    algorithm, analysis = questions.filter(is_algorithm), questions.filter(~is_algorithm)
+    analysis_methods = F.array(*[F.lit(m) for m in S.DATA_ANALYSIS_METHODS])
+
+    def per_method(member: str) -> DataFrame:
+        codes = F.try_variant_get(reply, f"$.{member}", "map<string,string>")
+        return analysis.select("question_id", F.explode(codes).alias("method", "code"))
+
+    def single(member: str) -> DataFrame:
+        code = text_field(reply, member)
+        return algorithm.select("question_id", "method", code.alias("code")).filter(
+            ~is_blank(F.col("code"))
         )
 
-    one = questions.filter(is_algorithm).select("question_id", "method", F.col("starter_code_text").alias("code"))
-    starters = one.unionByName(per_method("starter_code")).select(
-        "question_id",
-        F.lit("starter_code").alias("asset_type"),
-        "method",
-        F.col("code").alias("content"),
-        F.lit("text").alias("content_type"),
-    )
-
     def shared(asset_type: str, content, content_type: str) -> DataFrame:
-        return questions.filter(~is_algorithm).select(
+        return analysis.select(
             "question_id",
             F.lit(asset_type).alias("asset_type"),
             F.lit("shared").alias("method"),
@@ -211,35 +213,41 @@ def generated_question_tables(questions: DataFrame) -> dict[str, DataFrame]:
             F.lit(content_type).alias("content_type"),
         )
 
+    starters = single("starter_code").unionByName(per_method("starter_code"))
+    fixture = F.to_json(F.create_map(text_field(reply, "table_name"), field(reply, "fixture_data")))
     assets = (
-        starters.unionByName(shared("schema", F.col("schema_sql"), "sql"))
-        .unionByName(
-            shared("fixture_data", F.to_json(F.create_map("table_name", "fixture_data")), "json")
+        starters.select(
+            "question_id",
+            F.lit("starter_code").alias("asset_type"),
+            "method",
+            F.col("code").alias("content"),
+            F.lit("text").alias("content_type"),
         )
-        .unionByName(shared("expected_result", F.to_json("expected_result"), "json"))
-    )
-    single = (
-        questions.filter(is_algorithm & ~is_blank(F.col("reference_solution")))
-        .select("question_id", "method", F.col("reference_solution").alias("code"))
-    )
-    solutions = single.unionByName(per_method("reference_solutions")).select(
-        "question_id",
-        "method",
-        "code",
-        syntax_language(F.col("method")).alias("language"),
-        F.lit(False).alias("is_from_dataset"),
+        .unionByName(shared("schema", text_field(reply, "schema_sql"), "sql"))
+        .unionByName(shared("fixture_data", fixture, "json"))
+        .unionByName(shared("expected_result", F.to_json(field(reply, "expected_result")), "json"))
     )
-    cases = questions.filter(is_algorithm).select(
-        "question_id", F.posexplode("test_cases").alias("_no", "_case")
+    solutions = single("reference_solution").unionByName(per_method("reference_solutions"))
+    cases = algorithm.select(
+        "question_id", F.posexplode(list_field(reply, "test_cases")).alias("_no", "_case")
     )
     return {
-        "question_assets": assets.withColumn("id", derived_id(F.col("question_id"), F.col("asset_type"), F.col("method"))),
-        "reference_solutions": solutions.withColumn("id", derived_id(F.col("question_id"), F.col("method"))),
+        "question_assets": assets.withColumn(
+            "id", derived_id(F.col("question_id"), F.col("asset_type"), F.col("method"))
+        ),
+        "reference_solutions": solutions.select(
+            derived_id(F.col("question_id"), F.col("method")).alias("id"),
+            "question_id",
+            "method",
+            "code",
+            syntax_language(F.col("method")).alias("language"),
+            F.lit(False).alias("is_from_dataset"),
+        ),
         "question_test_cases": cases.select(
-            F.concat_ws("-", F.col("question_id"), F.lpad(F.col("_no").cast("string"), 6, "0")).alias("id"),
+            _child_id(F.col("question_id"), F.col("_no")).alias("id"),
             "question_id",
-            F.to_json("_case.input").alias("input_data"),
-            F.to_json("_case.expected_output").alias("expected_output"),
+            F.to_json(field(F.col("_case"), "input")).alias("input_data"),
+            F.to_json(field(F.col("_case"), "expected_output")).alias("expected_output"),
             F.lit(False).alias("is_example"),
         ),
         "ai_generated_questions": questions.select(
@@ -247,17 +255,17 @@ def generated_question_tables(questions: DataFrame) -> dict[str, DataFrame]:
         ),
         "questions": questions.select(
             F.col("question_id").alias("id"),
-            "title",
-            "question_type",
-            "difficulty",
-            "problem_statement",
-            "constraints",
-            "examples",
-            methods.alias("supported_methods"),
-            "tags",
+            text_field(reply, "title").alias("title"),
+            text_field(reply, "difficulty").alias("difficulty"),
+            text_field(reply, "problem_statement").alias("problem_statement"),
+            text_field(reply, "constraints").alias("constraints"),
+            F.to_json(field(reply, "examples")).alias("examples"),
+            F.when(is_algorithm, F.array("method")).otherwise(analysis_methods).alias("supported_methods"),
+            F.try_variant_get(reply, "$.tags", "array<string>").alias("tags"),
             F.lit(None).cast("string").alias("source_id"),
             F.lit(True).alias("is_ai_generated"),
             F.lit(True).alias("is_complete"),
+            "question_type",
         ),
     }
 
@@ -328,3 +336,25 @@ def read_committed(spark: SparkSession, catalog: str, table: str) -> DataFrame:
     completed = read_table(spark, catalog, "import_runs").filter(F.col("status") == "completed")
     runs = completed.select(F.col("id").alias("import_run"))
     return read_table(spark, catalog, table).join(runs, "import_run", "left_semi").drop("import_run")
+
+
+def asset_completeness(questions: DataFrame, assets: DataFrame) -> DataFrame:
+    """A11 on the stored tables: missing required assets of every question.
+
+    One flag per required type is aggregated, so no list of assets is built.
+    """
+    flags = [
+        F.max(F.col("asset_type") == kind).alias(f"_has_{kind}") for kind in S.REQUIRED_ANALYSIS_ASSETS
+    ]
+    present = assets.groupBy("question_id").agg(*flags)
+    absent = [
+        F.when(~F.coalesce(F.col(f"_has_{kind}"), F.lit(False)), F.lit(kind))
+        for kind in S.REQUIRED_ANALYSIS_ASSETS
+    ]
+    missing = F.filter(F.array(*absent), lambda m: m.isNotNull())
+    return (
+        questions.join(present, "question_id", "left")
+        .withColumn("missing_assets", missing)
+        .withColumn("is_complete", F.size("missing_assets") == 0)
+        .drop(*[f"_has_{kind}" for kind in S.REQUIRED_ANALYSIS_ASSETS])
+    )
