@@ -37,7 +37,12 @@ def strip(text: Column) -> Column:
 
 def is_blank(text: Column) -> Column:
     """True for null, empty and white-space-only text."""
-    return text.isNull() | ~text.rlike(r"(?U)[^\s\x1c-\x1f]")
+    return ~has_text(text)
+
+
+def has_text(text: Column) -> Column:
+    """False for null, empty and white-space-only text."""
+    return F.coalesce(text.rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(False))
 
 
 def non_empty(text: Column) -> Column:

@@ -83,31 +83,3 @@ def append_positions(
         .withColumn("position", F.col("position") + F.coalesce("_stored", F.lit(0)))
         .drop("_stored")
     )
-
-
-def running_total(
-    df: DataFrame, keys, order, amount: Column, block: Column, name: str
-) -> DataFrame:
-    """Running sum of ``amount`` per key, the key split into ordered blocks."""
-    keys = list(keys)
-    tagged = df.withColumn("_block", block).withColumn("_amount", amount)
-    sums = tagged.groupBy(*keys, "_block").agg(F.sum("_amount").alias("_sum"))
-    over_blocks = (
-        Window.partitionBy(*keys)
-        .orderBy("_block")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    before = sums.select(
-        *keys, "_block", (F.sum("_sum").over(over_blocks) - F.col("_sum")).alias("_before")
-    )
-    inner = (
-        Window.partitionBy(*keys, "_block")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        tagged.withColumn("_inner", F.sum("_amount").over(inner))
-        .join(before, [*keys, "_block"])
-        .withColumn(name, F.col("_inner") + F.col("_before"))
-        .drop("_block", "_amount", "_inner", "_before")
-    )

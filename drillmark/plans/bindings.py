@@ -109,13 +109,17 @@ FROM orders
 """
 
 
+def customer_level() -> Column:
+    return _bucket(F.col("c_nationkey"), (4, 9, 14, 19))
+
+
 def customer_questions(spark, sf_dir) -> DataFrame:
     """customer as the questions of the dated attempts."""
     return table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("id"),
         F.col("c_name").alias("title"),
         F.col("c_mktsegment").alias("question_type"),
-        _bucket(F.col("c_nationkey"), (4, 9, 14, 19)).alias("difficulty"),
+        customer_level().alias("difficulty"),
         F.concat_ws(" ", "c_name", "c_mktsegment").alias("problem_statement"),
         F.lit(None).cast("string").alias("constraints"),
         F.array("c_mktsegment").alias("tags"),

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drillmark import schemas as S
-from drillmark.functions.scoring import difficulty_rank
+from drillmark.functions.scoring import difficulty_rank, starter_code
+from drillmark.operators.joins import left_join_known
 from drillmark.operators.ordered import latest_per_key, number_rows, top_per_key
 from drillmark.operators.predicates import curated, item_filter
 from drillmark.operators.sampling import seeded_sample
@@ -110,6 +111,26 @@ def pending_datasets(runs: DataFrame, configured: DataFrame, questions: DataFram
     return pending.filter((curated_rows.scalar() == 0) | (known_runs.scalar() > 0))
 
 
+def by_id(df: DataFrame, key, column: str = "id") -> DataFrame:
+    """Point read."""
+    return df.filter(F.col(column) == F.lit(key))
+
+
+def starter_codes(questions: DataFrame, assets: DataFrame, templates: dict) -> DataFrame:
+    """Starter code of every question and method, else the method's template."""
+    stored = (
+        assets.filter(F.col("asset_type") == "starter_code")
+        .groupBy("question_id", "method")
+        .agg(F.min_by("content", "id").alias("_stored"))
+    )
+    wanted = questions.select(
+        F.col("id").alias("question_id"), F.explode("supported_methods").alias("method")
+    )
+    return wanted.join(stored, ["question_id", "method"], "left").select(
+        "question_id", "method", starter_code(F.col("_stored"), F.col("method"), templates).alias("code")
+    )
+
+
 def references_for(items: DataFrame, answer_format, difficulty, domain=None, topic=None) -> DataFrame:
     """Three reference items, lowest ids first."""
     wanted = items.filter(item_filter(answer_format, difficulty, None, domain, topic))
@@ -130,7 +151,7 @@ def examples_of(questions: DataFrame, cases: DataFrame, n: int = 3) -> DataFrame
 def question_detail(questions: DataFrame, sources: DataFrame, generated: DataFrame) -> DataFrame:
     """Questions with provenance, imported or generated."""
     return (
-        questions.join(sources, "source_id", "left")
+        left_join_known(questions, sources, "source_id", "source_id")
         .join(generated, "question_id", "left")
         .withColumn(
             "source_kind",

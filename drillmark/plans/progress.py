@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from drillmark import schemas as S
 from drillmark.functions.scoring import is_solved, mean_or_zero
+from drillmark.operators.joins import left_join_known
 from drillmark.operators.predicates import all_of, equals, has_marks, has_member
 
 
@@ -244,7 +245,7 @@ def link_views(views: DataFrame, attempts: DataFrame) -> DataFrame:
         "_known", F.lit(True)
     )
     return (
-        views.join(known, ["attempt_id", "question_id"], "left")
+        left_join_known(views, known, ["attempt_id", "question_id"], "attempt_id")
         .withColumn("attempt_id", F.when(F.col("_known"), F.col("attempt_id")))
         .drop("_known")
     )

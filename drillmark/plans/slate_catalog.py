@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from drillmark.functions.scoring import mixed_source, seeded_unit
+from drillmark.functions.scoring import (
+    marks,
+    method_label,
+    mixed_source,
+    option_text,
+    seeded_unit,
+    syntax_language,
+)
+from drillmark.functions.text import relative_path, split_list
+from drillmark.operators.predicates import known_methods
 from drillmark.plans import bindings as B
 from drillmark.plans import catalog as C
 from drillmark.plans.registry import query
@@ -258,3 +267,62 @@ def mixed_sources(spark, sf_dir):
             F.col("c_acctbal") > 0, F.col("c_nationkey") < 20, seeded_unit(F.col("c_custkey"), "coin")
         ).alias("source"),
     )
+
+
+@query(
+    """
+    WITH stored AS (SELECT l_partkey, CASE l_returnflag WHEN 'A' THEN 'java' WHEN 'N' THEN 'sql'
+                             ELSE 'cpp' END AS method, min_by(l_linestatus, """
+    + B.LINE_ID_SQL
+    + f"""|| '-' || l_orderkey) AS code FROM lineitem GROUP BY ALL)
+    SELECT q.id AS question_id, q.method,
+           coalesce(s.code, CASE q.method WHEN 'sql' THEN 'SELECT ' WHEN 'java' THEN 'class Solution'
+                                 END) AS code
+    FROM (SELECT id, unnest(supported_methods) AS method FROM {_Q}) q
+    LEFT JOIN stored s ON s.l_partkey = q.id AND s.method = q.method
+    """
+)
+def starter_codes(spark, sf_dir):
+    method = F.when(F.col("l_returnflag") == "A", "java").when(F.col("l_returnflag") == "N", "sql")
+    assets = B.table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("question_id"),
+        F.lit("starter_code").alias("asset_type"),
+        method.otherwise("cpp").alias("method"),
+        F.concat_ws("-", B.line_id(), F.col("l_orderkey").cast("string")).alias("id"),
+        F.col("l_linestatus").alias("content"),
+    )
+    templates = {"sql": "SELECT ", "java": "class Solution"}
+    return C.starter_codes(B.questions(spark, sf_dir), assets, templates)
+
+
+@query(
+    """
+    SELECT p_partkey AS id, 'SQL,Java,C++' AS labels, 'sql,java,cpp' AS known,
+           CASE WHEN p_size > 25 THEN 'python' ELSE 'javascript' END AS syntax,
+           CASE WHEN p_size > 40 THEN 'Unanswered' WHEN p_size > 20 THEN p_brand ELSE 'gone' END
+             AS answer,
+           string_split(p_name, ' ')[1] || '|' || string_split(p_name, ' ')[2] AS topics,
+           'src/' || p_type || '.py' AS relative, p_type || '.py' AS outside,
+           round(p_size / 10, 1) AS marks
+    FROM part
+    """
+)
+def display_rules(spark, sf_dir):
+    offered = F.array(F.lit("sql"), F.col("p_name"), F.lit("java"), F.lit("cpp"))
+    known = known_methods(offered)
+    options = F.array(F.struct(F.lit("a").alias("id"), F.col("p_brand").alias("text")))
+    chosen = F.when(F.col("p_size") > 40, None).when(F.col("p_size") > 20, "a").otherwise("gone")
+    path = F.concat(F.lit("file:/data/root/src/"), F.col("p_type"), F.lit(".py"))
+    return B.table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"),
+        F.array_join(F.transform(known, method_label), ",").alias("labels"),
+        F.array_join(known, ",").alias("known"),
+        syntax_language(
+            F.when(F.col("p_size") > 25, "polars").otherwise("javascript/typescript")
+        ).alias("syntax"),
+        option_text(options, chosen).alias("answer"),
+        F.array_join(split_list(F.concat(F.translate("p_name", " ", ","), F.lit(", ,"))), "|").alias("topics"),
+        relative_path(path, "/data/root").alias("relative"),
+        relative_path(path, "/other").alias("outside"),
+        marks(F.col("p_size")).alias("marks"),
+    )

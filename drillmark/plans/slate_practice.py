@@ -67,12 +67,10 @@ def _quiz_requests(spark, sf_dir):
         return out
 
     total = (F.col("c_custkey") % 10 + 1).cast("int")
-    return B.customer_questions(spark, sf_dir).select(F.col("id").alias("c_custkey"), "difficulty").join(
-        B.table(spark, sf_dir, "customer"), "c_custkey"
-    ).select(
+    return B.table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("quiz_id"),
         chosen(0).alias("question_type"),
-        "difficulty",
+        B.customer_level().alias("difficulty"),
         chosen(1).alias("method"),
         F.when(F.col("c_acctbal") < 5000, "general").otherwise("red").alias("topic"),
         total.alias("total_items"),

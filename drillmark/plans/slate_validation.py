@@ -149,25 +149,25 @@ def analysis_payloads(spark, sf_dir):
     """
 )
 def generated_tables(spark, sf_dir):
-    algorithm = F.col("p_type").isin(*B.ALGORITHM_TYPES)
-    replies = B.table(spark, sf_dir, "part").select(
-        F.col("p_partkey").cast("string").alias("question_id"),
-        F.when(algorithm, "algorithm").otherwise("data_analysis").alias("question_type"),
-        F.when(algorithm, "java").otherwise("sql").alias("method"),
-        F.lit("p").alias("provider"),
-        F.lit("m").alias("model_id"),
-        F.lit("v1").alias("prompt_version"),
-        F.lit("{}").alias("generation_metadata"),
-        F.when(algorithm, _algorithm_reply()).otherwise(_analysis_reply()).alias("reply"),
-    )
-
-    def check(value):
-        is_algorithm = F.col("question_type") == "algorithm"
-        return F.when(is_algorithm, _check_algorithm(value)).otherwise(_check_analysis(value))
+    is_algorithm = F.col("p_type").isin(*B.ALGORITHM_TYPES)
+
+    def sound(kind, method, wanted, reply, check):
+        replies = B.table(spark, sf_dir, "part").filter(wanted).select(
+            F.col("p_partkey").cast("string").alias("question_id"),
+            F.lit(kind).alias("question_type"),
+            F.lit(method).alias("method"),
+            F.lit("p").alias("provider"),
+            F.lit("m").alias("model_id"),
+            F.lit("v1").alias("prompt_version"),
+            F.lit("{}").alias("generation_metadata"),
+            reply.alias("reply"),
+        )
+        return V.accepted(V.checked(replies, "reply", check))
 
-    accepted = V.accepted(V.checked(replies, "reply", check)).withColumn(
-        "reply", V.parse_strict(V.unfence(F.col("reply")))
-    )
+    accepted = sound(
+        "algorithm", "java", is_algorithm, _algorithm_reply(), _check_algorithm
+    ).unionByName(sound("data_analysis", "sql", ~is_algorithm, _analysis_reply(), _check_analysis))
+    accepted = accepted.withColumn("reply", V.parse_strict(V.unfence(F.col("reply"))))
     counts = [
         df.agg(F.count("*").alias("n")).withColumn("table", F.lit(name))
         for name, df in sinks.generated_question_tables(accepted).items()

@@ -26,7 +26,8 @@ from drillmark.functions.payload import (
     unfence,
 )
 from drillmark.functions.scoring import has_comment
-from drillmark.functions.text import is_blank, strip
+from drillmark.functions.text import has_text, strip
+from drillmark.operators.barrier import once
 
 # --- Fixed values: members and limits of the structured replies ---------------
 
@@ -110,7 +111,7 @@ def _all(*conditions: Column) -> Column:
 
 def _texts(value: Column, *names: str) -> Column:
     """Every named member is a non-blank text."""
-    return _all(*[~is_blank(text_field(value, name)) for name in names])
+    return _all(*[has_text(text_field(value, name)) for name in names])
 
 
 def _members(value: Column, required, optional=()) -> Column:
@@ -126,7 +127,7 @@ def _members(value: Column, required, optional=()) -> Column:
 def _text_list(value: Column, name: str, minimum: int = 0) -> Column:
     """The member is a list of non-blank texts of at least ``minimum`` entries."""
     entries_ = list_field(value, name)
-    return (F.size(entries_) >= minimum) & F.forall(entries_, lambda x: ~is_blank(as_text(x)))
+    return (F.size(entries_) >= minimum) & F.forall(entries_, lambda x: has_text(as_text(x)))
 
 
 def _objects(value: Column, name: str, *members: str) -> Column:
@@ -264,8 +265,8 @@ def choice_sets(replies: DataFrame, expected: DataFrame, text: str = "reply") ->
     ``expected`` lists (quiz_id, question_id).  Generated and expected ids meet
     in a full outer join: an id on one side only, or twice, is a violation.
     """
-    value = parse_strict(strip(F.col(text)))
-    parsed = replies.select(
+    value = F.col("_value")
+    parsed = once(replies, "_value", parse_strict(strip(F.col(text)))).select(
         "quiz_id",
         violations(
             members=_members(value, ("status", "questions")),
@@ -274,7 +275,9 @@ def choice_sets(replies: DataFrame, expected: DataFrame, text: str = "reply") ->
         ).alias("reply_violations"),
         list_field(value, "questions").alias("questions"),
     )
-    offered = parsed.select("quiz_id", F.explode("questions").alias("question")).select(
+    offered = parsed.select("quiz_id", F.explode_outer("questions").alias("question")).filter(
+        F.col("question").isNotNull()
+    ).select(
         "quiz_id",
         text_field(F.col("question"), "question_id").alias("question_id"),
         choice_question(F.col("question")).alias("question_violations"),
@@ -338,8 +341,8 @@ def assessment(value: Column) -> Column:
     return violations(
         members=_members(value, ASSESSMENT_MEMBERS),
         mistakes=(F.size(mistakes) <= MAX_MISTAKES)
-        & F.forall(mistakes, lambda m: ~is_blank(m) & (F.length(m) <= MAX_MISTAKE_CHARS)),
-        explanation=~is_blank(explanation) & (F.length(explanation) <= MAX_EXPLANATION_CHARS),
+        & F.forall(mistakes, lambda m: has_text(m) & (F.length(m) <= MAX_MISTAKE_CHARS)),
+        explanation=has_text(explanation) & (F.length(explanation) <= MAX_EXPLANATION_CHARS),
         suggestion=F.length(text_field(value, "suggested_correction")) <= MAX_SUGGESTION_CHARS,
         corrected_code=no_code | (F.length(code) <= MAX_CORRECTED_CODE_CHARS),
         percent=number_field(value, "estimated_percentage_correct").between(0, 100),
@@ -355,7 +358,7 @@ def teaching_solutions(value: Column, method: Column, question_type: Column) ->
 
     def bounded(solution: Column, name: str, limit: int, nullable: bool = False) -> Column:
         text = text_field(solution, name)
-        holds = ~is_blank(text) & (F.length(text) <= limit)
+        holds = has_text(text) & (F.length(text) <= limit)
         return (holds | (kind(field(solution, name)) == "VOID")) if nullable else holds
 
     def sound(solution: Column) -> Column:
@@ -373,9 +376,9 @@ def teaching_solutions(value: Column, method: Column, question_type: Column) ->
     return violations(
         members=_members(value, TEACHING_MEMBERS),
         meaningful=kind(field(value, "multiple_approaches_meaningful")) == "BOOLEAN",
-        note=no_note | (~is_blank(note) & (F.length(note) <= MAX_NOTE_CHARS)),
+        note=no_note | (has_text(note) & (F.length(note) <= MAX_NOTE_CHARS)),
         count=(F.size(solutions) <= most)
-        & ((F.size(solutions) > 0) | F.coalesce(~is_blank(note), F.lit(False))),
+        & ((F.size(solutions) > 0) | has_text(note)),
         solutions=F.forall(solutions, sound),
         titles=F.size(F.array_distinct(titles)) == F.size(solutions),
         comments=F.forall(solutions, lambda s: has_comment(text_field(s, "code"), method)),
@@ -419,11 +422,11 @@ def checked(df: DataFrame, text: str, check) -> DataFrame:
 
     ``check`` maps the parsed VARIANT column to a violation list.
     """
-    parsed = df.withColumn("_value", parse_strict(unfence(F.col(text))))
+    parsed = once(df, "_value", parse_strict(unfence(F.col(text))))
     found = F.when(F.col("_value").isNull(), F.array(F.lit("malformed_json"))).otherwise(
         check(F.col("_value"))
     )
-    return parsed.withColumn("violations", found).drop("_value")
+    return once(parsed, "violations", found).drop("_value")
 
 
 def accepted(df: DataFrame) -> DataFrame:
@@ -437,7 +440,8 @@ def rejected(df: DataFrame) -> DataFrame:
 def violation_counts(df: DataFrame) -> DataFrame:
     """Rows per violated rule."""
     return (
-        df.select(F.explode("violations").alias("violation"))
+        df.select(F.explode_outer("violations").alias("violation"))
+        .filter(F.col("violation").isNotNull())
         .groupBy("violation")
         .agg(F.count("*").alias("n"))
     )
@@ -449,7 +453,7 @@ def violation_counts(df: DataFrame) -> DataFrame:
 def submission(code: Column, method: Column, supported: Column) -> Column:
     """V10."""
     return violations(
-        blank=~is_blank(code),
+        blank=has_text(code),
         too_long=F.length(code) <= S.MAX_SUBMISSION_CHARS,
         unsupported_method=F.array_contains(supported, method),
     )

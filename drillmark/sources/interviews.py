@@ -26,6 +26,7 @@ from drillmark.functions.text import (
     prompt_style,
     strip,
 )
+from drillmark.operators.barrier import once
 from drillmark.operators.predicates import is_prompt
 from drillmark.operators.sections import cut, explode_lines, first_line_no, last_match, with_numbers
 from drillmark.sources.normalisers import member
@@ -170,7 +171,7 @@ def interview_json(raw: DataFrame, run_id: str, dataset: str = "30-seconds-of-in
         member("answer"),
     )
     tags = F.transform(list_field(record, "tags"), lambda t: F.try_variant_get(t, "$", "string"))
-    kept = raw.filter(~F.col("rejected")).withColumn("_prompt", prompt).filter(F.col("_prompt") != "")
+    kept = once(raw.filter(~F.col("rejected")), "_prompt", prompt).filter(F.col("_prompt") != "")
     source = _located_source(
         F.lit(dataset), F.lit(license), F.col("record_index"), F.col("_prompt"), run_id
     )
@@ -205,7 +206,7 @@ def generic_markdown(files: DataFrame, run_id: str) -> DataFrame:
     """
     stem = F.regexp_replace(file_name(F.col("source_file")), r"(?<=.)\.[^.]*$", "")
     lines = topic_lines(files).filter(~F.col("line").rlike(rf"^{TOPIC_HEADING}"))
-    prompts = lines.withColumn("_prompt", listed_prompt(F.col("line"))).filter(
+    prompts = once(lines, "_prompt", listed_prompt(F.col("line"))).filter(
         looks_like_question(F.col("_prompt"))
     )
     prompt = F.col("_prompt")
@@ -232,10 +233,10 @@ def qa_markdown(
         "_category", plain_markdown(F.regexp_replace(F.col("_heading"), r"^###\s+", ""))
     )
     listed = sections.filter(F.col("_category").isin(*QA_CATEGORIES))
+    bullets = cut(listed, "_body", QUESTION_BULLET, "_bullet").filter(F.col("_bullet").isNotNull())
+    text = plain_markdown(F.regexp_replace(F.col("_bullet"), r"^-\s+", ""))
     questions = (
-        cut(listed, "_body", QUESTION_BULLET, "_bullet")
-        .filter(F.col("_bullet").isNotNull())
-        .withColumn("_prompt", plain_markdown(F.regexp_replace(F.col("_bullet"), r"^-\s+", "")))
+        once(bullets, "_prompt", text)
         .filter(F.length("_prompt") >= MIN_QA_PROMPT)
         .withColumn("_index", first_line_no(F.col("_body")))
         .withColumn("_answer", cited_markdown(last_match(F.col("_body"), ANSWER_BULLET)))
@@ -286,10 +287,9 @@ def section_markdown(
         & (F.col("_h3") != SKIPPED_SUBSECTION)
         & F.arrays_overlap(F.array("_h2", "_h3"), allowed)
     )
-    bullets = (
-        explode_lines(chosen, "_body")
-        .withColumn("_prompt", bullet_markdown(F.regexp_extract("line", BULLET, 1)))
-        .filter(is_prompt(F.col("_prompt"), MIN_QA_PROMPT))
+    lines = explode_lines(chosen, "_body")
+    bullets = once(lines, "_prompt", bullet_markdown(F.regexp_extract("line", BULLET, 1))).filter(
+        is_prompt(F.col("_prompt"), MIN_QA_PROMPT)
     )
     prompt, index = F.col("_prompt"), F.col("line_no")
     section = F.coalesce(non_empty(F.col("_h3")), non_empty(F.col("_h2")), _file_rule(F.col("_name"), 0))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from drillmark.functions.payload import kind
+from drillmark.operators.barrier import once
 from drillmark.operators.sections import numbered_lines
 
 
@@ -44,14 +45,14 @@ def read_lines(spark: SparkSession, paths) -> DataFrame:
 
 def parse_json_lines(lines: DataFrame) -> DataFrame:
     """JSON lines as a VARIANT ``record``; blank lines go, bad ones are flagged."""
-    record = F.try_parse_json("value")
-    usable = F.coalesce(kind(record).startswith("OBJECT"), F.lit(False))
-    return (
-        lines.filter(F.col("value").rlike(r"(?U)\S"))
-        .withColumn("rejected", ~usable)
-        .withColumn("record", F.when(usable, record))
-        .drop("value")
-    )
+    filled = lines.filter(F.col("value").rlike(r"(?U)\S"))
+    parsed = once(filled, "record", F.try_parse_json("value")).drop("value")
+    return _flag_rejects(parsed)
+
+
+def _flag_rejects(parsed: DataFrame) -> DataFrame:
+    usable = F.coalesce(kind(F.col("record")).startswith("OBJECT"), F.lit(False))
+    return parsed.withColumn("rejected", ~usable)
 
 
 def read_json_lines(spark: SparkSession, paths) -> DataFrame:
@@ -65,12 +66,7 @@ def parse_json_array(files: DataFrame) -> DataFrame:
     """
     elements = F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")
     exploded = files.select("source_file", F.posexplode(elements).alias("record_index", "record"))
-    usable = F.coalesce(kind(F.col("record")).startswith("OBJECT"), F.lit(False))
-    return (
-        exploded.withColumn("record_index", F.col("record_index").cast("long"))
-        .withColumn("rejected", ~usable)
-        .withColumn("record", F.when(usable, F.col("record")))
-    )
+    return _flag_rejects(exploded.withColumn("record_index", F.col("record_index").cast("long")))
 
 
 def read_whole(spark: SparkSession, paths) -> DataFrame:
