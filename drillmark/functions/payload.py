@@ -30,7 +30,7 @@ def decode(text: Column, schema, default: Column | None = None) -> Column:
 
 def keys_of(value: Column) -> Column:
     """Sorted top-level keys of a VARIANT object, null for any other value."""
-    return F.array_sort(F.json_object_keys(F.to_json(value)))
+    return F.array_sort(F.map_keys(entries(value)))
 
 
 def field(value: Column, path: str) -> Column:
@@ -61,6 +61,18 @@ def list_field(value: Column, path: str) -> Column:
     return F.try_variant_get(value, f"$.{path}", "array<variant>")
 
 
+def texts_field(value: Column, path: str) -> Column:
+    """The member as ``array<string>`` when it is a JSON list of strings, else null.
+
+    A null entry stays null; one type test covers the whole list.
+    """
+    member = field(value, path)
+    return F.when(
+        kind(member).isin("ARRAY<STRING>", "ARRAY<VOID>"),
+        F.try_variant_get(member, "$", "array<string>"),
+    )
+
+
 def as_text(element: Column) -> Column:
     """An array element as text when it is a JSON string, else null."""
     return F.when(kind(element) == "STRING", F.try_variant_get(element, "$", "string"))

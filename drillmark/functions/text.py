@@ -19,20 +19,22 @@ CODING_WORD = r"(?i)\b(code|implement|query|function|algorithm)\b"
 SQL_WORD = r"(?i)\bsql\b"
 MIN_PROMPT_CHARS = 15
 
-# Java's \s is ASCII only; (?U) widens it to Unicode white space, and the four
-# separators \x1c-\x1f are added because Python's str.strip() drops them too.
-_SPACE = r"[\s\x1c-\x1f]"
+# White space as Python's str.strip() sees it; Java's \s is ASCII only.
+_WHITE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
+    "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+_SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def squeeze(text: Column) -> Column:
     """Collapse every run of white space into one blank and trim the ends."""
-    return F.trim(F.regexp_replace(text, rf"(?U){_SPACE}+", " "))
+    return F.trim(F.regexp_replace(text, f"[{_SPACE}]+", " "))
 
 
 def strip(text: Column) -> Column:
     """Drop white space of any kind from both ends."""
-    left = F.regexp_replace(text, rf"(?U)\A{_SPACE}+", "")
-    return F.regexp_replace(left, rf"(?U){_SPACE}+\z", "")
+    return F.btrim(text, F.lit(_WHITE))
 
 
 def is_blank(text: Column) -> Column:
@@ -42,7 +44,7 @@ def is_blank(text: Column) -> Column:
 
 def has_text(text: Column) -> Column:
     """False for null, empty and white-space-only text."""
-    return F.coalesce(text.rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(False))
+    return F.coalesce(text.rlike(f"[^{_SPACE}]"), F.lit(False))
 
 
 def non_empty(text: Column) -> Column:

@@ -15,4 +15,5 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     other columns and column pruning still reach the scan.
     """
     kept = [F.col(f"`{c}`") for c in df.columns if c != name]
-    return df.select(*kept, F.explode(F.array(value)).alias(name))
+    computed = df.withColumn(name, value)
+    return computed.select(*kept, F.explode(F.array(name)).alias(name))

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from drillmark import schemas as S
 from drillmark.functions.payload import (
-    as_text,
     entries,
     field,
     keys_of,
@@ -23,6 +22,7 @@ from drillmark.functions.payload import (
     number_field,
     parse_strict,
     text_field,
+    texts_field,
     unfence,
 )
 from drillmark.functions.scoring import has_comment
@@ -126,8 +126,8 @@ def _members(value: Column, required, optional=()) -> Column:
 
 def _text_list(value: Column, name: str, minimum: int = 0) -> Column:
     """The member is a list of non-blank texts of at least ``minimum`` entries."""
-    entries_ = list_field(value, name)
-    return (F.size(entries_) >= minimum) & F.forall(entries_, lambda x: has_text(as_text(x)))
+    texts = texts_field(value, name)
+    return (F.size(texts) >= minimum) & F.forall(texts, has_text)
 
 
 def _objects(value: Column, name: str, *members: str) -> Column:
@@ -206,7 +206,7 @@ def algorithm_question(value: Column, expected: Column) -> Column:
 def analysis_question(value: Column, expected: Column) -> Column:
     """V2, V3, V4."""
     schema_sql, table = text_field(value, "schema_sql"), text_field(value, "table_name")
-    methods = F.transform(list_field(value, "supported_methods"), as_text)
+    methods = texts_field(value, "supported_methods")
     wanted = F.array(*[F.lit(m) for m in sorted(S.DATA_ANALYSIS_METHODS)])
     return violations(
         object=_is_object(value),
@@ -334,7 +334,7 @@ def interview_item(value: Column, difficulty: Column, answer_format: Column, sty
 
 def assessment(value: Column) -> Column:
     """V7."""
-    mistakes = F.transform(list_field(value, "identified_mistakes"), as_text)
+    mistakes = texts_field(value, "identified_mistakes")
     explanation = text_field(value, "explanation")
     code = text_field(value, "corrected_code")
     no_code = kind(field(value, "corrected_code")) == "VOID"
@@ -396,7 +396,7 @@ def answer_score(value: Column) -> Column:
 
 def interview_plan(value: Column) -> Column:
     """V9."""
-    formats = F.transform(list_field(value, "formats"), as_text)
+    formats = texts_field(value, "formats")
     return violations(
         object=_is_object(value),
         topics=F.size(list_field(value, "topics")) > 0,

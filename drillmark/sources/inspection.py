@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drillmark.functions.payload import kind
+from drillmark.functions.text import has_text
 from drillmark.sources.readers import list_files, read_lines, read_whole
 from drillmark.sources.shipping import ship_by_value
 from drillmark.sources.specs import DatasetSpec
@@ -54,7 +55,7 @@ def inspect_dataset(spark: SparkSession, spec: DatasetSpec, root: str) -> DataFr
     if spec.source_format == "parquet":
         fields = _parquet_fields(files)
     elif spec.source_format == "jsonl":
-        lines = read_lines(spark, pattern).filter(F.col("value").rlike(r"(?U)\S"))
+        lines = read_lines(spark, pattern).filter(has_text(F.col("value")))
         first = lines.groupBy("source_file").agg(F.min_by("value", "record_index").alias("value"))
         fields = first.select(F.col("source_file").alias("path"), F.json_object_keys("value").alias("fields"))
     elif spec.source_format == "json_array":

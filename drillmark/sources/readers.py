@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from drillmark.functions.payload import kind
+from drillmark.functions.text import has_text
 from drillmark.operators.barrier import once
 from drillmark.operators.sections import numbered_lines
 
@@ -45,7 +46,7 @@ def read_lines(spark: SparkSession, paths) -> DataFrame:
 
 def parse_json_lines(lines: DataFrame) -> DataFrame:
     """JSON lines as a VARIANT ``record``; blank lines go, bad ones are flagged."""
-    filled = lines.filter(F.col("value").rlike(r"(?U)\S"))
+    filled = lines.filter(has_text(F.col("value")))
     parsed = once(filled, "record", F.try_parse_json("value")).drop("value")
     return _flag_rejects(parsed)
 
