@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drillmark.functions.payload import kind
-from drillmark.functions.text import has_text
+from drillmark.functions.text import has_text, non_empty
 from drillmark.sources.readers import list_files, read_lines, read_whole
 from drillmark.sources.shipping import ship_by_value
 from drillmark.sources.specs import DatasetSpec
@@ -91,19 +92,24 @@ def revisions(spark: SparkSession, root: str) -> DataFrame:
     ``<a>/<b>/.cache/huggingface/download/<rest>.metadata`` describes
     ``<a>/<b>/<rest>``; its first line is the revision.
     """
-    cars = (
+    reader = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.metadata")
-        .load(root)
     )
+    try:
+        # The hidden folder has to be named: a recursive listing passes it over.
+        cars = reader.load(f"{root.rstrip('/')}/*/*/.cache/huggingface/download")
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "source_file string, source_revision string")
     text = F.decode("content", "UTF-8")
     first = F.trim(F.split(text, r"\r\n|[\n\r]", 2).getItem(0))
     path = F.regexp_replace("path", r"/\.cache/huggingface/download/(.*)\.metadata$", "/$1")
     return (
-        cars.filter(F.col("path").contains("/.cache/huggingface/download/"))
-        .select(path.alias("source_file"), first.alias("source_revision"))
-        .withColumn("source_revision", F.nullif("source_revision", F.lit("")))
+        cars.select(path.alias("source_file"), first.alias("source_revision"))
+        .withColumn("source_revision", non_empty(F.col("source_revision")))
     )
 
 

@@ -12,15 +12,22 @@ from drillmark.operators.barrier import once
 from drillmark.operators.sections import numbered_lines
 
 
+# Up to this many (file, split) pairs the split table is broadcast: about 20 MB.
+MAX_BROADCAST_SPLITS = 100_000
+
+
 def read_lines(spark: SparkSession, paths) -> DataFrame:
     """Lines of text files as (source_file, record_index, value).
 
     ``record_index`` is the physical 0-based line number.  A file may be read as
     many splits: each split counts its own lines, and a line's number is its
-    place in the split plus the lines of the splits before it.  Only one row
-    per split is shuffled for that, never the lines.
+    place in the split plus the lines of the splits before it.  The split table
+    has one row per split.  The file listing bounds its size, and within the
+    bound the lines themselves are never shuffled.
     """
-    raw = spark.read.text(paths).select(
+    text = spark.read.text(paths)
+    most_splits = len(text.inputFiles()) + text.rdd.getNumPartitions()
+    raw = text.select(
         "value",
         F.col("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_block_start").alias("_split"),
@@ -37,6 +44,8 @@ def read_lines(spark: SparkSession, paths) -> DataFrame:
             (F.sum("_lines").over(per_file) - F.col("_lines")).alias("_before"),
         )
     )
+    if most_splits <= MAX_BROADCAST_SPLITS:
+        splits = F.broadcast(splits)
     return raw.join(splits, ["source_file", "_split"]).select(
         "source_file",
         (F.col("_row") - F.col("_first") + F.col("_before")).alias("record_index"),
