@@ -77,7 +77,7 @@ def given_answer(answer_text: Column, selected: Column) -> Column:
 def option_text(options: Column, option_id: Column) -> Column:
     """Text of the chosen option, ``Unanswered`` when there is none."""
     chosen = F.filter(options, lambda o: o["id"] == option_id)
-    return F.coalesce(F.get(chosen, F.lit(0))["text"], option_id, F.lit("Unanswered"))
+    return F.coalesce(F.get(chosen, F.lit(0))["text"], option_id, F.lit(S.NO_ANSWER))
 
 
 def deadline(started_at: Column, minutes: Column) -> Column:
@@ -138,5 +138,5 @@ def render_template(template: str, **values: Column) -> Column:
         if name in values:
             pieces += [F.lit(head), values[name].cast("string")]
     if names != set(values):
-        raise ValueError(f"Template values must be exactly: {sorted(names)}")
+        raise ValueError(f"The template asks for {sorted(names)}, got {sorted(values)}")
     return F.concat(*pieces, F.lit(rest))

@@ -103,7 +103,7 @@ def pending_datasets(runs: DataFrame, configured: DataFrame, questions: DataFram
     Empty when curated questions exist although none of the datasets was ever
     imported: the catalog was then built elsewhere.
     """
-    statuses = latest_runs(runs.join(configured, "dataset_name", "left_semi"))
+    statuses = latest_runs(runs).join(configured, "dataset_name", "left_semi")
     done = statuses.filter(F.col("status") == "completed")
     curated_rows = questions.filter(curated()).agg(F.count("*"))
     known_runs = statuses.agg(F.count("*"))

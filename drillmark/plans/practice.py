@@ -429,7 +429,7 @@ def close_sessions(sessions: DataFrame, turns: DataFrame, reports: DataFrame | N
         "session_id",
         F.coalesce("scored_turns", F.lit(0)).alias("scored_turns"),
         F.when(empty, 0.0).otherwise(F.col("overall_score")).alias("overall_score"),
-        F.when(empty, "No answers were submitted.").otherwise(F.col("summary")).alias("summary"),
+        F.when(empty, S.EMPTY_SESSION_SUMMARY).otherwise(F.col("summary")).alias("summary"),
         F.lit("completed").alias("status"),
     )
 

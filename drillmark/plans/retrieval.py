@@ -48,24 +48,29 @@ def relevance(difficulty: str, topic: str) -> Column:
     return score + F.when(hit, 4).otherwise(0)
 
 
-def _open_questions(questions: DataFrame, sources: DataFrame) -> DataFrame:
-    """Questions that have a source and were not generated."""
-    origin = sources.select(F.col("id").alias("source_id"), "dataset_name")
-    return questions.filter(~F.col("is_ai_generated")).join(origin, "source_id")
-
+def _candidates(questions: DataFrame, *scores: Column) -> DataFrame:
+    """Questions not generated, with their scores and what a reference shows.
 
-def _clipped() -> list[Column]:
-    """What a reference shows; clipping before the sort keeps its rows short."""
-    return [
+    Texts are scored and clipped in the scan: the joins and sorts that follow
+    carry rows of bounded length, never whole texts.
+    """
+    return questions.filter(~F.col("is_ai_generated")).select(
         F.col("id").alias("question_id"),
-        "dataset_name",
+        "source_id",
         F.col("title").alias("sort_title"),
         clip_ellipsis(F.col("title"), 120).alias("title"),
         "difficulty",
         clip_ellipsis(F.col("problem_statement"), 600).alias("problem_statement"),
         F.transform(F.slice("tags", 1, 8), lambda t: clip_ellipsis(t, 40)).alias("tags"),
         "is_complete",
-    ]
+        *scores,
+    )
+
+
+def _with_source(candidates: DataFrame, sources: DataFrame) -> DataFrame:
+    """Candidates that have a source."""
+    origin = sources.select(F.col("id").alias("source_id"), "dataset_name")
+    return candidates.join(origin, "source_id")
 
 
 def _relevance_order() -> list[Column]:
@@ -77,9 +82,8 @@ def top_references(
 ) -> DataFrame:
     """K8: the most relevant questions for one request."""
     typed = questions.filter(F.col("question_type") == request.question_type)
-    scored = _open_questions(typed, sources).select(
-        *_clipped(), relevance(request.difficulty, request.topic).alias("score")
-    )
+    score = relevance(request.difficulty, request.topic).alias("score")
+    scored = _with_source(_candidates(typed, score), sources)
     return scored.orderBy(*_relevance_order()).limit(n)
 
 
@@ -104,10 +108,11 @@ def top_references_batch(
             for no, r in enumerate(requests, 1)
         ]
     )
+    own = F.filter(matches, lambda m: m.isNotNull()).alias("matches")
     typed = questions.filter(F.col("question_type").isin(*{r.question_type for r in requests}))
-    scored = _open_questions(typed, sources).select(
-        *_clipped(), F.inline(F.filter(matches, lambda m: m.isNotNull()))
-    )
+    scored = _with_source(_candidates(typed, own), sources)
+    shown = [c for c in scored.columns if c not in ("matches", "source_id")]
+    scored = scored.select(*shown, F.inline("matches"))
     return top_per_key(scored, ["request_no"], _relevance_order(), n, "place")
 
 
@@ -238,8 +243,13 @@ def review_context(
         .select(*pair, clip_marked(F.col("_code"), 12_000).alias("reference_solution"))
     )
 
-    owned = assets.withColumnRenamed("method", "asset_method")
-    usable = asked.join(owned, "question_id").filter(
+    # Ten of the shared assets and ten of each method's own hold every choice.
+    owned = assets.withColumnRenamed("method", "asset_method").filter(
+        F.col("asset_type").isin(*S.REQUIRED_ANALYSIS_ASSETS)
+    )
+    owner = F.coalesce(F.nullif(F.col("asset_method"), F.lit("shared")), F.lit(""))
+    leading = top_per_key(owned.withColumn("_owner", owner), ["question_id", "_owner"], ["id"], 10, "_n")
+    usable = leading.join(asked, "question_id").filter(
         relevant_asset(F.col("method"), F.col("asset_method"))
     )
     ten_assets = top_per_key(usable, pair, ["id"], 10, "place")

@@ -224,9 +224,11 @@ def _archives(documents):
 
     def batches(frames):
         for frame in frames:
-            packed = [pack(row) for row in frame.itertuples()]
-            kept = frame[["source_file", "record_index", "source_revision", "path"]]
-            yield kept.assign(task_binary=pd.Series(packed, index=frame.index, dtype=object))
+            for start in range(0, len(frame), 100):
+                part = frame.iloc[start : start + 100]
+                packed = [pack(row) for row in part.itertuples()]
+                kept = part[["source_file", "record_index", "source_revision", "path"]]
+                yield kept.assign(task_binary=pd.Series(packed, index=part.index, dtype=object))
 
     return documents.withColumn("path", F.concat(F.lit("task-"), F.col("doc_id"))).mapInPandas(
         batches,

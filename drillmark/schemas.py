@@ -67,6 +67,8 @@ UNFINISHED_QUIZ_STATUSES = (
 QUIZ_STATUSES = UNFINISHED_QUIZ_STATUSES + ("completed",)
 SESSION_LEVELS = {"junior": "Easy", "senior": "Hard", "staff": "Very Hard"}
 ANY_TOPIC = "general"
+NO_ANSWER = "Unanswered"
+EMPTY_SESSION_SUMMARY = "No answers were submitted."
 
 SOLVED_PERCENT = 80.0
 MAX_QUIZ_ITEMS = 10

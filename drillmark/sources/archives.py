@@ -23,10 +23,13 @@ DECODED = (
 )
 
 
+_MEMBERS = ["instruction", "difficulty", "tags", "tests", "error"]
+
+
 def _member(archive: tarfile.TarFile, name: str) -> bytes:
     info = archive.getmember(name)
     if not info.isfile() or info.size > MAX_ARCHIVE_MEMBER_BYTES:
-        raise ValueError(f"Invalid archive member: {name}")
+        raise ValueError(f"{name} is not a regular file of at most {MAX_ARCHIVE_MEMBER_BYTES} bytes")
     return archive.extractfile(info).read()
 
 
@@ -47,22 +50,27 @@ def _decode(blob: bytes) -> dict:
         }
 
 
+# Rows decoded at a time: the members of a row may hold megabytes each.
+_ROWS = 100
+
+
 def decode_archives(df: DataFrame, blob: str = "task_binary") -> DataFrame:
     """Replace the blob column by the decoded members, or an ``error``.
 
-    Blobs are large next to their rows: set
-    ``spark.sql.execution.arrow.maxRecordsPerBatch`` to about 100 for this scan.
+    Spark bounds the bytes of an incoming batch
+    (``spark.sql.execution.arrow.maxBytesPerBatch``); the unpacked texts go back
+    in small frames.
     """
     kept = [c for c in df.columns if c != blob]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != blob)
 
     def batches(frames):
         for frame in frames:
-            decoded = pd.DataFrame(
-                [_decode(b) if b else _decode(b"") for b in frame[blob]],
-                columns=["instruction", "difficulty", "tags", "tests", "error"],
-                index=frame.index,
-            )
-            yield pd.concat([frame[kept], decoded], axis=1)
+            for start in range(0, len(frame), _ROWS):
+                part = frame.iloc[start : start + _ROWS]
+                decoded = pd.DataFrame(
+                    [_decode(b or b"") for b in part[blob]], columns=_MEMBERS, index=part.index
+                )
+                yield pd.concat([part[kept], decoded], axis=1)
 
     return df.mapInPandas(batches, f"{schema}, {DECODED}")

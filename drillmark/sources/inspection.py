@@ -64,7 +64,7 @@ def inspect_dataset(spark: SparkSession, spec: DatasetSpec, root: str) -> DataFr
         keys = F.when(kind(head).startswith("OBJECT"), F.json_object_keys(F.to_json(head)))
         fields = read_whole(spark, pattern).select(F.col("source_file").alias("path"), keys.alias("fields"))
     else:
-        raise ValueError(f"Unsupported source format: {spec.source_format}")
+        raise ValueError(f"No reader for {spec.source_format} files")
     return files.join(fields, "path", "left").select(
         "path", "fields", missing_fields(F.coalesce("fields", F.array().cast("array<string>")), required).alias("missing")
     )
@@ -77,12 +77,12 @@ def require_sound(inspected: DataFrame, spec: DatasetSpec) -> list[str]:
     """
     rows = sorted(inspected.collect(), key=lambda r: r.path)
     if not rows:
-        raise FileNotFoundError(f"No source files match {spec.file_pattern}")
+        raise FileNotFoundError(f"{spec.key}: nothing at {spec.file_pattern}")
     for row in rows:
         if row.fields is None:
-            raise ValueError(f"Expected {spec.source_format} records in {row.path}")
+            raise ValueError(f"{row.path} does not hold {spec.source_format} records")
         if row.missing:
-            raise ValueError(f"{row.path} is missing required fields: {', '.join(row.missing)}")
+            raise ValueError(f"{row.path} lacks the fields {', '.join(row.missing)}")
     return [row.path for row in rows]
 
 

@@ -53,33 +53,36 @@ def with_completeness(questions: DataFrame) -> DataFrame:
 
 
 def new_questions(questions: DataFrame, stored_sources: DataFrame) -> DataFrame:
-    """Storable records that are neither repeated nor stored.
+    """Storable records that are neither stored nor repeated.
 
-    The first record of a key wins, by file and record index.  Older imports are
-    recognised by their original id and file name.
+    Older imports are recognised by original id and file name, record by record;
+    of the rest the first record of a key wins, by file and record index.  The
+    last anti-join finds the rows already partitioned by their key.
     """
-    storable_ = storable(questions)
-    first = first_per_key(
-        storable_, ["source.dataset_name", "source.source_key"], _SOURCE_ORDER
-    )
-    known = stored_sources.select("dataset_name", "source_key").distinct()
-    fresh = first.join(
-        known,
-        (F.col("source.dataset_name") == known["dataset_name"])
-        & (F.col("source.source_key") == known["source_key"]),
-        "left_anti",
-    )
     legacy = stored_sources.select(
         F.col("dataset_name").alias("_dataset"),
         F.col("original_id").alias("_original"),
         F.lower(file_name(F.col("source_file"))).alias("_file"),
     ).distinct()
-    same_file = F.lower(file_name(F.col("source.source_file"))) == F.col("_file")
-    return fresh.join(
+    unknown = storable(questions).join(
         legacy,
         (F.col("source.dataset_name") == F.col("_dataset"))
         & (F.col("source.legacy_original_id") == F.col("_original"))
-        & same_file,
+        & (F.lower(file_name(F.col("source.source_file"))) == F.col("_file")),
+        "left_anti",
+    )
+    first = first_per_key(unknown, ["source.dataset_name", "source.source_key"], _SOURCE_ORDER)
+    return _not_stored(first, stored_sources)
+
+
+def _not_stored(records: DataFrame, stored_sources: DataFrame) -> DataFrame:
+    known = stored_sources.select(
+        F.col("dataset_name").alias("_dataset"), F.col("source_key").alias("_key")
+    ).distinct()
+    return records.join(
+        known,
+        (F.col("source.dataset_name") == F.col("_dataset"))
+        & (F.col("source.source_key") == F.col("_key")),
         "left_anti",
     )
 
@@ -93,15 +96,8 @@ def new_items(items: DataFrame, stored_items: DataFrame, stored_sources: DataFra
     by_source = first_per_key(
         by_content, ["source.dataset_name", "source.source_key"], _SOURCE_ORDER
     )
-    known = stored_sources.select("dataset_name", "source_key").distinct()
-    return by_source.join(
-        stored_items.select("content_hash").distinct(), "content_hash", "left_anti"
-    ).join(
-        known,
-        (F.col("source.dataset_name") == known["dataset_name"])
-        & (F.col("source.source_key") == known["source_key"]),
-        "left_anti",
-    )
+    fresh = _not_stored(by_source, stored_sources)
+    return fresh.join(stored_items.select("content_hash").distinct(), "content_hash", "left_anti")
 
 
 def insert_or_get(generated: DataFrame, stored_items: DataFrame) -> DataFrame:

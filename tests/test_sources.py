@@ -142,13 +142,13 @@ def test_inspection_errors(spark, tmp_path):
     write(tmp_path / LEET, '\n{"id": 1}\n')
     found = inspect_dataset(spark, leet, str(tmp_path))
     assert found.first().missing == ["problem_description", "task_id"]
-    with pytest.raises(ValueError, match="missing required fields"):
+    with pytest.raises(ValueError, match="lacks the fields"):
         require_sound(found, leet)
     write(tmp_path / "algorithm_problems/TACO/ALL/a.parquet", b"not parquet")
-    with pytest.raises(ValueError, match="Expected parquet"):
+    with pytest.raises(ValueError, match="does not hold parquet"):
         require_sound(inspect_dataset(spark, taco, str(tmp_path)), taco)
     write(tmp_path / sqlctx.file_pattern, "[]")
-    with pytest.raises(ValueError, match="Expected json_array"):
+    with pytest.raises(ValueError, match="does not hold json_array"):
         require_sound(inspect_dataset(spark, sqlctx, str(tmp_path)), sqlctx)
 
 
@@ -167,7 +167,7 @@ def counts(results):
 
 
 def test_unknown_and_repeated_datasets():
-    with pytest.raises(ValueError, match="Unknown dataset"):
+    with pytest.raises(ValueError, match="No dataset is called"):
         choose(["nothing"])
     assert [s.key for s in choose(["taco", "TACO", "apps"])] == ["taco", "apps"]
 
@@ -411,3 +411,21 @@ def test_appended_batches_replace_themselves(spark, tmp_path):
     for _ in range(2):
         sinks.append_rows(batch, catalog, "attempts", "b1")
     assert sinks.read_table(spark, catalog, "attempts").count() == 1
+
+
+def test_a_moved_file_is_a_legacy_source_but_other_files_are_not(spark):
+    """The stored import of a file hides its record, not the same key from another file."""
+    from drillmark import schemas as S
+
+    def record(key, file, index):
+        source = ("set", key, file, "7", None, index, None, "a", "r", "7")
+        return ("t", "essay", "Easy", "text", None, None, [], [], source, [], [], [], True)
+
+    rows = [record("k", "new/place/old.jsonl", 0), record("k", "new/place/other.jsonl", 0)]
+    incoming = spark.createDataFrame(rows, S.NORMALISED_QUESTION)
+    stored = spark.createDataFrame(
+        [("set", "legacy:1", "7", "C:\\data\\OLD.jsonl")],
+        "dataset_name string, source_key string, original_id string, source_file string",
+    )
+    (row,) = sinks.new_questions(incoming, stored).collect()
+    assert row.source.source_file == "new/place/other.jsonl"
