@@ -285,7 +285,7 @@ def item_payloads(spark, sf_dir):
     SELECT v AS violation, count(*) AS n FROM (
       SELECT unnest(list_concat(
         CASE WHEN l_quantity * 4 > 100 OR l_returnflag = 'N' THEN ['percent'] ELSE [] END,
-        CASE WHEN l_linenumber * 4 > 20 THEN ['mistakes'] ELSE [] END,
+        CASE WHEN l_linenumber * 3 > 20 THEN ['mistakes'] ELSE [] END,
         CASE WHEN l_tax = 0 THEN ['explanation'] ELSE [] END,
         CASE WHEN l_discount = 0 THEN ['suggestion'] ELSE [] END,
         CASE WHEN l_linestatus = 'O' AND l_discount > 0.05 THEN ['members'] ELSE [] END)) AS v
@@ -293,7 +293,7 @@ def item_payloads(spark, sf_dir):
     """
 )
 def assessment_payloads(spark, sf_dir):
-    mistakes = F.array_repeat(F.col("l_returnflag"), (F.col("l_linenumber") * 4).cast("int"))
+    mistakes = F.array_repeat(F.col("l_returnflag"), (F.col("l_linenumber") * 3).cast("int"))
     head = F.to_json(
         F.struct(
             mistakes.alias("identified_mistakes"),

@@ -102,7 +102,8 @@ def violations(**rules: Column) -> Column:
         F.when(F.coalesce(holds, F.lit(False)), F.lit(None)).otherwise(F.lit(name))
         for name, holds in rules.items()
     ]
-    return F.filter(F.array(*broken), lambda v: v.isNotNull())
+    # Not a filter with a lambda: that would take all rules out of code generation.
+    return F.array_except(F.array(*broken), F.array(F.lit(None).cast("string")))
 
 
 def _all(*conditions: Column) -> Column:
@@ -295,9 +296,7 @@ def choice_sets(replies: DataFrame, expected: DataFrame, text: str = "reply") ->
         F.coalesce(F.sum("broken"), F.lit(0)).alias("broken"),
     )
     counts = ("missing", "unexpected", "repeated", "broken")
-    flaws = F.filter(
-        F.array(*[F.when(F.col(c) > 0, F.lit(c)) for c in counts]), lambda v: v.isNotNull()
-    )
+    flaws = F.array_compact(F.array(*[F.when(F.col(c) > 0, F.lit(c)) for c in counts]))
     return (
         parsed.drop("questions")
         .join(per_quiz, "quiz_id", "left")
