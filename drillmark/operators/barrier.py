@@ -1,7 +1,9 @@
-"""Columns that are computed once per row."""
+"""Rows and columns that are computed once."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,3 +19,19 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     kept = [F.col(f"`{c}`") for c in df.columns if c != name]
     computed = df.withColumn(name, value)
     return computed.select(*kept, F.explode(F.array(name)).alias(name))
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """The rows of a frame that several outputs are made from, written once.
+
+    They go to the folder the cluster names in ``spark.checkpoint.dir``, so a
+    lost executor does not bring the work back.  A local session without that
+    setting gets a folder of its own; a cluster without it computes the rows
+    again for each output.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            return df
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()

@@ -1,8 +1,8 @@
-"""Joins whose key is often missing."""
+"""Joins on keys that are missing or very frequent."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,3 +15,22 @@ def left_join_known(left: DataFrame, right: DataFrame, keys, nullable: str) -> D
     present = left.filter(F.col(nullable).isNotNull()).join(right, keys, "left")
     absent = left.filter(F.col(nullable).isNull())
     return present.unionByName(absent, allowMissingColumns=True)
+
+
+# Parts a frequent key of the larger side is split into.
+SALTS = 64
+
+
+def salted_join(
+    large: DataFrame, small: DataFrame, keys, spread: Column, how: str = "inner", salts: int = SALTS
+) -> DataFrame:
+    """Inner or left join of many rows to a table of a few rows per key.
+
+    The smaller side is repeated once per salt and the larger side draws its
+    salt from ``spread``, so a key with a third of the rows goes to ``salts``
+    tasks.  When the smaller side proves small at run time, adaptive execution
+    broadcasts it instead.
+    """
+    salted = large.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")

@@ -9,9 +9,10 @@ whatever the size of the group.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from drillmark.operators.joins import salted_join
 from drillmark.operators.ordered import number_rows
 
 # 16**3 shuffle blocks per pool group; each block is numbered on its own.
@@ -60,65 +61,83 @@ def draw(
 ) -> DataFrame:
     """``wanted`` distinct items of its group for every request.
 
-    Returns one row per drawn item with ``draw_no`` from 1.  ``wanted`` is a
-    small number checked by the caller (a quiz holds at most ten items).
+    One row per drawn item with ``draw_no`` from 1 and the group's
+    ``pool_size``; a request that wants more than its group holds gets all of
+    it.  ``wanted`` is a small number checked by the caller (a quiz holds at
+    most ten items).
     """
     slots = shuffled_slots(pool.select(*groups, item_key), groups, item_key, seed)
-    sized = requests.join(pool_sizes(pool, groups), list(groups))
-    steps = F.sequence(F.lit(0), F.least(F.col(wanted), F.col("pool_size")).cast("int") - 1)
-    probes = (
-        sized.filter(F.col(wanted) > 0)
-        .withColumn("_step", F.explode(steps))
-        .withColumn(
-            "slot",
-            F.pmod(
-                start_slot(F.col(request_key), F.col("pool_size"), seed) + F.col("_step"),
-                F.col("pool_size"),
-            ),
-        )
+    sized = salted_join(
+        requests.filter(F.col(wanted) > 0), pool_sizes(pool, groups), groups, F.col(request_key)
+    )
+    size = F.col("pool_size")
+    steps = F.sequence(F.lit(0), F.least(F.col(wanted), size).cast("int") - 1)
+    start = start_slot(F.col(request_key), size, seed)
+    probes = sized.withColumn("_step", F.explode(steps)).withColumn(
+        "slot", F.pmod(start + F.col("_step"), size)
     )
     drawn = probes.join(slots.drop("pool_size"), [*groups, "slot"])
-    return drawn.withColumn("draw_no", F.col("_step") + 1).drop("_step", "slot", "pool_size")
+    return drawn.withColumn("draw_no", F.col("_step") + 1).drop("_step", "slot")
+
+
+# Steps that are searched for a gap in one task.
+_GAP_BLOCK = 65_536
+
+
+def first_gap(steps: DataFrame, keys, step: str) -> DataFrame:
+    """Smallest non-negative number missing from the distinct ``step`` of each key.
+
+    A null step stands for a key without any.  The steps of a key are cut into
+    blocks: a block is searched by counting its unbroken prefix, and the first
+    block that is absent or not full holds the gap.
+    """
+    keys = list(keys)
+    block = F.floor(F.col(step) / _GAP_BLOCK)
+    tagged = steps.withColumn("_block", block)
+    in_block = Window.partitionBy(*keys, "_block").orderBy(step)
+    unbroken = F.col(step) - F.col("_block") * _GAP_BLOCK == F.row_number().over(in_block) - 1
+    prefixes = (
+        tagged.withColumn("_unbroken", unbroken)
+        .groupBy(*keys, "_block")
+        .agg(F.count_if("_unbroken").alias("_prefix"))
+    )
+    # Null sorts last and takes the place after the last block.
+    over_blocks = Window.partitionBy(*keys).orderBy(F.col("_block").asc_nulls_last())
+    placed = prefixes.withColumn("_no", F.row_number().over(over_blocks).cast("long") - 1)
+    present = F.col("_block") == F.col("_no")
+    full = F.coalesce(present & (F.col("_prefix") == _GAP_BLOCK), F.lit(False))
+    found = F.col("_no") * _GAP_BLOCK + F.when(present, F.col("_prefix")).otherwise(0)
+    blocks = F.count("_block") * _GAP_BLOCK
+    return placed.groupBy(*keys).agg(F.coalesce(F.min(F.when(~full, found)), blocks).alias("gap"))
 
 
 def next_unused(
     sessions: DataFrame, used: DataFrame, pool: DataFrame, groups, session_key: str, item_key: str, seed: str
 ) -> DataFrame:
-    """For each session the next item of its group it has not seen.
+    """For each session and group the next item it has not seen.
 
     The answer is the first gap in the used slots, counted from the session's
-    start slot.  Candidates are the start itself and the successor of every used
-    slot; those that are used drop out by an anti-join and the smallest stays.
-    The work is linear in the used rows.  Sessions whose group is used up get no
-    row.
+    start slot, so the work is linear in the used rows and no session meets more
+    of the pool than it has used.  A session may ask for several groups, one row
+    each; a group that is used up gives no row.
     """
     slots = shuffled_slots(pool.select(*groups, item_key), groups, item_key, seed)
-    entered = (
-        sessions.select(session_key, *groups)
-        .join(pool_sizes(pool, groups), list(groups))
-        .withColumn("_start", start_slot(F.col(session_key), F.col("pool_size"), seed))
-    )
+    asked = [session_key, *groups]
+    entered = salted_join(
+        sessions.select(*asked).distinct(), pool_sizes(pool, groups), groups, F.col(session_key)
+    ).withColumn("_start", start_slot(F.col(session_key), F.col("pool_size"), seed))
+    circle = [*asked, "pool_size", "_start"]
     seen = used.select(session_key, item_key).distinct()
     taken = (
         entered.join(seen, session_key)
         .join(slots.select(*groups, item_key, "slot"), [*groups, item_key])
-        .select(
-            session_key,
-            F.pmod(F.col("slot") - F.col("_start"), F.col("pool_size")).alias("_step"),
-        )
-    )
-    candidates = entered.select(session_key, F.lit(0).cast("long").alias("_step")).unionByName(
-        taken.withColumn("_step", F.col("_step") + 1)
-    )
-    gap = (
-        candidates.join(taken, [session_key, "_step"], "left_anti")
-        .groupBy(session_key)
-        .agg(F.min("_step").alias("_step"))
+        .select(*circle, F.pmod(F.col("slot") - F.col("_start"), F.col("pool_size")).alias("_step"))
     )
+    steps = taken.unionByName(entered.withColumn("_step", F.lit(None).cast("long")))
     return (
-        entered.join(gap, session_key)
-        .filter(F.col("_step") < F.col("pool_size"))
-        .withColumn("slot", F.pmod(F.col("_start") + F.col("_step"), F.col("pool_size")))
+        first_gap(steps, circle, "_step")
+        .filter(F.col("gap") < F.col("pool_size"))
+        .withColumn("slot", F.pmod(F.col("_start") + F.col("gap"), F.col("pool_size")))
         .join(slots.select(*groups, item_key, "slot"), [*groups, "slot"])
-        .select(session_key, *groups, item_key)
+        .select(*asked, item_key)
     )

@@ -14,6 +14,7 @@ from drillmark.functions.scoring import (
     uses_local,
 )
 from drillmark.functions.text import clip_error, is_blank
+from drillmark.operators.joins import salted_join
 from drillmark.operators.ordered import latest_per_key, top_per_key
 from drillmark.operators.predicates import is_unfinished
 from drillmark.operators.sampling import draw, next_unused, pool_sizes
@@ -81,12 +82,8 @@ def assemble_quizzes(requests: DataFrame, questions: DataFrame, seed: str) -> Da
     group holds too few questions gets no items; see ``shortages``.
     """
     pool = open_pool(questions)
-    enough = (
-        requests.join(pool_sizes(pool, POOL_GROUP), POOL_GROUP)
-        .filter(F.col("pool_size") >= F.col("total_items"))
-        .drop("pool_size")
-    )
-    items = draw(enough, pool, POOL_GROUP, "quiz_id", "question_id", "total_items", seed)
+    drawn = draw(requests, pool, POOL_GROUP, "quiz_id", "question_id", "total_items", seed)
+    items = drawn.filter(F.col("pool_size") >= F.col("total_items"))
     return items.select(
         "quiz_id",
         F.col("draw_no").alias("position"),
@@ -100,7 +97,7 @@ def shortages(requests: DataFrame, questions: DataFrame) -> DataFrame:
     """Requests that ask for more questions than their group holds."""
     available = pool_sizes(open_pool(questions), POOL_GROUP)
     return (
-        requests.join(available, POOL_GROUP, "left")
+        salted_join(requests, available, POOL_GROUP, F.col("quiz_id"), "left")
         .withColumn("available", F.coalesce("pool_size", F.lit(0)))
         .filter(F.col("available") < F.col("total_items"))
         .select("quiz_id", "total_items", "available")
@@ -318,17 +315,29 @@ def next_items(
     """Next unused item of every session, its topic first, then any topic.
 
     ``groups`` are the filter columns that always hold; ``topic`` is given up
-    when the topic's items are used up.
+    when the topic's items are used up.  Both questions are asked in one pass:
+    items stand in the group of their topic and in that of any topic.
     """
-    with_topic = [*groups, topic]
-    exact = next_unused(sessions, used, items, with_topic, "session_id", "item_id", seed).select(
-        "session_id", "item_id", F.lit("topic").alias("match")
+    any_topic = F.lit(None).cast("string")
+
+    def both(df: DataFrame) -> DataFrame:
+        rows = F.array(
+            F.struct(F.lit(1).alias("_tier"), F.col(topic).cast("string").alias("_topic")),
+            F.struct(F.lit(2).alias("_tier"), any_topic.alias("_topic")),
+        )
+        kept = [c for c in df.columns if c != topic]
+        tiers = df.select(*kept, F.inline(rows))
+        return tiers.withColumn("_topic", F.coalesce("_topic", F.lit("")))
+
+    picked = next_unused(
+        both(sessions), used, both(items), [*groups, "_tier", "_topic"], "session_id", "item_id", seed
     )
-    rest = sessions.join(exact, "session_id", "left_anti")
-    relaxed = next_unused(rest, used, items, groups, "session_id", "item_id", seed).select(
-        "session_id", "item_id", F.lit("any").alias("match")
+    best = F.min(F.struct("_tier", "item_id")).alias("_best")
+    return picked.groupBy("session_id").agg(best).select(
+        "session_id",
+        F.col("_best.item_id").alias("item_id"),
+        F.when(F.col("_best._tier") == 1, "topic").otherwise("any").alias("match"),
     )
-    return exact.unionByName(relaxed)
 
 
 def last_scored_turns(turns: DataFrame, n: int = 3) -> DataFrame:

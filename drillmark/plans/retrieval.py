@@ -17,6 +17,7 @@ from drillmark.functions.text import (
     non_empty,
     strip,
 )
+from drillmark.operators.barrier import staged
 from drillmark.operators.ordered import number_rows, top_per_key
 from drillmark.operators.predicates import mentions_topic, relevant_asset
 
@@ -188,6 +189,23 @@ def packed_context(packed: DataFrame) -> DataFrame:
     )
 
 
+def context_documents(
+    questions: DataFrame,
+    sources: DataFrame,
+    assets: DataFrame,
+    solutions: DataFrame,
+    requests: list[Request],
+    budget: int = S.MAX_CONTEXT_CHARS,
+) -> DataFrame:
+    """The context document of every request.
+
+    The references, three rows per request, are written once: choosing them
+    takes a scan of the whole corpus.
+    """
+    references = staged(top_references_batch(questions, sources, requests))
+    return packed_context(pack_references(with_first_assets(references, assets, solutions), budget))
+
+
 def needs_research(requests: DataFrame, references: DataFrame) -> DataFrame:
     """Requests whose topic no local reference mentions, or with under three.
 

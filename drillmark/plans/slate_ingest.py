@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from drillmark.functions import text as X
 from drillmark.functions.payload import decode
+from drillmark.operators.barrier import staged
 from drillmark.operators.ordered import first_per_key
 from drillmark.operators.sections import numbered_lines
 from drillmark.plans import bindings as B
@@ -340,8 +341,8 @@ def normalise_sql_from_prompt(spark, sf_dir):
 def jsonl_ingest_twice(spark, sf_dir):
     raw, normalised = _prompt_records(spark, sf_dir)
     nothing = normalised.select("source.*").limit(0)
-    first = sinks.new_questions(normalised, nothing)
-    second = sinks.new_questions(normalised, first.select("source.*"))
+    first = staged(sinks.new_questions(normalised, nothing).select("source.*"))
+    second = sinks.new_questions(normalised, first)
     records = raw.agg(F.count("*").alias("records"))
 
     def counts(number, accepted):
@@ -371,7 +372,7 @@ def jsonl_ingest_twice(spark, sf_dir):
 )
 def imported_tables(spark, sf_dir):
     normalised = _prompt_records(spark, sf_dir)[1]
-    accepted = sinks.new_questions(normalised, normalised.select("source.*").limit(0))
+    accepted = staged(sinks.new_questions(normalised, normalised.select("source.*").limit(0)))
     counts = []
     for name, df in sinks.question_tables(accepted).items():
         complete = F.count_if("is_complete") if name == "questions" else F.lit(None).cast("long")

@@ -138,10 +138,14 @@ FROM ({_TOP}) t LEFT JOIN ({_FIRSTS}) f ON f.conv_id = t.id
     """
 )
 def budget_packed_context(spark, sf_dir):
-    references = R.with_first_assets(
-        _references(spark, sf_dir), _assets(spark, sf_dir), _solutions(spark, sf_dir)
+    return R.context_documents(
+        B.corpus(spark, sf_dir),
+        B.corpus_sources(spark, sf_dir),
+        _assets(spark, sf_dir),
+        _solutions(spark, sf_dir),
+        REQUESTS,
+        budget=1500,
     )
-    return R.packed_context(R.pack_references(references, budget=1500))
 
 
 @query(

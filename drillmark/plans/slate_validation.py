@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from drillmark import schemas as S
+from drillmark.operators.barrier import staged
 from drillmark.plans import bindings as B
 from drillmark.plans import validation as V
 from drillmark.plans.registry import query
@@ -167,7 +168,7 @@ def generated_tables(spark, sf_dir):
     accepted = sound(
         "algorithm", "java", is_algorithm, _algorithm_reply(), _check_algorithm
     ).unionByName(sound("data_analysis", "sql", ~is_algorithm, _analysis_reply(), _check_analysis))
-    accepted = accepted.withColumn("reply", V.parse_strict(V.unfence(F.col("reply"))))
+    accepted = staged(accepted).withColumn("reply", V.parse_strict(V.unfence(F.col("reply"))))
     counts = [
         df.agg(F.count("*").alias("n")).withColumn("table", F.lit(name))
         for name, df in sinks.generated_question_tables(accepted).items()

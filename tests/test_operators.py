@@ -176,3 +176,25 @@ def test_cut_and_last_match(spark):
     assert {(r.head, r.a) for r in answers.collect()} == {(None, None), ("## A", "two"), ("## B", None)}
     lines = sections.explode_lines(pieces, "b").collect()
     assert sorted((r.line_no, r.line) for r in lines) == list(enumerate(text.split("\n")))
+
+
+@pytest.mark.parametrize("block", [1, 3, 4, 1000])
+def test_first_gap_over_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(sampling, "_GAP_BLOCK", block)
+    random.seed(block)
+    taken = {k: set(random.sample(range(14), random.randint(1, 13))) for k in range(60)}
+    taken |= {100: set(), 101: set(range(12)), 102: set(range(5)) | {9}, 103: {0}, 104: {4, 5, 6, 7}}
+    rows = [(k, None) for k in taken] + [(k, s) for k, steps in taken.items() for s in steps]
+    df = spark.createDataFrame(rows, "key int, step long")
+    got = {r.key: r.gap for r in sampling.first_gap(df, ["key"], "step").collect()}
+    assert got == {k: next(i for i in range(20) if i not in steps) for k, steps in taken.items()}
+
+
+def test_salted_join(spark):
+    large = spark.createDataFrame([(i, "hot" if i % 3 else "rare") for i in range(300)], "id int, k string")
+    small = spark.createDataFrame([("hot", 1)], "k string, v int")
+    from drillmark.operators.joins import salted_join
+
+    inner = salted_join(large, small, ["k"], F.col("id"))
+    assert inner.count() == 200 and inner.columns == ["k", "id", "v"]
+    assert salted_join(large, small, ["k"], F.col("id"), "left").filter("v is null").count() == 100
