@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from drillmark import schemas as S
-from drillmark.functions.text import first_filled, is_blank, non_empty
+from drillmark.functions.text import is_blank, non_empty
 
 
 def lookup(key: Column, table: dict, default: Column | None = None) -> Column:
@@ -74,10 +74,18 @@ def given_answer(answer_text: Column, selected: Column) -> Column:
     return F.coalesce(non_empty(answer_text), selected)
 
 
-def option_text(options: Column, option_id: Column) -> Column:
-    """Text of the chosen option, ``Unanswered`` when there is none."""
+def option_text(options: Column, option_id: Column, missing: Column) -> Column:
+    """Text of an option, ``missing`` when the id is not among the options."""
     chosen = F.filter(options, lambda o: o["id"] == option_id)
-    return F.coalesce(F.get(chosen, F.lit(0))["text"], option_id, F.lit(S.NO_ANSWER))
+    return F.coalesce(F.get(chosen, F.lit(0))["text"], missing)
+
+
+def chosen_text(options: Column, option_id: Column) -> Column:
+    return option_text(options, option_id, F.lit(S.NO_ANSWER))
+
+
+def correct_text(options: Column, option_id: Column) -> Column:
+    return option_text(options, option_id, option_id)
 
 
 def deadline(started_at: Column, minutes: Column) -> Column:
@@ -125,7 +133,7 @@ def mean_or_zero(mean: Column) -> Column:
 
 def starter_code(stored: Column, method: Column, templates: dict) -> Column:
     """Stored starter code, else the method's template."""
-    return first_filled(stored, lookup(method, templates))
+    return F.coalesce(stored, lookup(method, templates))
 
 
 def render_template(template: str, **values: Column) -> Column:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drillmark import schemas as S
+from drillmark.functions.payload import entries
 from drillmark.functions.scoring import difficulty_rank, starter_code
+from drillmark.operators.barrier import once
 from drillmark.operators.joins import left_join_known
 from drillmark.operators.ordered import latest_per_key, number_rows, top_per_key
 from drillmark.operators.predicates import curated, item_filter
@@ -181,3 +183,31 @@ def assets_by_type(assets: DataFrame) -> DataFrame:
     return assets.groupBy("question_id", "asset_type").agg(
         F.max_by("content", "id").alias("content")
     )
+
+
+def fixture_preview(assets: DataFrame, n: int = 5) -> DataFrame:
+    """The first rows of every fixture table, one row each.
+
+    A fixture is a list of rows or an object of such lists by table name; one
+    that is neither has no preview.
+    """
+    fixtures = assets.filter(F.col("asset_type") == "fixture_data")
+    parsed = once(fixtures, "_data", F.try_parse_json("content"))
+    data = F.col("_data")
+    listed = F.try_variant_get(data, "$", "array<variant>")
+    single = F.array(F.struct(F.lit(None).cast("string").alias("key"), listed.alias("value")))
+    named = F.transform(
+        F.map_entries(entries(data)),
+        lambda e: F.struct(
+            e["key"].alias("key"),
+            F.try_variant_get(e["value"], "$", "array<variant>").alias("value"),
+        ),
+    )
+    tables = F.when(listed.isNotNull(), single).otherwise(named)
+    by_table = parsed.select("question_id", F.inline(tables).alias("table_name", "_rows"))
+    heads = by_table.select(
+        "question_id", "table_name", F.posexplode(F.slice("_rows", 1, n)).alias("_no", "_row")
+    )
+    return heads.select(
+        "question_id", "table_name", (F.col("_no") + 1).alias("row_no"), F.to_json("_row").alias("row")
+    )

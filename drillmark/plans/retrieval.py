@@ -211,7 +211,8 @@ def needs_research(requests: DataFrame, references: DataFrame) -> DataFrame:
 
     ``references`` holds at most three rows per request.
     """
-    shown = F.lower(F.to_json(F.struct("title", "difficulty", "problem_statement", "tags")))
+    names = [c for c in references.columns if c not in ("request_no", "score", "place", "sort_title")]
+    shown = F.lower(F.to_json(F.struct(*names)))
     per_request = references.select("request_no", shown.alias("shown"))
     joined = requests.join(per_request, "request_no", "left")
     mentioned = F.contains(F.col("shown"), F.lower("topic"))
@@ -249,9 +250,9 @@ def review_context(
 ) -> DataFrame:
     """Everything a reviewer sees for a submission, each part capped.
 
-    One solution, ten assets and ten cases are gathered once per (question,
-    method), not once per submission: a question with very many submissions
-    costs no more than any other until the final join.
+    The context is built once per (question, method) and meets the submissions
+    in one last join: a question with very many submissions costs no more than
+    any other until then.
     """
     pair = ["question_id", "method"]
     asked = submissions.select(*pair).distinct()
@@ -296,12 +297,13 @@ def review_context(
         "tags",
     )
     question = questions.select(F.col("id").alias("question_id"), shown.alias("question"))
-    return (
-        submissions.join(question, "question_id")
+    context = (
+        asked.join(question, "question_id")
+        .join(case_lists, "question_id", "left")
         .join(solution, pair, "left")
         .join(asset_lists, pair, "left")
-        .join(case_lists, "question_id", "left")
     )
+    return submissions.join(context, pair)
 
 
 def teaching_context(
@@ -383,7 +385,7 @@ def clean_references(rows: Column) -> Column:
     def cleaned(row: Column) -> Column:
         url = member(row, "url")
         return F.struct(
-            clip(F.coalesce(non_empty(member(row, "title")), url), 300).alias("title"),
+            clip(strip(F.coalesce(non_empty(as_text(field(row, "title"))), url)), 300).alias("title"),
             url.alias("url"),
             clip(member(row, "description", "markdown", "content"), 6_000).alias("excerpt"),
         )

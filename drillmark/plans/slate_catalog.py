@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from drillmark.functions.scoring import (
+    chosen_text,
+    correct_text,
     marks,
     method_label,
     mixed_source,
-    option_text,
     seeded_unit,
     syntax_language,
 )
@@ -299,8 +300,10 @@ def starter_codes(spark, sf_dir):
     """
     SELECT p_partkey AS id, 'SQL,Java,C++' AS labels, 'sql,java,cpp' AS known,
            CASE WHEN p_size > 25 THEN 'python' ELSE 'javascript' END AS syntax,
-           CASE WHEN p_size > 40 THEN 'Unanswered' WHEN p_size > 20 THEN p_brand ELSE 'gone' END
-             AS answer,
+           CASE WHEN p_size > 40 THEN 'Unanswered' WHEN p_size > 20 THEN p_brand
+                ELSE 'Unanswered' END AS answer,
+           CASE WHEN p_size > 20 AND p_size <= 40 THEN p_brand WHEN p_size <= 20 THEN 'gone' END
+             AS correct,
            string_split(p_name, ' ')[1] || '|' || string_split(p_name, ' ')[2] AS topics,
            'src/' || p_type || '.py' AS relative, p_type || '.py' AS outside,
            round(p_size / 10, 1) AS marks
@@ -320,9 +323,36 @@ def display_rules(spark, sf_dir):
         syntax_language(
             F.when(F.col("p_size") > 25, "polars").otherwise("javascript/typescript")
         ).alias("syntax"),
-        option_text(options, chosen).alias("answer"),
+        chosen_text(options, chosen).alias("answer"),
+        correct_text(options, chosen).alias("correct"),
         F.array_join(split_list(F.concat(F.translate("p_name", " ", ","), F.lit(", ,"))), "|").alias("topics"),
         relative_path(path, "/data/root").alias("relative"),
         relative_path(path, "/other").alias("outside"),
         marks(F.col("p_size")).alias("marks"),
     )
+
+
+@query(
+    """
+    WITH c AS (SELECT c_custkey, c_nationkey AS rows, c_custkey % 3 AS shape FROM customer)
+    SELECT c_custkey AS question_id, CASE WHEN shape = 0 THEN 'items' END AS table_name,
+           n AS row_no, '{"n":' || n || '}' AS "row"
+    FROM (SELECT *, unnest(range(1, least(rows, 5) + 1)) AS n FROM c WHERE shape < 2)
+    """
+)
+def fixture_preview(spark, sf_dir):
+    numbers = F.sequence(F.lit(1), F.col("c_nationkey"))
+    filled = F.transform(numbers, lambda i: F.struct(i.alias("n")))
+    rows = F.when(F.col("c_nationkey") > 0, filled).otherwise(F.slice(filled, 1, 0))
+    shape = F.col("c_custkey") % 3
+    content = (
+        F.when(shape == 0, F.to_json(F.struct(rows.alias("items"))))
+        .when(shape == 1, F.to_json(rows))
+        .otherwise("no table")
+    )
+    assets = B.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("question_id"),
+        F.lit("fixture_data").alias("asset_type"),
+        content.alias("content"),
+    )
+    return C.fixture_preview(assets)

@@ -933,6 +933,11 @@ def item_import(spark, sf_dir):
     """
 )
 def insert_or_get_items(spark, sf_dir):
+    return _generated_items(spark, sf_dir).select("request_id", "id", "is_new")
+
+
+def _generated_items(spark, sf_dir):
+    """Unlabelled documents as generated items, labelled ones as the stored items."""
     documents = B.table(spark, sf_dir, "documents")
     labels = B.table(spark, sf_dir, "labels").select("doc_id")
     stored = (
@@ -942,6 +947,65 @@ def insert_or_get_items(spark, sf_dir):
         .agg(F.min("doc_id").cast("string").alias("id"))
     )
     generated = documents.join(labels, "doc_id", "left_anti").select(
-        F.col("doc_id").alias("request_id"), F.col("lang").alias("domain"), F.col("text").alias("prompt")
+        F.col("doc_id").alias("request_id"),
+        F.col("lang").alias("domain"),
+        F.col("text").alias("prompt"),
+        "source",
+        "n_chars",
     )
-    return sinks.insert_or_get(generated, stored).select("request_id", "id", "is_new")
+    return sinks.insert_or_get(generated, stored)
+
+
+@query(
+    f"""
+    WITH h AS (SELECT *, {_HASH} AS content_hash FROM documents),
+    fresh AS (SELECT min(doc_id) AS doc_id, content_hash FROM h
+      WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND content_hash NOT IN
+        (SELECT content_hash FROM h JOIN labels USING (doc_id)) GROUP BY content_hash),
+    asked AS (SELECT DISTINCT content_hash FROM h WHERE doc_id NOT IN (SELECT doc_id FROM labels)),
+    firsts AS (SELECT content_hash, min(doc_id) AS doc_id FROM h
+      WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY content_hash)
+    SELECT 'question_sources' AS "table",
+           CASE WHEN n_chars > 1000 THEN 'http://x/' || source ELSE 'AI generated' END AS detail,
+           count(*) AS n
+    FROM fresh JOIN h USING (doc_id) GROUP BY ALL
+    UNION ALL SELECT 'interview_items', lang, count(*) FROM fresh JOIN h USING (doc_id) GROUP BY ALL
+    UNION ALL SELECT 'interview_item_generation',
+                     CASE WHEN n_chars > 1000 THEN 'web' ELSE 'ai' END, count(*)
+    FROM firsts JOIN h USING (doc_id) GROUP BY ALL
+    """
+)
+def generated_item_tables(spark, sf_dir):
+    none = F.lit(None)
+    addresses = F.array(F.concat(F.lit("http://x/"), F.col("source")))
+    items = _generated_items(spark, sf_dir).withColumns(
+        {
+            "web_sources": F.when(F.col("n_chars") > 1000, addresses).otherwise(F.slice(addresses, 1, 0)),
+            "topic": F.col("source"),
+            "answer_format": F.lit("theory"),
+            "prompt_style": F.lit("direct"),
+            "difficulty": F.lit("Medium"),
+            "reference_answer": F.col("source"),
+            "rubric": F.array("source"),
+            "method": none.cast("string"),
+            "options": none.cast("array<struct<id:string,text:string>>"),
+            "correct_option": none.cast("string"),
+            "tags": F.array("source"),
+            "provider": F.lit("p"),
+            "model_id": F.lit("m"),
+            "prompt_version": F.lit("v1"),
+        }
+    )
+    nothing = items.select(F.col("id").alias("interview_item_id")).limit(0)
+    tables = sinks.generated_item_tables(staged(items), nothing)
+    details = {
+        "question_sources": "source_file",
+        "interview_items": "domain",
+        "interview_item_generation": "origin",
+    }
+    out = None
+    for name, detail in details.items():
+        counts = tables[name].groupBy(F.col(detail).alias("detail")).agg(F.count("*").alias("n"))
+        counts = counts.withColumn("table", F.lit(name))
+        out = counts if out is None else out.unionByName(counts)
+    return out

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from drillmark.functions.payload import nested_rows
 from drillmark.functions.scoring import render_template
+from drillmark.operators.predicates import shared_assets
 from drillmark.plans import bindings as B
 from drillmark.plans import retrieval as R
 from drillmark.plans.registry import query
@@ -386,3 +387,30 @@ def rendered_prompts(spark, sf_dir):
     return B.table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("id"), prompt.alias("prompt")
     )
+
+
+@query(
+    f"""
+    SELECT request_no, title, dataset_name, NULL AS url FROM ({_TOP})
+    UNION ALL
+    SELECT NULL, left(coalesce(nullif(trim(regexp_extract(html, '<title>([^<]*)', 1)), ''), url), 300),
+           'web', url FROM pages WHERE page_id % 4 <> 3
+    """
+)
+def local_and_web_references(spark, sf_dir):
+    local = _references(spark, sf_dir).select("request_no", "title", "dataset_name")
+    pages = B.table(spark, sf_dir, "pages").select(_web_reply().alias("reply"))
+    web = pages.select(F.inline(R.clean_references(nested_rows(F.col("reply"))))).select(
+        "title", "url", F.lit("web").alias("dataset_name")
+    )
+    return R.all_references(local, web)
+
+
+@query(
+    f"""
+    SELECT event_id AS id, props AS content FROM events
+    WHERE event_type = 'view' AND ({_ASSET_METHOD} IS NULL OR {_ASSET_METHOD} = 'shared')
+    """
+)
+def shared_schema_assets(spark, sf_dir):
+    return shared_assets(_event_assets(spark, sf_dir), "schema").select("id", "content")

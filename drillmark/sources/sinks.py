@@ -109,15 +109,54 @@ def insert_or_get(generated: DataFrame, stored_items: DataFrame) -> DataFrame:
     hashed = generated.withColumn("content_hash", content_hash(F.col("domain"), F.col("prompt")))
     stored = stored_items.select("content_hash", F.col("id").alias("_stored")).distinct()
     first = hashed.groupBy("content_hash").agg(F.min("request_id").alias("_first"))
+    # One row per content before the only join that meets repeated contents.
+    known = first.join(stored, "content_hash", "left")
     return (
-        hashed.join(stored, "content_hash", "left")
-        .join(first, "content_hash")
+        hashed.join(known, "content_hash")
         .withColumn("id", F.coalesce("_stored", derived_id(F.lit("item"), F.col("content_hash"))))
         .withColumn("is_new", F.col("_stored").isNull() & (F.col("request_id") == F.col("_first")))
         .drop("_stored", "_first")
     )
 
 
+# Provenance of generated interview items.
+GENERATED_DATASET = "runtime-generated-interview"
+GENERATED_FILE = "AI generated"
+GENERATED_ATTRIBUTION = "AI-generated interview question; web citations stored separately."
+
+
+def generated_item_tables(items: DataFrame, stored_generation: DataFrame) -> dict[str, DataFrame]:
+    """Rows to insert for the result of ``insert_or_get``.
+
+    ``items`` also carries the item columns, ``web_sources`` (addresses),
+    provider, model_id and prompt_version.
+    """
+    key = F.concat(F.lit("runtime:"), F.col("content_hash"))
+    none = F.lit(None).cast("string")
+    new = items.filter("is_new").withColumn(
+        "source_id", derived_id(F.lit("source"), F.lit(GENERATED_DATASET), key)
+    )
+    sources = new.select(
+        F.col("source_id").alias("id"),
+        F.lit(GENERATED_DATASET).alias("dataset_name"),
+        F.col("content_hash").alias("original_id"),
+        key.alias("source_key"),
+        F.coalesce(F.get("web_sources", F.lit(0)), F.lit(GENERATED_FILE)).alias("source_file"),
+        none.alias("source_revision"),
+        F.lit(None).cast("long").alias("source_record_index"),
+        none.alias("license"),
+        F.lit(GENERATED_ATTRIBUTION).alias("attribution"),
+        none.alias("import_run_id"),
+    )
+    return {
+        "question_sources": sources,
+        "interview_items": new.withColumn("is_complete", F.lit(True)).select(
+            *S.TABLES["interview_items"].names
+        ),
+        "interview_item_generation": generation_rows(items, stored_generation),
+    }
+
+
 def generation_rows(inserted: DataFrame, stored: DataFrame) -> DataFrame:
     """Provenance of generated items, written once per item."""
     wanted = first_per_key(inserted, ["id"], ["request_id"])

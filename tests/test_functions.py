@@ -153,6 +153,7 @@ def test_lookups(spark):
     assert one(spark, scoring.difficulty_rank(F.lit("Very Hard"))) == len(S.DIFFICULTIES)
     assert one(spark, scoring.has_comment(F.lit("-- note"), F.lit("sql"))) is True
     assert one(spark, scoring.has_comment(F.lit("# note"), F.lit("sql"))) is False
-    assert one(spark, scoring.starter_code(F.lit(""), F.lit("sql"), {"sql": "SELECT"})) == "SELECT"
+    none = F.lit(None).cast("string")
+    assert one(spark, scoring.starter_code(none, F.lit("sql"), {"sql": "SELECT"})) == "SELECT"
     assert one(spark, scoring.mean_or_zero(F.lit(None).cast("double"))) == 0.0
     assert one(spark, text.topic_or_any(F.lit(" \n"))) == "general"
