@@ -334,21 +334,22 @@ def display_rules(spark, sf_dir):
 
 @query(
     """
-    WITH c AS (SELECT c_custkey, c_nationkey AS rows, c_custkey % 3 AS shape FROM customer)
-    SELECT c_custkey AS question_id, CASE WHEN shape = 0 THEN 'items' END AS table_name,
+    SELECT c_custkey AS question_id,
+           CASE WHEN c_mktsegment = 'BUILDING' THEN 'items' END AS table_name,
            n AS row_no, '{"n":' || n || '}' AS "row"
-    FROM (SELECT *, unnest(range(1, least(rows, 5) + 1)) AS n FROM c WHERE shape < 2)
+    FROM (SELECT *, unnest(range(1, least(c_nationkey, 5) + 1)) AS n FROM customer
+          WHERE c_mktsegment <> 'FURNITURE')
     """
 )
 def fixture_preview(spark, sf_dir):
     numbers = F.sequence(F.lit(1), F.col("c_nationkey"))
     filled = F.transform(numbers, lambda i: F.struct(i.alias("n")))
     rows = F.when(F.col("c_nationkey") > 0, filled).otherwise(F.slice(filled, 1, 0))
-    shape = F.col("c_custkey") % 3
+    segment = F.col("c_mktsegment")
     content = (
-        F.when(shape == 0, F.to_json(F.struct(rows.alias("items"))))
-        .when(shape == 1, F.to_json(rows))
-        .otherwise("no table")
+        F.when(segment == "BUILDING", F.to_json(F.struct(rows.alias("items"))))
+        .when(segment == "FURNITURE", "no table")
+        .otherwise(F.to_json(rows))
     )
     assets = B.table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("question_id"),

@@ -66,7 +66,7 @@ def _quiz_requests(spark, sf_dir):
             out = F.when(F.col("c_mktsegment") == segment, pair[place]).otherwise(out)
         return out
 
-    total = (F.col("c_custkey") % 10 + 1).cast("int")
+    total = F.greatest(F.lit(1), F.floor(F.col("c_acctbal") / 1000) + 1).cast("int")
     return B.table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("quiz_id"),
         chosen(0).alias("question_type"),
@@ -88,7 +88,8 @@ SELECT c_custkey AS quiz_id,
             WHEN 'MACHINERY' THEN 'sql' WHEN 'HOUSEHOLD' THEN 'pandas'
             WHEN 'FURNITURE' THEN 'cpp' END AS method,
        CASE WHEN c_acctbal < 5000 THEN 'general' ELSE 'red' END AS topic,
-       c_custkey % 10 + 1 AS total_items, (c_custkey % 10 + 1) // 2 AS coding_items
+       greatest(1, floor(c_acctbal / 1000) + 1)::int AS total_items,
+       greatest(1, floor(c_acctbal / 1000) + 1)::int // 2 AS coding_items
 FROM customer JOIN ({B.CUSTOMER_QUESTIONS_SQL}) q ON q.id = c_custkey
 """
 _MATCHING = f"""
@@ -577,15 +578,17 @@ def session_transcript(spark, sf_dir):
 
 @query(
     """
-    SELECT o_orderkey AS session_id,
-           o_orderdate + to_minutes((30 + (o_orderkey % 4) * 15)::int) AS deadline_at,
+    SELECT o_orderkey AS session_id, o_orderdate + to_minutes(minutes) AS deadline_at,
            greatest(0, date_diff('second', o_orderdate + INTERVAL 50 MINUTE,
-             o_orderdate + to_minutes((30 + (o_orderkey % 4) * 15)::int))) AS remaining
-    FROM orders
+                                 o_orderdate + to_minutes(minutes))) AS remaining
+    FROM (SELECT *, CASE o_orderpriority WHEN '1-URGENT' THEN 30 WHEN '2-HIGH' THEN 45
+                         WHEN '3-MEDIUM' THEN 60 ELSE 90 END AS minutes FROM orders)
     """
 )
 def deadline_remaining(spark, sf_dir):
-    minutes = (30 + F.col("o_orderkey") % 4 * 15).cast("int")
+    minutes = F.lit(90)
+    for priority, length in (("1-URGENT", 30), ("2-HIGH", 45), ("3-MEDIUM", 60)):
+        minutes = F.when(F.col("o_orderpriority") == priority, length).otherwise(minutes)
     checked_at = F.col("o_orderdate") + F.make_dt_interval(mins=F.lit(50))
     timed = B.table(spark, sf_dir, "orders").withColumn(
         "deadline_at", deadline(F.col("o_orderdate"), minutes)

@@ -336,6 +336,10 @@ def choice_contexts(spark, sf_dir):
     )
 
 
+# A page in another language stands for a search that returned plain text.
+_HAS_ROWS = """regexp_extract(html, 'lang="([a-z]+)"', 1) IN ('en', 'fr', 'de')"""
+
+
 def _web_reply():
     """Reply texts in the shapes that searches return, one per page."""
     row = F.struct(
@@ -347,19 +351,22 @@ def _web_reply():
     deep = F.to_json(F.struct(F.struct(F.array(row).alias("web")).alias("data")))
     flat = F.to_json(F.struct(F.array(row).alias("results")))
     bare = F.concat(F.lit("["), F.to_json(row), F.lit(","), F.to_json(file_row), F.lit("]"))
-    shape = F.col("page_id") % 4
+    lang = F.regexp_extract("html", 'lang="([a-z]+)"', 1)
     return (
-        F.when(shape == 0, deep).when(shape == 1, flat).when(shape == 2, bare).otherwise(F.col("url"))
+        F.when(lang == "en", deep)
+        .when(lang == "fr", flat)
+        .when(lang == "de", bare)
+        .otherwise(F.col("url"))
     )
 
 
 @query(
-    """
+    f"""
     SELECT page_id, url,
            left(coalesce(nullif(trim(regexp_extract(html, '<title>([^<]*)', 1)), ''), url), 300)
              AS title,
            least(length(trim(html)), 6000) AS excerpt_chars
-    FROM pages WHERE page_id % 4 <> 3
+    FROM pages WHERE {_HAS_ROWS}
     """
 )
 def web_reference_cleanup(spark, sf_dir):
@@ -394,7 +401,7 @@ def rendered_prompts(spark, sf_dir):
     SELECT request_no, title, dataset_name, NULL AS url FROM ({_TOP})
     UNION ALL
     SELECT NULL, left(coalesce(nullif(trim(regexp_extract(html, '<title>([^<]*)', 1)), ''), url), 300),
-           'web', url FROM pages WHERE page_id % 4 <> 3
+           'web', url FROM pages WHERE {_HAS_ROWS}
     """
 )
 def local_and_web_references(spark, sf_dir):

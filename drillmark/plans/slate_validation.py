@@ -1,7 +1,8 @@
 """Registered queries: batch validation and data quality.
 
-Payload texts are built from the rows of a table; one row in eight breaks each
-rule, so that every violation occurs in proportion to the table.
+Payload texts are built from the rows of a table; the size class of a part, or
+the nation of a customer, says which rule its payload breaks, so that every
+violation occurs in proportion to the table.
 """
 
 from __future__ import annotations
@@ -36,8 +37,13 @@ def _truncated(text):
 # --- Generated questions -----------------------------------------------------
 
 
+def _size_class():
+    """0 to 8 for sizes 1 to 50; classes 0 and 8 break no rule."""
+    return F.floor((F.col("p_size") - 1) / 6)
+
+
 def _algorithm_reply():
-    case = F.col("p_partkey") % 8
+    case = _size_class()
     sample = F.struct(F.col("p_size").alias("input"), F.col("p_name").alias("output"))
     test = F.struct(F.col("p_size").alias("input"), F.col("p_name").alias("expected_output"))
     half_test = F.struct(F.col("p_size").alias("input"), F.lit(None).cast("string").alias("expected_output"))
@@ -57,7 +63,7 @@ def _algorithm_reply():
         )
     )
     fenced = F.concat(F.lit("```json\n"), text, F.lit("\n```"))
-    return F.when(case == 7, _truncated(text)).when(case == 0, fenced).otherwise(text)
+    return F.when(case == 7, _truncated(text)).when(case == 8, fenced).otherwise(text)
 
 
 def _check_algorithm(value):
@@ -67,7 +73,7 @@ def _check_algorithm(value):
 @query(
     """
     SELECT v AS violation, count(*) AS n FROM (
-      SELECT unnest(CASE p_partkey % 8 WHEN 1 THEN ['members', 'title'] WHEN 2 THEN ['members']
+      SELECT unnest(CASE (p_size - 1) // 6 WHEN 1 THEN ['members', 'title'] WHEN 2 THEN ['members']
              WHEN 3 THEN ['difficulty'] WHEN 4 THEN ['examples'] WHEN 5 THEN ['test_cases']
              WHEN 6 THEN ['tags'] WHEN 7 THEN ['malformed_json'] ELSE [] END) AS v FROM part)
     GROUP BY v
@@ -78,7 +84,7 @@ def algorithm_payloads(spark, sf_dir):
 
 
 def _analysis_reply():
-    case = F.col("p_partkey") % 8
+    case = _size_class()
     row = F.struct(F.col("p_size").alias("size"), F.col("p_name").alias("name"))
     rows = F.to_json(F.array(row, row))
     uneven = F.concat(F.lit("["), F.to_json(row), F.lit(',{"size":1}]'))
@@ -126,7 +132,7 @@ def _check_analysis(value):
 @query(
     """
     SELECT v AS violation, count(*) AS n FROM (
-      SELECT unnest(CASE p_partkey % 8 WHEN 1 THEN ['create_table'] WHEN 2 THEN ['fixture_data']
+      SELECT unnest(CASE (p_size - 1) // 6 WHEN 1 THEN ['create_table'] WHEN 2 THEN ['fixture_data']
              WHEN 3 THEN ['fixture_data'] WHEN 4 THEN ['supported_methods']
              WHEN 5 THEN ['starter_code'] WHEN 6 THEN ['reference_solutions']
              WHEN 7 THEN ['table_in_schema'] ELSE [] END) AS v FROM part)
@@ -140,7 +146,7 @@ def analysis_payloads(spark, sf_dir):
 @query(
     """
     WITH q AS (SELECT *, p_type IN ('STANDARD', 'ECONOMY', 'PROMO') AS algorithm FROM part
-               WHERE p_partkey % 8 = 0)
+               WHERE (p_size - 1) // 6 IN (0, 8))
     SELECT 'ai_generated_questions' AS "table", count(*) AS n FROM q
     UNION ALL SELECT 'question_assets', sum(CASE WHEN algorithm THEN 1 ELSE 7 END) FROM q
     UNION ALL SELECT 'question_test_cases', 2 * count(CASE WHEN algorithm THEN 1 END) FROM q
@@ -210,12 +216,13 @@ def _choice(question_id, case):
            CASE WHEN c = 4 THEN 1 ELSE 0 END AS repeated,
            CASE WHEN c IN (5, 6, 7) THEN 2 ELSE 0 END AS broken,
            CASE c WHEN 1 THEN 'status' WHEN 2 THEN 'missing' WHEN 3 THEN 'missing,unexpected'
-                WHEN 4 THEN 'missing,repeated' WHEN 0 THEN '' ELSE 'broken' END AS violations
-    FROM (SELECT *, c_custkey % 8 AS c FROM customer)
+                WHEN 4 THEN 'missing,repeated' WHEN 0 THEN '' WHEN 8 THEN '' ELSE 'broken' END
+             AS violations
+    FROM (SELECT *, c_nationkey // 3 AS c FROM customer)
     """
 )
 def choice_set_verdicts(spark, sf_dir):
-    case = F.col("c_custkey") % 8
+    case = F.floor(F.col("c_nationkey") / 3)
     key = F.col("c_custkey").cast("string")
     first, second = F.concat(key, F.lit("-1")), F.concat(key, F.lit("-2"))
     other = F.when(case == 3, F.lit("elsewhere")).when(case == 4, first).otherwise(second)
@@ -441,13 +448,14 @@ def submission_checks(spark, sf_dir):
 @query(
     """
     SELECT c_custkey AS request_id,
-           concat_ws(',', CASE WHEN c_custkey % 12 NOT BETWEEN 1 AND 10 THEN 'total_items' END,
-                     CASE WHEN c_nationkey > c_custkey % 12 THEN 'coding_items' END) AS violations
+           concat_ws(',', CASE WHEN c_nationkey NOT BETWEEN 1 AND 10 THEN 'total_items' END,
+                     CASE WHEN floor(c_acctbal / 1000) NOT BETWEEN 0 AND c_nationkey
+                          THEN 'coding_items' END) AS violations
     FROM customer
     """
 )
 def quiz_setting_checks(spark, sf_dir):
-    found = V.quiz_settings(F.col("c_custkey") % 12, F.col("c_nationkey"))
+    found = V.quiz_settings(F.col("c_nationkey"), F.floor(F.col("c_acctbal") / 1000))
     return B.table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("request_id"), F.array_join(found, ",").alias("violations")
     )
