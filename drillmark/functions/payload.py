@@ -7,16 +7,26 @@ from pyspark.sql import functions as F
 
 from drillmark.functions.text import strip
 
-# Fixed value: a whole text wrapped in one Markdown code fence.
+# A whole text wrapped in one Markdown code fence.
 FENCED = r"(?s)\A```(?:json)?\s*(.*?)\s*```\z"
+FENCED_JSON = r"(?is)\A```json\s*(.*?)\s*```\z"
 
 
 def unfence(text: Column) -> Column:
-    """The body of a fenced reply, or the trimmed text when not fenced."""
+    """The body of a fenced reply, or the trimmed text when not fenced.
+
+    Question replies may be fenced with or without the ``json`` tag.
+    """
     body = strip(text)
     return F.when(body.startswith("```"), F.regexp_extract(body, FENCED, 1)).otherwise(body)
 
 
+def unfence_json(text: Column) -> Column:
+    """The same for replies whose fence has to carry the ``json`` tag."""
+    body = strip(text)
+    return F.when(body.rlike(FENCED_JSON), F.regexp_extract(body, FENCED_JSON, 1)).otherwise(body)
+
+
 def parse_strict(text: Column) -> Column:
     """VARIANT, null for malformed JSON, NaN, Infinity and repeated keys."""
     return F.try_parse_json(text)

@@ -56,7 +56,8 @@ def _audit(spark, catalog, run_id, dataset, started, status, imported=0, skipped
     done = None if status == "running" else datetime.now(timezone.utc)
     message = None if error is None else error[: S.MAX_ERROR_CHARS]
     row = [(run_id, dataset, started, done, imported, skipped, status, message)]
-    sinks.append_rows(spark.createDataFrame(row, S.TABLES["import_runs"]).coalesce(1), catalog, "import_runs", run_id)
+    audit = spark.createDataFrame(row, S.TABLES["import_runs"]).coalesce(1)
+    sinks.append_rows(audit, catalog, "import_runs", run_id)
 
 
 def import_questions(
@@ -118,7 +119,9 @@ def _markdown_files(spark: SparkSession, folder: str, revision: str | None) -> D
     return files.filter(~readme).withColumn("source_revision", F.lit(revision).cast("string"))
 
 
-def interview_records(spark: SparkSession, root: str, run_id: str, revision: dict[str, str]) -> dict[str, DataFrame]:
+def interview_records(
+    spark: SparkSession, root: str, run_id: str, revision: dict[str, str]
+) -> dict[str, DataFrame]:
     """Item rows per allowed source, each by its own reader."""
     out = {}
     for source in INTERVIEW_SOURCES:

@@ -16,7 +16,7 @@ from drillmark.functions.scoring import (
 from drillmark.functions.text import clip_error, is_blank
 from drillmark.operators.joins import salted_join
 from drillmark.operators.ordered import latest_per_key, top_per_key
-from drillmark.operators.predicates import is_unfinished
+from drillmark.operators.predicates import is_unfinished, with_status
 from drillmark.operators.sampling import draw, next_unused, pool_sizes
 
 # --- Attempts ----------------------------------------------------------------
@@ -210,9 +210,10 @@ def rescored(items: DataFrame, updates: DataFrame) -> DataFrame:
         F.col("provider").alias("_provider"),
         F.col("model_id").alias("_model"),
     )
+    rescored_now = F.col("_percent").isNotNull()
     return (
         items.join(new, "item_id", "left")
-        .withColumn("item_status", F.when(F.col("_percent").isNotNull(), "scored").otherwise(F.col("item_status")))
+        .withColumn("item_status", F.when(rescored_now, "scored").otherwise(F.col("item_status")))
         .withColumn("percentage_correct", F.coalesce("_percent", "percentage_correct"))
         .withColumn("provider", F.coalesce("_provider", "provider"))
         .withColumn("model_id", F.coalesce("_model", "model_id"))
@@ -345,9 +346,8 @@ def last_scored_turns(turns: DataFrame, n: int = 3) -> DataFrame:
 
     ``recency`` is 1 for the newest; order by position for the oldest first.
     """
-    scored = turns.filter(F.col("status") == "scored")
     return top_per_key(
-        scored, ["session_id"], [F.col("position").desc_nulls_last()], n, "recency"
+        with_status(turns, "scored"), ["session_id"], [F.col("position").desc_nulls_last()], n, "recency"
     ).withColumn("answer", given_answer(F.col("answer_text"), F.col("selected_option")))
 
 
@@ -393,15 +393,20 @@ def submit_answers(turns: DataFrame, answers: DataFrame) -> DataFrame:
         choice, F.when(F.col("_answer") == F.col("correct_option"), 100.0).otherwise(0.0)
     ).otherwise(F.col("_assessed"))
     scored = hit & score.isNotNull()
+
+    def updated(condition: Column, new: Column, old: str) -> Column:
+        return F.when(F.col("_hit") & condition, new).otherwise(F.col(old))
+
+    always = F.lit(True)
     return (
         turns.join(given, ["session_id", "item_id"], "left")
         .withColumn("_hit", F.coalesce(scored, F.lit(False)))
         .withColumn("_score", score)
-        .withColumn("answer_text", F.when(F.col("_hit") & ~choice, F.col("_answer")).otherwise(F.col("answer_text")))
-        .withColumn("selected_option", F.when(F.col("_hit") & choice, F.col("_answer")).otherwise(F.col("selected_option")))
-        .withColumn("score", F.when(F.col("_hit"), F.col("_score")).otherwise(F.col("score")))
-        .withColumn("answered_at", F.when(F.col("_hit"), F.col("_at")).otherwise(F.col("answered_at")))
-        .withColumn("status", F.when(F.col("_hit"), "scored").otherwise(F.col("status")))
+        .withColumn("answer_text", updated(~choice, F.col("_answer"), "answer_text"))
+        .withColumn("selected_option", updated(choice, F.col("_answer"), "selected_option"))
+        .withColumn("score", updated(always, F.col("_score"), "score"))
+        .withColumn("answered_at", updated(always, F.col("_at"), "answered_at"))
+        .withColumn("status", updated(always, F.lit("scored"), "status"))
         .drop("_answer", "_assessed", "_at", "_hit", "_score")
     )
 
@@ -417,28 +422,43 @@ def skip_pending(turns: DataFrame) -> DataFrame:
 def close_sessions(sessions: DataFrame, turns: DataFrame, reports: DataFrame | None = None) -> DataFrame:
     """Closing report over the scored turns; a session without any scores 0.
 
-    ``reports`` gives (session_id, overall_score, summary) of the assessed
-    sessions; without it the mean score of the turns is reported.
+    ``reports`` gives (session_id, overall_score, summary, strengths, gaps,
+    recommendations) of the assessed sessions; without it the mean score of the
+    turns is reported.
     """
-    scored = F.col("status") == "scored"
     per_session = (
-        turns.filter(scored)
+        with_status(turns, "scored")
         .groupBy("session_id")
         .agg(F.count("*").alias("scored_turns"), F.avg("score").alias("mean_score"))
     )
     out = sessions.select("session_id").join(per_session, "session_id", "left")
     if reports is None:
-        out = out.withColumn("overall_score", F.col("mean_score")).withColumn(
-            "summary", F.lit(None).cast("string")
+        lists = F.lit(None).cast("array<string>")
+        out = out.withColumns(
+            {
+                "overall_score": F.col("mean_score"),
+                "summary": F.lit(None).cast("string"),
+                "strengths": lists,
+                "gaps": lists,
+                "recommendations": lists,
+            }
         )
     else:
         out = out.join(reports, "session_id", "left")
     empty = F.col("scored_turns").isNull()
+
+    def fixed(values: tuple[str, ...], column: str) -> Column:
+        texts = F.array(*[F.lit(v) for v in values]).cast("array<string>")
+        return F.when(empty, texts).otherwise(F.col(column)).alias(column)
+
     return out.select(
         "session_id",
         F.coalesce("scored_turns", F.lit(0)).alias("scored_turns"),
         F.when(empty, 0.0).otherwise(F.col("overall_score")).alias("overall_score"),
         F.when(empty, S.EMPTY_SESSION_SUMMARY).otherwise(F.col("summary")).alias("summary"),
+        fixed((), "strengths"),
+        fixed(S.EMPTY_SESSION_GAPS, "gaps"),
+        fixed(S.EMPTY_SESSION_ADVICE, "recommendations"),
         F.lit("completed").alias("status"),
     )
 

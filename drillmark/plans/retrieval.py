@@ -323,12 +323,12 @@ def teaching_context(
         first = top_per_key(rows, ["question_id"], ["id"], n, "place")
         return first.groupBy("question_id").agg(F.array_sort(F.collect_list(entry)).alias(name))
 
-    case_lists = capped(
-        cases, 20, F.struct("place", F.col("input_data").alias("input"), F.col("expected_output").alias("expected")), "test_cases"
-    )
-    solution_lists = capped(
-        solutions, 12, F.struct("place", "method", clip(F.col("code"), 12_000).alias("code")), "stored_references"
+    case = F.struct(
+        "place", F.col("input_data").alias("input"), F.col("expected_output").alias("expected")
     )
+    solution = F.struct("place", "method", clip(F.col("code"), 12_000).alias("code"))
+    case_lists = capped(cases, 20, case, "test_cases")
+    solution_lists = capped(solutions, 12, solution, "stored_references")
     bounded = bounded_question(questions)
     return (
         bounded.join(asset_maps, "question_id", "left")

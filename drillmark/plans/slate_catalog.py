@@ -315,6 +315,7 @@ def display_rules(spark, sf_dir):
     known = known_methods(offered)
     options = F.array(F.struct(F.lit("a").alias("id"), F.col("p_brand").alias("text")))
     chosen = F.when(F.col("p_size") > 40, None).when(F.col("p_size") > 20, "a").otherwise("gone")
+    listed = F.concat(F.translate("p_name", " ", ","), F.lit(", ,"))
     path = F.concat(F.lit("file:/data/root/src/"), F.col("p_type"), F.lit(".py"))
     return B.table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("id"),
@@ -325,7 +326,7 @@ def display_rules(spark, sf_dir):
         ).alias("syntax"),
         chosen_text(options, chosen).alias("answer"),
         correct_text(options, chosen).alias("correct"),
-        F.array_join(split_list(F.concat(F.translate("p_name", " ", ","), F.lit(", ,"))), "|").alias("topics"),
+        F.array_join(split_list(listed), "|").alias("topics"),
         relative_path(path, "/data/root").alias("relative"),
         relative_path(path, "/other").alias("outside"),
         marks(F.col("p_size")).alias("marks"),

@@ -132,10 +132,12 @@ def normalise_coding_lines_a(spark, sf_dir):
     return _shape(normalisers.coding_lines_a(_usable(_coding_lines_a(spark, sf_dir)), spec, RUN))
 
 
+_B_ID = "CASE WHEN lang = 'fr' THEN 'row:' || doc_id ELSE doc_id::varchar END"
+
+
 @query(
     f"""
-    SELECT {_key('apps', "'coding/documents.jsonl'", "CASE WHEN lang = 'fr' THEN 'row:' || doc_id ELSE doc_id::varchar END")}
-             AS source_key,
+    SELECT {_key('apps', "'coding/documents.jsonl'", _B_ID)} AS source_key,
            CASE WHEN lang <> 'fr' THEN doc_id::varchar END AS original_id, doc_id AS record_index,
            CASE WHEN lang = 'en' THEN source ELSE 'APPS Problem ' || doc_id END AS title,
            CASE lang WHEN 'en' THEN 'Hard' WHEN 'de' THEN 'Easy' ELSE 'Medium' END AS difficulty,
@@ -191,7 +193,9 @@ def normalise_coding_table(spark, sf_dir):
         F.when(F.col("lang") != "de", F.concat(F.lit("http://x/"), F.col("doc_id"))).alias("url"),
         F.col("text").alias("question"),
         F.when(F.col("lang") == "en", F.col("source")).alias("name"),
-        F.when(F.col("lang") == "en", "VERY_HARD").when(F.col("lang") == "fr", "beginner").alias("difficulty"),
+        F.when(F.col("lang") == "en", "VERY_HARD")
+        .when(F.col("lang") == "fr", "beginner")
+        .alias("difficulty"),
         F.when(F.col("lang") == "en", F.to_json(F.array("source", "lang")))
         .when(F.col("lang") == "es", "not a list")
         .otherwise(literal)
@@ -724,7 +728,7 @@ _QA = [
     SELECT q.page_id, line_no AS record_index, prompt, topic,
            trim(regexp_replace(answer, '\\[([^]]+)\\]\\(([^)]+)\\)', '\\1 (\\2)', 'g'))
              AS reference_answer,
-           CASE WHEN regexp_matches(prompt, '(?i)^(your|you |design|build|implement|write|describe|tell|a user|an external|one |radiologists)')
+           CASE WHEN regexp_matches(prompt, '(?i)^({interviews.QA_SCENARIO})')
                 THEN 'scenario' ELSE 'direct' END AS prompt_style,
            answer IS NOT NULL AS is_complete
     FROM q LEFT JOIN a USING (page_id, segment) WHERE length(prompt) >= 8
@@ -785,7 +789,8 @@ _FILE_ROWS = ", ".join(
             AND (list_contains(allowed, in_h2) OR list_contains(allowed, in_h3)))
     SELECT page_id, line_no AS record_index, prompt,
            CASE WHEN in_h3 <> '' THEN in_h3 ELSE in_h2 END AS topic, fmt AS answer_format,
-           CASE WHEN regexp_matches(prompt, '(?i)^(describe|tell|design|build|implement|refactor|debug|scale|estimate)')
+           CASE WHEN regexp_matches(prompt,
+                  '(?i)^(describe|tell|design|build|implement|refactor|debug|scale|estimate)')
                 THEN 'scenario' ELSE style END AS prompt_style
     FROM b WHERE length(prompt) >= 8 AND NOT starts_with(prompt, 'Solve 75+')
     """

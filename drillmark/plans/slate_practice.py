@@ -553,6 +553,7 @@ def skip_pending(spark, sf_dir):
     SELECT s.session_id, count(t.score) AS scored_turns,
            CASE WHEN count(t.score) = 0 THEN 0.0 ELSE round(avg(t.score), 6) END AS overall_score,
            CASE WHEN count(t.score) = 0 THEN 'No answers were submitted.' END AS summary,
+           CASE WHEN count(t.score) = 0 THEN 'No assessed answers' END AS gaps,
            'completed' AS status
     FROM (SELECT DISTINCT conv_id AS session_id FROM conversations) s
     LEFT JOIN (SELECT * FROM ({B.TURNS_SQL}) WHERE status = 'scored') t USING (session_id)
@@ -561,7 +562,14 @@ def skip_pending(spark, sf_dir):
 )
 def closed_sessions(spark, sf_dir):
     closed = P.close_sessions(B.sessions(spark, sf_dir), B.turns(spark, sf_dir))
-    return closed.withColumn("overall_score", F.round("overall_score", 6))
+    return closed.select(
+        "session_id",
+        "scored_turns",
+        F.round("overall_score", 6).alias("overall_score"),
+        "summary",
+        F.array_join("gaps", ",").alias("gaps"),
+        "status",
+    )
 
 
 @query(

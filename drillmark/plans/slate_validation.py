@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from drillmark import schemas as S
+from drillmark.functions.payload import unfence, unfence_json
 from drillmark.operators.barrier import staged
 from drillmark.plans import bindings as B
 from drillmark.plans import validation as V
@@ -17,9 +18,9 @@ from drillmark.plans.registry import query
 from drillmark.sources import sinks
 
 
-def _counts(spark, sf_dir, name, text, check):
-    rows = B.table(spark, sf_dir, name)
-    return V.violation_counts(V.checked(rows.withColumn("reply", text), "reply", check))
+def _counts(spark, sf_dir, name, text, check, unwrap=unfence_json):
+    rows = B.table(spark, sf_dir, name).withColumn("reply", text)
+    return V.violation_counts(V.checked(rows, "reply", check, unwrap))
 
 
 def _words(*values):
@@ -80,7 +81,7 @@ def _check_algorithm(value):
     """
 )
 def algorithm_payloads(spark, sf_dir):
-    return _counts(spark, sf_dir, "part", _algorithm_reply(), _check_algorithm)
+    return _counts(spark, sf_dir, "part", _algorithm_reply(), _check_algorithm, unfence)
 
 
 def _analysis_reply():
@@ -140,7 +141,7 @@ def _check_analysis(value):
     """
 )
 def analysis_payloads(spark, sf_dir):
-    return _counts(spark, sf_dir, "part", _analysis_reply(), _check_analysis)
+    return _counts(spark, sf_dir, "part", _analysis_reply(), _check_analysis, unfence)
 
 
 @query(
@@ -174,7 +175,7 @@ def generated_tables(spark, sf_dir):
     accepted = sound(
         "algorithm", "java", is_algorithm, _algorithm_reply(), _check_algorithm
     ).unionByName(sound("data_analysis", "sql", ~is_algorithm, _analysis_reply(), _check_analysis))
-    accepted = staged(accepted).withColumn("reply", V.parse_strict(V.unfence(F.col("reply"))))
+    accepted = staged(accepted).withColumn("reply", V.parse_strict(unfence(F.col("reply"))))
     counts = [
         df.agg(F.count("*").alias("n")).withColumn("table", F.lit(name))
         for name, df in sinks.generated_question_tables(accepted).items()
@@ -273,7 +274,9 @@ def item_payloads(spark, sf_dir):
             F.when(lang == "de", "Hard").otherwise("Medium").alias("difficulty"),
             F.col("text").alias("prompt"),
             F.col("source").alias("reference_answer"),
-            F.when(lang == "fr", F.slice(F.array("source"), 1, 0)).otherwise(F.array("source")).alias("rubric"),
+            F.when(lang == "fr", F.slice(F.array("source"), 1, 0))
+            .otherwise(F.array("source"))
+            .alias("rubric"),
             F.when(F.col("n_chars") < 1000, F.slice(four, 1, 3)).otherwise(four).alias("options"),
             F.lit("b").alias("correct_option"),
             F.array("source").alias("tags"),
@@ -415,7 +418,7 @@ def session_payloads(spark, sf_dir):
     }
     out = None
     for name, (reply, check) in replies.items():
-        checked = V.checked(orders.withColumn("reply", F.to_json(reply)), "reply", check)
+        checked = V.checked(orders.withColumn("reply", F.to_json(reply)), "reply", check, unfence_json)
         counts = V.violation_counts(checked).withColumn("check", F.lit(name))
         out = counts if out is None else out.unionByName(counts)
     return out

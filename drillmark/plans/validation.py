@@ -416,12 +416,13 @@ def final_report(value: Column) -> Column:
     )
 
 
-def checked(df: DataFrame, text: str, check) -> DataFrame:
+def checked(df: DataFrame, text: str, check, unwrap=unfence) -> DataFrame:
     """Parse a reply column once and add its ``violations``.
 
-    ``check`` maps the parsed VARIANT column to a violation list.
+    ``check`` maps the parsed VARIANT column to a violation list.  Question
+    replies (V1, V2) take ``unfence``, the others ``unfence_json``.
     """
-    parsed = once(df, "_value", parse_strict(unfence(F.col(text))))
+    parsed = once(df, "_value", parse_strict(unwrap(F.col(text))))
     found = F.when(F.col("_value").isNull(), F.array(F.lit("malformed_json"))).otherwise(
         check(F.col("_value"))
     )
@@ -533,3 +534,66 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataF
         child.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("rows"))
     )
     return references.join(parent.select(F.col(key).alias(column)), column, "left_anti")
+
+
+# Keys that occur once, and references between the tables.
+UNIQUE_KEYS = (
+    ("question_sources", ("dataset_name", "source_key")),
+    ("interview_items", ("content_hash",)),
+    ("quiz_items", ("quiz_id", "position")),
+    ("quiz_items", ("quiz_id", "question_id")),
+    ("ai_question_items", ("session_id", "position")),
+    ("interview_turns", ("session_id", "position")),
+)
+REFERENCES = (
+    ("question_sources", "import_run_id", "import_runs", "id"),
+    ("questions", "source_id", "question_sources", "id"),
+    ("interview_items", "source_id", "question_sources", "id"),
+    ("question_assets", "question_id", "questions", "id"),
+    ("reference_solutions", "question_id", "questions", "id"),
+    ("question_test_cases", "question_id", "questions", "id"),
+    ("ai_generated_questions", "question_id", "questions", "id"),
+    ("attempts", "question_id", "questions", "id"),
+    ("solution_views", "question_id", "questions", "id"),
+    ("solution_views", "attempt_id", "attempts", "id"),
+    ("quiz_items", "quiz_id", "quiz_attempts", "id"),
+    ("quiz_items", "question_id", "questions", "id"),
+    ("interview_item_generation", "interview_item_id", "interview_items", "id"),
+    ("ai_question_items", "interview_item_id", "interview_items", "id"),
+    ("interview_turns", "interview_item_id", "interview_items", "id"),
+)
+
+
+def table_report(tables: dict[str, DataFrame]) -> DataFrame:
+    """Breaches of every rule whose tables are given.
+
+    One row per rule: (check, table, columns, breaches); repeated keys count
+    once each, orphans count their rows.
+    """
+    parts = []
+
+    def add(counts: DataFrame, check: str, table: str, columns: str) -> None:
+        parts.append(
+            counts.select(
+                F.lit(check).alias("check"),
+                F.lit(table).alias("table"),
+                F.lit(columns).alias("columns"),
+                F.coalesce("breaches", F.lit(0)).cast("long").alias("breaches"),
+            )
+        )
+
+    for (table, column), values in ENUMERATIONS.items():
+        if table in tables and column in tables[table].columns:
+            add(enum_breaches(tables[table], {column: values}), "enumeration", table, column)
+    for table, key in UNIQUE_KEYS:
+        if table in tables:
+            repeated = duplicate_keys(tables[table], key).agg(F.count("*").alias("breaches"))
+            add(repeated, "unique", table, ",".join(key))
+    for table, column, parent, key in REFERENCES:
+        if table in tables and parent in tables:
+            lost = orphans(tables[table], column, tables[parent], key)
+            add(lost.agg(F.sum("rows").alias("breaches")), "reference", table, column)
+    report = parts[0]
+    for part in parts[1:]:
+        report = report.unionByName(part)
+    return report

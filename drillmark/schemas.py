@@ -69,6 +69,8 @@ SESSION_LEVELS = {"junior": "Easy", "senior": "Hard", "staff": "Very Hard"}
 ANY_TOPIC = "general"
 NO_ANSWER = "Unanswered"
 EMPTY_SESSION_SUMMARY = "No answers were submitted."
+EMPTY_SESSION_GAPS = ("No assessed answers",)
+EMPTY_SESSION_ADVICE = ("Start another interview and submit answers.",)
 
 SOLVED_PERCENT = 80.0
 MAX_QUIZ_ITEMS = 10
@@ -120,22 +122,6 @@ NORMALISED_QUESTION = _struct(
     test_cases=T.ArrayType(TEST_CASE),
     is_complete=_BOOL,
 )
-NORMALISED_ITEM = _struct(
-    domain=_STR,
-    topic=_STR,
-    prompt=_STR,
-    answer_format=_STR,
-    prompt_style=_STR,
-    difficulty=_STR,
-    reference_answer=_STR,
-    rubric=T.ArrayType(_STR),
-    method=_STR,
-    options=T.ArrayType(_struct(id=_STR, text=_STR)),
-    correct_option=_STR,
-    tags=T.ArrayType(_STR),
-    source=SOURCE,
-)
-
 TABLES = {
     "import_runs": _struct(
         id=_STR,

@@ -65,8 +65,9 @@ def inspect_dataset(spark: SparkSession, spec: DatasetSpec, root: str) -> DataFr
         fields = read_whole(spark, pattern).select(F.col("source_file").alias("path"), keys.alias("fields"))
     else:
         raise ValueError(f"No reader for {spec.source_format} files")
+    present = F.coalesce("fields", F.array().cast("array<string>"))
     return files.join(fields, "path", "left").select(
-        "path", "fields", missing_fields(F.coalesce("fields", F.array().cast("array<string>")), required).alias("missing")
+        "path", "fields", missing_fields(present, required).alias("missing")
     )
 
 

@@ -119,7 +119,13 @@ ANSWER_BULLET = r"[^\S\n]{2,}-[^\S\n]+Answer:[^\S\n]*(.+?)[^\S\n]*"
 
 
 def _source(
-    dataset: Column, key: Column, index: Column, license: Column, attribution: Column, run_id: str, original_id: Column
+    dataset: Column,
+    key: Column,
+    index: Column,
+    license: Column,
+    attribution: Column,
+    run_id: str,
+    original_id: Column,
 ) -> Column:
     return F.struct(
         dataset.alias("dataset_name"),
@@ -161,7 +167,9 @@ def _located_source(dataset: Column, license: Column, index: Column, prompt: Col
     return _source(dataset, key, index, license, dataset, run_id, index.cast("string"))
 
 
-def interview_json(raw: DataFrame, run_id: str, dataset: str = "30-seconds-of-interviews", license: str = "MIT") -> DataFrame:
+def interview_json(
+    raw: DataFrame, run_id: str, dataset: str = "30-seconds-of-interviews", license: str = "MIT"
+) -> DataFrame:
     """JSON records (source_file, record_index, source_revision, record)."""
     record = F.col("record")
     prompt = strip(F.coalesce(member("question"), F.lit("")))
@@ -190,7 +198,8 @@ def interview_json(raw: DataFrame, run_id: str, dataset: str = "30-seconds-of-in
 
 def topic_lines(files: DataFrame) -> DataFrame:
     """Every line with the nearest level 2-4 heading above it (null before the first)."""
-    pieces = cut(files.withColumn("_body", with_numbers(F.col("value"))).drop("value"), "_body", TOPIC_HEADING, "heading")
+    numbered = files.withColumn("_body", with_numbers(F.col("value"))).drop("value")
+    pieces = cut(numbered, "_body", TOPIC_HEADING, "heading")
     return explode_lines(pieces, "_body").filter(F.col("line").isNotNull())
 
 
@@ -225,7 +234,10 @@ def generic_markdown(files: DataFrame, run_id: str) -> DataFrame:
 
 
 def qa_markdown(
-    files: DataFrame, run_id: str, dataset: str = "ai-engineering-interview-questions", license: str = "Apache-2.0"
+    files: DataFrame,
+    run_id: str,
+    dataset: str = "ai-engineering-interview-questions",
+    license: str = "Apache-2.0",
 ) -> DataFrame:
     """Listed categories, their question bullets and nested answers."""
     numbered = files.withColumn("_body", with_numbers(F.col("value"))).drop("value")
@@ -244,7 +256,13 @@ def qa_markdown(
     category, prompt = F.col("_category"), F.col("_prompt")
     key = item_source_key(F.lit("ai-engineering-qa"), F.col("_index"), prompt)
     source = _source(
-        F.lit(dataset), key, F.col("_index"), F.lit(license), F.lit(QA_ATTRIBUTION), run_id, F.col("_index").cast("string")
+        F.lit(dataset),
+        key,
+        F.col("_index"),
+        F.lit(license),
+        F.lit(QA_ATTRIBUTION),
+        run_id,
+        F.col("_index").cast("string"),
     )
     return questions.select(
         *_item(

@@ -112,7 +112,8 @@ def solution_list(method: str, codes: Column) -> Column:
 
 def code_list(value: Column) -> Column:
     """Of the first three entries, those that are non-blank texts."""
-    codes = F.transform(F.slice(value, 1, MAX_SOLUTIONS), as_text)
+    listed = F.try_variant_get(value, "$", "array<variant>")
+    codes = F.transform(F.slice(listed, 1, MAX_SOLUTIONS), as_text)
     kept = F.filter(codes, lambda c: ~is_blank(c))
     return F.coalesce(kept, F.array().cast("array<string>"))
 
@@ -249,7 +250,7 @@ def coding_lines_b(raw: DataFrame, spec: DatasetSpec, run_id: str) -> DataFrame:
             statement=_text_or_empty(first_filled(member("question"), member("problem"))),
             tags=text_list(field(F.col(_RECORD), "tags")),
             assets=asset_list("starter_code", _text_or_empty(member("starter_code")), "python", "text"),
-            solutions=solution_list("python", code_list(F.try_variant_get(native("solutions"), "$", "array<variant>"))),
+            solutions=solution_list("python", code_list(native("solutions"))),
             cases=zipped_cases(native("input_output"), MAX_CASES),
         )
     )
@@ -277,7 +278,7 @@ def coding_table(raw: DataFrame, spec: DatasetSpec, run_id: str) -> DataFrame:
             statement=_usable(_text_or_empty(member("question")), url),
             tags=text_list(F.col("_tags")),
             assets=asset_list("starter_code", _text_or_empty(member("starter_code")), "python", "text"),
-            solutions=solution_list("python", code_list(F.try_variant_get(F.col("_solutions"), "$", "array<variant>"))),
+            solutions=solution_list("python", code_list(F.col("_solutions"))),
             cases=zipped_cases(F.col("_io"), MAX_CASES),
         )
     )
@@ -305,7 +306,15 @@ def coding_archives(raw: DataFrame, spec: DatasetSpec, run_id: str) -> DataFrame
 
 
 def _sql_question(
-    spec, run_id, question: Column, answer: Column, identity, difficulty: str, statement: Column, legacy_id: Column, schema: Column | None
+    spec: DatasetSpec,
+    run_id: str,
+    question: Column,
+    answer: Column,
+    identity: list[Column],
+    difficulty: str,
+    statement: Column,
+    legacy_id: Column,
+    schema: Column | None,
 ) -> list[Column]:
     return _question(
         spec,

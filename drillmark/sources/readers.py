@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from drillmark.functions.payload import kind
 from drillmark.functions.text import has_text
@@ -122,11 +121,6 @@ def as_variant(df: DataFrame, meta=("source_file", "record_index", "source_revis
     )
 
 
-FILE_SCHEMA = T.StructType(
-    [T.StructField("path", T.StringType()), T.StructField("length", T.LongType())]
-)
-
-
 def list_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """Files below the root that match the pattern: (path, length).
 

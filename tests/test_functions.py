@@ -80,6 +80,9 @@ def test_markdown_cleanup(spark):
 def test_unfence_and_strict_parse(spark):
     fenced = '```json\n{"a": 1}\n```'
     assert one(spark, payload.unfence(F.lit(fenced))) == '{"a": 1}'
+    assert one(spark, payload.unfence(F.lit('```\n{}```'))) == "{}"
+    assert one(spark, payload.unfence_json(F.lit('```JSON\n{}```'))) == "{}"
+    assert one(spark, payload.unfence_json(F.lit("```\n{}```"))) == "```\n{}```"
     for bad in ('{"a": NaN}', "{", '{"a": 1, "a": 2}'):
         assert one(spark, payload.parse_strict(F.lit(bad)).isNull()) is True
 

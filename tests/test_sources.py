@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from drillmark.plans import ingest
+from drillmark.plans.validation import table_report
 from drillmark.sources import interviews, readers, sinks
 from drillmark.sources.archives import decode_archives
 from drillmark.sources.inspection import inspect_dataset, require_sound, revisions
@@ -76,6 +77,14 @@ def test_json_lines_skip_blank_and_flag_bad(spark, tmp_path):
     assert {(r.record_index, r.rejected) for r in rows} == {(0, False), (3, True), (4, True), (5, False)}
 
 
+def test_markdown_lines_are_numbered_per_file(spark, tmp_path):
+    write(tmp_path / "a.md", "# A\n\n- b\n")
+    write(tmp_path / "c.md", "only")
+    rows = readers.read_markdown_lines(spark, str(tmp_path)).collect()
+    got = {(r.source_file.rsplit("/", 1)[1], r.line_no, r.line) for r in rows}
+    assert got == {("a.md", 0, "# A"), ("a.md", 1, ""), ("a.md", 2, "- b"), ("c.md", 0, "only")}
+
+
 def test_json_array_keeps_the_index(spark, tmp_path):
     path = write(tmp_path / "a.json", json.dumps([{"q": 1}, 5, {"q": 2}], indent=1))
     rows = readers.read_json_array(spark, str(path)).collect()
@@ -186,6 +195,9 @@ def test_import_twice_skips_everything(spark, tmp_path):
     write(tmp_path / "data" / LEET, json_lines(record) + "\nbad line\n" + json_lines({"task_id": "x", "problem_description": ""}))
     assert counts(ingest.run_import(spark, root, catalog, "r1", ["leetcode"])) == [(1, 2, "completed")]
     assert counts(ingest.run_import(spark, root, catalog, "r2", ["leetcode"])) == [(0, 3, "completed")]
+    names = ("import_runs", "question_sources", "questions", "question_assets", "reference_solutions")
+    report = table_report({n: sinks.read_committed(spark, catalog, n) for n in names}).collect()
+    assert len(report) == 8 and all(r.breaches == 0 for r in report)
 
     def table(name):
         return sinks.read_committed(spark, catalog, name).collect()

@@ -285,3 +285,23 @@ def test_table_checks(spark):
     assert {(r.rule, r.breaches) for r in V.enum_breaches(rows, {"k": ("a",)}).collect()} == {("k", 1)}
     assert [(r.k, r.n) for r in V.duplicate_keys(rows, ["k"]).collect()] == [("a", 2)]
     assert [(r.ref, r.rows) for r in V.orphans(rows, "ref", parents, "id").collect()] == [(2, 1)]
+
+
+def test_table_report_counts_breaches(spark):
+    tables = {
+        "questions": spark.createDataFrame(
+            [("q1", "algorithm", "Easy", "s1"), ("q2", "essay", "Easy", "s9")],
+            "id string, question_type string, difficulty string, source_id string",
+        ),
+        "question_sources": spark.createDataFrame(
+            [("s1", "d", "k", None), ("s2", "d", "k", None)],
+            "id string, dataset_name string, source_key string, import_run_id string",
+        ),
+    }
+    got = {(r.check, r.table, r["columns"]): r.breaches for r in V.table_report(tables).collect()}
+    assert got == {
+        ("enumeration", "questions", "question_type"): 1,
+        ("enumeration", "questions", "difficulty"): 0,
+        ("unique", "question_sources", "dataset_name,source_key"): 1,
+        ("reference", "questions", "source_id"): 1,
+    }
