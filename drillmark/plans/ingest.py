@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime, timezone
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ from drillmark.sources.readers import (
     read_parquet_records,
     read_whole,
 )
-from drillmark.sources.specs import INTERVIEW_SOURCES, DatasetSpec, choose
+from drillmark.sources.specs import INTERVIEW_SOURCES, DatasetSpec, InterviewSource, choose
 
 
 def read_raw(spark: SparkSession, spec: DatasetSpec, paths: list[str], root: str) -> DataFrame:
@@ -51,25 +53,49 @@ def outcome_counts(records: DataFrame, accepted: DataFrame, dataset: str) -> Dat
     )
 
 
-def _audit(spark, catalog, run_id, dataset, started, status, imported=0, skipped=0, error=None):
+def write_audit(spark, catalog, run_id, dataset, started, status, counts=(0, 0), error=None):
     """The run's audit row, replaced as the run goes on."""
     done = None if status == "running" else datetime.now(timezone.utc)
     message = None if error is None else error[: S.MAX_ERROR_CHARS]
-    row = [(run_id, dataset, started, done, imported, skipped, status, message)]
+    row = [(run_id, dataset, started, done, *counts, status, message)]
     audit = spark.createDataFrame(row, S.TABLES["import_runs"]).coalesce(1)
     sinks.append_rows(audit, catalog, "import_runs", run_id)
 
 
-def import_questions(
-    spark: SparkSession, spec: DatasetSpec, root: str, catalog: str, run_id: str
+def audited(
+    spark: SparkSession, catalog: str, run_id: str, dataset: str, work: Callable[[], tuple[int, int]]
+) -> dict:
+    """Run ``work`` between its audit rows; a failure is recorded, not raised.
+
+    A run that is repeated turns ``running`` first: its earlier rows no longer
+    count as stored, so the repetition writes them again.
+    """
+    started = datetime.now(timezone.utc)
+    write_audit(spark, catalog, run_id, dataset, started, "running")
+    counts, status, error = (0, 0), "completed", None
+    try:
+        counts = work()
+    except Exception as exc:
+        status, error = "failed", str(exc)
+    write_audit(spark, catalog, run_id, dataset, started, status, counts, error)
+    imported, skipped = counts
+    return {
+        "dataset_name": dataset,
+        "imported": imported,
+        "skipped": skipped,
+        "status": status,
+        "error": error,
+    }
+
+
+def import_records(
+    spark: SparkSession, raw: DataFrame, spec: DatasetSpec, catalog: str, run_id: str
 ) -> tuple[int, int]:
-    """Import one dataset; returns (imported, skipped).
+    """Import raw records as one run; returns (imported, skipped).
 
     The accepted records are written once and read back, so that the five
     tables of a question come from the same rows whatever task is lost.
     """
-    paths = require_sound(inspect_dataset(spark, spec, root), spec)
-    raw = read_raw(spark, spec, paths, root)
     usable = raw.filter(~F.col("rejected")).drop("rejected")
     normalised = NORMALISERS[spec.key](usable, spec, run_id)
     staging = sinks.run_path(catalog, "_staging", run_id)
@@ -81,93 +107,94 @@ def import_questions(
     return imported, raw.count() - imported
 
 
+def import_questions(
+    spark: SparkSession, spec: DatasetSpec, root: str, catalog: str, run_id: str
+) -> tuple[int, int]:
+    """Inspect all files of a dataset, then import them."""
+    paths = require_sound(inspect_dataset(spark, spec, root), spec)
+    return import_records(spark, read_raw(spark, spec, paths, root), spec, catalog, run_id)
+
+
 def run_import(
     spark: SparkSession, root: str, catalog: str, run_prefix: str, datasets: list[str] | None = None
 ) -> list[dict]:
-    """Import the chosen datasets one by one; a failure stays with its dataset.
-
-    A failed run reports the counts it reached, which is none: its rows are not
-    visible.
-    """
+    """Import the chosen datasets one by one; a failure stays with its dataset."""
     results = []
     for spec in choose(datasets):
         run_id = f"{run_prefix}-{spec.key}"
-        started = datetime.now(timezone.utc)
-        _audit(spark, catalog, run_id, spec.dataset_name, started, "running")
-        imported = skipped = 0
-        status, error = "completed", None
-        try:
-            imported, skipped = import_questions(spark, spec, root, catalog, run_id)
-        except Exception as exc:
-            status, error = "failed", str(exc)
-        _audit(spark, catalog, run_id, spec.dataset_name, started, status, imported, skipped, error)
-        results.append(
-            {
-                "dataset_name": spec.dataset_name,
-                "imported": imported,
-                "skipped": skipped,
-                "status": status,
-                "error": error,
-            }
-        )
+
+        def work(spec=spec, run_id=run_id):
+            return import_questions(spark, spec, root, catalog, run_id)
+
+        results.append(audited(spark, catalog, run_id, spec.dataset_name, work))
     return results
 
 
-def _markdown_files(spark: SparkSession, folder: str, revision: str | None) -> DataFrame:
-    files = read_whole(spark, f"{folder}/*.md")
-    readme = F.lower(F.col("source_file")).endswith("/readme.md")
-    return files.filter(~readme).withColumn("source_revision", F.lit(revision).cast("string"))
+# --- Interview sources -------------------------------------------------------
+
+
+def _files(spark: SparkSession, path: str, revision: str | None) -> DataFrame:
+    return read_whole(spark, path).withColumn("source_revision", F.lit(revision).cast("string"))
 
 
 def interview_records(
     spark: SparkSession, root: str, run_id: str, revision: dict[str, str]
-) -> dict[str, DataFrame]:
-    """Item rows per allowed source, each by its own reader."""
-    out = {}
-    for source in INTERVIEW_SOURCES:
-        if not source.ingestion_allowed:
-            continue
+) -> dict[str, Callable[[], DataFrame]]:
+    """Per allowed source, its item rows read by its own reader."""
+
+    def reader(source: InterviewSource) -> DataFrame:
         folder, rev = f"{root.rstrip('/')}/{source.key}", revision.get(source.key)
         if source.reader == "json":
             raw = read_json_array(spark, f"{folder}/data/questions.json")
             raw = raw.withColumn("source_revision", F.lit(rev).cast("string"))
-            out[source.key] = interviews.interview_json(raw, run_id)
-        elif source.reader == "qa_markdown":
-            files = read_whole(spark, f"{folder}/README.md")
-            files = files.withColumn("source_revision", F.lit(rev).cast("string"))
-            out[source.key] = interviews.qa_markdown(files, run_id)
-        else:
-            files = _markdown_files(spark, folder, rev).withColumns(
-                {
-                    "dataset": F.lit(source.key),
-                    "license": F.lit(source.license).cast("string"),
-                    "domain": F.lit(source.domain),
-                }
-            )
-            out[source.key] = interviews.generic_markdown(files, run_id)
-    return out
-
-
-def import_items(
-    spark: SparkSession, items: DataFrame, catalog: str, run_id: str, dataset: str
-) -> tuple[int, int]:
-    """Import interview items as one audited run; always closes the run."""
-    started = datetime.now(timezone.utc)
-    _audit(spark, catalog, run_id, dataset, started, "running")
-    try:
-        staging = sinks.run_path(catalog, "_staging", run_id)
-        fresh = sinks.new_items(
-            items,
-            sinks.read_committed(spark, catalog, "interview_items"),
-            sinks.read_committed(spark, catalog, "question_sources"),
+            return interviews.interview_json(raw, run_id)
+        if source.reader == "qa_markdown":
+            return interviews.qa_markdown(_files(spark, f"{folder}/README.md", rev), run_id)
+        readme = F.lower(F.col("source_file")).endswith("/readme.md")
+        files = _files(spark, f"{folder}/*.md", rev).filter(~readme)
+        described = files.withColumns(
+            {
+                "dataset": F.lit(source.key),
+                "license": F.lit(source.license).cast("string"),
+                "domain": F.lit(source.domain),
+            }
         )
-        fresh.write.mode("overwrite").parquet(staging)
-        accepted = spark.read.schema(fresh.schema).parquet(staging)
-        sinks.write_run(sinks.item_tables(accepted), catalog, run_id)
-        imported = accepted.count()
-        skipped = items.count() - imported
-    except Exception as exc:
-        _audit(spark, catalog, run_id, dataset, started, "failed", error=str(exc))
-        raise
-    _audit(spark, catalog, run_id, dataset, started, "completed", imported, skipped)
-    return imported, skipped
+        return interviews.generic_markdown(described, run_id)
+
+    return {s.key: partial(reader, s) for s in INTERVIEW_SOURCES if s.ingestion_allowed}
+
+
+def selected_sections(spark: SparkSession, folder: str, run_id: str, revision: str) -> DataFrame:
+    """Items of the section Markdown files in a folder."""
+    return interviews.section_markdown(_files(spark, f"{folder.rstrip('/')}/*.md", revision), run_id)
+
+
+def import_items(spark: SparkSession, items: DataFrame, catalog: str, run_id: str) -> tuple[int, int]:
+    """Import interview items as one run; returns (imported, skipped)."""
+    staging = sinks.run_path(catalog, "_staging", run_id)
+    fresh = sinks.new_items(
+        items,
+        sinks.read_committed(spark, catalog, "interview_items"),
+        sinks.read_committed(spark, catalog, "question_sources"),
+    )
+    fresh.write.mode("overwrite").parquet(staging)
+    accepted = spark.read.schema(fresh.schema).parquet(staging)
+    sinks.write_run(sinks.item_tables(accepted), catalog, run_id)
+    imported = accepted.count()
+    return imported, items.count() - imported
+
+
+def run_interview_import(
+    spark: SparkSession, root: str, catalog: str, run_prefix: str, revision: dict[str, str]
+) -> list[dict]:
+    """Import every allowed interview source as its own audited run."""
+    results = []
+    for key in interview_records(spark, root, "", revision):
+        run_id = f"{run_prefix}-{key}"
+
+        def work(key=key, run_id=run_id):
+            items = interview_records(spark, root, run_id, revision)[key]()
+            return import_items(spark, items, catalog, run_id)
+
+        results.append(audited(spark, catalog, run_id, key, work))
+    return results

@@ -11,34 +11,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from drillmark import schemas as S
 from drillmark.functions.text import relative_path
-from drillmark.plans.ingest import _audit
-from drillmark.sources import sinks
-from drillmark.sources.normalisers import NORMALISERS
+from drillmark.plans.ingest import audited, import_records
 from drillmark.sources.readers import parse_json_lines
 from drillmark.sources.specs import DatasetSpec
 
 
 def import_batch(batch: DataFrame, spec: DatasetSpec, root: str, catalog: str, run_id: str) -> None:
-    """Import one micro-batch of (value, source_file) lines."""
-    from datetime import datetime, timezone
-
-    spark, started = batch.sparkSession, datetime.now(timezone.utc)
-    lines = batch.withColumn("record_index", F.lit(None).cast("long")).withColumn(
-        "source_revision", F.lit(None).cast("string")
+    """Import one micro-batch of (value, source_file) lines; a failure stops the stream."""
+    spark = batch.sparkSession
+    lines = batch.withColumns(
+        {"record_index": F.lit(None).cast("long"), "source_revision": F.lit(None).cast("string")}
     )
     raw = parse_json_lines(lines).withColumn("source_file", relative_path(F.col("source_file"), root))
-    normalised = NORMALISERS[spec.key](raw.filter(~F.col("rejected")).drop("rejected"), spec, run_id)
-    staging = sinks.run_path(catalog, "_staging", run_id)
-    stored = sinks.read_committed(spark, catalog, "question_sources")
-    sinks.new_questions(normalised, stored).write.mode("overwrite").parquet(staging)
-    accepted = spark.read.schema(S.NORMALISED_QUESTION).parquet(staging)
-    sinks.write_run(sinks.question_tables(accepted), catalog, run_id)
-    imported = accepted.count()
-    _audit(
-        spark, catalog, run_id, spec.dataset_name, started, "completed", imported, raw.count() - imported
+    result = audited(
+        spark,
+        catalog,
+        run_id,
+        spec.dataset_name,
+        lambda: import_records(spark, raw, spec, catalog, run_id),
     )
+    if result["status"] == "failed":
+        raise RuntimeError(f"{run_id}: {result['error']}")
 
 
 def start_import(

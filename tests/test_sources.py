@@ -16,7 +16,7 @@ from drillmark.sources.archives import decode_archives
 from drillmark.sources.inspection import inspect_dataset, require_sound, revisions
 from drillmark.sources.literals import json_or_literal
 from drillmark.sources.specs import allowed_only, choose, policy_frame
-from drillmark.streaming.imports import start_import
+from drillmark.streaming.imports import import_batch, start_import
 
 
 def write(path, content):
@@ -287,6 +287,28 @@ def test_unfinished_runs_are_invisible(spark, tmp_path):
     assert sinks.read_committed(spark, catalog, "questions").count() == 1
 
 
+def test_repeating_a_run_replaces_its_rows(spark, tmp_path):
+    root, catalog = str(tmp_path / "data"), str(tmp_path / "catalog")
+    write(tmp_path / "data" / LEET, json_lines({"task_id": "a", "problem_description": "b"}))
+    for _ in range(2):
+        assert counts(ingest.run_import(spark, root, catalog, "r1", ["leetcode"])) == [(1, 0, "completed")]
+        assert sinks.read_committed(spark, catalog, "questions").count() == 1
+    (spec,) = choose(["leetcode"])
+    batch = spark.createDataFrame(
+        [(json.dumps({"task_id": "z", "problem_description": "p"}), "x.jsonl")], "value string, source_file string"
+    )
+    for _ in range(2):  # a micro-batch replayed after a lost driver
+        import_batch(batch, spec, root, catalog, "drops-000000007")
+        assert sinks.read_committed(spark, catalog, "questions").count() == 2
+
+
+def test_selected_sections(spark, tmp_path):
+    write(tmp_path / "05-behavioral.md", "## Common Behavioral Questions\n- Tell me about a conflict\n")
+    write(tmp_path / "notes.md", "## Questions\n- What is not selected?\n")
+    (row,) = ingest.selected_sections(spark, str(tmp_path), "run", "rev").collect()
+    assert (row.prompt, row.prompt_style, row.source.source_revision) == ("Tell me about a conflict", "scenario", "rev")
+
+
 def test_streaming_import_is_idempotent(spark, tmp_path):
     root, catalog = str(tmp_path / "data"), str(tmp_path / "catalog")
     (spec,) = choose(["leetcode"])
@@ -392,14 +414,29 @@ def test_interview_import_by_policy_and_content(spark, tmp_path):
         "interview-questions",
         "tech-interview-handbook",
     }
-    (generic,) = records["interview-questions"].collect()
+    (generic,) = records["interview-questions"]().collect()
     assert (generic.topic, generic.prompt, generic.source.source_revision) == ("Basics", "What is a hash join?", "rev")
-    items = records["30-seconds-of-interviews"].unionByName(records["interview-questions"])
+    first = ingest.run_interview_import(spark, str(root), catalog, "i1", {})
+    assert {r["dataset_name"]: (r["imported"], r["skipped"]) for r in first} == dict.fromkeys(records, (1, 0))
+    again = ingest.run_interview_import(spark, str(root), catalog, "i2", {})
+    assert all((r["imported"], r["skipped"]) == (0, 1) for r in again)
+    stored = sinks.read_committed(spark, catalog, "interview_items").collect()
+    assert {(r.prompt, r.is_complete) for r in stored} == {
+        ("What is CSS used for?", True),
+        ("What is a vision encoder?", False),
+        ("What is a hash join?", False),
+    }
+    # The same prompt counts once per domain.
+    assert len(stored) == 5 and len({r.content_hash for r in stored}) == 5
+
+    items = records["interview-questions"]()
+    other = str(tmp_path / "other")
     doubled = items.unionByName(items)
-    assert ingest.import_items(spark, doubled, catalog, "i1", "interviews") == (2, 2)
-    assert ingest.import_items(spark, items, catalog, "i2", "interviews") == (0, 2)
-    stored = {r.prompt: r.is_complete for r in sinks.read_committed(spark, catalog, "interview_items").collect()}
-    assert stored == {"What is CSS used for?": True, "What is a hash join?": False}
+    assert ingest.import_items(spark, doubled, other, "x") == (1, 1)
+    (root / "interview-questions/some-notes.md").unlink()
+    (root / "interview-questions/README.md").unlink()
+    failed = ingest.run_interview_import(spark, str(root), catalog, "i3", {})
+    assert {r["dataset_name"]: r["status"] for r in failed}["interview-questions"] == "failed"
 
 
 def test_license_gate(spark):
