@@ -262,7 +262,7 @@ def archive_decode(spark, sf_dir):
 
 
 _SQL_SHAPE = """'' AS tags, {assets} AS assets, {answer} AS solutions, '' AS cases,
-           false AS is_complete, NULL AS original_id, doc_id AS record_index"""
+           false AS is_complete, NULL::varchar AS original_id, doc_id AS record_index"""
 
 
 @query(

@@ -125,19 +125,27 @@ def _members(value: Column, required, optional=()) -> Column:
     )
 
 
+def sound_count(entries_: Column, sound) -> Column:
+    """Number of list entries, null when the list is absent or an entry is not sound.
+
+    The list expression is costly and stands here only once.
+    """
+    return F.aggregate(entries_, F.lit(0), lambda n, entry: n + F.when(sound(entry), 1))
+
+
 def _text_list(value: Column, name: str, minimum: int = 0) -> Column:
     """The member is a list of non-blank texts of at least ``minimum`` entries."""
-    texts = texts_field(value, name)
-    return (F.size(texts) >= minimum) & F.forall(texts, has_text)
+    return sound_count(texts_field(value, name), has_text) >= minimum
 
 
 def _objects(value: Column, name: str, *members: str) -> Column:
     """The member is a non-empty list of objects that have the named members."""
-    rows = list_field(value, name)
     wanted = F.array(*[F.lit(m) for m in members])
-    return (F.size(rows) > 0) & F.forall(
-        rows, lambda r: F.coalesce(F.size(F.array_except(wanted, keys_of(r))) == 0, F.lit(False))
-    )
+
+    def complete(row: Column) -> Column:
+        return F.size(F.array_except(wanted, keys_of(row))) == 0
+
+    return sound_count(list_field(value, name), complete) > 0
 
 
 def _is_object(value: Column) -> Column:
@@ -186,10 +194,9 @@ def algorithm_question(value: Column, expected: Column) -> Column:
 
     def complete(example: Column) -> Column:
         keys = keys_of(example)
-        paired = F.array_contains(keys, "input") & (
+        return F.array_contains(keys, "input") & (
             F.array_contains(keys, "output") | F.array_contains(keys, "expected_output")
         )
-        return F.coalesce(paired, F.lit(False))
 
     reference = field(value, "reference_solution")
     return violations(
@@ -198,7 +205,7 @@ def algorithm_question(value: Column, expected: Column) -> Column:
         **_common_question(value, "algorithm", expected),
         constraints=_texts(value, "constraints"),
         starter_code=_texts(value, "starter_code"),
-        examples=(F.size(examples) > 0) & F.forall(examples, complete),
+        examples=sound_count(examples, complete) > 0,
         test_cases=_objects(value, "test_cases", "input", "expected_output"),
         reference_solution=reference.isNull() | _texts(value, "reference_solution"),
     )
@@ -232,14 +239,10 @@ def _four_options(options: Column, exact: bool) -> Column:
         named = text_field(option, "id").isNotNull() & _texts(option, "text")
         if exact:
             named = named & _texts(option, "id") & _members(option, ("id", "text"))
-        return F.coalesce(named, F.lit(False))
+        return named
 
-    ids = F.transform(options, lambda o: text_field(o, "id"))
-    return (
-        (F.size(options) == 4)
-        & F.forall(options, sound)
-        & (F.size(F.array_distinct(ids)) == 4)
-    )
+    distinct = F.size(F.array_distinct(_option_ids(options))) == 4
+    return (sound_count(options, sound) == 4) & distinct
 
 
 def _option_ids(options: Column) -> Column:
@@ -339,8 +342,8 @@ def assessment(value: Column) -> Column:
     no_code = kind(field(value, "corrected_code")) == "VOID"
     return violations(
         members=_members(value, ASSESSMENT_MEMBERS),
-        mistakes=(F.size(mistakes) <= MAX_MISTAKES)
-        & F.forall(mistakes, lambda m: has_text(m) & (F.length(m) <= MAX_MISTAKE_CHARS)),
+        mistakes=sound_count(mistakes, lambda m: has_text(m) & (F.length(m) <= MAX_MISTAKE_CHARS))
+        <= MAX_MISTAKES,
         explanation=has_text(explanation) & (F.length(explanation) <= MAX_EXPLANATION_CHARS),
         suggestion=F.length(text_field(value, "suggested_correction")) <= MAX_SUGGESTION_CHARS,
         corrected_code=no_code | (F.length(code) <= MAX_CORRECTED_CODE_CHARS),
@@ -361,14 +364,13 @@ def teaching_solutions(value: Column, method: Column, question_type: Column) ->
         return (holds | (kind(field(solution, name)) == "VOID")) if nullable else holds
 
     def sound(solution: Column) -> Column:
-        return F.coalesce(
+        return (
             _members(solution, SOLUTION_MEMBERS)
             & bounded(solution, "title", MAX_TITLE_CHARS)
             & bounded(solution, "code", MAX_CODE_CHARS)
             & bounded(solution, "explanation", MAX_THEORY_CHARS)
             & bounded(solution, "theory", MAX_THEORY_CHARS)
-            & bounded(solution, "complexity", MAX_NOTE_CHARS, nullable=True),
-            F.lit(False),
+            & bounded(solution, "complexity", MAX_NOTE_CHARS, nullable=True)
         )
 
     most = F.when(question_type == "algorithm", 3).otherwise(1)
@@ -378,7 +380,7 @@ def teaching_solutions(value: Column, method: Column, question_type: Column) ->
         note=no_note | (has_text(note) & (F.length(note) <= MAX_NOTE_CHARS)),
         count=(F.size(solutions) <= most)
         & ((F.size(solutions) > 0) | has_text(note)),
-        solutions=F.forall(solutions, sound),
+        solutions=sound_count(solutions, sound).isNotNull(),
         titles=F.size(F.array_distinct(titles)) == F.size(solutions),
         comments=F.forall(solutions, lambda s: has_comment(text_field(s, "code"), method)),
     )
@@ -399,8 +401,7 @@ def interview_plan(value: Column) -> Column:
     return violations(
         object=_is_object(value),
         topics=F.size(list_field(value, "topics")) > 0,
-        formats=(F.size(formats) > 0)
-        & F.forall(formats, lambda f: F.coalesce(f.isin(*S.ANSWER_FORMATS), F.lit(False))),
+        formats=sound_count(formats, lambda f: f.isin(*S.ANSWER_FORMATS)) > 0,
         languages=_text_list(value, "languages"),
     )
 
