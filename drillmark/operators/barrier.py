@@ -29,9 +29,11 @@ def staged(df: DataFrame) -> DataFrame:
     setting gets a folder of its own; a cluster without it computes the rows
     again for each output.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
             return df
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()

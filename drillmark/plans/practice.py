@@ -254,15 +254,16 @@ def save_drafts(items: DataFrame, drafts: DataFrame) -> DataFrame:
 
 
 def load_quizzes(quizzes: DataFrame, items: DataFrame, questions: DataFrame) -> DataFrame:
-    """Header, items and question texts, one row per item by position."""
+    """Header, items and question texts, one row per item.
+
+    The last join puts a quiz's items together; they are sorted where they are,
+    without a global sort of all quizzes.
+    """
     texts = questions.select(
         F.col("id").alias("question_id"), "title", "problem_statement", "constraints", "examples"
     )
-    return (
-        quizzes.join(items, "quiz_id")
-        .join(texts, "question_id")
-        .orderBy("quiz_id", "position")
-    )
+    shown = items.join(texts, "question_id")
+    return quizzes.join(shown, "quiz_id").sortWithinPartitions("quiz_id", "position")
 
 
 def latest_unfinished(quizzes: DataFrame, learner: str = "learner_id") -> DataFrame:
@@ -464,5 +465,5 @@ def close_sessions(sessions: DataFrame, turns: DataFrame, reports: DataFrame | N
 
 
 def transcript(sessions: DataFrame, turns: DataFrame) -> DataFrame:
-    """Session header and turns, one row per turn by position."""
-    return sessions.join(turns, "session_id").orderBy("session_id", "position")
+    """Session header and turns, one row per turn, sorted where they meet."""
+    return sessions.join(turns, "session_id").sortWithinPartitions("session_id", "position")
