@@ -17,10 +17,11 @@ _MARK = "\u0000"
 
 def lines_of(text: Column) -> Column:
     """The lines of a text, byte-order mark and the empty last line dropped."""
-    body = F.regexp_replace(text, "\\A\ufeff", "")
-    parts = F.split(body, LINE_BREAK, -1)
-    count = F.size(parts) - F.when(F.element_at(parts, -1) == "", 1).otherwise(0)
-    return F.slice(parts, F.lit(1), count)
+    unmarked = text.substr(F.lit(2), F.length(text))
+    body = F.when(text.startswith("\ufeff"), unmarked).otherwise(text)
+    ended = F.regexp_replace(body, rf"(?:{LINE_BREAK})\z", "")
+    none = F.array().cast("array<string>")
+    return F.when(body == "", none).otherwise(F.split(ended, LINE_BREAK, -1))
 
 
 def numbered_lines(df: DataFrame, text: str, keep) -> DataFrame:

@@ -158,7 +158,7 @@ def test_once_is_not_copied_into_filters(spark):
 
 @pytest.mark.parametrize(
     "text",
-    ["", "one", "a\n", "a\r\nb\rc", "\ufeffa\n\n", "x\u2028y\u0085z\x0bw\x1ce", "\n"],
+    ["", "one", "a\n", "a\r\nb\rc", "\ufeffa\n\n", "\ufeff\ufeffb", "x\u2028y\u0085z\x0bw\x1ce", "\n"],
 )
 def test_lines_follow_splitlines(spark, text):
     df = spark.createDataFrame([(text,)], "t string")
