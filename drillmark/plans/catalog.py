@@ -171,10 +171,11 @@ def stored_solutions(solutions: DataFrame, block=None) -> DataFrame:
     """Solutions of each (question, method) in id order, repeats kept.
 
     One row per solution with its place in the list, so that no question's
-    solutions are gathered into one value.  Ids are hexadecimal digests, their
-    first two digits cut a long list into even blocks.
+    solutions are gathered into one value.  Stored ids are the question's digest
+    and a six-digit place; without the last three digits they cut a long list
+    into blocks of a thousand.
     """
-    block = F.substring("id", 1, 2) if block is None else block
+    block = F.substring("id", 1, 36) if block is None else block
     return number_rows(solutions, ["question_id", "method"], ["id"], block, position="place")
 
 

@@ -122,6 +122,24 @@ NORMALISED_QUESTION = _struct(
     test_cases=T.ArrayType(TEST_CASE),
     is_complete=_BOOL,
 )
+_TURN = dict(
+    session_id=_STR,
+    position=_LONG,
+    item_id=_STR,
+    prompt=_STR,
+    options=T.ArrayType(_struct(id=_STR, text=_STR)),
+    correct_option=_STR,
+    answer_text=_STR,
+    selected_option=_STR,
+    score=_DBL,
+    feedback=_struct(
+        strengths=T.ArrayType(_STR), gaps=T.ArrayType(_STR), feedback=_STR, next_focus=_STR
+    ),
+    web_sources=T.ArrayType(_STR),
+    status=_STR,
+    answered_at=_TS,
+)
+
 TABLES = {
     "import_runs": _struct(
         id=_STR,
@@ -233,11 +251,72 @@ TABLES = {
     ),
     "quiz_items": _struct(
         quiz_id=_STR,
+        item_id=_STR,
         position=_INT,
         question_id=_STR,
         answer_format=_STR,
         method=_STR,
         prompt_snapshot=_STR,
+        options=T.ArrayType(_struct(id=_STR, text=_STR)),
+        correct_option_id=_STR,
+        explanation=_STR,
+        answer_text=_STR,
+        selected_option_id=_STR,
         item_status=_STR,
+        percentage_correct=_DBL,
+        provider=_STR,
+        model_id=_STR,
+        error_details=_STR,
+    ),
+    "solution_views": _struct(
+        id=_STR,
+        question_id=_STR,
+        attempt_id=_STR,
+        viewed_at=_TS,
+        methods_viewed=T.ArrayType(_STR),
+    ),
+    "ai_question_sessions": _struct(
+        session_id=_STR,
+        started_at=_TS,
+        completed_at=_TS,
+        status=_STR,
+        source_mode=_STR,
+        domain=_STR,
+        topic=_STR,
+        difficulty=_STR,
+        answer_format=_STR,
+        prompt_style=_STR,
+        method=_STR,
+        web_enabled=_BOOL,
+        provider=_STR,
+        model_id=_STR,
+    ),
+    "ai_question_items": _struct(**_TURN),
+    "interview_sessions": _struct(
+        session_id=_STR,
+        interview_type=_STR,
+        duration_minutes=_INT,
+        source_mode=_STR,
+        level=_STR,
+        topics=T.ArrayType(_STR),
+        formats=T.ArrayType(_STR),
+        languages=T.ArrayType(_STR),
+        web_enabled=_BOOL,
+        provider=_STR,
+        model_id=_STR,
+        status=_STR,
+        started_at=_TS,
+        deadline_at=_TS,
+        completed_at=_TS,
+        overall_score=_DBL,
+        report=_struct(
+            summary=_STR,
+            strengths=T.ArrayType(_STR),
+            gaps=T.ArrayType(_STR),
+            recommendations=T.ArrayType(_STR),
+        ),
+        error_details=_STR,
     ),
+    "interview_turns": _struct(**_TURN, answer_format=_STR, method=_STR),
+    "schema_versions": _struct(version=_INT, applied_at=_TS, description=_STR),
 }

@@ -454,6 +454,34 @@ def test_generation_rows_once_per_item(spark):
     assert got == {("i1", "web"), ("i2", "ai")}
 
 
+def test_all_tables_are_known(spark, tmp_path):
+    from drillmark import schemas as S
+
+    assert len(S.TABLES) == 18
+    for name in S.TABLES:
+        assert sinks.read_table(spark, str(tmp_path), name).count() == 0
+
+
+def test_sessions_and_turns_are_stored_and_scored(spark, tmp_path):
+    """A session's turns go through the sink and come back for scoring."""
+    from drillmark import schemas as S
+    from drillmark.plans import practice
+
+    catalog = str(tmp_path)
+    turn = ("s", 1, "i1", "Why?", None, None, None, None, None, None, [], "pending", None, "theory", None)
+    turns = spark.createDataFrame([turn], S.TABLES["interview_turns"])
+    sinks.append_rows(turns, catalog, "interview_turns", "b1")
+    stored = sinks.read_table(spark, catalog, "interview_turns").drop("import_run")
+    assert stored.schema == S.TABLES["interview_turns"]
+    answers = spark.createDataFrame(
+        [("s", "i1", "Because.", 70.0, None)],
+        "session_id string, item_id string, answer string, assessed_score double, answered_at timestamp",
+    )
+    row = practice.submit_answers(stored, answers).first()
+    assert (row.status, row.score, row.answer_text) == ("scored", 70.0, "Because.")
+    assert practice.adaptive_context(practice.submit_answers(stored, answers)).count() == 1
+
+
 def test_appended_batches_replace_themselves(spark, tmp_path):
     catalog = str(tmp_path)
     batch = spark.createDataFrame([("a",)], "id string")
