@@ -34,9 +34,12 @@ class Request:
     topic: str = S.ANY_TOPIC
 
 
-def first_value(rows: DataFrame, value: str, name: str, key: str = "question_id") -> DataFrame:
-    """First value per question by id, as a pre-aggregate for a left join."""
-    return rows.groupBy(key).agg(F.min_by(value, "id").alias(name))
+def first_value(rows: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """First value per key by id, as a pre-aggregate for a left join.
+
+    ``value`` is clipped by the caller, so that no whole text is shuffled.
+    """
+    return rows.groupBy(*keys).agg(F.min_by(value, "id").alias(name))
 
 
 def relevance(difficulty: str, topic: str) -> Column:
@@ -133,12 +136,13 @@ def with_first_assets(references: DataFrame, assets: DataFrame, solutions: DataF
     chosen = references.select("question_id").distinct()
     schema = assets.filter(F.col("asset_type") == "schema").join(chosen, "question_id", "left_semi")
     sql = solutions.filter(F.col("method") == "sql").join(chosen, "question_id", "left_semi")
+    first_schema = first_value(schema, ["question_id"], clip_ellipsis(F.col("content"), 400), "schema_sql")
+    first_code = first_value(sql, ["question_id"], clip_ellipsis(F.col("code"), 300), "reference_solution")
     return (
-        references.join(first_value(schema, "content", "_schema"), "question_id", "left")
-        .join(first_value(sql, "code", "_code"), "question_id", "left")
-        .withColumn("schema_sql", clip_ellipsis(F.col("_schema"), 400))
-        .withColumn("reference_solution", clip_ellipsis(F.col("_code"), 300))
-        .drop("_schema", "_code")
+        references.join(first_schema, "question_id", "left")
+        .join(first_code, "question_id", "left")
+        .withColumn("schema_sql", F.coalesce("schema_sql", F.lit("")))
+        .withColumn("reference_solution", F.coalesce("reference_solution", F.lit("")))
     )
 
 
@@ -256,18 +260,20 @@ def review_context(
     """
     pair = ["question_id", "method"]
     asked = submissions.select(*pair).distinct()
-    solution = (
-        solutions.groupBy(*pair)
-        .agg(F.min_by("code", "id").alias("_code"))
-        .select(*pair, clip_marked(F.col("_code"), 12_000).alias("reference_solution"))
-    )
+    code = clip_marked(F.col("code"), 12_000)
+    solution = first_value(solutions, pair, code, "reference_solution")
 
     # Ten of the shared assets and ten of each method's own hold every choice.
-    owned = assets.withColumnRenamed("method", "asset_method").filter(
-        F.col("asset_type").isin(*S.REQUIRED_ANALYSIS_ASSETS)
+    required = F.col("asset_type").isin(*S.REQUIRED_ANALYSIS_ASSETS)
+    owned = assets.filter(required).select(
+        "question_id",
+        "id",
+        "asset_type",
+        F.col("method").alias("asset_method"),
+        F.coalesce(F.nullif(F.col("method"), F.lit("shared")), F.lit("")).alias("_owner"),
+        clip_marked(F.col("content"), 4_000).alias("content"),
     )
-    owner = F.coalesce(F.nullif(F.col("asset_method"), F.lit("shared")), F.lit(""))
-    leading = top_per_key(owned.withColumn("_owner", owner), ["question_id", "_owner"], ["id"], 10, "_n")
+    leading = top_per_key(owned, ["question_id", "_owner"], ["id"], 10, "_n")
     usable = leading.join(asked, "question_id").filter(
         relevant_asset(F.col("method"), F.col("asset_method"))
     )
@@ -276,7 +282,7 @@ def review_context(
         "place",
         F.col("asset_type").alias("type"),
         F.col("asset_method").alias("method"),
-        clip_marked(F.col("content"), 4_000).alias("content"),
+        "content",
     )
     asset_lists = ten_assets.groupBy(*pair).agg(
         F.array_sort(F.collect_list(asset)).alias("assets")
@@ -310,12 +316,11 @@ def teaching_context(
     questions: DataFrame, assets: DataFrame, cases: DataFrame, solutions: DataFrame
 ) -> DataFrame:
     """Last asset per type, first 20 cases, first 12 solutions of a question."""
-    per_type = assets.groupBy("question_id", "asset_type").agg(
-        F.max_by("content", "id").alias("content")
-    )
+    last = F.max_by(clip(F.col("content"), 20_000), "id").alias("content")
+    per_type = assets.groupBy("question_id", "asset_type").agg(last)
     asset_maps = per_type.groupBy("question_id").agg(
         F.map_from_entries(
-            F.array_sort(F.collect_list(F.struct("asset_type", clip(F.col("content"), 20_000))))
+            F.array_sort(F.collect_list(F.struct("asset_type", "content")))
         ).alias("assets")
     )
 
@@ -326,9 +331,9 @@ def teaching_context(
     case = F.struct(
         "place", F.col("input_data").alias("input"), F.col("expected_output").alias("expected")
     )
-    solution = F.struct("place", "method", clip(F.col("code"), 12_000).alias("code"))
+    bounded_code = solutions.withColumn("code", clip(F.col("code"), 12_000))
     case_lists = capped(cases, 20, case, "test_cases")
-    solution_lists = capped(solutions, 12, solution, "stored_references")
+    solution_lists = capped(bounded_code, 12, F.struct("place", "method", "code"), "stored_references")
     bounded = bounded_question(questions)
     return (
         bounded.join(asset_maps, "question_id", "left")
