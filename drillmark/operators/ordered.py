@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from drillmark.operators.joins import spread_join
+
 
 def top_per_key(df: DataFrame, keys, order, n: int, rank: str = "rank") -> DataFrame:
     """The first ``n`` rows of each key, with their 1-based rank."""
@@ -79,7 +81,7 @@ def append_positions(
     stored = existing.groupBy(key).agg(F.count("*").alias("_stored"))
     numbered = number_rows(incoming, [key], order, block)
     return (
-        numbered.join(stored, key, "left")
+        spread_join(numbered, stored, [key], F.col("position"), "left", counted=incoming)
         .withColumn("position", F.col("position") + F.coalesce("_stored", F.lit(0)))
         .drop("_stored")
     )

@@ -14,7 +14,7 @@ from drillmark.functions.scoring import (
     uses_local,
 )
 from drillmark.functions.text import clip_error, is_blank
-from drillmark.operators.joins import salted_join
+from drillmark.operators.joins import salted_join, spread_join
 from drillmark.operators.ordered import latest_per_key, top_per_key
 from drillmark.operators.predicates import is_unfinished, with_status
 from drillmark.operators.sampling import draw, next_unused, pool_sizes
@@ -466,4 +466,5 @@ def close_sessions(sessions: DataFrame, turns: DataFrame, reports: DataFrame | N
 
 def transcript(sessions: DataFrame, turns: DataFrame) -> DataFrame:
     """Session header and turns, one row per turn, sorted where they meet."""
-    return sessions.join(turns, "session_id").sortWithinPartitions("session_id", "position")
+    joined = spread_join(turns, sessions, ["session_id"], F.col("position"))
+    return joined.sortWithinPartitions("session_id", "position")

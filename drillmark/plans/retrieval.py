@@ -18,6 +18,7 @@ from drillmark.functions.text import (
     strip,
 )
 from drillmark.operators.barrier import staged
+from drillmark.operators.joins import spread_join
 from drillmark.operators.ordered import number_rows, top_per_key
 from drillmark.operators.predicates import mentions_topic, relevant_asset
 
@@ -309,7 +310,7 @@ def review_context(
         .join(solution, pair, "left")
         .join(asset_lists, pair, "left")
     )
-    return submissions.join(context, pair)
+    return spread_join(submissions, context, pair, F.col("submission_id"))
 
 
 def teaching_context(

@@ -63,7 +63,7 @@ def new_questions(questions: DataFrame, stored_sources: DataFrame) -> DataFrame:
         F.col("dataset_name").alias("_dataset"),
         F.col("original_id").alias("_original"),
         F.lower(file_name(F.col("source_file"))).alias("_file"),
-    ).distinct()
+    )
     unknown = storable(questions).join(
         legacy,
         (F.col("source.dataset_name") == F.col("_dataset"))
@@ -107,15 +107,17 @@ def insert_or_get(generated: DataFrame, stored_items: DataFrame) -> DataFrame:
     Content is compared by the domain form of the hash, like imported items.
     """
     hashed = generated.withColumn("content_hash", content_hash(F.col("domain"), F.col("prompt")))
-    stored = stored_items.select("content_hash", F.col("id").alias("_stored")).distinct()
-    first = hashed.groupBy("content_hash").agg(F.min("request_id").alias("_first"))
-    # One row per content before the only join that meets repeated contents.
-    known = first.join(stored, "content_hash", "left")
+    stored = stored_items.select("content_hash", F.col("id").alias("_stored"))
+    known = hashed.join(stored, "content_hash", "left")
+    fresh = known.filter(F.col("_stored").isNull()).select("content_hash", "request_id")
+    inserts = first_per_key(fresh, ["content_hash"], ["request_id"]).select(
+        "request_id", F.lit(True).alias("_insert")
+    )
     return (
-        hashed.join(known, "content_hash")
+        known.join(inserts, "request_id", "left")
         .withColumn("id", F.coalesce("_stored", derived_id(F.lit("item"), F.col("content_hash"))))
-        .withColumn("is_new", F.col("_stored").isNull() & (F.col("request_id") == F.col("_first")))
-        .drop("_stored", "_first")
+        .withColumn("is_new", F.coalesce("_insert", F.lit(False)))
+        .drop("_stored", "_insert")
     )
 
 

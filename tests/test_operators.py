@@ -198,3 +198,18 @@ def test_salted_join(spark):
     inner = salted_join(large, small, ["k"], F.col("id"))
     assert inner.count() == 200 and inner.columns == ["k", "id", "v"]
     assert salted_join(large, small, ["k"], F.col("id"), "left").filter("v is null").count() == 100
+
+
+def test_spread_join_splits_frequent_keys_only(spark):
+    from drillmark.operators import joins
+
+    rows = [(i, "hot" if i % 3 == 0 else f"k{i % 1500}") for i in range(4500)]
+    large = spark.createDataFrame(rows, "id int, k string")
+    small = spark.createDataFrame([(f"k{i}", i) for i in range(1500)] + [("hot", -1)], "k string, v int")
+    small = small.groupBy("k").agg(F.max("v").alias("v"))
+    values = {f"k{i}": i for i in range(1500)} | {"hot": -1}
+    for how in ("inner", "left"):
+        got = joins.spread_join(large, small, ["k"], F.col("id"), how)
+        assert sorted((r.id, r.v) for r in got.collect()) == sorted((i, values[k]) for i, k in rows)
+    missing = joins.spread_join(large, small.filter("k <> 'hot'"), ["k"], F.col("id"), "left")
+    assert missing.filter("v is null").count() == 1500
