@@ -2,13 +2,37 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from drillmark.llm import repeats, simhash
+from drillmark.llm import byte_pairs, packing, repeats, simhash, toxicity
 from drillmark.llm.registry import query
 from drillmark.llm.shared import documents
 
 
+@query()
+def op2_packing(spark, sf_dir):
+    found = packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op4_byte_pairs(spark, sf_dir):
+    found = byte_pairs.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op7_toxicity(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.scored(documents(spark, sf_dir), labels).select(
+        F.col("id").alias("doc_id"),
+        toxicity.held_out(F.col("id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @query()
 def op8_simhash(spark, sf_dir):
     found = simhash.near_duplicates(documents(spark, sf_dir))
