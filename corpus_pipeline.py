@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drillmark.llm import repeats, simhash
+from drillmark.llm import line_dedup, packing, repeats, simhash, toxicity
 from drillmark.llm.shared import documents, kept
 
 
@@ -14,6 +15,16 @@ def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score one half and more for toxicity go."""
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines like an earlier line go; a document that loses all of them stays, empty."""
+    return _counted(line_dedup.without_repeats(docs).drop("_flags"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest id."""
     return simhash.keep_first(docs)
@@ -24,9 +35,18 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return _counted(repeats.without_repeats(docs))
 
 
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token pieces of the documents and their places in sequences."""
+    found = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 STAGES = [
+    ("toxicity", toxic_documents),
+    ("line_dedup", repeated_lines),
     ("near_duplicates", near_duplicates),
-    ("repeated_passages", repeated_passages),
+    ("substring_dedup", repeated_passages),
+    ("packing", packed_sequences),
 ]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from drillmark.llm import byte_pairs, packing, repeats, simhash, toxicity
+from drillmark.llm import byte_pairs, line_dedup, packing, repeats, simhash, toxicity
 from drillmark.llm.registry import query
 from drillmark.llm.shared import documents
 
@@ -22,6 +22,20 @@ def op4_byte_pairs(spark, sf_dir):
     return found.withColumnRenamed("id", "doc_id")
 
 
+@query()
+def op6_lines(spark, sf_dir):
+    """Per document: its lines, those removed, and the SHA-256 of the text left."""
+    left = line_dedup.without_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    lines = F.coalesce(F.size("_flags"), F.lit(0))
+    stay = F.coalesce(F.size(F.filter("_flags", lambda x: x)), F.lit(0))
+    return left.select(
+        "doc_id",
+        F.greatest(lines, F.lit(0)).cast("long").alias("n_lines"),
+        F.greatest(lines - stay, F.lit(0)).cast("long").alias("n_removed"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 @query()
 def op7_toxicity(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
