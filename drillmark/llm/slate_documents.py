@@ -5,11 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from drillmark.llm import byte_pairs, line_dedup, packing, repeats, simhash, toxicity
+from drillmark.llm import byte_pairs, fingerprints, line_dedup, packing, repeats, simhash, toxicity
 from drillmark.llm.registry import query
 from drillmark.llm.shared import documents
 
 
+@query()
+def op1_fingerprints(spark, sf_dir):
+    return fingerprints.edited_likeness(documents(spark, sf_dir))
+
+
 @query()
 def op2_packing(spark, sf_dir):
     found = packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
