@@ -111,12 +111,10 @@ def stitch(text: str, scans: list[list[int]], pattern: str, chunk: int) -> list[
     for k in range(1, len(scans)):
         own = {k * chunk, *scans[k]}
         shared = next((e for e in true if e >= k * chunk and e in own), None)
-        while shared is None and k + 1 == len(scans) and true[-1:] != [len(text)]:
-            true = [*true, *_onwards(text, true[-1] if true else begin, len(text), pattern)]
-            shared = next((e for e in true if e >= k * chunk and e in own), None)
-        if shared is None and k + 1 < len(scans):  # one pre-token over the whole overlap: scan on from the last true end
-            at = true[-1] if true else begin
-            true = [*true, *_onwards(text, at, min(len(text), (k + 2) * chunk), pattern)]
+        at = true[-1] if true else begin
+        if shared is None and at < len(text):  # one pre-token over the whole overlap: scan on from the last true end
+            to = len(text) if k + 1 == len(scans) else min(len(text), (k + 2) * chunk)
+            true = [*true, *_onwards(text, at, to, pattern)]
             shared = next((e for e in true if e >= k * chunk and e in own), None)
         if shared is None:
             continue
