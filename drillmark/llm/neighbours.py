@@ -5,7 +5,7 @@ side of the sample's median the vector lies.  Its sorted array of strings is the
 tree; rows that share a prefix lie next to each other.  A query descends each
 tree to its longest match and then ascends all trees together, one bit at a
 time, until the rows below it, summed over the trees, are ``share`` times all
-rows.  All of them, however many share a prefix, are compared by distance.
+rows (and at least as many as are asked for).  All of them, however many share a prefix, are compared by distance.
 
 Rows are dealt into segments of about ``SEGMENT_ROWS`` by a hash, each a forest
 of its own, so that no task holds a whole tree; queries meet each segment in
@@ -35,7 +35,7 @@ from drillmark.llm.shared import kept
 
 TREES = 64
 BITS = 32
-#: Rows below the query over all trees, each tree's counted, as a share of all rows.
+#: Rows below the query, summed over the trees, in multiples of all rows.
 SHARE = 1.5
 SEGMENT_ROWS = 16_384
 QUERY_BLOCK = 1_024
@@ -84,7 +84,7 @@ def search(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np
     order = np.argsort(strings, axis=1, kind="stable")
     arrays = np.take_along_axis(strings, order, axis=1)
     asked = forest.strings(queries)
-    goal = share * len(rows)
+    goal = share * len(rows) + forest.trees * (k + 1)  # so at least k rows besides the query's own
     # ascend: the ranges of all trees at each depth, until they hold enough
     depth = np.full(len(queries), -1)
     for level in range(forest.bits, -1, -1):
