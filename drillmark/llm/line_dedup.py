@@ -4,7 +4,7 @@ A line is the set of its words.  A line goes when an earlier line, by (document
 id, line number), has a set of Jaccard similarity 4/5 or more; it does not
 matter whether that one stays itself.
 
-1. Words are ordered by rarity.  Counts of all words are kept for 65,536 classes
+1. Words are ordered by rarity.  Counts of all words are kept for 4,096 classes
    of words (by hash), so the table that gives the order has a fixed size;
    within a class words are ordered by hash.
 2. Equal lines are one line at their first place; only it is compared.
@@ -13,12 +13,12 @@ matter whether that one stays itself.
    (length filter), the places of the word in both (positional filter) and a
    64-bit parity sketch of both sets (an upper bound of the overlap) allow it.
 4. Within the lines of one word, a line that looks similar to the first or to
-   one of the three before it is paired with that one alone, so a group of g
-   variants of a line does not give g*g pairs.
+   the one before it is paired with that one alone, so a group of g variants of
+   a line does not give g*g pairs.
 5. The pairs that are left are verified on the words themselves.  Lines whose
    only partner of step 4 fails there are paired with all lines of their words.
 
-Everything is built-in DataFrame functions.  Fixed-size bit tables (``_Bits``)
+Everything is built-in DataFrame functions.  Fixed-size bit tables (``_bits``)
 keep rows that cannot matter out of a shuffle; false positives in them cost time
 only.
 
@@ -39,9 +39,9 @@ from drillmark.llm.shared import BLANK, kept
 
 #: Similarity, as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
-CLASS_BITS = 16
+CLASS_BITS = 12
 #: Earlier lines of a word that are tried before all others.
-TRIED_BEFORE = 3
+TRIED_BEFORE = 1
 FIRST_ID = -(1 << 63)
 
 
@@ -53,25 +53,21 @@ def _numbers(values) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
-class _Bits:
-    """A bit table of fixed size over 64-bit hashes, filled by Spark."""
+def _bits(hashes: DataFrame, bits: int) -> DataFrame:
+    """A bit table over the hashes in column ``h``: 2**bits bits in at most 2**(bits - 6) rows."""
+    place = F.pmod("h", F.lit(1 << bits))
+    return kept(
+        hashes.select(F.shiftright(place, 6).cast("int").alias("_word"), place.bitwiseAND(F.lit(63)).cast("int").alias("_bit"))
+        .groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_set")), "bits"
+    )
 
-    def __init__(self, hashes: DataFrame, bits: int):
-        """``hashes``: one long column ``h``.  The table has 2**bits bits, whatever the data."""
-        self.size = 1 << bits
-        place = F.pmod("h", F.lit(self.size))
-        rows = (
-            hashes.select(F.expr(f"cast(pmod(h, {self.size}) div 64 as int)").alias("word"), (place % 64).cast("int").alias("bit"))
-            .groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("set")).collect()
-        )
-        words = [0] * max(1, self.size // 64)
-        for r in rows:
-            words[r["word"]] = r["set"]
-        self.words = _numbers(words)
 
-    def has(self, h: Column) -> Column:
-        place = F.pmod(h, F.lit(self.size))
-        return F.getbit(self.words[(F.floor(place / 64)).cast("int")], (place % 64).cast("int")) == 1
+def _told(df: DataFrame, h: Column, table: DataFrame, bits: int) -> DataFrame:
+    """``df`` with ``_in``: whether the bit of ``h`` is set.  The table is broadcast; its size is fixed."""
+    place = F.pmod(h, F.lit(1 << bits))
+    known = df.withColumn("_word", F.shiftright(place, 6).cast("int")).withColumn("_bit", place.bitwiseAND(F.lit(63)).cast("int"))
+    joined = known.join(F.broadcast(table), "_word", "left")
+    return joined.withColumn("_in", F.coalesce(F.getbit("_set", F.col("_bit")) == 1, F.lit(False))).drop("_word", "_bit", "_set")
 
 
 # ----------------------------------------------------------------- lines, sets
@@ -181,8 +177,8 @@ def _all_pairs(some: DataFrame, prefixes: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, lines: DataFrame, ranks: Column) -> DataFrame:
     """(id, at, n, parity) of the lines with a similar earlier line among ``pairs``."""
     ends = pairs.select("x_id", "x_at").union(pairs.select("y_id", "y_at")).toDF("id", "at")
-    wanted = _Bits(ends.select(F.xxhash64("id", "at").alias("h")), 22)
-    sets = _with_set(lines.filter(wanted.has(F.xxhash64("id", "at")) & _has_word()), ranks).select(*_LINE, "keys")
+    wanted = _bits(ends.select(F.xxhash64("id", "at").alias("h")), 22)
+    sets = _with_set(_told(lines.filter(_has_word()), F.xxhash64("id", "at"), wanted, 22).filter("_in"), ranks).select(*_LINE, "keys")
     sets = sets.dropDuplicates(list(_LINE))
 
     def side(s):
@@ -207,10 +203,10 @@ def _kept_places(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         narrow.filter("words").groupBy("same").agg(F.min(place).alias("p"), F.count("*").alias("c"))
         .select("same", "p.id", "p.at", (F.col("c") > 1).alias("again")), "firsts"
     )
-    again = _Bits(firsts.filter("again").select(F.col("same").alias("h")), 22)
-    worded = lines.filter(_has_word())
-    once = worded.filter(~again.has(F.col("same")))
-    more = worded.filter(again.has(F.col("same"))).join(firsts.select("same", "id", "at"), ["same", "id", "at"], "left_semi")
+    again = _bits(firsts.filter("again").select(F.col("same").alias("h")), 22)
+    worded = _told(lines.filter(_has_word()), F.col("same"), again, 22)
+    once = worded.filter(~F.col("_in"))
+    more = worded.filter("_in").join(firsts.select("same", "id", "at"), ["same", "id", "at"], "left_semi")
     compared = once.select("id", "at", "line").unionByName(more.select("id", "at", "line"))
     sets = _with_set(compared, ranks)
     pairs = kept(_pairs(_prefixes(sets)), "pairs")
@@ -218,11 +214,11 @@ def _kept_places(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # lines that were paired with one line only, which then was not similar
     open_ = pairs.filter("alone").select(*[F.col(f"x_{c}").alias(c) for c in _LINE]).distinct().join(matched, list(_LINE), "left_anti")
     open_ = kept(open_, "open")
-    place_bits = _Bits(open_.select(F.xxhash64("id", "at").alias("h")), 18)
-    some = _prefixes(_with_set(compared.filter(place_bits.has(F.xxhash64("id", "at"))), ranks).join(open_, list(_LINE), "left_semi"))
-    some = kept(some, "open")
-    word_bits = _Bits(some.select(F.col("token").alias("h")), 20)
-    others = _prefixes(sets).filter(word_bits.has(F.col("token")))
+    at_open = _bits(open_.select(F.xxhash64("id", "at").alias("h")), 18)
+    reopened = _with_set(_told(compared, F.xxhash64("id", "at"), at_open, 18).filter("_in"), ranks)
+    some = kept(_prefixes(reopened.join(open_, list(_LINE), "left_semi")), "open")
+    words_open = _bits(some.select(F.col("token").alias("h")), 20)
+    others = _told(_prefixes(sets), F.col("token"), words_open, 20).filter("_in")
     rest = kept(_all_pairs(some, others), "pairs")
     late = _verified(rest, lines, ranks)
     gone = matched.unionByName(late).select("id", "at").distinct()

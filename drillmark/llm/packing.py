@@ -30,7 +30,7 @@ from drillmark.operators.ordered import number_rows
 SEQUENCE = 2048
 END = 1
 #: Pieces numbered by one task.
-BLOCK_ROWS = 100_000
+BLOCK_ROWS = 10_000
 
 Patterns = list[tuple[int, tuple[int, ...]]]
 
