@@ -133,8 +133,8 @@ def run_import(
 # --- Interview sources -------------------------------------------------------
 
 
-def _files(spark: SparkSession, path: str, revision: str | None) -> DataFrame:
-    return read_whole(spark, path).withColumn("source_revision", F.lit(revision).cast("string"))
+def _files(spark: SparkSession, path: str, revision: str | None, pattern: str | None = None) -> DataFrame:
+    return read_whole(spark, path, pattern).withColumn("source_revision", F.lit(revision).cast("string"))
 
 
 def interview_records(
@@ -151,7 +151,7 @@ def interview_records(
         if source.reader == "qa_markdown":
             return interviews.qa_markdown(_files(spark, f"{folder}/README.md", rev), run_id)
         readme = F.lower(F.col("source_file")).endswith("/readme.md")
-        files = _files(spark, f"{folder}/*.md", rev).filter(~readme)
+        files = _files(spark, folder, rev, "*.md").filter(~readme)
         described = files.withColumns(
             {
                 "dataset": F.lit(source.key),

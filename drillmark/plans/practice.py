@@ -254,16 +254,16 @@ def save_drafts(items: DataFrame, drafts: DataFrame) -> DataFrame:
 
 
 def load_quizzes(quizzes: DataFrame, items: DataFrame, questions: DataFrame) -> DataFrame:
-    """Header, items and question texts, one row per item.
+    """Header, items and question texts, one row per item, in the order of quiz and position.
 
-    The last join puts a quiz's items together; they are sorted where they are,
-    without a global sort of all quizzes.
+    The sort is by ranges of (quiz, position), so a very long quiz is cut over
+    tasks and still comes back in order.
     """
     texts = questions.select(
         F.col("id").alias("question_id"), "title", "problem_statement", "constraints", "examples"
     )
     shown = items.join(texts, "question_id")
-    return quizzes.join(shown, "quiz_id").sortWithinPartitions("quiz_id", "position")
+    return quizzes.join(shown, "quiz_id").orderBy("quiz_id", "position")
 
 
 def latest_unfinished(quizzes: DataFrame, learner: str = "learner_id") -> DataFrame:
@@ -465,6 +465,6 @@ def close_sessions(sessions: DataFrame, turns: DataFrame, reports: DataFrame | N
 
 
 def transcript(sessions: DataFrame, turns: DataFrame) -> DataFrame:
-    """Session header and turns, one row per turn, sorted where they meet."""
+    """Session header and turns, one row per turn, in the order of session and position."""
     joined = spread_join(turns, sessions, ["session_id"], F.col("position"))
-    return joined.sortWithinPartitions("session_id", "position")
+    return joined.orderBy("session_id", "position")

@@ -122,7 +122,7 @@ _A_ID = """CASE WHEN lang <> 'de' THEN concat_ws('-', 'doc', source, doc_id::var
            source || '|' || lang AS tags, CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS assets,
            CASE WHEN lang <> 'fr' THEN source ELSE '' END AS solutions,
            rtrim(repeat('"' || lang || '"=' || n_chars || '|',
-                        least(n_chars % 60, 50)::int), '|') AS cases,
+                        least(n_chars % 60, 55)::int), '|') AS cases,
            true AS is_complete
     FROM documents WHERE {_NOT_BROKEN}
     """
@@ -143,7 +143,7 @@ _B_ID = "CASE WHEN lang = 'fr' THEN 'row:' || doc_id ELSE doc_id::varchar END"
            CASE lang WHEN 'en' THEN 'Hard' WHEN 'de' THEN 'Easy' ELSE 'Medium' END AS difficulty,
            length(text) AS statement_chars, '' AS tags,
            CASE WHEN lang = 'de' THEN 1 ELSE 0 END AS assets,
-           CASE WHEN lang = 'de' THEN '' ELSE lang || '|' || source END AS solutions,
+           CASE WHEN lang = 'de' THEN '' ELSE lang || '|' || source || '|fourth' END AS solutions,
            CASE WHEN lang = 'es' THEN '' ELSE '1="a"|2="b"' END AS cases, true AS is_complete
     FROM documents WHERE {_NOT_BROKEN}
     """
@@ -251,7 +251,7 @@ def _archives(documents):
              AS statement_chars,
            CASE WHEN lang = 'de' THEN '' ELSE lang END AS tags, 0 AS assets, '' AS solutions,
            CASE WHEN lang = 'de' THEN '' ELSE array_to_string(
-             list_transform(range(10), lambda i: i || '="' || lang || '"'), '|') END AS cases,
+             list_transform(range(11), lambda i: i || '="' || lang || '"'), '|') END AS cases,
            true AS is_complete
     FROM documents
     """
@@ -362,17 +362,12 @@ def jsonl_ingest_twice(spark, sf_dir):
     f"""
     WITH first AS (SELECT lang, min(doc_id) AS doc_id FROM documents WHERE {_NOT_BROKEN}
                    GROUP BY lang, text)
-    SELECT 'questions' AS "table", count(*) AS n, count(*) AS complete FROM first WHERE false
-    UNION ALL SELECT 'question_sources', count(*), NULL FROM first
+    SELECT 'question_sources' AS "table", count(*) AS n, NULL::bigint AS complete FROM first
     UNION ALL SELECT 'questions', count(*), 0 FROM first
     UNION ALL SELECT 'question_assets', count(*), NULL FROM first
     UNION ALL SELECT 'reference_solutions', count(*), NULL FROM first
     UNION ALL SELECT 'question_test_cases', 0, NULL
-    """.replace(
-        """SELECT 'questions' AS "table", count(*) AS n, count(*) AS complete FROM first WHERE false
-    UNION ALL SELECT 'question_sources', count(*), NULL FROM first""",
-        """SELECT 'question_sources' AS "table", count(*) AS n, NULL::bigint AS complete FROM first""",
-    )
+    """
 )
 def imported_tables(spark, sf_dir):
     normalised = _prompt_records(spark, sf_dir)[1]

@@ -50,10 +50,11 @@ DIFFICULTY_BY_SOURCE = {
     },
 }
 
-# How many cases and solutions of a record are kept.
-MAX_CASES = 50
-MAX_ARCHIVE_CASES = 10
-MAX_SOLUTIONS = 3
+# How many cases and solutions of a record are stored at most; None stores all.
+# What a document shows of them is limited where it is shown.
+MAX_CASES: int | None = None
+MAX_ARCHIVE_CASES: int | None = None
+MAX_SOLUTIONS: int | None = None
 
 _RECORD = "record"
 
@@ -110,10 +111,14 @@ def solution_list(method: str, codes: Column) -> Column:
     )
 
 
-def code_list(value: Column) -> Column:
-    """Of the first three entries, those that are non-blank texts."""
+def _first(rows: Column, limit: int | None) -> Column:
+    return rows if limit is None else F.slice(rows, 1, limit)
+
+
+def code_list(value: Column, limit: int | None = MAX_SOLUTIONS) -> Column:
+    """Of the entries, or the first ``limit``, those that are non-blank texts."""
     listed = F.try_variant_get(value, "$", "array<variant>")
-    codes = F.transform(F.slice(listed, 1, MAX_SOLUTIONS), as_text)
+    codes = F.transform(_first(listed, limit), as_text)
     kept = F.filter(codes, lambda c: ~is_blank(c))
     return F.coalesce(kept, F.array().cast("array<string>"))
 
@@ -126,18 +131,19 @@ def _case(given: Column, wanted: Column) -> Column:
     )
 
 
-def zipped_cases(io: Column, limit: int) -> Column:
-    """Inputs paired with outputs up to the shorter list and the limit."""
+def zipped_cases(io: Column, limit: int | None) -> Column:
+    """Inputs paired with outputs up to the shorter list, and the limit if there is one."""
     inputs, outputs = list_field(io, "inputs"), list_field(io, "outputs")
     pairs = F.arrays_zip(inputs.alias("i"), outputs.alias("o"))
-    count = F.least(F.lit(limit), F.size(inputs), F.size(outputs))
-    cases = F.transform(F.slice(pairs, F.lit(1), count), lambda p: _case(p["i"], p["o"]))
+    count = F.least(F.size(inputs), F.size(outputs))
+    paired = _first(F.slice(pairs, F.lit(1), count), limit)
+    cases = F.transform(paired, lambda p: _case(p["i"], p["o"]))
     return F.coalesce(cases, _empty(_CASES))
 
 
-def listed_cases(rows: Column, limit: int) -> Column:
+def listed_cases(rows: Column, limit: int | None) -> Column:
     """Cases given as ``[{input, output}]``; other entries are left out."""
-    objects = F.filter(F.slice(rows, 1, limit), lambda r: kind(r).startswith("OBJECT"))
+    objects = F.filter(_first(rows, limit), lambda r: kind(r).startswith("OBJECT"))
     cases = F.transform(objects, lambda r: _case(field(r, "input"), field(r, "output")))
     return F.coalesce(cases, _empty(_CASES))
 

@@ -78,9 +78,13 @@ def parse_json_array(files: DataFrame) -> DataFrame:
     return _flag_rejects(exploded.withColumn("record_index", F.col("record_index").cast("long")))
 
 
-def read_whole(spark: SparkSession, paths) -> DataFrame:
-    """Whole text files as (source_file, value)."""
-    return spark.read.text(paths, wholetext=True).select(
+def read_whole(spark: SparkSession, paths, pattern: str | None = None) -> DataFrame:
+    """Whole text files as (source_file, value); with a pattern, all files
+    below the folder whose name matches it, at any depth."""
+    reader = spark.read
+    if pattern is not None:
+        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    return reader.text(paths, wholetext=True).select(
         F.col("_metadata.file_path").alias("source_file"), "value"
     )
 

@@ -8,8 +8,10 @@ way stays invisible to readers.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -178,8 +180,15 @@ def generation_rows(inserted: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def _child_id(question_id: Column, place: Column) -> Column:
-    """Ids of a question's rows sort in the order of the source."""
-    return F.concat_ws("-", question_id, F.lpad(place.cast("string"), 6, "0"))
+    """Ids of a question's rows sort in the order of the source.
+
+    Places have six digits; a longer one is led by a letter for its length,
+    which sorts after all digits.
+    """
+    digits = place.cast("string")
+    size = F.length(digits)
+    long = F.concat(F.char(F.lit(ord("a") - 7) + size), digits)
+    return F.concat_ws("-", question_id, F.when(size > 6, long).otherwise(F.lpad(digits, 6, "0")))
 
 
 def question_tables(questions: DataFrame) -> dict[str, DataFrame]:
@@ -351,9 +360,25 @@ def write_run(tables: dict[str, DataFrame], catalog: str, run_id: str) -> None:
 def append_rows(df: DataFrame, catalog: str, table: str, run_id: str) -> None:
     """Append a batch of attempts, quizzes, sessions or turns.
 
-    ``run_id`` names the batch; writing the same batch again replaces it.
+    ``run_id`` names the batch; writing the same batch again replaces it.  Its
+    rows are read as committed once the audit row behind them is written.
     """
-    df.write.mode("overwrite").parquet(run_path(catalog, table, run_id))
+    spark = df.sparkSession
+
+    def audit(status: str, done: datetime | None, rows: int) -> None:
+        row = [(run_id, table, started, done, rows, 0, status, None)]
+        spark.createDataFrame(row, S.TABLES["import_runs"]).coalesce(1).write.mode("overwrite").parquet(
+            run_path(catalog, "import_runs", run_id)
+        )
+
+    started = datetime.now(timezone.utc)
+    if table == "import_runs":
+        df.write.mode("overwrite").parquet(run_path(catalog, table, run_id))
+        return
+    seen = Observation()
+    audit("running", None, 0)
+    df.observe(seen, F.count("*").alias("rows")).write.mode("overwrite").parquet(run_path(catalog, table, run_id))
+    audit("completed", datetime.now(timezone.utc), seen.get["rows"])
 
 
 def read_table(spark: SparkSession, catalog: str, table: str) -> DataFrame:

@@ -235,7 +235,7 @@ def test_same_id_in_two_files_is_two_questions(spark, tmp_path):
     sources = sinks.read_committed(spark, catalog, "question_sources").collect()
     assert {s.source_revision for s in sources} == {"rev-train", "rev-test"}
     solutions = sinks.read_committed(spark, catalog, "reference_solutions").collect()
-    assert sorted(s.code for s in solutions) == ["a", "a", "b", "b"]
+    assert sorted(s.code for s in solutions) == ["a", "a", "b", "b", "c", "c"]
     assert sinks.read_committed(spark, catalog, "question_test_cases").count() == 2
 
 
@@ -488,6 +488,30 @@ def test_appended_batches_replace_themselves(spark, tmp_path):
     for _ in range(2):
         sinks.append_rows(batch, catalog, "attempts", "b1")
     assert sinks.read_table(spark, catalog, "attempts").count() == 1
+    sinks.append_rows(batch, catalog, "attempts", "b2")
+    assert sinks.read_committed(spark, catalog, "attempts").count() == 2
+    audit = sinks.read_table(spark, catalog, "import_runs").collect()
+    assert sorted((r.id, r.dataset_name, r.status, r.records_imported) for r in audit) == [
+        ("b1", "attempts", "completed", 1),
+        ("b2", "attempts", "completed", 1),
+    ]
+
+
+def test_child_ids_never_repeat_and_keep_the_order(spark):
+    places = [0, 7, 999_999, 1_000_000, 1_000_005, 12_345_678]
+    table = spark.createDataFrame([(p,) for p in places], "place long")
+    ids = [r.id for r in table.select(sinks._child_id(F.lit("q"), F.col("place")).alias("id")).collect()]
+    assert ids == sorted(set(ids)) and ids[0] == "q-000000"
+
+
+def test_markdown_is_read_at_any_depth(spark, tmp_path):
+    from drillmark.sources.readers import read_whole
+
+    for name in ("a.md", "sub/b.md", "sub/deep/c.md", "sub/d.txt"):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(name)
+    assert sorted(r.value for r in read_whole(spark, str(tmp_path), "*.md").collect()) == ["a.md", "sub/b.md", "sub/deep/c.md"]
 
 
 def test_a_moved_file_is_a_legacy_source_but_other_files_are_not(spark):
