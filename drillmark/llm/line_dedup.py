@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drillmark.llm.shared import BLANK, kept
+from drillmark.operators.barrier import once
 
 #: Similarity, as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
@@ -83,8 +84,9 @@ def _narrow(df: DataFrame, id: str, text: str) -> DataFrame:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(id, doc, at, line, same): ``same`` names the line's text."""
-    found = docs.select("id", "doc", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return found.withColumn("same", F.xxhash64("line"))
+    # an outer generator: else a filter in front of it splits every text once more
+    found = docs.select("id", "doc", F.posexplode_outer(F.split("text", "\n")).alias("at", "line"))
+    return found.filter("at is not null").withColumn("same", F.xxhash64("line"))
 
 
 def _has_word() -> Column:
@@ -93,7 +95,7 @@ def _has_word() -> Column:
 
 def rarity(docs: DataFrame) -> Column:
     """Rank of each class of words, rarest first, as a constant array."""
-    words = docs.select(F.explode(F.split("text", f"[{BLANK}]+")).alias("word"))
+    words = docs.select(F.explode_outer(F.split("text", f"[{BLANK}]+")).alias("word"))
     word_class = F.shiftrightunsigned(F.xxhash64("word"), 64 - CLASS_BITS)
     counts = words.groupBy(word_class.alias("c")).count().collect()  # at most 2**CLASS_BITS rows
     count = {r["c"]: r["count"] for r in counts}
@@ -115,15 +117,17 @@ def _with_set(lines: DataFrame, ranks: Column) -> DataFrame:
             h.bitwiseAND(F.lit((1 << low) - 1))
         ),
     )
-    with_keys = lines.withColumn("keys", F.sort_array(F.array_distinct(ranked)))
+    with_keys = once(lines, "keys", F.sort_array(F.array_distinct(ranked)))
     sketch = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
-    return with_keys.withColumn("n", F.size("keys")).withColumn("parity", sketch)
+    # never null, so that no null test tells the two sides of a later join apart
+    return with_keys.withColumn("n", F.coalesce(F.size("keys"), F.lit(0))).withColumn("parity", F.coalesce(sketch, F.lit(0).cast("long")))
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
     """(token, id, at, n, parity, i): one row per word of the prefix, at its place i in the order."""
     size = F.expr(f"n - (n * {NUMERATOR} + {DENOMINATOR - 1}) div {DENOMINATOR} + 1").cast("int")
-    return sets.select("id", "at", "n", "parity", F.posexplode(F.slice("keys", F.lit(1), size)).alias("i", "token"))
+    found = sets.select("id", "at", "n", "parity", F.posexplode_outer(F.slice("keys", F.lit(1), size)).alias("i", "token"))
+    return found.filter("token is not null")
 
 
 def _may_match(x, y) -> Column:
@@ -146,6 +150,7 @@ _LINE = ("id", "at", "n", "parity")
 
 def _pairs(prefixes: DataFrame) -> DataFrame:
     """(x_*, y_*, alone): candidate pairs, y earlier; ``alone`` marks pairs of step 4."""
+    prefixes = prefixes.repartition("token")  # one exchange for both sides of the join below
     by_word = Window.partitionBy("token").orderBy("id", "at")
     me = F.struct(*_LINE, "i")
     tried = [F.first(me).over(by_word), *[F.lag(me, k).over(by_word) for k in range(1, TRIED_BEFORE + 1)]]
