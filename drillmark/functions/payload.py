@@ -93,27 +93,59 @@ def entries(value: Column) -> Column:
     return F.try_variant_get(value, "$", "map<string,variant>")
 
 
-def nested_rows(text: Column) -> Column:
-    """The row objects inside ``data`` / ``results`` / ``web`` envelopes.
+# Members that hold the rows of a reply, in the order they are tried.
+ENVELOPES = ("data", "results", "web")
+
+
+def _objects(rows: Column) -> Column:
+    return F.filter(F.try_variant_get(rows, "$", "array<variant>"), lambda r: kind(r).startswith("OBJECT"))
 
-    A bare array is taken as it is; two levels of nesting are opened, first
-    non-empty list wins; a reply that is not JSON becomes one row holding the
-    raw text.
+
+def _opened(payload: Column, depth: Column) -> Column:
+    """The rows of the first envelope list that has any, searched level by level.
+
+    ``open`` holds the envelopes still closed, each with the places of the
+    members on the way to it; ``found`` the lists.  Members of an envelope after
+    one that is a list are not looked at.  The smallest way is the one a search
+    that goes down first would meet first.
     """
-    payload = F.try_parse_json(text)
+    node = "struct<way:string,value:variant>"
+    nodes = f"array<{node}>"
+
+    def members(envelope: Column) -> Column:
+        values = [field(envelope["value"], name) for name in ENVELOPES]
+        is_list = [F.coalesce(kind(v).startswith("ARRAY"), F.lit(False)) for v in values]
+        taken, stopped = [], F.lit(False)
+        for place, value in enumerate(values):
+            inside = F.struct(F.concat(envelope["way"], F.lit(str(place))).alias("way"), value.alias("value"))
+            taken.append(F.when(~stopped & value.isNotNull(), inside))
+            stopped = stopped | is_list[place]
+        return F.filter(F.array(*taken), lambda n: n.isNotNull()).cast(nodes)
+
+    def of_kind(found: Column, wanted: str) -> Column:
+        return F.filter(found, lambda n: kind(n["value"]).startswith(wanted))
+
+    def step(seen: Column, _: Column) -> Column:
+        below = F.flatten(F.transform(seen["open"], members))
+        filled = F.filter(of_kind(below, "ARRAY"), lambda n: F.size(_objects(n["value"])) > 0)
+        return F.struct(
+            of_kind(below, "OBJECT").alias("open"), F.concat(seen["found"], filled).alias("found")
+        )
+
+    top = F.array(F.struct(F.lit("").alias("way"), payload.alias("value"))).cast(nodes)
+    start = F.struct(of_kind(top, "OBJECT").alias("open"), of_kind(top, "ARRAY").alias("found"))
+    lists = F.aggregate(F.sequence(F.lit(1), depth), start, step, lambda seen: seen["found"])
+    first = F.array_min(F.transform(lists, lambda n: n["way"]))
+    return _objects(F.get(F.filter(lists, lambda n: n["way"] == first), F.lit(0))["value"])
 
-    def rows_at(path: str) -> Column:
-        rows = F.try_variant_get(payload, path, "array<variant>")
-        return F.filter(rows, lambda r: kind(r).startswith("OBJECT"))
 
-    def filled(rows: Column) -> Column:
-        return F.when(F.size(rows) > 0, rows)
+def nested_rows(text: Column) -> Column:
+    """The row objects inside ``data`` / ``results`` / ``web`` envelopes of any depth.
 
-    outer = ("data", "results", "web")
-    ordered = [rows_at("$")]
-    for key in outer:
-        ordered.append(rows_at(f"$.{key}"))
-        ordered.extend(filled(rows_at(f"$.{key}.{inner}")) for inner in outer)
+    A bare array is taken as it is; of nested envelopes the first non-empty list
+    wins; a reply that is not JSON becomes one row holding the raw text.
+    """
+    payload = F.try_parse_json(text)
     raw = F.array(
         F.try_parse_json(
             F.to_json(
@@ -127,4 +159,6 @@ def nested_rows(text: Column) -> Column:
     )
     none = F.filter(raw, lambda _: F.lit(False))
     unreadable = payload.isNull() & (F.length(strip(text)) > 0)
-    return F.when(unreadable, raw).otherwise(F.coalesce(*ordered, none))
+    # an envelope takes an opening brace
+    depth = F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit(""))) + 1
+    return F.when(unreadable, raw).otherwise(F.coalesce(_opened(payload, depth), none))

@@ -104,6 +104,10 @@ def test_number_field_rejects_booleans_and_text(spark):
         ("not json", ["Web result"]),
         ('{"other": 1}', []),
         ("", []),
+        ('{"data": {"results": {"web": {"data": [{"title": "deep"}]}}}}', ["deep"]),
+        ('{"data": {"results": []}, "web": {"data": {"web": [{"title": "later"}]}}}', ["later"]),
+        ('{"data": [], "results": [{"title": "not reached"}]}', []),
+        ('{"data": {"web": {"web": [{"title": "first"}]}, "results": {}}, "results": [{"title": "second"}]}', ["first"]),
     ],
 )
 def test_nested_rows(spark, raw, titles):
