@@ -23,7 +23,7 @@ from drillmark.operators.ordered import number_rows, top_per_key
 from drillmark.operators.predicates import mentions_topic, relevant_asset
 
 # Requests travel as literals inside the plan, so their number is checked.
-MAX_REQUESTS = 1_000
+REQUESTS_PER_SCAN = 1_000
 
 
 @dataclass(frozen=True)
@@ -95,13 +95,16 @@ def top_references(
 def top_references_batch(
     questions: DataFrame, sources: DataFrame, requests: list[Request], n: int = S.MAX_REFERENCES
 ) -> DataFrame:
-    """K8 for a list of requests in one scan of the corpus.
+    """K8 for a list of requests, one scan of the corpus per ``REQUESTS_PER_SCAN``.
 
     Every question is scored against the requests of its own type only; the
     top-k window drops all but ``n`` rows per request before the shuffle.
     """
-    if len(requests) > MAX_REQUESTS:
-        raise ValueError(f"At most {MAX_REQUESTS} requests per scan, got {len(requests)}")
+    if len(requests) > REQUESTS_PER_SCAN:
+        head, tail = requests[:REQUESTS_PER_SCAN], requests[REQUESTS_PER_SCAN:]
+        rest = top_references_batch(questions, sources, tail, n)
+        rest = rest.withColumn("request_no", F.col("request_no") + REQUESTS_PER_SCAN)
+        return top_references_batch(questions, sources, head, n).unionByName(rest)
     matches = F.array(
         *[
             F.when(

@@ -23,7 +23,7 @@ from drillmark.plans.ingest import outcome_counts
 from drillmark.plans.registry import query
 from drillmark.sources import interviews, normalisers, sinks
 from drillmark.sources.inspection import missing_fields
-from drillmark.sources.readers import as_variant, manifest_of, parse_json_lines
+from drillmark.sources.readers import as_variant, manifest_of, parse_json_lines, source_manifest
 from drillmark.sources.specs import INTERVIEW_SOURCES, allowed_only, choose, policy_frame
 
 RUN = "run-1"
@@ -555,6 +555,29 @@ _SOURCE_ROWS = ", ".join(
 )
 
 
+_REVISIONS = {s.key: f"rev-{s.key}" for s in INTERVIEW_SOURCES if s.license}
+_LICENCES = ", ".join(
+    f"({i}, '{s.key}', {'NULL' if s.license is None else repr(s.license)}, {str(s.ingestion_allowed).lower()})"
+    for i, s in enumerate(INTERVIEW_SOURCES)
+)
+
+
+@query(
+    f"""
+    SELECT s.source || '/' || url AS path, octet_length(encode(html)) AS bytes, sha256(html) AS sha256,
+           s.source AS source, CASE WHEN s.license IS NOT NULL THEN 'rev-' || s.source END AS revision,
+           s.license AS license, CASE WHEN s.allowed THEN 'import' ELSE 'raw-only' END AS decision
+    FROM pages JOIN (VALUES {_LICENCES}) s(no, source, license, allowed) ON s.no = page_id % 10
+    """
+)
+def source_manifests(spark, sf_dir):
+    """Every page as a file of one of the sources."""
+    names = F.array(*[F.lit(s.key) for s in INTERVIEW_SOURCES])
+    folder = F.get(names, (F.col("page_id") % len(INTERVIEW_SOURCES)).cast("int"))
+    pages = B.table(spark, sf_dir, "pages").withColumn("path", F.concat_ws("/", folder, "url"))
+    return source_manifest(manifest_of(pages, "path", "html"), policy_frame(spark), _REVISIONS)
+
+
 @query(
     f"""
     SELECT s.source, CASE WHEN s.allowed THEN 'import' ELSE 'raw-only' END AS decision,

@@ -154,6 +154,26 @@ def file_manifest(spark: SparkSession, root: str, pattern: str = "*") -> DataFra
     return files.select("path", F.col("length").alias("bytes")).join(digests, "path", "left")
 
 
+def source_manifest(files: DataFrame, policy: DataFrame, revisions: dict[str, str]) -> DataFrame:
+    """A manifest with each file's source, revision, licence and decision.
+
+    The source is the first folder of the path.  ``policy`` has a few rows.
+    Files of a source the policy does not know are not imported.
+    """
+    known = F.create_map(*[F.lit(x) for pair in revisions.items() for x in pair]) if revisions else None
+    revision = F.lit(None).cast("string") if known is None else F.try_element_at(known, F.col("source"))
+    allowed = F.coalesce(F.col("ingestion_allowed"), F.lit(False))
+    rules = F.broadcast(policy.select("source", "license", "ingestion_allowed"))
+    return (
+        files.withColumn("source", F.substring_index("path", "/", 1))
+        .join(rules, "source", "left")
+        .select(
+            "path", "bytes", "sha256", "source", revision.alias("revision"), "license",
+            F.when(allowed, "import").otherwise("raw-only").alias("decision"),
+        )
+    )
+
+
 def manifest_of(records: DataFrame, path: str, content: str) -> DataFrame:
     """The same manifest for contents held in a table."""
     body = F.encode(F.col(content), "UTF-8")

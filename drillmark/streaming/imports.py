@@ -18,11 +18,15 @@ from drillmark.sources.specs import DatasetSpec
 
 
 def import_batch(batch: DataFrame, spec: DatasetSpec, root: str, catalog: str, run_id: str) -> None:
-    """Import one micro-batch of (value, source_file) lines; a failure stops the stream."""
+    """Import one micro-batch of (value, source_file) lines; a failure stops the stream.
+
+    A line's number is not known here.  A number made from its file and text
+    stands for it: records without an id stay apart, and a batch that is
+    replayed finds the same keys.
+    """
     spark = batch.sparkSession
-    lines = batch.withColumns(
-        {"record_index": F.lit(None).cast("long"), "source_revision": F.lit(None).cast("string")}
-    )
+    place = F.xxhash64("source_file", "value").bitwiseAND(F.lit((1 << 63) - 1))
+    lines = batch.withColumns({"record_index": place, "source_revision": F.lit(None).cast("string")})
     raw = parse_json_lines(lines).withColumn("source_file", relative_path(F.col("source_file"), root))
     result = audited(
         spark,
@@ -38,7 +42,7 @@ def import_batch(batch: DataFrame, spec: DatasetSpec, root: str, catalog: str, r
 def start_import(
     spark: SparkSession, spec: DatasetSpec, root: str, catalog: str, checkpoint: str, name: str
 ) -> StreamingQuery:
-    """Watch a JSON-lines dataset whose records carry their own id."""
+    """Watch a JSON-lines dataset."""
     files = spark.readStream.text(f"{root.rstrip('/')}/{spec.file_pattern}").select(
         "value", F.col("_metadata.file_path").alias("source_file")
     )

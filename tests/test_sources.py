@@ -302,6 +302,17 @@ def test_repeating_a_run_replaces_its_rows(spark, tmp_path):
         assert sinks.read_committed(spark, catalog, "questions").count() == 2
 
 
+def test_streamed_records_without_an_id_stay_apart(spark, tmp_path):
+    catalog = str(tmp_path / "catalog")
+    (spec,) = choose(["apps"])
+    rows = [(json.dumps({"question": f"q{k % 5}"}), "train.jsonl") for k in range(6)]
+    batch = spark.createDataFrame(rows, "value string, source_file string")
+    for _ in range(2):
+        import_batch(batch, spec, str(tmp_path), catalog, "drops-000000001")
+        keys = [r.source_key for r in sinks.read_committed(spark, catalog, "question_sources").collect()]
+        assert len(keys) == len(set(keys)) == 5
+
+
 def test_selected_sections(spark, tmp_path):
     write(tmp_path / "05-behavioral.md", "## Common Behavioral Questions\n- Tell me about a conflict\n")
     write(tmp_path / "notes.md", "## Questions\n- What is not selected?\n")
