@@ -210,20 +210,20 @@ def _kept_places(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     again = _bits(firsts.filter("again").select(F.col("same").alias("h")), 22)
     worded = _told(lines.filter(_has_word()), F.col("same"), again, 22)
-    once = worded.filter(~F.col("_in"))
+    single = worded.filter(~F.col("_in"))
     more = worded.filter("_in").join(firsts.select("same", "id", "at"), ["same", "id", "at"], "left_semi")
-    compared = once.select("id", "at", "line").unionByName(more.select("id", "at", "line"))
-    sets = _with_set(compared, ranks)
-    pairs = kept(_pairs(_prefixes(sets)), "pairs")
+    compared = single.select("id", "at", "line").unionByName(more.select("id", "at", "line"))
+    prefixes = kept(_prefixes(_with_set(compared, ranks)), "prefixes")
+    pairs = kept(_pairs(prefixes), "pairs")
     matched = kept(_verified(pairs, lines, ranks), "matched")
     # lines that were paired with one line only, which then was not similar
     open_ = pairs.filter("alone").select(*[F.col(f"x_{c}").alias(c) for c in _LINE]).distinct().join(matched, list(_LINE), "left_anti")
     open_ = kept(open_, "open")
     at_open = _bits(open_.select(F.xxhash64("id", "at").alias("h")), 18)
-    reopened = _with_set(_told(compared, F.xxhash64("id", "at"), at_open, 18).filter("_in"), ranks)
-    some = kept(_prefixes(reopened.join(open_, list(_LINE), "left_semi")), "open")
+    maybe = _told(prefixes, F.xxhash64("id", "at"), at_open, 18).filter("_in").drop("_in")
+    some = kept(maybe.join(open_, list(_LINE), "left_semi"), "open")
     words_open = _bits(some.select(F.col("token").alias("h")), 20)
-    others = _told(_prefixes(sets), F.col("token"), words_open, 20).filter("_in")
+    others = _told(prefixes, F.col("token"), words_open, 20).filter("_in").drop("_in")
     rest = kept(_all_pairs(some, others), "pairs")
     late = _verified(rest, lines, ranks)
     gone = matched.unionByName(late).select("id", "at").distinct()
