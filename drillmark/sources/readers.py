@@ -71,9 +71,14 @@ def read_json_lines(spark: SparkSession, paths) -> DataFrame:
 def parse_json_array(files: DataFrame) -> DataFrame:
     """Elements of JSON-array files, element index kept, non-objects flagged.
 
-    ``files`` has one whole file per row: (source_file, value).
+    ``files`` has one whole file per row: (source_file, value).  A file that is
+    no JSON array, or more than Spark parses as one value (128 MiB), stops the
+    job: no file counts as read that gave no records.
     """
-    elements = F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")
+    elements = F.coalesce(
+        F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>"),
+        F.raise_error(F.concat(F.lit("Not readable as one JSON array: "), F.col("source_file"))).cast("array<variant>"),
+    )
     exploded = files.select("source_file", F.posexplode(elements).alias("record_index", "record"))
     return _flag_rejects(exploded.withColumn("record_index", F.col("record_index").cast("long")))
 

@@ -99,6 +99,13 @@ def test_parquet_reader_prunes_columns(spark, tmp_path):
     assert "unwanted" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_an_unreadable_json_array_stops_the_job(spark, tmp_path):
+    for name, text in (("cut.json", '[{"a": 1}, {"a"'), ("object.json", '{"a": 1}')):
+        (tmp_path / name).write_text(text)
+        with pytest.raises(Exception, match="Not readable as one JSON array"):
+            readers.read_json_array(spark, str(tmp_path / name)).collect()
+
+
 def test_archives_report_errors_as_rows(spark):
     rows = [
         ("good", archive(TASK)),
