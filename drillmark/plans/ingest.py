@@ -21,18 +21,18 @@ from drillmark.sources.readers import (
     read_parquet_records,
     read_whole,
 )
-from drillmark.sources.specs import INTERVIEW_SOURCES, DatasetSpec, InterviewSource, choose
+from drillmark.sources.specs import PROMPT_CORPORA, QuestionCorpus, PromptCorpus, choose
 
 
-def read_raw(spark: SparkSession, spec: DatasetSpec, paths: list[str], root: str) -> DataFrame:
+def read_raw(spark: SparkSession, spec: QuestionCorpus, paths: list[str], root: str) -> DataFrame:
     """Raw records of a dataset with relative file, index, revision and reject flag."""
     known = revisions(spark, root)
-    if spec.key == "codecontests":
+    if spec.short == "codecontests":
         raw = read_parquet_records(spark, paths, ["path", "task_binary"])
         raw = raw.withColumn("rejected", F.lit(False))
-    elif spec.source_format == "parquet":
+    elif spec.files.format == "parquet":
         raw = as_variant(read_parquet_records(spark, paths))
-    elif spec.source_format == "jsonl":
+    elif spec.files.format == "jsonl":
         raw = read_json_lines(spark, paths)
     else:
         raw = read_json_array(spark, paths)
@@ -89,7 +89,7 @@ def audited(
 
 
 def import_records(
-    spark: SparkSession, raw: DataFrame, spec: DatasetSpec, catalog: str, run_id: str
+    spark: SparkSession, raw: DataFrame, spec: QuestionCorpus, catalog: str, run_id: str
 ) -> tuple[int, int]:
     """Import raw records as one run; returns (imported, skipped).
 
@@ -97,7 +97,7 @@ def import_records(
     tables of a question come from the same rows whatever task is lost.
     """
     usable = raw.filter(~F.col("rejected")).drop("rejected")
-    normalised = NORMALISERS[spec.key](usable, spec, run_id)
+    normalised = NORMALISERS[spec.short](usable, spec, run_id)
     staging = sinks.run_path(catalog, "_staging", run_id)
     stored = sinks.read_committed(spark, catalog, "question_sources")
     sinks.new_questions(normalised, stored).write.mode("overwrite").parquet(staging)
@@ -108,7 +108,7 @@ def import_records(
 
 
 def import_questions(
-    spark: SparkSession, spec: DatasetSpec, root: str, catalog: str, run_id: str
+    spark: SparkSession, spec: QuestionCorpus, root: str, catalog: str, run_id: str
 ) -> tuple[int, int]:
     """Inspect all files of a dataset, then import them."""
     paths = require_sound(inspect_dataset(spark, spec, root), spec)
@@ -121,12 +121,12 @@ def run_import(
     """Import the chosen datasets one by one; a failure stays with its dataset."""
     results = []
     for spec in choose(datasets):
-        run_id = f"{run_prefix}-{spec.key}"
+        run_id = f"{run_prefix}-{spec.short}"
 
         def work(spec=spec, run_id=run_id):
             return import_questions(spark, spec, root, catalog, run_id)
 
-        results.append(audited(spark, catalog, run_id, spec.dataset_name, work))
+        results.append(audited(spark, catalog, run_id, spec.name, work))
     return results
 
 
@@ -142,8 +142,8 @@ def interview_records(
 ) -> dict[str, Callable[[], DataFrame]]:
     """Per allowed source, its item rows read by its own reader."""
 
-    def reader(source: InterviewSource) -> DataFrame:
-        folder, rev = f"{root.rstrip('/')}/{source.key}", revision.get(source.key)
+    def reader(source: PromptCorpus) -> DataFrame:
+        folder, rev = f"{root.rstrip('/')}/{source.name}", revision.get(source.name)
         if source.reader == "json":
             raw = read_json_array(spark, f"{folder}/data/questions.json")
             raw = raw.withColumn("source_revision", F.lit(rev).cast("string"))
@@ -154,14 +154,14 @@ def interview_records(
         files = _files(spark, folder, rev, "*.md").filter(~readme)
         described = files.withColumns(
             {
-                "dataset": F.lit(source.key),
-                "license": F.lit(source.license).cast("string"),
+                "dataset": F.lit(source.name),
+                "license": F.lit(source.rights.license).cast("string"),
                 "domain": F.lit(source.domain),
             }
         )
         return interviews.generic_markdown(described, run_id)
 
-    return {s.key: partial(reader, s) for s in INTERVIEW_SOURCES if s.ingestion_allowed}
+    return {s.name: partial(reader, s) for s in PROMPT_CORPORA if s.rights.importable}
 
 
 def selected_sections(spark: SparkSession, folder: str, run_id: str, revision: str) -> DataFrame:

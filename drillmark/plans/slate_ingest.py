@@ -24,7 +24,7 @@ from drillmark.plans.registry import query
 from drillmark.sources import interviews, normalisers, sinks
 from drillmark.sources.inspection import missing_fields
 from drillmark.sources.readers import as_variant, manifest_of, parse_json_lines, source_manifest
-from drillmark.sources.specs import INTERVIEW_SOURCES, allowed_only, choose, policy_frame
+from drillmark.sources.specs import PROMPT_CORPORA, allowed_only, choose, policy_frame
 
 RUN = "run-1"
 
@@ -551,14 +551,14 @@ def file_manifest(spark, sf_dir):
 
 
 _SOURCE_ROWS = ", ".join(
-    f"({i}, '{s.key}', {str(s.ingestion_allowed).lower()})" for i, s in enumerate(INTERVIEW_SOURCES)
+    f"({i}, '{s.name}', {str(s.rights.importable).lower()})" for i, s in enumerate(PROMPT_CORPORA)
 )
 
 
-_REVISIONS = {s.key: f"rev-{s.key}" for s in INTERVIEW_SOURCES if s.license}
+_REVISIONS = {s.name: f"rev-{s.name}" for s in PROMPT_CORPORA if s.rights.license}
 _LICENCES = ", ".join(
-    f"({i}, '{s.key}', {'NULL' if s.license is None else repr(s.license)}, {str(s.ingestion_allowed).lower()})"
-    for i, s in enumerate(INTERVIEW_SOURCES)
+    f"({i}, '{s.name}', {'NULL' if s.rights.license is None else repr(s.rights.license)}, {str(s.rights.importable).lower()})"
+    for i, s in enumerate(PROMPT_CORPORA)
 )
 
 
@@ -572,8 +572,8 @@ _LICENCES = ", ".join(
 )
 def source_manifests(spark, sf_dir):
     """Every page as a file of one of the sources."""
-    names = F.array(*[F.lit(s.key) for s in INTERVIEW_SOURCES])
-    folder = F.get(names, (F.col("page_id") % len(INTERVIEW_SOURCES)).cast("int"))
+    names = F.array(*[F.lit(s.name) for s in PROMPT_CORPORA])
+    folder = F.get(names, (F.col("page_id") % len(PROMPT_CORPORA)).cast("int"))
     pages = B.table(spark, sf_dir, "pages").withColumn("path", F.concat_ws("/", folder, "url"))
     return source_manifest(manifest_of(pages, "path", "html"), policy_frame(spark), _REVISIONS)
 
@@ -588,9 +588,9 @@ def source_manifests(spark, sf_dir):
     """
 )
 def license_gate(spark, sf_dir):
-    names = F.array(*[F.lit(s.key) for s in INTERVIEW_SOURCES])
+    names = F.array(*[F.lit(s.name) for s in PROMPT_CORPORA])
     files = B.table(spark, sf_dir, "pages").select(
-        F.get(names, (F.col("page_id") % len(INTERVIEW_SOURCES)).cast("int")).alias("source"),
+        F.get(names, (F.col("page_id") % len(PROMPT_CORPORA)).cast("int")).alias("source"),
         F.octet_length(F.encode("html", "UTF-8")).alias("length"),
     )
     policy = policy_frame(spark)

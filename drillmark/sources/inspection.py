@@ -12,7 +12,7 @@ from drillmark.functions.payload import kind
 from drillmark.functions.text import has_text, non_empty
 from drillmark.sources.readers import list_files, read_lines, read_whole
 from drillmark.sources.shipping import ship_by_value
-from drillmark.sources.specs import DatasetSpec
+from drillmark.sources.specs import QuestionCorpus
 
 ship_by_value(__name__)
 
@@ -45,43 +45,43 @@ def _parquet_fields(files: DataFrame) -> DataFrame:
     return files.mapInPandas(footers, "path string, fields array<string>")
 
 
-def inspect_dataset(spark: SparkSession, spec: DatasetSpec, root: str) -> DataFrame:
+def inspect_dataset(spark: SparkSession, spec: QuestionCorpus, root: str) -> DataFrame:
     """(path, fields, missing) of every file of a dataset.
 
     ``fields`` is null for a file of the wrong format or without records.
     """
-    required = F.array(*[F.lit(f) for f in spec.required_fields])
-    pattern = f"{root.rstrip('/')}/{spec.file_pattern}"
-    files = list_files(spark, root, spec.file_pattern).select("path")
-    if spec.source_format == "parquet":
+    required = F.array(*[F.lit(f) for f in spec.files.members])
+    pattern = f"{root.rstrip('/')}/{spec.files.place}"
+    files = list_files(spark, root, spec.files.place).select("path")
+    if spec.files.format == "parquet":
         fields = _parquet_fields(files)
-    elif spec.source_format == "jsonl":
+    elif spec.files.format == "jsonl":
         lines = read_lines(spark, pattern).filter(has_text(F.col("value")))
         first = lines.groupBy("source_file").agg(F.min_by("value", "record_index").alias("value"))
         fields = first.select(F.col("source_file").alias("path"), F.json_object_keys("value").alias("fields"))
-    elif spec.source_format == "json_array":
+    elif spec.files.format == "json_array":
         head = F.try_variant_get(F.try_parse_json("value"), "$[0]", "variant")
         keys = F.when(kind(head).startswith("OBJECT"), F.json_object_keys(F.to_json(head)))
         fields = read_whole(spark, pattern).select(F.col("source_file").alias("path"), keys.alias("fields"))
     else:
-        raise ValueError(f"No reader for {spec.source_format} files")
+        raise ValueError(f"No reader for {spec.files.format} files")
     present = F.coalesce("fields", F.array().cast("array<string>"))
     return files.join(fields, "path", "left").select(
         "path", "fields", missing_fields(present, required).alias("missing")
     )
 
 
-def require_sound(inspected: DataFrame, spec: DatasetSpec) -> list[str]:
+def require_sound(inspected: DataFrame, spec: QuestionCorpus) -> list[str]:
     """Sorted file paths, or an error before any row is read.
 
     The inspection has one row per file, which is what comes to the driver.
     """
     rows = sorted(inspected.collect(), key=lambda r: r.path)
     if not rows:
-        raise FileNotFoundError(f"{spec.key}: nothing at {spec.file_pattern}")
+        raise FileNotFoundError(f"{spec.short}: nothing at {spec.files.place}")
     for row in rows:
         if row.fields is None:
-            raise ValueError(f"{row.path} does not hold {spec.source_format} records")
+            raise ValueError(f"{row.path} does not hold {spec.files.format} records")
         if row.missing:
             raise ValueError(f"{row.path} lacks the fields {', '.join(row.missing)}")
     return [row.path for row in rows]

@@ -27,7 +27,7 @@ from drillmark.functions.text import (
 )
 from drillmark.sources.archives import decode_archives
 from drillmark.sources.literals import json_or_literal
-from drillmark.sources.specs import DatasetSpec
+from drillmark.sources.specs import QuestionCorpus
 
 # Difficulty words of each source (any other word means Medium).
 DIFFICULTY_BY_SOURCE = {
@@ -158,7 +158,7 @@ def text_list(value: Column) -> Column:
 
 
 def _question(
-    spec: DatasetSpec,
+    spec: QuestionCorpus,
     run_id: str,
     *,
     identity: list[Column],
@@ -179,26 +179,26 @@ def _question(
         return F.lit(value).cast("string")
 
     source = F.struct(
-        F.lit(spec.dataset_name).alias("dataset_name"),
-        source_key(F.lit(spec.dataset_name), *identity).alias("source_key"),
+        F.lit(spec.name).alias("dataset_name"),
+        source_key(F.lit(spec.name), *identity).alias("source_key"),
         F.col("source_file"),
         (text(None) if original_id is None else original_id).alias("original_id"),
         F.col("source_revision"),
         F.col("record_index").cast("long").alias("source_record_index"),
-        text(spec.license).alias("license"),
-        F.lit(spec.attribution).alias("attribution"),
+        text(spec.rights.license).alias("license"),
+        F.lit(spec.rights.credit).alias("attribution"),
         F.lit(run_id).alias("import_run_id"),
         legacy_id.alias("legacy_original_id"),
     )
     empty_tags = F.array().cast("array<string>")
     return [
         title.alias("title"),
-        F.lit(spec.question_type).alias("question_type"),
+        F.lit(spec.kind).alias("question_type"),
         difficulty.alias("difficulty"),
         statement.alias("problem_statement"),
         text(None).alias("constraints"),
         text(None).alias("examples"),
-        F.array(*[F.lit(m) for m in spec.supported_methods]).alias("supported_methods"),
+        F.array(*[F.lit(m) for m in spec.methods]).alias("supported_methods"),
         F.coalesce(tags, empty_tags).alias("tags") if tags is not None else empty_tags.alias("tags"),
         source.alias("source"),
         (_empty(_ASSETS) if assets is None else assets).alias("assets"),
@@ -216,7 +216,7 @@ def _usable(statement: Column, *needed: Column) -> Column:
     return F.when(F.coalesce(ready, F.lit(False)), statement).otherwise("")
 
 
-def coding_lines_a(raw: DataFrame, spec: DatasetSpec, run_id: str) -> DataFrame:
+def coding_lines_a(raw: DataFrame, spec: QuestionCorpus, run_id: str) -> DataFrame:
     """One problem per line, identified by its task id."""
     task = first_filled(member("task_id"), member("question_id"))
     starter, completion = _text_or_empty(member("starter_code")), _text_or_empty(member("completion"))
@@ -239,7 +239,7 @@ def coding_lines_a(raw: DataFrame, spec: DatasetSpec, run_id: str) -> DataFrame:
     )
 
 
-def coding_lines_b(raw: DataFrame, spec: DatasetSpec, run_id: str) -> DataFrame:
+def coding_lines_b(raw: DataFrame, spec: QuestionCorpus, run_id: str) -> DataFrame:
     """Ids repeat between files, so the file is part of the identity."""
     given = F.coalesce(member("problem_id"), member("id"))
     row = F.col("record_index").cast("string")
@@ -262,7 +262,7 @@ def coding_lines_b(raw: DataFrame, spec: DatasetSpec, run_id: str) -> DataFrame:
     )
 
 
-def coding_table(raw: DataFrame, spec: DatasetSpec, run_id: str) -> DataFrame:
+def coding_table(raw: DataFrame, spec: QuestionCorpus, run_id: str) -> DataFrame:
     """Columns may hold JSON or Python literals."""
     decoded = raw.select(
         "*",
@@ -290,7 +290,7 @@ def coding_table(raw: DataFrame, spec: DatasetSpec, run_id: str) -> DataFrame:
     )
 
 
-def coding_archives(raw: DataFrame, spec: DatasetSpec, run_id: str) -> DataFrame:
+def coding_archives(raw: DataFrame, spec: QuestionCorpus, run_id: str) -> DataFrame:
     """(path, task_binary) rows; a broken archive has a blank statement."""
     decoded = decode_archives(raw)
     path = non_empty(F.col("path"))
@@ -312,7 +312,7 @@ def coding_archives(raw: DataFrame, spec: DatasetSpec, run_id: str) -> DataFrame
 
 
 def _sql_question(
-    spec: DatasetSpec,
+    spec: QuestionCorpus,
     run_id: str,
     question: Column,
     answer: Column,
@@ -337,7 +337,7 @@ def _sql_question(
     )
 
 
-def sql_by_database(raw: DataFrame, spec: DatasetSpec, run_id: str) -> DataFrame:
+def sql_by_database(raw: DataFrame, spec: QuestionCorpus, run_id: str) -> DataFrame:
     """A question against a named database."""
     question, answer = _text_or_empty(member("question")), _text_or_empty(member("query"))
     database = first_filled(member("db_id"), F.lit("unknown"))
@@ -353,7 +353,7 @@ def sql_by_database(raw: DataFrame, spec: DatasetSpec, run_id: str) -> DataFrame
 
 
 def _sql_with_schema(names: dict[str, tuple[str, ...]], difficulty: str) -> Callable:
-    def normalise(raw: DataFrame, spec: DatasetSpec, run_id: str) -> DataFrame:
+    def normalise(raw: DataFrame, spec: QuestionCorpus, run_id: str) -> DataFrame:
         question, schema, answer = (
             _text_or_empty(first_filled(*[member(n) for n in names[part]]))
             for part in ("question", "schema", "answer")
@@ -393,7 +393,7 @@ sql_from_prompt = _sql_with_schema(
     "Medium",
 )
 
-NORMALISERS: dict[str, Callable[[DataFrame, DatasetSpec, str], DataFrame]] = {
+NORMALISERS: dict[str, Callable[[DataFrame, QuestionCorpus, str], DataFrame]] = {
     "leetcode": coding_lines_a,
     "apps": coding_lines_b,
     "codecontests": coding_archives,

@@ -14,10 +14,10 @@ from pyspark.sql.streaming import StreamingQuery
 from drillmark.functions.text import relative_path
 from drillmark.plans.ingest import audited, import_records
 from drillmark.sources.readers import parse_json_lines
-from drillmark.sources.specs import DatasetSpec
+from drillmark.sources.specs import QuestionCorpus
 
 
-def import_batch(batch: DataFrame, spec: DatasetSpec, root: str, catalog: str, run_id: str) -> None:
+def import_batch(batch: DataFrame, spec: QuestionCorpus, root: str, catalog: str, run_id: str) -> None:
     """Import one micro-batch of (value, source_file) lines; a failure stops the stream.
 
     A line's number is not known here.  A number made from its file and text
@@ -32,7 +32,7 @@ def import_batch(batch: DataFrame, spec: DatasetSpec, root: str, catalog: str, r
         spark,
         catalog,
         run_id,
-        spec.dataset_name,
+        spec.name,
         lambda: import_records(spark, raw, spec, catalog, run_id),
     )
     if result["status"] == "failed":
@@ -40,10 +40,10 @@ def import_batch(batch: DataFrame, spec: DatasetSpec, root: str, catalog: str, r
 
 
 def start_import(
-    spark: SparkSession, spec: DatasetSpec, root: str, catalog: str, checkpoint: str, name: str
+    spark: SparkSession, spec: QuestionCorpus, root: str, catalog: str, checkpoint: str, name: str
 ) -> StreamingQuery:
     """Watch a JSON-lines dataset."""
-    files = spark.readStream.text(f"{root.rstrip('/')}/{spec.file_pattern}").select(
+    files = spark.readStream.text(f"{root.rstrip('/')}/{spec.files.place}").select(
         "value", F.col("_metadata.file_path").alias("source_file")
     )
 

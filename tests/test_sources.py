@@ -163,7 +163,7 @@ def test_inspection_errors(spark, tmp_path):
     write(tmp_path / "algorithm_problems/TACO/ALL/a.parquet", b"not parquet")
     with pytest.raises(ValueError, match="does not hold parquet"):
         require_sound(inspect_dataset(spark, taco, str(tmp_path)), taco)
-    write(tmp_path / sqlctx.file_pattern, "[]")
+    write(tmp_path / sqlctx.files.place, "[]")
     with pytest.raises(ValueError, match="does not hold json_array"):
         require_sound(inspect_dataset(spark, sqlctx, str(tmp_path)), sqlctx)
 
@@ -185,7 +185,7 @@ def counts(results):
 def test_unknown_and_repeated_datasets():
     with pytest.raises(ValueError, match="No dataset is called"):
         choose(["nothing"])
-    assert [s.key for s in choose(["taco", "TACO", "apps"])] == ["taco", "apps"]
+    assert [s.short for s in choose(["taco", "TACO", "apps"])] == ["taco", "apps"]
 
 
 def test_import_twice_skips_everything(spark, tmp_path):
