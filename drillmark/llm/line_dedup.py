@@ -8,15 +8,17 @@ matter whether that one stays itself.
    of words (by hash), so the table that gives the order has a fixed size;
    within a class words are ordered by hash.
 2. Equal lines are one line at their first place; only it is compared.
-3. Two similar sets share a word among the rarest ``n - ceil(4n/5) + 1`` of
-   each (prefix filter).  Lines meet on such words, and go on if their sizes
-   (length filter), the places of the word in both (positional filter) and a
-   64-bit parity sketch of both sets (an upper bound of the overlap) allow it.
-4. Within the lines of one word, a line that looks similar to the first or to
-   the one before it is paired with that one alone, so a group of g variants of
-   a line does not give g*g pairs.
-5. The pairs that are left are verified on the words themselves.  Lines whose
-   only partner of step 4 fails there are paired with all lines of their words.
+3. Two similar sets share ``l`` words among the rarest ``n - ceil(4n/5) + l`` of
+   each (prefix filter; ``l`` is 1 for short lines and up to 3 for long ones).
+   Lines meet on such words, and go on if their sizes (length filter), the
+   places of the word in both (positional filter) and a 64-bit parity sketch of
+   both sets (an upper bound of the overlap) allow it, on ``l`` words at least.
+4. Within the lines of one word, a line whose sketch is close to that of the
+   first or of the one before it is paired with that one alone, so a group of g
+   variants of a line does not give g*g pairs.
+5. The pairs that are left are verified on the words themselves.  Lines that
+   step 4 kept from other partners and that nothing matched are paired with all
+   lines of their words.
 
 Everything is built-in DataFrame functions.  Fixed-size bit tables (``_bits``)
 keep rows that cannot matter out of a shuffle; false positives in them cost time
@@ -43,6 +45,8 @@ NUMERATOR, DENOMINATOR = 4, 5
 CLASS_BITS = 12
 #: Earlier lines of a word that are tried before all others.
 TRIED_BEFORE = 1
+#: Sketches that differ in at most so many of their 64 bits are close.
+CLOSE_BITS = 18
 FIRST_ID = -(1 << 63)
 
 
@@ -123,9 +127,14 @@ def _with_set(lines: DataFrame, ranks: Column) -> DataFrame:
     return with_keys.withColumn("n", F.coalesce(F.size("keys"), F.lit(0))).withColumn("parity", F.coalesce(sketch, F.lit(0).cast("long")))
 
 
+def _shared(n: Column) -> Column:
+    """How many prefix words a line of ``n`` words shares with a longer similar one, at least."""
+    return F.when(n < 24, 1).when(n < 60, 2).otherwise(3)
+
+
 def _prefixes(sets: DataFrame) -> DataFrame:
     """(token, id, at, n, parity, i): one row per word of the prefix, at its place i in the order."""
-    size = F.expr(f"n - (n * {NUMERATOR} + {DENOMINATOR - 1}) div {DENOMINATOR} + 1").cast("int")
+    size = F.expr(f"n - (n * {NUMERATOR} + {DENOMINATOR - 1}) div {DENOMINATOR}").cast("int") + _shared(F.col("n"))
     found = sets.select("id", "at", "n", "parity", F.posexplode_outer(F.slice("keys", F.lit(1), size)).alias("i", "token"))
     return found.filter("token is not null")
 
@@ -136,12 +145,17 @@ def _may_match(x, y) -> Column:
     both = NUMERATOR + DENOMINATOR
     least = F.expr("0") + F.floor((total * NUMERATOR + (both - 1)) / both)  # overlap that is needed
     earlier = (y("id") < x("id")) | ((y("id") == x("id")) & (y("at") < x("at")))
-    rest = F.least(x("n") - x("i"), y("n") - y("i"))
+    # the word is one of the first that both share
+    rest = F.least(x("n") - x("i"), y("n") - y("i")) + _shared(F.least(x("n"), y("n"))) - 1
     sizes = (x("n") * DENOMINATOR >= y("n") * NUMERATOR) & (y("n") * DENOMINATOR >= x("n") * NUMERATOR)
     apart = F.bit_count(x("parity").bitwiseXOR(y("parity")))
     return earlier & sizes & (rest >= least) & (apart <= total - 2 * least)
 
 
+def _close(x, y) -> Column:
+    return F.bit_count(x("parity").bitwiseXOR(y("parity"))) <= CLOSE_BITS
+
+
 _LINE = ("id", "at", "n", "parity")
 
 
@@ -159,7 +173,10 @@ def _pairs(prefixes: DataFrame) -> DataFrame:
     def x(c):
         return F.col(c)
 
-    looks = F.coalesce(*[F.when(_may_match(x, lambda c, k=k: F.col(f"t{k}.{c}")), F.col(f"t{k}")) for k in range(len(tried))])
+    def t(k):
+        return lambda c: F.col(f"t{k}.{c}")
+
+    looks = F.coalesce(*[F.when(_may_match(x, t(k)) & _close(x, t(k)), F.col(f"t{k}")) for k in range(len(tried))])
     left = ahead.withColumn("near", looks).select("token", *_LINE, "i", "near")
     right = prefixes.select("token", *[F.col(c).alias(f"r_{c}") for c in (*_LINE, "i")])
     joined = left.join(
@@ -169,14 +186,22 @@ def _pairs(prefixes: DataFrame) -> DataFrame:
     )
     y = [F.coalesce(F.col(f"near.{c}"), F.col(f"r_{c}")).alias(f"y_{c}") for c in _LINE]
     found = joined.select(*[F.col(c).alias(f"x_{c}") for c in _LINE], *y, F.col("near").isNotNull().alias("alone"))
-    return found.filter("y_id is not null").groupBy(*[f"{s}_{c}" for s in "xy" for c in _LINE]).agg(F.max("alone").alias("alone"))
+    return _often(found.filter("y_id is not null"), F.max("alone").alias("alone")).drop("times")
+
+
+def _often(found: DataFrame, *more: Column) -> DataFrame:
+    """Pairs that met on enough words, or are pairs of step 4."""
+    pairs = found.groupBy(*[f"{s}_{c}" for s in "xy" for c in _LINE]).agg(F.count("*").alias("times"), *more)
+    enough = F.col("times") >= _shared(F.least("x_n", "y_n"))
+    return pairs.filter(enough | F.col("alone") if more else enough)
 
 
 def _all_pairs(some: DataFrame, prefixes: DataFrame) -> DataFrame:
     left = some.select("token", *_LINE, "i")
     right = prefixes.select("token", *[F.col(c).alias(f"r_{c}") for c in (*_LINE, "i")])
     joined = left.join(right, (left["token"] == right["token"]) & _may_match(F.col, lambda c: F.col(f"r_{c}")))
-    return joined.select(*[F.col(c).alias(f"x_{c}") for c in _LINE], *[F.col(f"r_{c}").alias(f"y_{c}") for c in _LINE]).distinct()
+    found = joined.select(*[F.col(c).alias(f"x_{c}") for c in _LINE], *[F.col(f"r_{c}").alias(f"y_{c}") for c in _LINE])
+    return _often(found).drop("times")
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, ranks: Column) -> DataFrame:
