@@ -7,7 +7,9 @@ matter whether that one stays itself.
 1. Words are ordered by rarity.  Counts of all words are kept for 4,096 classes
    of words (by hash), so the table that gives the order has a fixed size;
    within a class words are ordered by hash.
-2. Equal lines are one line at their first place; only it is compared.
+2. Equal lines are one line at their first place; only it is compared.  A line
+   is named by its text throughout (``same``); id and number only order lines,
+   since rows without an id, or with a repeated one, share them.
 3. Two similar sets share ``l`` words among the rarest ``n - ceil(4n/5) + l`` of
    each (prefix filter; ``l`` is 1 for short lines and up to 3 for long ones).
    Lines meet on such words, and go on if their sizes (length filter), the
@@ -133,9 +135,9 @@ def _shared(n: Column) -> Column:
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
-    """(token, id, at, n, parity, i): one row per word of the prefix, at its place i in the order."""
+    """(token, same, id, at, n, parity, i): one row per word of the prefix, at its place i in the order."""
     size = F.expr(f"n - (n * {NUMERATOR} + {DENOMINATOR - 1}) div {DENOMINATOR}").cast("int") + _shared(F.col("n"))
-    found = sets.select("id", "at", "n", "parity", F.posexplode_outer(F.slice("keys", F.lit(1), size)).alias("i", "token"))
+    found = sets.select(*_LINE, F.posexplode_outer(F.slice("keys", F.lit(1), size)).alias("i", "token"))
     return found.filter("token is not null")
 
 
@@ -156,14 +158,16 @@ def _close(x, y) -> Column:
     return F.bit_count(x("parity").bitwiseXOR(y("parity"))) <= CLOSE_BITS
 
 
-_LINE = ("id", "at", "n", "parity")
+_LINE = ("same", "id", "at", "n", "parity")
+#: What is left of a line once the earlier one of a pair is known.
+_END = ("same", "n")
 
 
 # ------------------------------------------------------------------ candidates
 
 
 def _pairs(prefixes: DataFrame) -> DataFrame:
-    """(x_*, y_*, alone): candidate pairs, y earlier; ``alone`` marks pairs of step 4."""
+    """(x_same, x_n, y_same, y_n, alone): candidate pairs, y earlier; ``alone`` marks pairs of step 4."""
     prefixes = prefixes.repartition("token")  # one exchange for both sides of the join below
     by_word = Window.partitionBy("token").orderBy("id", "at")
     me = F.struct(*_LINE, "i")
@@ -184,14 +188,14 @@ def _pairs(prefixes: DataFrame) -> DataFrame:
         (left["token"] == right["token"]) & F.col("near").isNull() & _may_match(x, lambda c: F.col(f"r_{c}")),
         "left",
     )
-    y = [F.coalesce(F.col(f"near.{c}"), F.col(f"r_{c}")).alias(f"y_{c}") for c in _LINE]
-    found = joined.select(*[F.col(c).alias(f"x_{c}") for c in _LINE], *y, F.col("near").isNotNull().alias("alone"))
-    return _often(found.filter("y_id is not null"), F.max("alone").alias("alone")).drop("times")
+    y = [F.coalesce(F.col(f"near.{c}"), F.col(f"r_{c}")).alias(f"y_{c}") for c in _END]
+    found = joined.select(*[F.col(c).alias(f"x_{c}") for c in _END], *y, F.col("near").isNotNull().alias("alone"))
+    return _often(found.filter("y_same is not null"), F.max("alone").alias("alone")).drop("times")
 
 
 def _often(found: DataFrame, *more: Column) -> DataFrame:
     """Pairs that met on enough words, or are pairs of step 4."""
-    pairs = found.groupBy(*[f"{s}_{c}" for s in "xy" for c in _LINE]).agg(F.count("*").alias("times"), *more)
+    pairs = found.groupBy(*[f"{s}_{c}" for s in "xy" for c in _END]).agg(F.count("*").alias("times"), *more)
     enough = F.col("times") >= _shared(F.least("x_n", "y_n"))
     return pairs.filter(enough | F.col("alone") if more else enough)
 
@@ -200,24 +204,23 @@ def _all_pairs(some: DataFrame, prefixes: DataFrame) -> DataFrame:
     left = some.select("token", *_LINE, "i")
     right = prefixes.select("token", *[F.col(c).alias(f"r_{c}") for c in (*_LINE, "i")])
     joined = left.join(right, (left["token"] == right["token"]) & _may_match(F.col, lambda c: F.col(f"r_{c}")))
-    found = joined.select(*[F.col(c).alias(f"x_{c}") for c in _LINE], *[F.col(f"r_{c}").alias(f"y_{c}") for c in _LINE])
+    found = joined.select(*[F.col(c).alias(f"x_{c}") for c in _END], *[F.col(f"r_{c}").alias(f"y_{c}") for c in _END])
     return _often(found).drop("times")
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, ranks: Column) -> DataFrame:
-    """(id, at, n, parity) of the lines with a similar earlier line among ``pairs``."""
-    ends = pairs.select("x_id", "x_at").union(pairs.select("y_id", "y_at")).toDF("id", "at")
-    wanted = _bits(ends.select(F.xxhash64("id", "at").alias("h")), 22)
-    sets = _with_set(_told(lines.filter(_has_word()), F.xxhash64("id", "at"), wanted, 22).filter("_in"), ranks).select(*_LINE, "keys")
-    sets = sets.dropDuplicates(list(_LINE))
+def _verified(pairs: DataFrame, compared: DataFrame, ranks: Column) -> DataFrame:
+    """(same) of the lines with a similar earlier line among ``pairs``."""
+    ends = pairs.select(F.col("x_same").alias("h")).union(pairs.select("y_same"))
+    wanted = _bits(ends, 22)
+    sets = _with_set(_told(compared, F.col("same"), wanted, 22).filter("_in"), ranks).select("same", "keys")
 
     def side(s):
-        return sets.select(*[F.col(c).alias(f"{s}_{c}") for c in _LINE], F.col("keys").alias(f"{s}_keys"))
+        return sets.select(F.col("same").alias(f"{s}_same"), F.col("keys").alias(f"{s}_keys"))
 
-    both = pairs.join(side("x"), [f"x_{c}" for c in _LINE]).join(side("y"), [f"y_{c}" for c in _LINE])
+    both = pairs.join(side("x"), "x_same").join(side("y"), "y_same")
     shared = F.size(F.array_intersect("x_keys", "y_keys"))
     similar = both.filter(shared * (NUMERATOR + DENOMINATOR) >= (F.col("x_n") + F.col("y_n")) * NUMERATOR)
-    return similar.select(*[F.col(f"x_{c}").alias(c) for c in _LINE]).distinct()
+    return similar.select(F.col("x_same").alias("same")).distinct()
 
 
 # -------------------------------------------------------------------- decision
@@ -237,22 +240,24 @@ def _kept_places(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     worded = _told(lines.filter(_has_word()), F.col("same"), again, 22)
     single = worded.filter(~F.col("_in"))
     more = worded.filter("_in").join(firsts.select("same", "id", "at"), ["same", "id", "at"], "left_semi")
-    compared = single.select("id", "at", "line").unionByName(more.select("id", "at", "line"))
+    # several rows without an id may hold a line at its first place
+    more = kept(more.groupBy("same").agg(*[F.first(c).alias(c) for c in ("id", "at", "line")]), "more")
+    compared = single.select("same", "id", "at", "line").unionByName(more)  # one row per text
     prefixes = kept(_prefixes(_with_set(compared, ranks)), "prefixes")
     pairs = kept(_pairs(prefixes), "pairs")
-    matched = kept(_verified(pairs, lines, ranks), "matched")
+    matched = kept(_verified(pairs, compared, ranks), "matched")
     # lines that were paired with one line only, which then was not similar
-    open_ = pairs.filter("alone").select(*[F.col(f"x_{c}").alias(c) for c in _LINE]).distinct().join(matched, list(_LINE), "left_anti")
+    open_ = pairs.filter("alone").select(F.col("x_same").alias("same")).distinct().join(matched, "same", "left_anti")
     open_ = kept(open_, "open")
-    at_open = _bits(open_.select(F.xxhash64("id", "at").alias("h")), 18)
-    maybe = _told(prefixes, F.xxhash64("id", "at"), at_open, 18).filter("_in").drop("_in")
-    some = kept(maybe.join(open_, list(_LINE), "left_semi"), "open")
+    at_open = _bits(open_.select(F.col("same").alias("h")), 18)
+    maybe = _told(prefixes, F.col("same"), at_open, 18).filter("_in").drop("_in")
+    some = kept(maybe.join(open_, "same", "left_semi"), "open")
     words_open = _bits(some.select(F.col("token").alias("h")), 20)
     others = _told(prefixes, F.col("token"), words_open, 20).filter("_in").drop("_in")
     rest = kept(_all_pairs(some, others), "pairs")
-    late = _verified(rest, lines, ranks)
-    gone = matched.unionByName(late).select("id", "at").distinct()
-    stay = firsts.select("same", "id", "at").join(gone, ["id", "at"], "left_anti")
+    late = _verified(rest, compared, ranks)
+    gone = matched.unionByName(late)
+    stay = firsts.select("same", "id", "at").join(gone, "same", "left_anti")
     return narrow, stay
 
 

@@ -57,6 +57,29 @@ def test_against_brute_force(spark, data):
     assert got == sorted((str(r[1]), str(want[r[1], r[2]])) for r in data)
 
 
+def shared_places():
+    """Rows without an id and rows that repeat one, with texts of their own: many lines share a place."""
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(40)]
+    common = "a line that all of them begin with today"
+    out = []
+    for doc in range(60):
+        lines = [common, " ".join(rng.choices(vocabulary, k=12)), rng.choice("abcdefgh"), " ".join(vocabulary[:11])]
+        if doc % 3:  # a unique line beside a variant of an earlier one, at the same place of other rows
+            lines[1] = f"unique{doc} line{doc} of{doc} row{doc} only{doc}" if doc % 2 else f"{common} and{doc}"
+        rng.shuffle(lines)
+        out.append(("k", (None, None, 7, doc)[doc % 4], "\n".join(lines), "d", 1, "i", "s", "en", "s"))
+    return out + [out[0], out[2]]
+
+
+def test_lines_that_share_id_and_number_are_told_apart(spark):
+    data = shared_places()
+    want = brute(data)
+    left = line_dedup.without_repeats(spark.createDataFrame(data, SCHEMA).repartition(3))
+    got = sorted((str(r.doc_id), r.text) for r in left.collect())
+    assert got == sorted((str(r[1]), want[r[1], r[2]]) for r in data)
+
+
 def test_empty(spark):
     assert line_dedup.without_repeats(empty(spark)).collect() == []
 
