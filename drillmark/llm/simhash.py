@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drillmark.llm.shared import kept
@@ -43,7 +43,7 @@ LEAF_PAIRS = 64
 #: Node pairs walked at a time; the rest wait on a stack.
 FRONTIER = 1 << 16
 
-FINGERPRINT = "id long, fingerprint long"
+FINGERPRINT = "id long, body long, fingerprint long"
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -74,21 +74,25 @@ def fingerprint_of(text: bytes, shingle: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(df: DataFrame, id: str, text: str, shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """(id, fingerprint) of each row; the fingerprint as a signed long."""
+    """(id, body, fingerprint) of each row; ``body`` names the text, the fingerprint is a signed long."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(2).cast(pa.binary())
             found = [fingerprint_of(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(np.array(found, np.uint64).view(np.int64))],
-                names=["id", "fingerprint"],
+                [batch.column(0).cast(pa.int64()), batch.column(1), pa.array(np.array(found, np.uint64).view(np.int64))],
+                names=["id", "body", "fingerprint"],
             )
 
-    narrow = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    narrow = df.select(F.col(id).cast("long").alias("id"), _body(text).alias("body"), F.col(text).cast("string").alias("text"))
     return narrow.mapInArrow(batches, FINGERPRINT)
 
 
+def _body(text: str) -> Column:
+    return F.xxhash64(F.col(text).cast("string"))
+
+
 def hex_of(fingerprint: Column) -> Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
 
@@ -286,6 +290,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def _classes(marked: DataFrame, limit: int) -> DataFrame:
+    """(fingerprint, least, root): each fingerprint with its smallest id and the root that names its class."""
+    nodes = kept(marked.groupBy("fingerprint").agg(F.min("id").alias("least")), "nodes")
+    levels = max(BLOCK_BITS, math.ceil(math.log2(max(nodes.count(), 1) / BLOCK_ROWS)))
+    trees = components(links(nodes, limit, levels))
+    return nodes.join(trees.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
+        "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")
+    )
+
+
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS, limit: int = MAX_BITS) -> DataFrame:
     """(id, fingerprint, component): one row per input row.
 
@@ -293,13 +307,8 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shing
     ``limit`` differing bits, the row's own included.
     """
     marked = kept(fingerprints(df, id, text, shingle), "fingerprints")
-    nodes = kept(marked.groupBy("fingerprint").agg(F.min("id").alias("least")), "nodes")
-    levels = max(BLOCK_BITS, math.ceil(math.log2(max(nodes.count(), 1) / BLOCK_ROWS)))
-    trees = components(links(nodes, limit, levels))
     # the root by fingerprint names the class; its smallest id names the component
-    classes = nodes.join(trees.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
-        "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")
-    )
+    classes = _classes(marked, limit)
     named = classes.groupBy("root").agg(F.min("least").alias("component"))
     by_print = kept(spread_join(classes, named, ["root"], F.col("fingerprint")).select("fingerprint", "component"), "classes")
     return spread_join(marked, by_print, ["fingerprint"], F.coalesce("id", F.lit(0))).select("id", "fingerprint", "component")
@@ -314,3 +323,29 @@ def keep_first(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     found = near_duplicates(df, id, text)
     gone = found.filter(F.col("id") != F.col("component")).select(F.col("id").alias(id)).distinct()
     return df.join(gone, id, "left_anti").select(*df.columns)
+
+
+def one_per_group(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS, limit: int = MAX_BITS) -> DataFrame:
+    """Exactly one row of ``df`` per near-duplicate group.
+
+    The first row by id (a missing one last), hash of the text and hash of all
+    columns stays; of rows equal in all columns any one.
+    """
+    marked = kept(fingerprints(df, id, text, shingle), "fingerprints")
+    row = F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "body")
+    by_print = marked.groupBy("fingerprint").agg(F.min(row).alias("row"))
+    classes = _classes(marked, limit).select("fingerprint", "root")
+    first = by_print.join(classes, "fingerprint").groupBy("root").agg(F.min("row").alias("row"))
+    names = ["_none", "_id", "_body"]
+    chosen = kept(first.select("row.none", "row.id", "row.body").toDF(*names), "chosen")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    named = df.select(
+        *columns,
+        F.col(id).isNull().alias("_none"),
+        F.coalesce(F.col(id).cast("long"), F.lit(0)).alias("_id"),
+        _body(text).alias("_body"),
+        F.xxhash64(*columns).alias("_row"),
+    )
+    # each task sends one row of equal id and text, so copies do not meet in one task
+    single = named.withColumn("_nth", F.row_number().over(Window.partitionBy(*names).orderBy("_row"))).filter("_nth = 1")
+    return single.join(chosen, names).select(*columns)

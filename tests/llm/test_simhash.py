@@ -1,5 +1,6 @@
 import re
 
+import corpus_pipeline
 import numpy as np
 import xxhash
 from corpus import empty, frame, rows
@@ -75,6 +76,44 @@ def test_against_brute_force(spark):
     assert {r.doc_id for r in left.collect()} == stay
 
 
+def first_rows(data):
+    """For each group the (id, text) that may stay: one of the smallest id, or of those without an id."""
+    groups = {}
+    for part, r in zip(components([plain(r[2]) for r in data], 3), data):
+        groups.setdefault(part, []).append(r)
+    out = []
+    for group in groups.values():
+        ids = [r[1] for r in group if r[1] is not None]
+        out.append({(r[1], r[2]) for r in group if r[1] == (min(ids) if ids else None)})
+    return out
+
+
+def test_one_row_of_each_group_stays(spark):
+    data = rows()
+    text = " ".join(f"alone{k}" for k in range(60))
+    other = " ".join(f"other{k}" for k in range(60))
+    data += [("k", None, text, "d", k, "i", "s", "en", "s") for k in (1, 1, 2)]  # no id in the whole group
+    data += [("k", 900, other, "d", 1, "i", "s", "en", "s")] * 3  # one id on rows that are equal
+    # an id on texts of different groups, one of them a copy of a smaller id's text
+    data += [("k", 901, t, "d", 1, "i", "s", "en", "s") for t in (other, "seven eight nine ten eleven")]
+    left = simhash.one_per_group(frame(spark, data))
+    assert left.columns == frame(spark).columns
+    got = [(r.doc_id, r.text) for r in left.collect()]
+    want = first_rows(data)
+    assert len(got) == len(want) and all(sum(g in w for g in got) == 1 for w in want)
+    assert simhash.one_per_group(empty(spark)).collect() == []
+
+
+def test_repeated_rows_keep_their_text_in_the_pipeline(spark):
+    text = " ".join(f"word{k}" for k in range(80))
+    other = " ".join(f"term{k}" for k in range(80))
+    data = [("k", i, t, "d", 1, "i", "s", "en", "s") for i, t in [(None, text)] * 3 + [(5, other)] * 2]
+    docs = frame(spark, data)
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        docs = stage(spark, docs, "")
+    assert sorted(r.text for r in docs.collect()) == sorted([text, other])
+
+
 def test_long_chain_is_one_component(spark):
     values, now = [], 0
     for k in range(20):
