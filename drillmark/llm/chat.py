@@ -17,7 +17,10 @@ Everything is built-in DataFrame functions.
 Defined results: a missing text is empty, a missing role is an empty role; a
 record that is no JSON object, or of a layout without a mapping, has no turns
 (null) and keeps its row and fingerprint; a record is one row of at most 128 MiB
-(what Spark parses as one value); rows of a conversation with equal turn numbers
+with strings of at most 20,000,000 characters (what Spark parses as one value);
+conversations given as rows (``skeletons``, ``filled``) do not have these limits:
+their texts stay out of the JSON, and a record that does not give its turns back
+is an error; rows of a conversation with equal turn numbers
 follow by role and text; repeated rows are turns of their own; an empty table
 gives no rows.
 """
@@ -37,6 +40,9 @@ CONTROL = (
 )
 TURNS = "array<struct<role:string,text:string>>"
 ASSISTANT = "assistant"
+#: Turns of a conversation that make one record in ``skeletons``, and the longest role written there.
+BLOCK_TURNS = 1_000
+ROLE_CHARS = 1_000
 
 
 # --------------------------------------------------------------------- layouts
@@ -198,23 +204,62 @@ def records(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn",
     A prompt with its response, or both with a system prompt, are written as
     fields, anything else as a list of messages.
     """
+    return _gathered(turns, conversation, turn, role, text).select(conversation, _record("t").alias("record"))
+
+
+def _gathered(turns: DataFrame, conversation: str, turn: str, role: str, text: str) -> DataFrame:
+    """(conversation, t): the turns of each conversation in order."""
     row = F.struct(
         F.col(turn).alias("turn"),
         F.coalesce(F.col(role), F.lit("")).alias("role"),
         F.coalesce(F.col(text), F.lit("")).alias("content"),
     )
-    whole = turns.groupBy(F.col(conversation).alias(conversation)).agg(F.sort_array(F.collect_list(row)).alias("t"))
-    roles = F.transform("t", lambda x: x["role"])
+    return turns.groupBy(F.col(conversation).alias(conversation)).agg(F.sort_array(F.collect_list(row)).alias("t"))
+
+
+def _record(t: str) -> Column:
+    """The turns in column ``t`` as a JSON record."""
+    roles = F.transform(t, lambda x: x["role"])
 
     def content(k: int) -> Column:
-        return F.get("t", F.lit(k))["content"]
+        return F.get(t, F.lit(k))["content"]
 
     pair = F.to_json(F.struct(content(0).alias("prompt"), content(1).alias("response")))
     triple = F.to_json(F.struct(content(0).alias("system"), content(1).alias("prompt"), content(2).alias("response")))
-    listed = F.to_json(F.struct(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages")))
-    record = (
+    listed = F.to_json(F.struct(F.transform(t, lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages")))
+    return (
         F.when(roles == F.array(F.lit("user"), F.lit("assistant")), pair)
         .when(roles == F.array(F.lit("system"), F.lit("user"), F.lit("assistant")), triple)
         .otherwise(listed)
     )
-    return whole.select(conversation, record.alias("record"))
+
+
+def skeletons(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", size: int = BLOCK_TURNS) -> DataFrame:
+    """(conversation, block, said, record): conversations in numbered blocks of at
+    most ``size`` turns; ``said`` has the turns, and in the JSON ``record`` the
+    place of a turn in ``said`` stands for its text, so records are of bounded size."""
+    whole = _gathered(turns, conversation, turn, role, text)
+    last = ((F.size("t") - 1) / size).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice("t", b * size + 1, F.lit(size)))
+    cut = whole.select(conversation, F.posexplode(blocks).alias("block", "said"))
+    bare = F.transform(
+        "said",
+        lambda x, k: F.struct(
+            F.when(F.length(x["role"]) <= ROLE_CHARS, x["role"]).otherwise("").alias("role"), k.cast("string").alias("content")
+        ),
+    )
+    return cut.withColumn("_bare", bare).withColumn("record", _record("_bare")).drop("_bare")
+
+
+def filled(df: DataFrame, said: str = "said", turns: str = "turns") -> DataFrame:
+    """``df`` with the texts of ``said`` in the ``turns`` read from its records; turns that are missing are an error."""
+
+    def turn(t: Column) -> Column:
+        own = F.element_at(said, t["text"].cast("int") + 1)
+        return F.struct(
+            F.when(F.length(own["role"]) <= ROLE_CHARS, t["role"]).otherwise(own["role"]).alias("role"), own["content"].alias("text")
+        )
+
+    same = F.coalesce(F.size(turns) == F.size(said), F.lit(False))
+    lost = F.raise_error(F.concat(F.lit("a chat record did not give its turns back: "), F.substring("record", 1, 200)))
+    return df.withColumn(turns, F.when(same, F.transform(turns, turn)).otherwise(lost.cast(TURNS)))

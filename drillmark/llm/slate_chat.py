@@ -46,14 +46,21 @@ def op10_chat(spark, sf_dir):
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(_HOSTILE).alias("text"),
     )
-    done = chat.formatted(chat.canonical(chat.records(table.unionByName(hostile)), "record"))
-    back = done.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.learned("formatted", "loss").alias("said"))
-    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return back.select(
+    blocks = chat.filled(chat.canonical(chat.skeletons(table.unionByName(hostile)), "record"))
+    done = chat.formatted(blocks.select("conv_id", "block", "turns"))
+    back = done.select("conv_id", "block", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.learned("formatted", "loss").alias("said"))
+    text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    parts = back.select("conv_id", "block", F.size("turns").alias("n"), F.length("formatted").alias("chars"), text.alias("text"), "said")
+    # the blocks of a conversation lie in one partition already
+    whole = parts.groupBy("conv_id").agg(
+        F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sort_array(F.collect_list(F.struct("block", "text", "said"))).alias("b")
+    )
+    joined = whole.select("conv_id", "n", "chars", F.array_join("b.text", "").alias("text"), F.array_join("b.said", "").alias("said"))
+    return joined.select(
         "conv_id",
-        F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(whole, 256).alias("turns_sha256"),
+        F.col("n").cast("long").alias("n_turns"),
+        F.sha2("text", 256).alias("turns_sha256"),
         F.length("said").cast("long").alias("loss_chars"),
         F.sha2("said", 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
+        F.col("chars").cast("long").alias("formatted_chars"),
     )
