@@ -279,5 +279,32 @@ _AFTER_WORD = regex.compile(r"\S(?=\s)")
 
 
 def ids_of(text: str, path: str) -> np.ndarray:
+    """Ids of a text in which nothing is an added token."""
     encode = encoder(path).encode_ordinary
     return np.concatenate([np.array(encode(part), np.uint32) for part in parts_of(text)])
+
+
+def added_tokens(path: str) -> dict[str, int]:
+    """The texts that a byte-level BPE file (.json) gives ids of their own before any merge."""
+    return _once(("added", path), lambda: _read_added(path))
+
+
+def _read_added(path: str) -> dict[str, int]:
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError(f"{path}: an added token takes what is beside it into account")
+    return {t["content"]: t["id"] for t in added}
+
+
+def ids_with_added(text: str, path: str) -> np.ndarray:
+    """Ids as ``tokenizers`` gives them by default: the text is cut at the file's added tokens first."""
+    added = added_tokens(path)
+    if not any(token in text for token in added):
+        return ids_of(text, path)
+    longest_first = sorted(added, key=len, reverse=True)
+    found, at = [], 0
+    for m in regex.finditer("|".join(map(regex.escape, longest_first)), text):
+        found += [ids_of(text[at : m.start()], path), np.array([added[m.group()]], np.uint32)]
+        at = m.end()
+    return np.concatenate([*found, ids_of(text[at:], path)])

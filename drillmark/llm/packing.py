@@ -8,7 +8,8 @@ pack), not packs: a step moves as many packs at once as there are pieces of the
 length.  Patterns go back to the pieces by rank: the r-th piece of a length
 takes the r-th place that the patterns hold for that length.
 
-Defined results: a missing or empty text is the end token alone; repeated rows
+Defined results: an added token of the tokenizer's file that occurs in a text has
+its own id, as in ``tokenizers``; a missing or empty text is the end token alone; repeated rows
 are packed like any others; an empty table gives no rows; rows need no id;
 other columns are not read.
 """
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drillmark.llm.byte_pairs import ids_of
+from drillmark.llm.byte_pairs import ids_with_added
 from drillmark.llm.shared import kept
 from drillmark.operators.ordered import number_rows
 
@@ -43,7 +44,7 @@ def pieces(df: DataFrame, path: str, id: str = "doc_id", text: str = "text", siz
         for batch in rows:
             out: dict[str, list] = {c: [] for c in ("row", "start", "length", "ids_crc32", "doc_tokens", "ids")}
             for k, body in enumerate(batch.column("text").to_pylist()):
-                tokens = np.append(ids_of(body or "", path), np.uint32(end)).astype("<u4")
+                tokens = np.append(ids_with_added(body or "", path), np.uint32(end)).astype("<u4")
                 for at in range(0, len(tokens), size):
                     part = tokens[at : at + size]
                     out["row"].append(k)

@@ -66,6 +66,18 @@ def test_ids_equal_the_tokenizers_on_odd_texts():
         assert byte_pairs.ids_of(text, PATH).tolist() == tool.encode(text, add_special_tokens=False).ids, text
 
 
+def test_added_tokens_have_their_own_ids(spark):
+    tool = Tokenizer.from_file(PATH)  # in its default setting
+    end = "<|endoftext|>"
+    odd = ["", "a <|endoftext|> b", end, end * 3, f" {end}\n{end}  x", f"<{end}>", "<|endoftext|", f"don't{end}'t stop", "x <|ENDOFTEXT|>", f"{'long words ' * 300}{end}{'漢字 ' * 900}{end}"]
+    data = [("k", k, t, "d", 1, "i", "s", "en", "s") for k, t in enumerate(odd)]
+    docs = {}
+    for r in packing.pack(frame(spark, data), PATH, ids=True).collect():
+        docs.setdefault(r.id, []).append((r.start, r.ids))
+    got = {id: [i for _, ids in sorted(parts) for i in ids] for id, parts in docs.items()}
+    assert got == {k: [*tool.encode(t, add_special_tokens=False).ids, 1] for k, t in enumerate(odd)}
+
+
 def test_parts_are_encoded_as_the_whole():
     text = "some words and   more\n\nwords " * 50
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
