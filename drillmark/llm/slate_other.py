@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from drillmark.llm import captures, neighbours
+from drillmark.llm import captures, negatives, neighbours
 from drillmark.llm.registry import query
 from drillmark.llm.shared import kept, shared_folder
 
@@ -44,3 +44,34 @@ def op5_captures(spark, sf_dir):
         F.col("type").alias("record_type"),
         F.col("refers_to_page").alias("refers_to"),
     )
+
+
+@query(
+    """
+    WITH whole AS (
+        SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+          AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    ), usable AS (
+        SELECT * FROM whole WHERE len(v) = (SELECT len(v) FROM whole GROUP BY len(v) ORDER BY count(*) DESC, len(v) DESC LIMIT 1)
+    ), scored AS (
+        SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+        FROM usable a JOIN usable b ON a.vec_id <> b.vec_id
+        WHERE a.vec_id % 100 = 0
+    ), positives AS (
+        SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+    )
+    SELECT p.anchor_id, p.positive_id, n.vec_id AS negative_id, p.positive_score, n.score AS negative_score,
+           row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id) AS rank
+    FROM positives p JOIN scored n
+      ON n.anchor_id = p.anchor_id AND NOT n.same
+     AND 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score
+    QUALIFY rank <= 10
+    """
+)
+def op12_negatives(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return negatives.mined(negatives.relabelled(vectors), F.col("id") % 100 == 0)
