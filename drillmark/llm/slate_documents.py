@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from drillmark.llm import alignment, byte_pairs, fingerprints, line_dedup, packing, repeats, simhash, toxicity
+from drillmark.llm import alignment, byte_pairs, config_packing, fingerprints, line_dedup, packing, repeats, simhash, toxicity
 from drillmark.llm.registry import query
 from drillmark.llm.shared import documents
 
@@ -67,6 +67,12 @@ def op9_repeats(spark, sf_dir):
     return repeats.digests(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+@query()
+def op11_config_packing(spark, sf_dir):
+    found = config_packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 @query()
 def op13_alignment(spark, sf_dir):
     a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
