@@ -8,6 +8,7 @@ import pytest
 sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
 
 import __spark_entry__ as entry  # noqa: E402
+from drillmark.plans import slate  # noqa: E402
 from oracle import TABLES, connect, difference  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -51,7 +52,7 @@ def con(skewed_dir):
     return connect(skewed_dir)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(slate.QUERIES))
 def test_matches_sql(spark, con, skewed_dir, name):
     frame = entry.queries()[name](spark, skewed_dir)
     assert difference(frame, con, entry.oracle_sql()[name]) is None
