@@ -21,9 +21,9 @@ from drillmark.operators.sections import numbered_lines
 from drillmark.plans import bindings as B
 from drillmark.plans.ingest import outcome_counts
 from drillmark.plans.registry import query
-from drillmark.sources import interviews, normalisers, sinks
+from drillmark.sources import arrays, interviews, normalisers, sinks
 from drillmark.sources.inspection import missing_fields
-from drillmark.sources.readers import as_variant, manifest_of, parse_json_lines, source_manifest
+from drillmark.sources.readers import as_variant, manifest_of, parse_elements, parse_json_lines, source_manifest
 from drillmark.sources.specs import PROMPT_CORPORA, allowed_only, choose, policy_frame
 
 RUN = "run-1"
@@ -1032,3 +1032,43 @@ def generated_item_tables(spark, sf_dir):
         counts = counts.withColumn("table", F.lit(name))
         out = counts if out is None else out.unionByName(counts)
     return out
+
+
+@query(
+    """
+    SELECT source AS source_file, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS record_index,
+           doc_id, length(coalesce(text, '')) AS chars, md5(coalesce(text, '')) AS digest
+    FROM documents WHERE source IS NOT NULL
+    """
+)
+def json_array_pieces(spark, sf_dir):
+    """The documents of each source as one JSON array that is cut into pieces anywhere."""
+    documents = B.table(spark, sf_dir, "documents").filter(F.col("source").isNotNull())
+    ends = documents.groupBy(F.col("source").alias("of")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    element = F.to_json(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.array(F.lit("],[")).alias("odd")))
+    before = F.when(F.col("doc_id") == F.col("first"), " [").otherwise(",\n")
+    after = F.when(F.col("doc_id") == F.col("last"), "]\n").otherwise("")
+    whole = documents.join(ends, F.col("source") == F.col("of")).select(
+        "source", "doc_id", F.encode(F.concat(before, element, after), "UTF-8").alias("bytes")
+    )
+    # three pieces of unlike size, without regard to characters, strings or escapes
+    places = [F.lit(0), *[F.expr(f"cast(pmod(xxhash64(doc_id, {k}), octet_length(bytes)) as int)") for k in (1, 2)], F.octet_length("bytes")]
+    cuts = F.array_sort(F.array(*places))
+    pieces = whole.withColumn("cuts", cuts).select(
+        F.col("source").alias("source_file"), "doc_id", "bytes", "cuts", F.explode(F.array(*map(F.lit, range(3)))).alias("k")
+    )
+    pieces = pieces.select(
+        "source_file",
+        (F.col("doc_id") * 3 + F.col("k")).alias("part"),
+        F.expr("doc_id div 300").alias("block"),
+        F.expr("substring(bytes, cuts[k] + 1, cuts[k + 1] - cuts[k])").alias("value"),
+    )
+    found = parse_elements(arrays.array_elements(pieces)).filter(~F.col("rejected"))
+    text = F.variant_get("record", "$.text", "string")
+    return found.select(
+        "source_file",
+        "record_index",
+        F.variant_get("record", "$.doc_id", "long").alias("doc_id"),
+        F.length(text).alias("chars"),
+        F.md5(text).alias("digest"),
+    )

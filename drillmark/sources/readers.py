@@ -9,6 +9,7 @@ from drillmark.functions.payload import kind
 from drillmark.functions.text import has_text
 from drillmark.operators.barrier import once
 from drillmark.operators.sections import numbered_lines
+from drillmark.sources.arrays import read_array_elements
 
 
 # Up to this many (file, split) pairs the split table is broadcast: about 20 MB.
@@ -68,19 +69,16 @@ def read_json_lines(spark: SparkSession, paths) -> DataFrame:
     return parse_json_lines(read_lines(spark, paths))
 
 
-def parse_json_array(files: DataFrame) -> DataFrame:
-    """Elements of JSON-array files, element index kept, non-objects flagged.
-
-    ``files`` has one whole file per row: (source_file, value).  A file that is
-    no JSON array, or more than Spark parses as one value (128 MiB), stops the
-    job: no file counts as read that gave no records.
-    """
-    elements = F.coalesce(
-        F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>"),
-        F.raise_error(F.concat(F.lit("Not readable as one JSON array: "), F.col("source_file"))).cast("array<variant>"),
+def parse_elements(elements: DataFrame) -> DataFrame:
+    """Array elements (source_file, record_index, value) as VARIANT records,
+    non-objects flagged.  An element that is no JSON stops the job: no file counts
+    as read that lost a record."""
+    # as an array of one: what follows a value would otherwise not be looked at
+    parsed = F.coalesce(
+        F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]"))), "$[0]", "variant"),
+        F.raise_error(F.concat(F.lit("Not readable as one JSON array: "), F.col("source_file"))).cast("variant"),
     )
-    exploded = files.select("source_file", F.posexplode(elements).alias("record_index", "record"))
-    return _flag_rejects(exploded.withColumn("record_index", F.col("record_index").cast("long")))
+    return _flag_rejects(once(elements, "record", parsed).select("source_file", "record_index", "record"))
 
 
 def read_whole(spark: SparkSession, paths, pattern: str | None = None) -> DataFrame:
@@ -89,13 +87,17 @@ def read_whole(spark: SparkSession, paths, pattern: str | None = None) -> DataFr
     reader = spark.read
     if pattern is not None:
         reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-    return reader.text(paths, wholetext=True).select(
+    files = reader.text(paths, wholetext=True)
+    if pattern is not None and not files.inputFiles():
+        raise FileNotFoundError(f"no {pattern} below {paths}")
+    return files.select(
         F.col("_metadata.file_path").alias("source_file"), "value"
     )
 
 
 def read_json_array(spark: SparkSession, paths) -> DataFrame:
-    return parse_json_array(read_whole(spark, paths))
+    """Elements of JSON-array files of any size, element index kept."""
+    return parse_elements(read_array_elements(spark, paths))
 
 
 def read_markdown_lines(spark: SparkSession, paths) -> DataFrame:
