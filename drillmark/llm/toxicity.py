@@ -58,6 +58,9 @@ SIGNIFICANT = 0.5
 #: Folds of the ids; fold 0 is held out.
 FOLDS = 5
 
+#: Words a worker holds at a time.
+CACHED_WORDS = 60_000
+
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -118,7 +121,7 @@ class Scorer:
             known = self.model.scores
             options = [known[t] for t in tokens_of(word) if t in known]
             score = max(options) if options else self.model.other
-            if len(self.seen) > 200_000:  # bounded memory
+            if len(self.seen) > CACHED_WORDS:
                 self.seen.clear()
             self.seen[word] = score
         return score
@@ -170,7 +173,8 @@ def word_counts(docs: DataFrame, labels: dict[int, int]) -> DataFrame:
             return pa.RecordBatch.from_pydict(out)
 
         for batch in rows:
-            for id, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
+            for id, text in zip(batch.column("id").to_pylist(), batch.column("text")):
+                text = text.as_py()
                 if not text:
                     continue
                 words = set(words_of(text))
@@ -178,7 +182,7 @@ def word_counts(docs: DataFrame, labels: dict[int, int]) -> DataFrame:
                 label = labels.get(id)
                 if label is not None:
                     (toxic if label else clean).update(words)
-            if len(total) > 200_000:  # bounded memory: what is counted so far goes on
+            if len(total) > CACHED_WORDS:  # what is counted so far goes on
                 yield sent()
                 total, toxic, clean = Counter(), Counter(), Counter()
         if total:
@@ -257,12 +261,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     def measured(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in rows:
-            texts = [words_of(t or "") for t in batch.column("text").to_pylist()]
-            hits = [[s for s in map(scorer.word, words) if s > 0] for words in texts]
+            sizes, hits = [], []
+            for text in batch.column("text"):  # one document's words at a time
+                words = words_of(text.as_py() or "")
+                sizes.append(len(words))
+                hits.append([s for s in map(scorer.word, words) if s > 0])
             yield pa.RecordBatch.from_pydict(
-                {"label": batch.column("label"), "words": pa.array(map(len, texts), pa.int64()),
-                 "hits": pa.array(hits, pa.list_(pa.float64()))}
-            )
+                {"label": batch.column("label"), "words": pa.array(sizes, pa.int64()), "hits": pa.array(hits, pa.list_(pa.float64()))}
+            )
 
     rows = chosen.mapInArrow(measured, "label int, words long, hits array<double>").groupBy("label").agg(
         F.sum("words").alias("words"), F.sum(F.size("hits")).alias("hits"),
@@ -279,10 +285,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     def best(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in rows:
-            found = [[scorer.word(w) for w in words_of(t or "")] for t in batch.column("text").to_pylist()]
-            top = [max((s for _, _, s in segments(x)), default=0.0) for x in found]
+            sizes, top = [], []
+            for text in batch.column("text"):
+                scores = [scorer.word(w) for w in words_of(text.as_py() or "")]
+                sizes.append(len(scores))
+                top.append(max((s for _, _, s in segments(scores)), default=0.0))
             yield pa.RecordBatch.from_pydict(
-                {"label": batch.column("label"), "words": pa.array(map(len, found), pa.int64()), "best": pa.array(top, pa.float64())}
+                {"label": batch.column("label"), "words": pa.array(sizes, pa.int64()), "best": pa.array(top, pa.float64())}
             )
 
     # E[number of segments over S] = K n exp(-lambda S): the share of clean texts that have none is exp of that
@@ -318,7 +327,7 @@ def scored(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in rows:
-            found = [scorer.score(t or "") for t in batch.column("text").to_pylist()]
+            found = [scorer.score(t.as_py() or "") for t in batch.column("text")]
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "score": pa.array(found, pa.float64())})
 
     return narrow.mapInArrow(batches, "id long, score double")
