@@ -50,6 +50,8 @@ TRIED_BEFORE = 1
 #: Sketches that differ in at most so many of their 64 bits are close.
 CLOSE_BITS = 18
 FIRST_ID = -(1 << 63)
+#: Size of the table of prefix words that occur again: 2**24 bits, 2 MB.
+SHARED_BITS = 24
 
 
 # ------------------------------------------------------------ fixed-size tables
@@ -69,6 +71,12 @@ def _bits(hashes: DataFrame, bits: int) -> DataFrame:
     )
 
 
+def _again(hashes: DataFrame, bits: int) -> DataFrame:
+    """As ``_bits``, over the places that several rows have."""
+    places = hashes.groupBy(F.pmod("h", F.lit(1 << bits)).alias("h")).agg(F.count("*").alias("_n"))
+    return _bits(places.filter("_n > 1").select("h"), bits)
+
+
 def _told(df: DataFrame, h: Column, table: DataFrame, bits: int) -> DataFrame:
     """``df`` with ``_in``: whether the bit of ``h`` is set.  The table is broadcast; its size is fixed."""
     place = F.pmod(h, F.lit(1 << bits))
@@ -168,7 +176,9 @@ _END = ("same", "n")
 
 def _pairs(prefixes: DataFrame) -> DataFrame:
     """(x_same, x_n, y_same, y_n, alone): candidate pairs, y earlier; ``alone`` marks pairs of step 4."""
-    prefixes = prefixes.repartition("token")  # one exchange for both sides of the join below
+    # the tests a join would put before one side only: so both sides below are one exchange
+    known = [F.col(c).isNotNull() for c in ("token", "n", "parity")]
+    prefixes = prefixes.filter(known[0] & known[1] & known[2]).repartition("token")
     by_word = Window.partitionBy("token").orderBy("id", "at")
     me = F.struct(*_LINE, "i")
     tried = [F.first(me).over(by_word), *[F.lag(me, k).over(by_word) for k in range(1, TRIED_BEFORE + 1)]]
@@ -244,7 +254,9 @@ def _kept_places(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     more = kept(more.groupBy("same").agg(*[F.first(c).alias(c) for c in ("id", "at", "line")]), "more")
     compared = single.select("same", "id", "at", "line").unionByName(more)  # one row per text
     prefixes = kept(_prefixes(_with_set(compared, ranks)), "prefixes")
-    pairs = kept(_pairs(prefixes), "pairs")
+    # a word that one line alone has in its prefix brings it together with nothing
+    shared = _again(prefixes.select(F.col("token").alias("h")), SHARED_BITS)
+    pairs = kept(_pairs(_told(prefixes, F.col("token"), shared, SHARED_BITS).filter("_in").drop("_in")), "pairs")
     matched = kept(_verified(pairs, compared, ranks), "matched")
     # lines that were paired with one line only, which then was not similar
     open_ = pairs.filter("alone").select(F.col("x_same").alias("same")).distinct().join(matched, "same", "left_anti")

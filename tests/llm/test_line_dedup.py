@@ -87,3 +87,19 @@ def test_empty(spark):
 def test_main_path_is_native(spark):
     plan = line_dedup.without_repeats(frame(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_one_exchange_for_both_sides(spark):
+    """The rows of the prefixes are shuffled once."""
+    schema = "same long, id long, at int, n int, parity long, i int, token long"
+    rows = line_dedup.kept(spark.createDataFrame([(1, 2, 3, 4, 5, 0, 7)] * 3, schema), "few")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        plan = line_dedup._pairs(rows)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert plan.count("+- Exchange hashpartitioning(token") == 1 and "ReusedExchange" in plan
