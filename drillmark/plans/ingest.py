@@ -99,10 +99,12 @@ def import_records(
     usable = raw.filter(~F.col("rejected")).drop("rejected")
     normalised = NORMALISERS[spec.short](usable, spec, run_id)
     staging = sinks.run_path(catalog, "_staging", run_id)
-    stored = sinks.read_committed(spark, catalog, "question_sources")
-    sinks.new_questions(normalised, stored).write.mode("overwrite").parquet(staging)
+    stored = sinks.committed_keys(spark, catalog)
+    sinks.new_by_keys(normalised, stored).write.mode("overwrite").parquet(staging)
     accepted = spark.read.schema(S.NORMALISED_QUESTION).parquet(staging)
-    sinks.write_run(sinks.question_tables(accepted), catalog, run_id)
+    tables = sinks.question_tables(accepted)
+    sinks.write_run(tables, catalog, run_id)
+    sinks.write_keys(tables, catalog, run_id)
     imported = accepted.count()
     return imported, raw.count() - imported
 
@@ -172,14 +174,12 @@ def selected_sections(spark: SparkSession, folder: str, run_id: str, revision: s
 def import_items(spark: SparkSession, items: DataFrame, catalog: str, run_id: str) -> tuple[int, int]:
     """Import interview items as one run; returns (imported, skipped)."""
     staging = sinks.run_path(catalog, "_staging", run_id)
-    fresh = sinks.new_items(
-        items,
-        sinks.read_committed(spark, catalog, "interview_items"),
-        sinks.read_committed(spark, catalog, "question_sources"),
-    )
+    fresh = sinks.new_items_by_keys(items, sinks.committed_keys(spark, catalog))
     fresh.write.mode("overwrite").parquet(staging)
     accepted = spark.read.schema(fresh.schema).parquet(staging)
-    sinks.write_run(sinks.item_tables(accepted), catalog, run_id)
+    tables = sinks.item_tables(accepted)
+    sinks.write_run(tables, catalog, run_id)
+    sinks.write_keys(tables, catalog, run_id)
     imported = accepted.count()
     return imported, items.count() - imported
 

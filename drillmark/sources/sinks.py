@@ -19,11 +19,11 @@ from drillmark import schemas as S
 from drillmark.functions.payload import field, list_field, text_field
 from drillmark.functions.scoring import syntax_language
 from drillmark.functions.text import content_hash, derived_id, file_name, is_blank
+from drillmark.operators.barrier import staged
+from drillmark.operators.joins import spread_join
 from drillmark.operators.ordered import first_per_key
 from drillmark.plans.validation import method_rule
-
-_SOURCE_ORDER = ["source.source_file", "source.source_record_index"]
-
+from drillmark.sources import stored_keys
 
 # --- Which records are new ---------------------------------------------------
 
@@ -54,72 +54,137 @@ def with_completeness(questions: DataFrame) -> DataFrame:
     )
 
 
+_ROW = ["_file", "_row"]
+
+
+def _numbered(records: DataFrame) -> DataFrame:
+    """The records, written once, with the file and place each row lies at."""
+    return staged(records).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
+def _firsts(narrow: DataFrame, keys: list[str]) -> DataFrame:
+    """The first row of each key, by source file and record index: one struct per key and map task."""
+    rest = [c for c in narrow.columns if c not in (*keys, "file", "index", *_ROW)]
+    first = narrow.groupBy(*keys).agg(F.min(F.struct("file", "index", *_ROW, *rest)).alias("_first"))
+    return first.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in ("file", "index", *_ROW, *rest)])
+
+
+def _fetched(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The whole records of the chosen rows."""
+    return rows.join(chosen.select(*_ROW), _ROW, "left_semi").drop(*_ROW)
+
+
+def _unstored(narrow: DataFrame, key: Column, stored: DataFrame) -> DataFrame:
+    """Rows whose key is not among the stored ones; a row without a key is not stored."""
+    known = stored.select(F.col("key").alias("_known"))
+    return narrow.withColumn("_key", key).join(known, F.col("_key") == F.col("_known"), "left_anti").drop("_key")
+
+
 def new_questions(questions: DataFrame, stored_sources: DataFrame) -> DataFrame:
     """Storable records that are neither stored nor repeated.
 
     Older imports are recognised by original id and file name, record by record;
-    of the rest the first record of a key wins, by file and record index.  The
-    last anti-join finds the rows already partitioned by their key.
+    of the rest the first record of a key wins, by file and record index.
     """
-    legacy = stored_sources.select(
-        F.col("dataset_name").alias("_dataset"),
-        F.col("original_id").alias("_original"),
-        F.lower(file_name(F.col("source_file"))).alias("_file"),
-    )
-    unknown = storable(questions).join(
-        legacy,
-        (F.col("source.dataset_name") == F.col("_dataset"))
-        & (F.col("source.legacy_original_id") == F.col("_original"))
-        & (F.lower(file_name(F.col("source.source_file"))) == F.col("_file")),
-        "left_anti",
-    )
-    first = first_per_key(unknown, ["source.dataset_name", "source.source_key"], _SOURCE_ORDER)
-    return _not_stored(first, stored_sources)
-
-
-def _not_stored(records: DataFrame, stored_sources: DataFrame) -> DataFrame:
-    known = stored_sources.select(
-        F.col("dataset_name").alias("_dataset"), F.col("source_key").alias("_key")
-    ).distinct()
-    return records.join(
-        known,
-        (F.col("source.dataset_name") == F.col("_dataset"))
-        & (F.col("source.source_key") == F.col("_key")),
-        "left_anti",
+    return new_by_keys(questions, stored_keys.keys_of_sources(stored_sources))
+
+
+def new_by_keys(questions: DataFrame, stored: DataFrame) -> DataFrame:
+    """``new_questions`` against stored keys (key).
+
+    The records are written once.  What decides are their keys and places alone;
+    statements are read again for the records that are new.
+    """
+    rows = _numbered(storable(questions))
+    narrow = rows.select(
+        F.col("source.dataset_name").alias("dataset"),
+        F.col("source.source_key").alias("key"),
+        stored_keys.legacy_key(F.col("source.dataset_name"), F.col("source.legacy_original_id"), F.col("source.source_file")).alias("old"),
+        F.col("source.source_file").alias("file"),
+        F.col("source.source_record_index").alias("index"),
+        *_ROW,
     )
+    unknown = _unstored(narrow, F.col("old"), stored).drop("old")
+    first = _firsts(unknown, ["dataset", "key"])
+    return _fetched(rows, _unstored(first, stored_keys.source_key(F.col("dataset"), F.col("key")), stored))
 
 
 def new_items(items: DataFrame, stored_items: DataFrame, stored_sources: DataFrame) -> DataFrame:
     """Interview items new by content hash and by source key."""
+    sources = stored_keys.keys_of_sources(stored_sources)
+    return new_items_by_keys(items, stored_keys.keys_of_items(stored_items).unionByName(sources))
+
+
+def new_items_by_keys(items: DataFrame, stored: DataFrame) -> DataFrame:
+    """``new_items`` against stored keys (key), decided on keys and places alone."""
     hashed = items.filter(~is_blank(F.col("prompt"))).withColumn(
         "content_hash", content_hash(F.col("domain"), F.col("prompt"))
     )
-    by_content = first_per_key(hashed, ["content_hash"], _SOURCE_ORDER)
-    by_source = first_per_key(
-        by_content, ["source.dataset_name", "source.source_key"], _SOURCE_ORDER
+    rows = _numbered(hashed)
+    narrow = rows.select(
+        "content_hash",
+        F.col("source.dataset_name").alias("dataset"),
+        F.col("source.source_key").alias("key"),
+        F.col("source.source_file").alias("file"),
+        F.col("source.source_record_index").alias("index"),
+        *_ROW,
     )
-    fresh = _not_stored(by_source, stored_sources)
-    return fresh.join(stored_items.select("content_hash").distinct(), "content_hash", "left_anti")
+    by_source = _firsts(_firsts(narrow, ["content_hash"]), ["dataset", "key"])
+    fresh = _unstored(by_source, stored_keys.source_key(F.col("dataset"), F.col("key")), stored)
+    return _fetched(rows, _unstored(fresh, stored_keys.item_key(F.col("content_hash")), stored))
+
+
+def same_items(pairs: DataFrame) -> DataFrame:
+    """(content_hash, item): hashes that share requests, directly or by others, get their least hash.
+
+    ``pairs``: distinct (content_hash, request_id).  Requests with one hash link
+    nothing, so only the others are walked; a round shortens every chain by half
+    its length or more, as labels also jump to the label of their label.
+    """
+    several = pairs.groupBy("request_id").agg(F.min("content_hash").alias("_least"), F.count("*").alias("_n"))
+    several = several.filter(F.col("request_id").isNotNull() & (F.col("_n") > 1)).select("request_id")
+    links = staged(pairs.join(several, "request_id", "left_semi"))
+    labels = staged(links.select("content_hash").distinct().withColumn("item", F.col("content_hash")))
+    changed = labels.count() > 0
+    while changed:
+        per_request = links.join(labels, "content_hash").groupBy("request_id").agg(F.min("item").alias("_least"))
+        near = links.join(per_request, "request_id").groupBy("content_hash").agg(F.min("_least").alias("item"))
+        jump = labels.select(F.col("content_hash").alias("item"), F.col("item").alias("_further"))
+        new = near.join(jump, "item").select("content_hash", F.least("item", "_further").alias("_new"))
+        both = staged(labels.join(new, "content_hash"))
+        changed = not both.filter(F.col("item") != F.col("_new")).isEmpty()
+        labels = both.select("content_hash", F.col("_new").alias("item"))
+    return labels
 
 
 def insert_or_get(generated: DataFrame, stored_items: DataFrame) -> DataFrame:
     """Generated items with their id: the stored one, or a new one.
 
-    ``is_new`` is true for the row to insert; repeats of it get the same id.
-    Content is compared by the domain form of the hash, like imported items.
+    Content is compared by the domain form of the hash, like imported items.  Rows
+    of one request are one item, so a request that was sent again finds the item of
+    its first reply, and contents that share a request share an item.  ``is_new``
+    is true for the one row to insert, the first by request id; all others of the
+    item get the same id.  Several stored rows of an item give the least id.
+
+    All is decided on hashes, one row each; the generated rows are shuffled once,
+    by hash, frequent hashes spread.
     """
-    hashed = generated.withColumn("content_hash", content_hash(F.col("domain"), F.col("prompt")))
-    stored = stored_items.select("content_hash", F.col("id").alias("_stored"))
-    known = hashed.join(stored, "content_hash", "left")
-    fresh = known.filter(F.col("_stored").isNull()).select("content_hash", "request_id")
-    inserts = first_per_key(fresh, ["content_hash"], ["request_id"]).select(
-        "request_id", F.lit(True).alias("_insert")
-    )
+    rows = _numbered(generated.withColumn("content_hash", content_hash(F.col("domain"), F.col("prompt"))))
+    narrow = rows.select("content_hash", "request_id", *_ROW)
+    linked = same_items(narrow.select("content_hash", "request_id").distinct())
+    firsts = narrow.groupBy("content_hash").agg(F.min(F.struct("request_id", *_ROW)).alias("_first"))
+    ids = stored_items.groupBy("content_hash").agg(F.min("id").alias("_stored"))
+    hashes = firsts.join(ids, "content_hash", "left").join(linked, "content_hash", "left")
+    hashes = staged(hashes.withColumn("item", F.coalesce("item", "content_hash")))
+    items = hashes.groupBy("item").agg(F.min("_first").alias("_begin"), F.min("_stored").alias("_known"))
+    told = hashes.select("content_hash", "item").join(items, "item")
+    place = F.xxhash64(*_ROW)
+    known = spread_join(rows, told, ["content_hash"], place, counted=narrow)
+    inserted = F.col("_known").isNull() & (F.col("_begin._file") == F.col("_file")) & (F.col("_begin._row") == F.col("_row"))
     return (
-        known.join(inserts, "request_id", "left")
-        .withColumn("id", F.coalesce("_stored", derived_id(F.lit("item"), F.col("content_hash"))))
-        .withColumn("is_new", F.coalesce("_insert", F.lit(False)))
-        .drop("_stored", "_insert")
+        known.withColumn("id", F.coalesce("_known", derived_id(F.lit("item"), F.col("item"))))
+        .withColumn("is_new", inserted)
+        .drop("item", "_begin", "_known", *_ROW)
     )
 
 
@@ -400,6 +465,35 @@ def read_committed(spark: SparkSession, catalog: str, table: str) -> DataFrame:
     return read_table(spark, catalog, table).join(runs, "import_run", "left_semi").drop("import_run")
 
 
+def write_keys(tables: dict[str, DataFrame], catalog: str, run_id: str) -> None:
+    """The keys of a run's sources and items, for later imports to probe."""
+    keys = stored_keys.keys_of_sources(tables["question_sources"])
+    if "interview_items" in tables:
+        keys = keys.unionByName(stored_keys.keys_of_items(tables["interview_items"]))
+    stored_keys.write_keys(keys, catalog, run_id)
+
+
+def committed_keys(spark: SparkSession, catalog: str) -> DataFrame:
+    """(key): of the records of completed runs.
+
+    Runs that were written without keys, by hand or before there were any, are
+    read from their tables.
+    """
+    completed = read_table(spark, catalog, "import_runs").filter(F.col("status") == "completed")
+    names = sorted({r["id"] for r in completed.select("id").distinct().collect()})  # one per run
+    keyed = stored_keys.runs_with_keys(spark, catalog)
+    found = stored_keys.stored(spark, catalog, [n for n in names if n in keyed])
+    if all(n in keyed for n in names):
+        return found
+
+    def others(table: str) -> DataFrame:
+        rows = read_table(spark, catalog, table)
+        return rows.filter(F.col("import_run").isin([n for n in names if n not in keyed]))
+
+    found = found.unionByName(stored_keys.keys_of_sources(others("question_sources")))
+    return found.unionByName(stored_keys.keys_of_items(others("interview_items")))
+
+
 def asset_completeness(questions: DataFrame, assets: DataFrame) -> DataFrame:
     """A11 on the stored tables: missing required assets of every question.
 
