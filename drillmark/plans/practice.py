@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from drillmark.functions.scoring import (
     item_score,
     level_difficulty,
     round_robin,
+    seeded_unit,
     uses_local,
 )
 from drillmark.functions.text import clip_error, is_blank
@@ -51,13 +54,14 @@ def attempt_states(events: DataFrame) -> DataFrame:
 # --- Quiz assembly -----------------------------------------------------------
 
 
-def open_pool(questions: DataFrame) -> DataFrame:
-    """The curated questions once per (type, difficulty, method, topic) they serve.
+def open_pool(questions: DataFrame, generated: bool = False) -> DataFrame:
+    """The curated, or the generated, questions once per (type, difficulty, method, topic) they serve.
 
     A question joins the group of each of its methods and of each of its tags,
     and the group of any topic.
     """
-    curated = questions.filter(F.col("is_complete") & ~F.col("is_ai_generated"))
+    wanted = F.col("is_ai_generated") if generated else ~F.col("is_ai_generated")
+    curated = questions.filter(F.col("is_complete") & wanted)
     tags = F.coalesce(F.col("tags"), F.array().cast("array<string>"))
     topics = F.array_distinct(F.concat(F.array(F.lit(S.ANY_TOPIC)), tags))
     return curated.select(
@@ -93,6 +97,88 @@ def assemble_quizzes(requests: DataFrame, questions: DataFrame, seed: str) -> Da
     )
 
 
+def places_of(total: Column, curated: Column, generated: Column, coin: Callable[[Column], Column]) -> Column:
+    """For each place of a quiz, from 1, its source and the number of its pick there.
+
+    Heads takes the next generated question, tails the next curated one; when one
+    side is used up the other serves all places that are left.  With the heads and
+    tails up to a place counted, that place needs no look at the picks before it:
+    past the curated ones it takes the generated question of its number less all
+    curated ones, and the other way round.  ``total`` is a small number.
+    """
+    places = F.sequence(F.lit(1), total.cast("int"))
+    heads = F.filter(places, coin)
+
+    def placed(k: Column) -> Column:
+        ai = F.size(F.filter(heads, lambda h: h <= k))
+        dataset = k - ai
+        generated_turn = F.struct(k.alias("position"), F.lit("ai_generated").alias("source"), ai.alias("draw_no"))
+        curated_turn = F.struct(k.alias("position"), F.lit("dataset").alias("source"), dataset.alias("draw_no"))
+        late_ai = F.struct(k.alias("position"), F.lit("ai_generated").alias("source"), (k - curated).cast("int").alias("draw_no"))
+        late_set = F.struct(k.alias("position"), F.lit("dataset").alias("source"), (k - generated).cast("int").alias("draw_no"))
+        return (
+            F.when(dataset > curated, late_ai)
+            .when(ai > generated, late_set)
+            .when(F.array_contains(heads, k), generated_turn)
+            .otherwise(curated_turn)
+        )
+
+    return F.transform(places, placed)
+
+
+def _two_pools(requests: DataFrame, questions: DataFrame) -> DataFrame:
+    """Requests with the curated and the generated questions open to them.
+
+    ``question_source`` is dataset, ai_generated or mixed; a source that is not
+    asked for holds nothing.
+    """
+    sized = requests
+    for name, generated, other in (("_curated", False, "ai_generated"), ("_generated", True, "dataset")):
+        sizes = pool_sizes(open_pool(questions, generated), POOL_GROUP).withColumnRenamed("pool_size", name)
+        sized = salted_join(sized, sizes, POOL_GROUP, F.col("quiz_id"), "left")
+        usable = F.when(F.col("question_source") != other, F.col(name))
+        sized = sized.withColumn(name, F.coalesce(usable, F.lit(0)).cast("int"))
+    return sized
+
+
+def assemble_mixed(requests: DataFrame, questions: DataFrame, seed: str) -> DataFrame:
+    """Quizzes from curated and generated questions, a coin per place.
+
+    Requests also have ``question_source``.  Both pools are drawn from without
+    replacement; a quiz for which both together hold too few gets no items; see
+    ``mixed_shortages``.
+    """
+    sized = _two_pools(requests, questions).filter(F.col("_curated") + F.col("_generated") >= F.col("total_items"))
+
+    def heads(k: Column) -> Column:
+        return seeded_unit(F.concat_ws("-", F.col("quiz_id"), k), seed) < 0.5
+
+    turn = places_of(F.col("total_items"), F.col("_curated"), F.col("_generated"), heads)
+    turns = sized.withColumn("_turn", F.explode(turn)).select("quiz_id", "coding_items", "_turn.*")
+
+    def drawn(source: str, generated: bool) -> DataFrame:
+        asked = sized.filter(F.col("question_source") != ("dataset" if generated else "ai_generated"))
+        picks = draw(asked, open_pool(questions, generated), POOL_GROUP, "quiz_id", "question_id", "total_items", seed)
+        return picks.select("quiz_id", F.lit(source).alias("source"), F.col("draw_no").cast("int").alias("draw_no"), "question_id", "method")
+
+    picks = drawn("dataset", False).unionByName(drawn("ai_generated", True))
+    return turns.join(picks, ["quiz_id", "source", "draw_no"]).select(
+        "quiz_id",
+        "position",
+        "source",
+        "question_id",
+        F.when(F.col("position") <= F.col("coding_items"), "coding").otherwise("mcq").alias("answer_format"),
+        "method",
+    )
+
+
+def mixed_shortages(requests: DataFrame, questions: DataFrame) -> DataFrame:
+    """Requests for more questions than their sources hold together."""
+    available = F.col("_curated") + F.col("_generated")
+    short = _two_pools(requests, questions).withColumn("available", available).filter(available < F.col("total_items"))
+    return short.select("quiz_id", "question_source", "total_items", "available")
+
+
 def shortages(requests: DataFrame, questions: DataFrame) -> DataFrame:
     """Requests that ask for more questions than their group holds."""
     available = pool_sizes(open_pool(questions), POOL_GROUP)
@@ -352,8 +438,12 @@ def last_scored_turns(turns: DataFrame, n: int = 3) -> DataFrame:
     ).withColumn("answer", given_answer(F.col("answer_text"), F.col("selected_option")))
 
 
-def adaptive_context(turns: DataFrame, n: int = 3) -> DataFrame:
-    """One document per session with its last ``n`` scored turns."""
+def adaptive_context(turns: DataFrame, n: int = 3, sessions: DataFrame | None = None) -> DataFrame:
+    """One document per session with its last ``n`` scored turns.
+
+    With ``sessions`` (session_id, blueprint) every session has one, with its
+    blueprint; without scored turns the list is empty.
+    """
     recent = last_scored_turns(turns, n)
     entry = F.struct(
         "position",
@@ -365,9 +455,14 @@ def adaptive_context(turns: DataFrame, n: int = 3) -> DataFrame:
         F.coalesce("feedback.gaps", F.array().cast("array<string>")).alias("gaps"),
         F.col("feedback.next_focus").alias("next_focus"),
     )
-    return recent.groupBy("session_id").agg(
+    documents = recent.groupBy("session_id").agg(
         F.array_sort(F.collect_list(entry)).alias("recent_scored_turns")
     )
+    if sessions is None:
+        return documents
+    listed = sessions.select("session_id", "blueprint").join(documents, "session_id", "left")
+    empty = F.array().cast(documents.schema["recent_scored_turns"].dataType)
+    return listed.withColumn("recent_scored_turns", F.coalesce("recent_scored_turns", empty))
 
 
 def pending_items(turns: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drillmark import schemas as S
+from drillmark.functions.bounded import bounded_json
 from drillmark.functions.payload import as_text, field
 from drillmark.functions.text import (
     clip,
@@ -304,6 +305,7 @@ def review_context(
         "difficulty",
         clip_marked(F.coalesce("problem_statement", F.lit("")), 6_000).alias("problem_statement"),
         clip_marked(F.coalesce("constraints", F.lit("")), 3_000).alias("constraints"),
+        F.coalesce(optional(questions, "examples"), F.lit("[]")).alias("examples"),
         "tags",
     )
     question = questions.select(F.col("id").alias("question_id"), shown.alias("question"))
@@ -346,16 +348,24 @@ def teaching_context(
     )
 
 
-def bounded_question(questions: DataFrame, limit: int = 12_000) -> DataFrame:
-    """Texts bounded to ``limit``, list entries to half of it, 20 per list."""
+def optional(df: DataFrame, column: str) -> Column:
+    """A text column that older tables lack."""
+    return F.col(column).cast("string") if column in df.columns else F.lit(None).cast("string")
+
+
+def bounded_question(questions: DataFrame, limit: int = S.MAX_BOUNDED_CHARS) -> DataFrame:
+    """Texts bounded to ``limit``, list entries to half of it, 20 per list;
+    ``examples`` and ``expected_output_format`` to any depth."""
     return questions.select(
         F.col("id").alias("question_id"),
         clip(F.col("title"), limit).alias("title"),
         clip(F.col("question_type"), limit).alias("question_type"),
         clip(F.col("difficulty"), limit).alias("difficulty"),
-        F.transform(F.slice("tags", 1, 20), lambda t: clip(t, limit // 2)).alias("tags"),
+        F.transform(F.slice("tags", 1, S.MAX_BOUNDED_ITEMS), lambda t: clip(t, limit // 2)).alias("tags"),
         clip(F.col("problem_statement"), limit).alias("problem_statement"),
+        bounded_json(optional(questions, "examples"), limit).alias("examples"),
         clip(F.col("constraints"), limit).alias("constraints"),
+        bounded_json(optional(questions, "expected_output_format"), limit).alias("expected_output_format"),
     )
 
 

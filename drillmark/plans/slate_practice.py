@@ -120,6 +120,61 @@ def quiz_assembly(spark, sf_dir):
     return P.assemble_quizzes(_quiz_requests(spark, sf_dir), B.questions(spark, sf_dir), SEED)
 
 
+_SOURCES = "CASE quiz_id % 3 WHEN 0 THEN 'dataset' WHEN 1 THEN 'ai_generated' ELSE 'mixed' END"
+_GENERATED = _MATCHING.replace("NOT p.is_ai_generated", "p.is_ai_generated")
+_DRAWN = "SELECT quiz_id, question_id, method, (slot - start % available + available) % available + 1 AS draw_no FROM"
+_SIZED = f"""
+SELECT r.*, CASE WHEN question_source <> 'ai_generated' THEN coalesce(c.n, 0) ELSE 0 END AS curated,
+       CASE WHEN question_source <> 'dataset' THEN coalesce(g.n, 0) ELSE 0 END AS generated
+FROM (SELECT *, {_SOURCES} AS question_source FROM ({_REQUESTS})) r
+LEFT JOIN (SELECT quiz_id, count(*) AS n FROM ({_MATCHING}) GROUP BY quiz_id) c USING (quiz_id)
+LEFT JOIN (SELECT quiz_id, count(*) AS n FROM ({_GENERATED}) GROUP BY quiz_id) g USING (quiz_id)
+"""
+
+
+def _mixed_requests(spark, sf_dir):
+    third = F.col("quiz_id") % 3
+    source = F.when(third == 0, "dataset").when(third == 1, "ai_generated").otherwise("mixed")
+    return _quiz_requests(spark, sf_dir).withColumn("question_source", source)
+
+
+@query(
+    f"""
+    WITH coins AS (
+        SELECT *, ('0x' || substr(md5(quiz_id || '-' || k || ':{SEED}'), 1, 8))::bigint / 4294967296.0 < 0.5 AS heads
+        FROM (SELECT *, unnest(generate_series(1, total_items)) AS k FROM ({_SIZED}) WHERE curated + generated >= total_items)
+    ), counted AS (
+        SELECT *, count_if(heads) OVER (PARTITION BY quiz_id ORDER BY k) AS ai FROM coins
+    ), placed AS (
+        SELECT quiz_id, k, coding_items,
+               CASE WHEN k - ai > curated THEN 'ai_generated' WHEN ai > generated THEN 'dataset'
+                    WHEN heads THEN 'ai_generated' ELSE 'dataset' END AS source,
+               CASE WHEN k - ai > curated THEN k - curated WHEN ai > generated THEN k - generated
+                    WHEN heads THEN ai ELSE k - ai END AS draw_no
+        FROM counted
+    ), drawn AS (
+        SELECT 'dataset' AS source, * FROM ({_DRAWN} ({_MATCHING}))
+        UNION ALL SELECT 'ai_generated', * FROM ({_DRAWN} ({_GENERATED}))
+    )
+    SELECT quiz_id, k AS position, source, question_id, method,
+           CASE WHEN k <= coding_items THEN 'coding' ELSE 'mcq' END AS answer_format
+    FROM placed JOIN drawn USING (quiz_id, source, draw_no)
+    """
+)
+def quiz_assembly_mixed(spark, sf_dir):
+    return P.assemble_mixed(_mixed_requests(spark, sf_dir), B.questions(spark, sf_dir), SEED)
+
+
+@query(
+    f"""
+    SELECT quiz_id, question_source, total_items, curated + generated AS available
+    FROM ({_SIZED}) WHERE curated + generated < total_items
+    """
+)
+def quiz_shortages_mixed(spark, sf_dir):
+    return P.mixed_shortages(_mixed_requests(spark, sf_dir), B.questions(spark, sf_dir))
+
+
 @query(
     f"""
     SELECT r.quiz_id, r.total_items, count(m.question_id) AS available
@@ -476,8 +531,12 @@ def last3_turns(spark, sf_dir):
 
 @query(
     f"""
-    SELECT session_id, string_agg(position || '=' || score::int, ',' ORDER BY position) AS recent
-    FROM ({_LAST3}) WHERE recency <= 3 GROUP BY session_id
+    WITH told AS (
+        SELECT session_id, string_agg(position || '=' || score::int, ',' ORDER BY position) AS recent
+        FROM ({_LAST3}) WHERE recency <= 3 GROUP BY session_id
+    )
+    SELECT session_id, 'blueprint ' || session_id AS blueprint, coalesce(recent, '') AS recent
+    FROM (SELECT DISTINCT conv_id AS session_id FROM conversations) LEFT JOIN told USING (session_id)
     """
 )
 def adaptive_context(spark, sf_dir):
@@ -489,7 +548,9 @@ def adaptive_context(spark, sf_dir):
         "recent_scored_turns",
         lambda t: F.concat_ws("=", t["position"].cast("string"), t["score"].cast("int").cast("string")),
     )
-    return P.adaptive_context(turns).select("session_id", F.array_join(shown, ",").alias("recent"))
+    sessions = B.sessions(spark, sf_dir).withColumn("blueprint", F.concat_ws(" ", F.lit("blueprint"), "session_id"))
+    documents = P.adaptive_context(turns, sessions=sessions)
+    return documents.select("session_id", "blueprint", F.array_join(shown, ",").alias("recent"))
 
 
 @query(

@@ -209,6 +209,19 @@ def _event_cases(spark, sf_dir):
     )
 
 
+def _with_examples(questions):
+    """Customers with nested examples: 21 entries, the first with a long text and a long list."""
+    name = F.col("title")
+    one = F.struct(F.lit(1).alias("n"), F.repeat(name, 200).alias("text"), F.struct(F.sequence(F.lit(1), F.lit(25)).alias("list")).alias("deep"))
+    other = F.struct(F.lit(2).alias("n"), name.alias("text"), F.struct(F.sequence(F.lit(1), F.lit(2)).alias("list")).alias("deep"))
+    return questions.withColumns(
+        {
+            "examples": F.to_json(F.concat(F.array(one), F.array_repeat(other, 20))),
+            "expected_output_format": F.concat(F.lit("as a table of "), name),
+        }
+    )
+
+
 def _order_solutions(spark, sf_dir):
     return B.table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("question_id"),
@@ -236,7 +249,7 @@ def _order_solutions(spark, sf_dir):
            FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n
                  FROM events) WHERE n <= 10 GROUP BY user_id)
     SELECT o.o_orderkey AS submission_id, c.c_name AS title, s.code AS reference_solution,
-           a.assets, k.cases
+           a.assets, k.cases, 21 AS examples, c.c_name AS last_example
     FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey
     LEFT JOIN solution s USING (o_custkey, o_orderpriority)
     LEFT JOIN assets a USING (o_custkey, o_orderpriority)
@@ -251,7 +264,7 @@ def review_context(spark, sf_dir):
     )
     context = R.review_context(
         submissions,
-        B.customer_questions(spark, sf_dir),
+        _with_examples(B.customer_questions(spark, sf_dir)),
         _order_solutions(spark, sf_dir),
         _event_assets(spark, sf_dir),
         _event_cases(spark, sf_dir),
@@ -264,6 +277,8 @@ def review_context(spark, sf_dir):
         "reference_solution",
         F.array_join(assets, ",").alias("assets"),
         F.array_join(cases, ",").alias("cases"),
+        F.json_array_length("question.examples").alias("examples"),
+        F.get_json_object("question.examples", "$[20].text").alias("last_example"),
     )
 
 
@@ -279,7 +294,9 @@ def review_context(spark, sf_dir):
                                                ORDER BY n) AS stored
       FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n
             FROM orders) WHERE n <= 12 GROUP BY o_custkey)
-    SELECT c.c_custkey AS question_id, c.c_name AS title, assets, cases, stored
+    SELECT c.c_custkey AS question_id, c.c_name AS title, assets, cases, stored, 20 AS examples,
+           left(repeat(c.c_name, 200), 3000) AS first_example, 20 AS listed,
+           'as a table of ' || c.c_name AS expected_output_format
     FROM customer c LEFT JOIN assets a ON a.user_id = c.c_custkey
     LEFT JOIN cases k ON k.user_id = c.c_custkey
     LEFT JOIN solutions s ON s.o_custkey = c.c_custkey
@@ -287,7 +304,7 @@ def review_context(spark, sf_dir):
 )
 def teaching_context(spark, sf_dir):
     context = R.teaching_context(
-        B.customer_questions(spark, sf_dir),
+        _with_examples(B.customer_questions(spark, sf_dir)),
         _event_assets(spark, sf_dir),
         _event_cases(spark, sf_dir),
         _order_solutions(spark, sf_dir),
@@ -306,6 +323,10 @@ def teaching_context(spark, sf_dir):
         F.array_join(assets, ",").alias("assets"),
         F.array_join(cases, ",").alias("cases"),
         F.array_join(stored, ",").alias("stored"),
+        F.json_array_length("examples").alias("examples"),
+        F.get_json_object("examples", "$[0].text").alias("first_example"),
+        F.json_array_length(F.get_json_object("examples", "$[0].deep.list")).alias("listed"),
+        "expected_output_format",
     )
 
 

@@ -78,6 +78,11 @@ MAX_TOPIC_CHARS = 100
 MAX_SUBMISSION_CHARS = 12_000
 MAX_ERROR_CHARS = 2_000
 MAX_REFERENCES = 3
+# Texts, list entries, object keys and their characters in a bounded context.
+MAX_BOUNDED_CHARS = 12_000
+MAX_BOUNDED_ITEMS = 20
+MAX_BOUNDED_KEYS = 30
+MAX_BOUNDED_KEY_CHARS = 120
 MAX_CONTEXT_CHARS = 6_000
 MAX_ARCHIVE_MEMBER_BYTES = 2_000_000
 
