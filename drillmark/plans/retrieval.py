@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from drillmark import schemas as S
 from drillmark.functions.bounded import bounded_json
 from drillmark.functions.payload import as_text, field
+from drillmark.functions.topics import mentioned
 from drillmark.functions.text import (
     clip,
     clip_ellipsis,
@@ -23,8 +24,8 @@ from drillmark.operators.joins import spread_join
 from drillmark.operators.ordered import number_rows, top_per_key
 from drillmark.operators.predicates import mentions_topic, relevant_asset
 
-# Requests travel as literals inside the plan, so their number is checked.
-REQUESTS_PER_SCAN = 1_000
+# Distinct topics looked for in one pass over a text; at most 100 characters each.
+TOPICS_PER_SCAN = 50_000
 
 
 @dataclass(frozen=True)
@@ -93,36 +94,73 @@ def top_references(
     return scored.orderBy(*_relevance_order()).limit(n)
 
 
+def _with_topics(questions: DataFrame, topics: DataFrame) -> DataFrame:
+    """The questions with ``topics``: those of the distinct topics (topic) they mention.
+
+    A scan looks for ``TOPICS_PER_SCAN`` topics, about; only that many are ever on the driver.
+    """
+    body = F.lower(F.concat("title", F.lit(" "), "problem_statement", F.lit(" "), F.to_json("tags")))
+    parts = max(1, -(-topics.count() // TOPICS_PER_SCAN))
+    part = F.pmod(F.xxhash64("topic"), F.lit(parts))
+    lists = [[r["topic"] for r in topics.filter(part == k).collect()] for k in range(parts)]
+    found = [mentioned(body, some) for some in lists if some]
+    every = F.concat(*found) if found else F.array().cast("array<string>")
+    return questions.withColumn("topics", every)
+
+
 def top_references_batch(
-    questions: DataFrame, sources: DataFrame, requests: list[Request], n: int = S.MAX_REFERENCES
+    questions: DataFrame, sources: DataFrame, requests: list[Request] | DataFrame, n: int = S.MAX_REFERENCES
 ) -> DataFrame:
-    """K8 for a list of requests, one scan of the corpus per ``REQUESTS_PER_SCAN``.
-
-    Every question is scored against the requests of its own type only; the
-    top-k window drops all but ``n`` rows per request before the shuffle.
+    """K8 for a list or a table (request_no, question_type, difficulty, topic) of requests.
+
+    One scan of the corpus scores, clips and writes its questions once.  A score
+    is 0, 2, 4 or 6, so the first ``n`` of a request are among the first ``n`` by
+    title of four groups: its type, its type and difficulty, the mentions of its
+    topic in its type, and those of its difficulty.  Each group is ranked once,
+    whatever the number of requests; equal requests share one choice.  Requests
+    without a type, difficulty or topic have none.
     """
-    if len(requests) > REQUESTS_PER_SCAN:
-        head, tail = requests[:REQUESTS_PER_SCAN], requests[REQUESTS_PER_SCAN:]
-        rest = top_references_batch(questions, sources, tail, n)
-        rest = rest.withColumn("request_no", F.col("request_no") + REQUESTS_PER_SCAN)
-        return top_references_batch(questions, sources, head, n).unionByName(rest)
-    matches = F.array(
-        *[
-            F.when(
-                F.col("question_type") == r.question_type,
-                F.struct(
-                    F.lit(no).alias("request_no"), relevance(r.difficulty, r.topic).alias("score")
-                ),
-            )
-            for no, r in enumerate(requests, 1)
-        ]
-    )
-    own = F.filter(matches, lambda m: m.isNotNull()).alias("matches")
-    typed = questions.filter(F.col("question_type").isin(*{r.question_type for r in requests}))
-    scored = _with_source(_candidates(typed, own), sources)
-    shown = [c for c in scored.columns if c not in ("matches", "source_id")]
-    scored = scored.select(*shown, F.inline("matches"))
-    return top_per_key(scored, ["request_no"], _relevance_order(), n, "place")
+    spark = questions.sparkSession
+    table = request_frame(spark, requests) if isinstance(requests, list) else requests
+    columns = ["request_no", "question_type", "difficulty", "topic"]
+    asked = staged(table.select(*columns).withColumn("_topic", F.lower("topic")))
+    wanted = ["question_type", "difficulty", "topic", "_topic"]
+    keys = asked.select(*wanted).distinct().withColumnRenamed("difficulty", "wanted")
+    looked_for = asked.filter(F.col("topic") != S.ANY_TOPIC).select(F.col("_topic").alias("topic")).distinct()
+    typed = questions.join(keys.select("question_type").distinct(), "question_type", "left_semi")
+    scanned = _candidates(_with_topics(typed, looked_for), F.col("question_type"), F.col("topics"))
+    corpus = staged(_with_source(scanned, sources))
+    narrow = corpus.select("question_id", "sort_title", "question_type", "difficulty", "topics")
+    hits = narrow.withColumn("_topic", F.explode("topics")).drop("topics")
+    narrow = narrow.drop("topics")
+    order = [F.col("sort_title").asc_nulls_last(), F.col("question_id")]
+    found = None
+    for rows, group, mention in (
+        (narrow, ["question_type"], False),
+        (narrow, ["question_type", "difficulty"], False),
+        (hits, ["question_type", "_topic"], True),
+        (hits, ["question_type", "difficulty", "_topic"], True),
+    ):
+        first = top_per_key(rows, group, order, n, "_n").drop("_n")
+        named = [c for c in first.columns if c not in group or c == "difficulty"]
+        right = first.select(*[F.col(c).alias(f"_r_{c}") for c in group], *[F.col(c).alias(f"_c_{c}") for c in named])
+        own = {"difficulty": "wanted"}
+        same = [keys[own.get(c, c)] == F.col(f"_r_{c}") for c in group]
+        asks = keys.filter(F.col("topic") != S.ANY_TOPIC) if mention else keys
+        met = asks.join(right, same).select(
+            *keys.columns, *[F.col(f"_c_{c}").alias(c) for c in ("question_id", "sort_title", "difficulty")], F.lit(mention).alias("mention")
+        )
+        found = met if found is None else found.unionByName(met)
+    # a mention that is not among the first of its group cannot be among the first of the request
+    key = ["question_type", "wanted", "topic"]
+    single = found.groupBy(*key, "question_id", "sort_title", "difficulty").agg(F.max("mention").alias("mention"))
+    near = F.when(F.col("difficulty") == F.col("wanted"), 2).otherwise(0)
+    scored = single.withColumn("score", near + F.when(F.col("mention"), 4).otherwise(0))
+    chosen = top_per_key(scored, key, _relevance_order(), n, "place").select(*key, "question_id", "score", "place")
+    shown = corpus.drop("source_id", "question_type", "topics")
+    told = chosen.join(shown, "question_id")
+    some = asked.select("request_no", "question_type", F.col("difficulty").alias("wanted"), "topic")
+    return spread_join(some.dropna(subset=key), told, key, F.col("request_no")).drop(*key)
 
 
 def request_frame(spark, requests: list[Request]) -> DataFrame:
@@ -203,7 +241,7 @@ def context_documents(
     sources: DataFrame,
     assets: DataFrame,
     solutions: DataFrame,
-    requests: list[Request],
+    requests: list[Request] | DataFrame,
     budget: int = S.MAX_CONTEXT_CHARS,
 ) -> DataFrame:
     """The context document of every request.
