@@ -113,20 +113,25 @@ def rolling(names: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
             factor = factor * factor
 
 
-def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[list[bytes]]]]:
-    """Rows of a batch in blocks of about BLOCK_WORDS words."""
-    rows, split, words = [], [], 0
+def _named_blocks(batch: pa.RecordBatch) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Rows of a batch in blocks of about BLOCK_WORDS words: rows, their numbers of
+    words, the names of all words.  Only one text's words are held at a time."""
+    rows, names, words = [], [], 0
+
+    def told():
+        sizes = np.fromiter(map(len, names), np.int64, len(names))
+        return rows, sizes, np.concatenate(names)
+
     texts = batch.column("text").cast(pa.binary())
     for k, text in enumerate(texts):
-        found = text.as_buffer().to_pybytes().split() if text.is_valid else []
         rows.append(k)
-        split.append(found)
-        words += len(found)
+        names.append(word_names(text.as_buffer().to_pybytes().split() if text.is_valid else []))
+        words += len(names[-1])
         if words >= BLOCK_WORDS:
-            yield rows, split
-            rows, split, words = [], [], 0
+            yield told()
+            rows, names, words = [], [], 0
     if rows:
-        yield rows, split
+        yield told()
 
 
 # ---------------------------------------------------------------- Spark rounds
@@ -137,12 +142,10 @@ def _reveal(window: int, rounds: int):
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for at, split in _blocks(batch):
-                sizes = np.fromiter(map(len, split), np.int64, len(split))
+            for at, sizes, names in _named_blocks(batch):
                 if sizes.max(initial=0) < window:
                     continue
-                names = word_names([w for words in split for w in words])
-                owner = np.repeat(np.arange(len(split)), sizes)
+                owner = np.repeat(np.arange(len(sizes)), sizes)
                 start, _ = parse(names, owner, rounds)
                 base = np.cumsum(sizes) - sizes
                 whole = start + phrase <= (base + sizes)[owner[start]]
@@ -217,19 +220,17 @@ def _verify(window: int, rounds: int):
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for at, split in _blocks(batch):
-                sizes = np.fromiter(map(len, split), np.int64, len(split))
-                names = word_names([w for words in split for w in words])
+            for at, sizes, names in _named_blocks(batch):
                 base = np.cumsum(sizes) - sizes
                 found = [batch.column("places")[k].values.to_numpy() + b for k, b in zip(at, base)]
-                owner = np.repeat(np.arange(len(split)), [len(f) for f in found])
+                owner = np.repeat(np.arange(len(sizes)), [len(f) for f in found])
                 place = np.concatenate(found).astype(np.int64)
                 # starts of the windows that hold the phrase: place - reach + 1 .. place
                 mark = np.zeros(len(names) + 1, np.int32)
                 np.add.at(mark, np.maximum(place - reach + 1, base[owner]), 1)
                 np.add.at(mark, place + 1, -1)
                 start = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-                of = np.repeat(np.arange(len(split)), sizes)
+                of = np.repeat(np.arange(len(sizes)), sizes)
                 start = start[start + window <= (base + sizes)[of[start]]]
                 if not len(start):
                     continue
