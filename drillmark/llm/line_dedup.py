@@ -284,8 +284,11 @@ def kept_lines(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     )
 
 
-def without_repeats(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` with the lines left in ``text``, and ``_flags`` per line."""
+def without_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", flags_as: str | None = None) -> DataFrame:
+    """The rows of ``df`` with the lines left in ``text``; its columns keep their names and places.
+
+    ``flags_as`` names a further column that says of each line whether it stays.
+    """
     flags = kept(kept_lines(df, id, text), "flags")
     inner = df.columns
     keyed = df.select(
@@ -296,5 +299,5 @@ def without_repeats(df: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     joined = keyed.join(flags.select(F.col("doc").alias("_doc"), F.col("flags").alias("_flags")), "_doc", "left")
     left = F.array_join(F.filter(F.split(body, "\n"), lambda x, i: F.col("_flags")[i]), "\n")
     return joined.withColumn(body, F.when(F.col(body).isNotNull(), left)).select(
-        *[F.col(f"_c{k}").alias(c) for k, c in enumerate(inner)], "_flags"
+        *[F.col(f"_c{k}").alias(c) for k, c in enumerate(inner)], *([F.col("_flags").alias(flags_as)] if flags_as else [])
     )

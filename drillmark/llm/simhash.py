@@ -314,17 +314,6 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shing
     return spread_join(marked, by_print, ["fingerprint"], F.coalesce("id", F.lit(0))).select("id", "fingerprint", "component")
 
 
-def keep_first(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` without later members of a near-duplicate group.
-
-    The row whose id is the component's smallest stays; a row without id stays
-    (it cannot be told from others).  Of repeated rows with that id all stay.
-    """
-    found = near_duplicates(df, id, text)
-    gone = found.filter(F.col("id") != F.col("component")).select(F.col("id").alias(id)).distinct()
-    return df.join(gone, id, "left_anti").select(*df.columns)
-
-
 def one_per_group(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS, limit: int = MAX_BITS) -> DataFrame:
     """Exactly one row of ``df`` per near-duplicate group.
 
@@ -338,9 +327,11 @@ def one_per_group(df: DataFrame, id: str = "doc_id", text: str = "text", shingle
     first = by_print.join(classes, "fingerprint").groupBy("root").agg(F.min("row").alias("row"))
     names = ["_none", "_id", "_body"]
     chosen = kept(first.select("row.none", "row.id", "row.body").toDF(*names), "chosen")
-    columns = [F.col(f"`{c}`") for c in df.columns]
+    inner = df.columns
+    columns = [F.col(f"`{c}`") for c in inner]
     named = df.select(
-        *columns,
+        # the caller's columns may have any name, also those made here
+        *[c.alias(f"_c{k}") for k, c in enumerate(columns)],
         F.col(id).isNull().alias("_none"),
         F.coalesce(F.col(id).cast("long"), F.lit(0)).alias("_id"),
         _body(text).alias("_body"),
@@ -348,4 +339,4 @@ def one_per_group(df: DataFrame, id: str = "doc_id", text: str = "text", shingle
     )
     # each task sends one row of equal id and text, so copies do not meet in one task
     single = named.withColumn("_nth", F.row_number().over(Window.partitionBy(*names).orderBy("_row"))).filter("_nth = 1")
-    return single.join(chosen, names).select(*columns)
+    return single.join(chosen, names).select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(inner)])

@@ -30,7 +30,7 @@ def op4_byte_pairs(spark, sf_dir):
 @query()
 def op6_lines(spark, sf_dir):
     """Per document: its lines, those removed, and the SHA-256 of the text left."""
-    left = line_dedup.without_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    left = line_dedup.without_repeats(documents(spark, sf_dir).select("doc_id", "text"), flags_as="_flags")
     lines = F.coalesce(F.size("_flags"), F.lit(0))
     stay = F.coalesce(F.size(F.filter("_flags", lambda x: x)), F.lit(0))
     return left.select(
