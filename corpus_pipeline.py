@@ -1,4 +1,14 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+A missing or empty text is scored like any other, has no lines and no passages,
+and counts as one text: the near-duplicate stage keeps one row of all empty
+texts.  A document without id stays and is the last of its group.  Of repeated
+rows one stays; ties go to the smaller id, then the smaller hash of the text.
+Texts are never cut short.  An empty table gives an empty result.  Further
+columns, also those with names used inside a stage, pass through to the last
+stage; names that differ only in case, or repeat, must not occur (Spark cannot
+write them as Parquet).
+"""
 
 from __future__ import annotations
 
@@ -22,7 +32,7 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines like an earlier line go; a document that loses all of them stays, empty."""
-    return _counted(line_dedup.without_repeats(docs).drop("_flags"))
+    return _counted(line_dedup.without_repeats(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
