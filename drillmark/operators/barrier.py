@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,20 +22,25 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return computed.select(*kept, F.explode(F.array(name)).alias(name))
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """The rows of a frame that several outputs are made from, written once.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder the cluster names in ``spark.checkpoint.dir``.
 
-    They go to the folder the cluster names in ``spark.checkpoint.dir``, so a
-    lost executor does not bring the work back.  Only a local session may do
-    without that setting and gets a folder of its own.
+    Only a local session may do without that setting and gets a folder of its own.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/staged-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """The rows of a frame that several outputs are made from, written once.
+
+    They go to the shared folder, so a lost executor does not bring the work back.
+    """
+    path = shared_path(df.sparkSession, "staged")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

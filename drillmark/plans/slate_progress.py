@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from drillmark import schemas as S
+from drillmark.operators.barrier import shared_path
 from drillmark.plans import bindings as B
 from drillmark.plans import progress as P
 from drillmark.plans.registry import query
+from drillmark.sources import compaction, sinks
 
 _JOINED = f"""
 FROM ({B.ATTEMPTS_SQL}) a JOIN ({B.QUESTIONS_SQL}) q ON q.id = a.question_id
@@ -274,3 +277,61 @@ def viewed_attempts(spark, sf_dir):
     attempts = B.dated_attempts(spark, sf_dir)
     linked = P.link_views(_views(spark, sf_dir), attempts)
     return P.flag_viewed(attempts, linked).select("id", "solution_viewed")
+
+
+# --- Attempts stored batch by batch ------------------------------------------
+
+BATCHES = 3
+
+
+def _stored_attempts(spark, sf_dir, table):
+    """All attempts in batches, ``table`` compacted; then the first batch comes again, as errors."""
+    catalog = shared_path(spark, "catalog")
+    rows = B.dated_attempts(spark, sf_dir)
+    fields = S.TABLES["attempts"].fields
+    absent = {f.name: F.lit(None) for f in fields if f.name not in rows.columns}
+    typed = rows.withColumns(absent).select(*[F.col(f.name).cast(f.dataType) for f in fields])
+    batches = [typed.filter(F.col("id").cast("long") % BATCHES == k) for k in range(BATCHES)]
+    for k, batch in enumerate(batches):
+        sinks.append_rows(batch, catalog, "attempts", f"batch-{k}")
+    compaction.compact(spark, catalog, table)
+    compaction.drop_superseded(spark, catalog, table)
+    again = batches[0].withColumn("assessment_status", F.lit("error"))
+    sinks.append_rows(again, catalog, "attempts", "batch-0")
+    return catalog
+
+
+_STORED_SQL = f"""
+SELECT id % {BATCHES} AS batch, id, question_id, method, attempted_at,
+       CASE WHEN id % {BATCHES} = 0 THEN 'error' ELSE assessment_status END AS assessment_status
+FROM ({B.DATED_ATTEMPTS_SQL})
+"""
+
+
+@query(
+    f"""
+    SELECT question_id, assessment_status, count(*) AS attempts, min(id) AS first_id,
+           max(attempted_at)::date AS last_day
+    FROM ({_STORED_SQL}) GROUP BY question_id, assessment_status
+    """
+)
+def compacted_attempts(spark, sf_dir):
+    """Batches and their compacted generation read as one table."""
+    stored = sinks.read_committed(spark, _stored_attempts(spark, sf_dir, "attempts"), "attempts")
+    return stored.groupBy(F.col("question_id").cast("long"), "assessment_status").agg(
+        F.count("*").alias("attempts"),
+        F.min(F.col("id").cast("long")).alias("first_id"),
+        F.max("attempted_at").cast("date").alias("last_day"),
+    )
+
+
+@query(
+    f"""
+    SELECT 'batch-' || batch AS id, 'completed' AS status, count(*) AS records_imported
+    FROM ({_STORED_SQL}) GROUP BY batch
+    """
+)
+def compacted_runs(spark, sf_dir):
+    """One audit row per batch, from the generation or written since."""
+    runs = sinks.read_table(spark, _stored_attempts(spark, sf_dir, "import_runs"), "import_runs")
+    return runs.select("id", "status", "records_imported")

@@ -23,7 +23,7 @@ from drillmark.operators.barrier import staged
 from drillmark.operators.joins import spread_join
 from drillmark.operators.ordered import first_per_key
 from drillmark.plans.validation import method_rule
-from drillmark.sources import stored_keys
+from drillmark.sources import generations, stored_keys
 
 # --- Which records are new ---------------------------------------------------
 
@@ -447,15 +447,38 @@ def append_rows(df: DataFrame, catalog: str, table: str, run_id: str) -> None:
 
 
 def read_table(spark: SparkSession, catalog: str, table: str) -> DataFrame:
-    """All rows of a table with their run, as ``import_run``."""
-    schema = T.StructType([*S.TABLES[table].fields, T.StructField("import_run", T.StringType())])
-    path = f"{catalog.rstrip('/')}/{table}"
+    """All rows of a table with their run, as ``import_run``.
+
+    Batches that were compacted come from their generation, the others from
+    their folders; of the audit table the last row of each run counts.
+    """
+    folders = _folders(spark, catalog, table)
+    covered = generations.covered_runs(spark, catalog, table)
+    if covered is None:
+        return folders
+    rows = generations.generation_rows(spark, catalog, table, _with_run(table))
+    if table == "import_runs":
+        both = folders.unionByName(rows.drop("generation"))
+        age = F.struct("started_at", F.col("status") != "running", "completed_at")
+        last = both.groupBy("id").agg(F.max_by(F.struct(*both.columns), age).alias("row"))
+        return last.select("row.*")
+    current = generations.current_runs(covered, read_table(spark, catalog, "import_runs"))
+    moved = rows.join(current, ["import_run", "generation"], "left_semi").drop("generation")
+    return folders.join(current, "import_run", "left_anti").unionByName(moved)
+
+
+def _with_run(table: str) -> T.StructType:
+    return T.StructType([*S.TABLES[table].fields, T.StructField("import_run", T.StringType())])
+
+
+def _folders(spark: SparkSession, catalog: str, table: str) -> DataFrame:
+    """The rows in the folders of the runs."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(_with_run(table)).parquet(f"{catalog.rstrip('/')}/{table}")
     except AnalysisException as exc:
         if exc.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], _with_run(table))
 
 
 def read_committed(spark: SparkSession, catalog: str, table: str) -> DataFrame:
