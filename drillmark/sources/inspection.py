@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import urlsplit
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -87,20 +88,26 @@ def require_sound(inspected: DataFrame, spec: QuestionCorpus) -> list[str]:
     return [row.path for row in rows]
 
 
+SIDE_CARS = ".cache/huggingface/download"
+
+
 def revisions(spark: SparkSession, root: str) -> DataFrame:
     """(source_file, source_revision) from the side-car files next to a download.
 
-    ``<a>/<b>/.cache/huggingface/download/<rest>.metadata`` describes
-    ``<a>/<b>/<rest>``; its first line is the revision.
+    ``<a>/.cache/huggingface/download/<rest>.metadata`` describes ``<a>/<rest>``,
+    at any depth below the root; its first line is the revision.
     """
-    reader = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.metadata")
-    )
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     try:
-        # The hidden folder has to be named: a recursive listing passes it over.
-        cars = reader.load(f"{root.rstrip('/')}/*/*/.cache/huggingface/download")
+        below = reader.load(root).select(
+            F.size(F.split(F.regexp_replace("path", r"^[^/]*:(//[^/]*)?", ""), "/")).alias("parts")
+        )
+        deepest = below.agg(F.max("parts")).first()[0] or 0
+        # The hidden folder has to be named: a recursive listing passes it over.  It lies
+        # beside or above the files it describes, so no deeper than the deepest of them.
+        depth = max(2, deepest - len([p for p in urlsplit(root).path.split("/") if p]) - 1)
+        levels = ",".join("*/" * n for n in range(depth + 1))
+        cars = reader.option("pathGlobFilter", "*.metadata").load(f"{root.rstrip('/')}/{{{levels}}}{SIDE_CARS}")
     except AnalysisException as exc:
         if exc.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +16,9 @@ from drillmark.functions.text import has_text
 from drillmark.operators.barrier import once
 from drillmark.operators.sections import numbered_lines
 from drillmark.sources.arrays import read_array_elements
+from drillmark.sources.shipping import ship_by_value
 
+ship_by_value(__name__)
 
 # Up to this many (file, split) pairs the split table is broadcast: about 20 MB.
 MAX_BROADCAST_SPLITS = 100_000
@@ -140,14 +148,19 @@ def list_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{pattern}").select("path", "length")
 
 
-# The binary reader holds one file in one row; larger files cannot be hashed by it.
+# The binary reader holds one file in one row; larger files are streamed.
 READER_LIMIT_BYTES = 2_000_000_000
+STREAM_CHUNK_BYTES = 8 * 1024 * 1024
 
 
-def file_manifest(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """Bytes and sha-256 of each file.
+def file_manifest(
+    spark: SparkSession, root: str, pattern: str = "*", whole_below: int = READER_LIMIT_BYTES
+) -> DataFrame:
+    """Bytes and sha-256 of each file, of any size.
 
-    Files over the reader's limit stay in the manifest with a null digest.
+    Files below ``whole_below`` bytes are read by Spark's binary reader, others
+    chunk by chunk in a task.  Both give the digest of all bytes.  Spark's reader
+    passes over empty files, so they are not in the manifest.
     """
     files = (
         spark.read.format("binaryFile")
@@ -155,10 +168,32 @@ def file_manifest(spark: SparkSession, root: str, pattern: str = "*") -> DataFra
         .option("pathGlobFilter", pattern)
         .load(root)
     )
-    digests = files.filter(F.col("length") < READER_LIMIT_BYTES).select(
-        "path", F.sha2("content", 256).alias("sha256")
-    )
-    return files.select("path", F.col("length").alias("bytes")).join(digests, "path", "left")
+    size = F.col("length").alias("bytes")
+    small = files.filter(F.col("length") < whole_below).select("path", size, F.sha2("content", 256).alias("sha256"))
+    large = files.filter(F.col("length") >= whole_below).select("path", size)
+    # A fixed number of tasks: the rows are tiny, so adaptive execution would put all files in one.
+    spread = large.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    return small.unionByName(spread.mapInArrow(_streamed_digests, "path string, bytes long, sha256 string"))
+
+
+def _address(path: str) -> str:
+    """The URI of a path as Spark names it: without escapes, local ones with a single slash."""
+    scheme, _, rest = path.partition(":")
+    return f"{scheme}:{quote(rest)}" if rest.startswith("//") else f"{scheme}://{quote(rest)}"
+
+
+def _streamed_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the digest of each named file, reading one chunk at a time."""
+    for batch in batches:
+        digests = []
+        for path in batch.column("path").to_pylist():
+            system, place = fs.FileSystem.from_uri(_address(path))
+            digest = hashlib.sha256()
+            with system.open_input_stream(place) as stream:
+                while chunk := stream.read(STREAM_CHUNK_BYTES):
+                    digest.update(chunk)
+            digests.append(digest.hexdigest())
+        yield batch.append_column("sha256", pa.array(digests, pa.string()))
 
 
 def source_manifest(files: DataFrame, policy: DataFrame, revisions: dict[str, str]) -> DataFrame:

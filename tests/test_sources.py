@@ -13,7 +13,7 @@ from drillmark.plans import ingest
 from drillmark.plans.validation import table_report
 from drillmark.sources import interviews, readers, sinks
 from drillmark.sources.archives import decode_archives
-from drillmark.sources.inspection import inspect_dataset, require_sound, revisions
+from drillmark.sources.inspection import SIDE_CARS, inspect_dataset, require_sound, revisions
 from drillmark.sources.literals import json_or_literal
 from drillmark.sources.specs import allowed_only, choose, policy_frame
 from drillmark.streaming.imports import import_batch, start_import
@@ -146,6 +146,26 @@ def test_manifest(spark, tmp_path):
     write(tmp_path / "a" / "x.md", "hello")
     row = readers.file_manifest(spark, str(tmp_path), "*.md").first()
     assert row.bytes == 5 and row.sha256 == hashlib.sha256(b"hello").hexdigest()
+    write(tmp_path / "a" / "an odd%20name#1.md", "odd")
+    write(tmp_path / "a" / "long.md", "x" * 20_000_000)
+    whole, streamed = (
+        sorted(map(tuple, readers.file_manifest(spark, str(tmp_path), whole_below=n).collect())) for n in (10**9, 0)
+    )
+    assert len(whole) == 3 and whole == streamed
+
+
+def test_digest_of_a_file_beyond_the_binary_reader(spark, tmp_path):
+    import hashlib
+
+    size = 3_000_000_000
+    with open(tmp_path / "big.bin", "wb") as out:
+        out.truncate(size)  # a sparse file takes no disk
+    digest = hashlib.sha256()
+    zeros = bytes(10_000_000)
+    for _ in range(size // len(zeros)):
+        digest.update(zeros)
+    (row,) = readers.file_manifest(spark, str(tmp_path)).collect()
+    assert (row.bytes, row.sha256) == (size, digest.hexdigest())
 
 
 # --- Inspection --------------------------------------------------------------
@@ -173,6 +193,18 @@ def test_revisions(spark, tmp_path):
     write(base / ".cache/huggingface/download/train.jsonl.metadata", " abc123 \netag\n")
     got = {r.source_file.rsplit("/", 1)[1]: r.source_revision for r in revisions(spark, str(tmp_path)).collect()}
     assert got == {"train.jsonl": "abc123"}
+    for folder in ("", "a/", "a/b/c/", "a/b/c/d/e/"):
+        write(tmp_path / f"{folder}sub/deep.jsonl", "{}")
+        write(tmp_path / f"{folder}{SIDE_CARS}/sub/deep.jsonl.metadata", f"r{len(folder)}\n")
+    found = {r.source_file.split(str(tmp_path))[1]: r.source_revision for r in revisions(spark, str(tmp_path)).collect()}
+    assert found == {
+        "/algorithm_problems/apps/train.jsonl": "abc123",
+        "/sub/deep.jsonl": "r0",
+        "/a/sub/deep.jsonl": "r2",
+        "/a/b/c/sub/deep.jsonl": "r6",
+        "/a/b/c/d/e/sub/deep.jsonl": "r10",
+    }
+    assert revisions(spark, str(tmp_path / "absent")).count() == 0
 
 
 # --- Import runs -------------------------------------------------------------
