@@ -28,12 +28,12 @@ def salted_join(
 
     The smaller side is repeated once per salt and the larger side draws its
     salt from ``spread``, so a key with a third of the rows goes to ``salts``
-    tasks.  When the smaller side proves small at run time, adaptive execution
-    broadcasts it instead.
+    tasks.  The estimate of the repeated side follows the size of a file, not the
+    rows exploded from it, so it is merged and never broadcast.
     """
     salted = large.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    return salted.join(repeated.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 # A key is frequent when it holds more than one row in a thousand, so there are

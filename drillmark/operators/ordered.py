@@ -66,7 +66,9 @@ def number_rows(
     tagged = df.withColumn("_block", block)
     inner = Window.partitionBy(*keys, "_block").orderBy(*order)
     numbered = tagged.withColumn("_in_block", F.row_number().over(inner))
-    out = numbered.join(block_sizes(tagged, keys, "_block"), [*keys, "_block"]).withColumn(
+    # A row per block may be nearly a row per row: never broadcast by the size of a file.
+    sizes = block_sizes(tagged, keys, "_block").hint("merge")
+    out = numbered.join(sizes, [*keys, "_block"]).withColumn(
         position, (F.col("_in_block") + F.col("_before")).cast("long")
     )
     if total:

@@ -5,6 +5,10 @@ candidate.  Each pool group is therefore put once into a seeded shuffle with
 slots ``0 .. size-1``; a request starts at its own hashed slot and walks on
 around the circle.  A draw of ``n`` items is ``n`` equi-joins on (group, slot),
 whatever the size of the group.
+
+A pool is exploded from a small file into a row per group and item, so Spark's
+estimate of its slots is far too low; joins with them are merges, which adaptive
+execution splits where a slot is asked for very often, and never broadcasts.
 """
 
 from __future__ import annotations
@@ -76,7 +80,7 @@ def draw(
     probes = sized.withColumn("_step", F.explode(steps)).withColumn(
         "slot", F.pmod(start + F.col("_step"), size)
     )
-    drawn = probes.join(slots.drop("pool_size"), [*groups, "slot"])
+    drawn = probes.join(slots.drop("pool_size").hint("merge"), [*groups, "slot"])
     return drawn.withColumn("draw_no", F.col("_step") + 1).drop("_step", "slot")
 
 
@@ -130,7 +134,7 @@ def next_unused(
     seen = used.select(session_key, item_key).distinct()
     taken = (
         entered.join(seen, session_key)
-        .join(slots.select(*groups, item_key, "slot"), [*groups, item_key])
+        .join(slots.select(*groups, item_key, "slot").hint("merge"), [*groups, item_key])
         .select(*circle, F.pmod(F.col("slot") - F.col("_start"), F.col("pool_size")).alias("_step"))
     )
     steps = taken.unionByName(entered.withColumn("_step", F.lit(None).cast("long")))
@@ -138,6 +142,6 @@ def next_unused(
         first_gap(steps, circle, "_step")
         .filter(F.col("gap") < F.col("pool_size"))
         .withColumn("slot", F.pmod(F.col("_start") + F.col("gap"), F.col("pool_size")))
-        .join(slots.select(*groups, item_key, "slot"), [*groups, "slot"])
+        .join(slots.select(*groups, item_key, "slot").hint("merge"), [*groups, "slot"])
         .select(*asked, item_key)
     )
