@@ -162,7 +162,8 @@ def assemble_mixed(requests: DataFrame, questions: DataFrame, seed: str) -> Data
         return picks.select("quiz_id", F.lit(source).alias("source"), F.col("draw_no").cast("int").alias("draw_no"), "question_id", "method")
 
     picks = drawn("dataset", False).unionByName(drawn("ai_generated", True))
-    return turns.join(picks, ["quiz_id", "source", "draw_no"]).select(
+    # Both sides are exploded from the requests: merged, whatever the size of their file.
+    return turns.join(picks.hint("merge"), ["quiz_id", "source", "draw_no"]).select(
         "quiz_id",
         "position",
         "source",
