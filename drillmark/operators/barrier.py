@@ -1,4 +1,4 @@
-"""Rows and columns that are computed once."""
+"""Rows and columns that are computed once, or evenly over all tasks."""
 
 from __future__ import annotations
 
@@ -22,6 +22,15 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return computed.select(*kept, F.explode(F.array(name)).alias(name))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly over the shuffle's partitions, before costly work per row.
+
+    A table of millions of narrow rows can be a file of a few megabytes, which one
+    task reads; without a shuffle that task does all work that follows, too.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder the cluster names in ``spark.checkpoint.dir``.
 

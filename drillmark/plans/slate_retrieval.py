@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from drillmark.functions.payload import nested_rows
 from drillmark.functions.scoring import render_template
+from drillmark.operators.barrier import dealt
 from drillmark.operators.predicates import shared_assets
 from drillmark.plans import bindings as B
 from drillmark.plans import retrieval as R
@@ -210,7 +211,11 @@ def _event_cases(spark, sf_dir):
 
 
 def _with_examples(questions):
-    """Customers with nested examples: 21 entries, the first with a long text and a long list."""
+    """Customers with nested examples: 21 entries, the first with a long text and a long list.
+
+    They are dealt while they are narrow: the whole table is one small file.
+    """
+    questions = dealt(questions)
     name = F.col("title")
     one = F.struct(F.lit(1).alias("n"), F.repeat(name, 200).alias("text"), F.struct(F.sequence(F.lit(1), F.lit(25)).alias("list")).alias("deep"))
     other = F.struct(F.lit(2).alias("n"), name.alias("text"), F.struct(F.sequence(F.lit(1), F.lit(2)).alias("list")).alias("deep"))
