@@ -14,6 +14,7 @@ each element is parsed on its own.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,13 @@ _SPECIAL[list(b'"\\[]{},')] = True
 _STEP = np.zeros(256, np.int64)
 _STEP[list(b"[{")], _STEP[list(b"]}")] = 1, -1
 _BLANK = b" \t\r\n"
+_CHANGE = {ord("["): 1, ord("{"): 1, ord("]"): -1, ord("}"): -1}
+_OTHER = bytes(set(range(256)) - set(b"[]{},"))
+_ESCAPE = re.compile(rb'\\["\\]')
+#: Up to this many brackets and commas of a piece are counted one by one.
+_FEW = 256
+#: Bytes of elements that are handed over together.
+_BATCH_BYTES = 16 << 20
 
 
 # ------------------------------------------------------------------------ scan
@@ -67,19 +75,54 @@ def marks(raw: bytes, state: int) -> tuple[np.ndarray, np.ndarray, int]:
     return at[plain], kind[plain], end
 
 
-def summary(raw: bytes, state: int) -> dict:
-    """What a piece does that begins in a state: end state, change of depth, greatest
-    depth, and the commas by depth, all counted from the depth it begins at."""
-    at, kind, end = marks(raw, state)
+def _told(only: bytes, end: int) -> dict:
+    """The summary of the brackets and commas outside strings."""
+    if len(only) <= _FEW:
+        depth, top, commas = 0, 0, {}
+        for char in only:
+            if char == _COMMA:
+                commas[depth] = commas.get(depth, 0) + 1
+            else:
+                depth += _CHANGE[char]
+                top = max(top, depth)
+        depths = sorted(commas)
+        return {"ends": end, "step": depth, "top": top, "depths": depths, "commas": [commas[d] for d in depths]}
+    kind = np.frombuffer(only, np.uint8)
     depth = np.cumsum(_STEP[kind])
     depths, many = np.unique(depth[kind == _COMMA], return_counts=True)
-    return {
-        "ends": end,
-        "step": int(depth[-1]) if len(depth) else 0,
-        "top": max(0, int(depth.max())) if len(depth) else 0,
-        "depths": depths.tolist(),
-        "commas": many.tolist(),
-    }
+    return {"ends": end, "step": int(depth[-1]), "top": max(0, int(depth.max())), "depths": depths.tolist(), "commas": many.tolist()}
+
+
+def _by_state(raw: bytes, states: tuple) -> list[dict]:
+    """The summaries for states that do not escape the first byte.
+
+    Escaped quotes and backslashes are blanked, then the stretches between quotes are outside and inside
+    strings in turns: which ones come first is all that the state decides.
+    """
+    plain = _ESCAPE.sub(b"  ", raw) if b"\\" in raw else raw
+    stretches = plain.split(b'"')
+    out = []
+    for state in states:
+        begins = int(state != OUTSIDE)
+        inside = (len(stretches) - 1 + begins) % 2 == 1
+        end = OUTSIDE if not inside else ESCAPED if plain.endswith(b"\\") else INSIDE
+        out.append(_told(b"".join(stretches[begins::2]).translate(None, _OTHER), end))
+    return out
+
+
+def summaries(raw: bytes) -> list[dict]:
+    """What a piece does that begins in each state: end state, change of depth, greatest
+    depth, and the commas by depth, all counted from the depth it begins at."""
+    out = _by_state(raw, (OUTSIDE, INSIDE))
+    if not raw:
+        return [*out, _told(b"", ESCAPED)]
+    # only an escaped quote or backslash makes a difference
+    return [*out, _by_state(b" " + raw[1:], (INSIDE,))[0] if raw[0] in (_QUOTE, _BACKSLASH) else out[1]]
+
+
+def summary(raw: bytes, state: int) -> dict:
+    """What a piece does that begins in a state."""
+    return summaries(raw)[state]
 
 
 def composed(first: list[dict], then: list[dict]) -> list[dict]:
@@ -209,7 +252,7 @@ def starts(pieces: DataFrame) -> DataFrame:
     def scanned(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             values = [v or b"" for v in batch.column("value").to_pylist()]
-            found = [[summary(v, s) for s in (OUTSIDE, INSIDE, ESCAPED)] for v in values]
+            found = [summaries(v) for v in values]
             names = ["source_file", "part", "block", "size"]
             out = batch.select(names).append_column("bytes", pa.array([len(v) for v in values], pa.int64()))
             yield out.append_column("by_state", pa.array(found, kinds))
@@ -268,21 +311,32 @@ def array_elements(pieces: DataFrame, few: bool = False) -> DataFrame:
     placed = pieces.select("source_file", "part", "value").join(F.broadcast(known) if few else known, ["source_file", "part"])
     schema = "source_file string, record_index long, part long, body binary, whole boolean, last boolean"
 
+    types = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.bool_()]
+    names = ["source_file", "record_index", "part", "body", "whole", "last"]
+
     def elements(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        held = 0
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
         for batch in rows:
-            for row in batch.to_pylist():
-                start = row["state"], row["depth"], row["element"], row["opened"]
+            columns = (batch.column(c) for c in ("source_file", "part", "value", "state", "depth", "element", "opened"))
+            for file, part, value, *start in zip(*columns):
+                file, part, raw, start = file.as_py(), part.as_py(), value.as_py() or b"", tuple(x.as_py() for x in start)
                 try:
-                    found = list(cut(row["value"] or b"", start))
+                    for index, body, begins, ends, last in cut(raw, start):
+                        out.append((file, index, part, body, begins and ends, last))
                 except ValueError as error:
-                    raise _unreadable(row["source_file"], str(error)) from None
-                if found:
-                    index, body, begins, ends, last = zip(*found)
-                    yield pa.RecordBatch.from_pydict(
-                        {"source_file": pa.array([row["source_file"]] * len(found), pa.string()), "record_index": pa.array(index, pa.int64()),
-                         "part": pa.array([row["part"]] * len(found), pa.int64()), "body": pa.array(body, pa.binary()),
-                         "whole": [a and b for a, b in zip(begins, ends)], "last": list(last)}
-                    )
+                    raise _unreadable(file, str(error)) from None
+                held += len(raw)
+                if held >= _BATCH_BYTES:
+                    if out:
+                        yield told()
+                    out, held = [], 0
+        if out:
+            yield told()
 
     found = staged(placed.mapInArrow(elements, schema))
     ordered = F.array_sort(F.collect_list(F.struct("part", "body")))

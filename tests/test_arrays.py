@@ -1,6 +1,7 @@
 """JSON arrays in pieces, against a parser of the whole text."""
 
 import json
+import random
 import time
 
 import pytest
@@ -108,3 +109,35 @@ def test_an_array_beyond_one_value(spark, tmp_path):
     ).first()
     assert tuple(row) == (140_000, 140_000, 0, 139_999, 0, 140_000)
     assert time.time() - began < 120
+
+
+def one_by_one(raw, state):
+    """The summary of a piece, byte by byte."""
+    depth, top, commas = 0, 0, {}
+    inside, escaped = state != arrays.OUTSIDE, state == arrays.ESCAPED
+    for char in raw:
+        if escaped and char in b'"\\':
+            escaped = False
+            continue
+        escaped = False
+        if char == ord("\\"):
+            escaped = True
+        elif char == ord('"'):
+            inside = not inside
+        elif not inside and char in b"[{":
+            depth += 1
+            top = max(top, depth)
+        elif not inside and char in b"]}":
+            depth -= 1
+        elif not inside and char == ord(","):
+            commas[depth] = commas.get(depth, 0) + 1
+    ends = arrays.OUTSIDE if not inside else arrays.ESCAPED if escaped else arrays.INSIDE
+    return {"ends": ends, "step": depth, "top": top, "depths": sorted(commas), "commas": [commas[d] for d in sorted(commas)]}
+
+
+def test_summaries_for_all_states_look_at_the_bytes_once():
+    rng = random.Random(5)
+    pieces = [bytes(rng.choices(b'[]{},"\\ax\n', k=rng.randint(0, 40))) for _ in range(4000)]
+    pieces += [bytes(rng.choices(b'[]{},"a', k=3000)), b"", b'"', b"\\", b'\\"', b"\\\\"]
+    for raw in pieces:
+        assert arrays.summaries(raw) == [one_by_one(raw, s) for s in (arrays.OUTSIDE, arrays.INSIDE, arrays.ESCAPED)], raw
