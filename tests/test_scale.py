@@ -24,8 +24,10 @@ def plan(df):
 
 
 @pytest.fixture()
-def pool(spark):
-    return spark.createDataFrame(POOL, "item_id long, g string, t string")
+def pool(spark, tmp_path):
+    """From a file, whose size is what Spark plans by."""
+    spark.createDataFrame(POOL, "item_id long, g string, t string").write.parquet(f"{tmp_path}/pool")
+    return spark.read.parquet(f"{tmp_path}/pool")
 
 
 def test_block_sizes_are_not_broadcast(pool):
