@@ -12,7 +12,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import __spark_entry__ as entry  # noqa: E402
 from drillmark.operators import ordered, sampling  # noqa: E402
+from drillmark.functions.payload import unfence_json  # noqa: E402
+from drillmark.functions.text import _WHITE, has_text  # noqa: E402
 from drillmark.plans import retrieval  # noqa: E402
+from drillmark.plans import validation as V  # noqa: E402
 
 POOL = [(k, "g" if k % 3 else "h", "t") for k in range(40)]
 
@@ -75,3 +78,25 @@ def test_review_context_adds_the_question_last(spark):
     # the last join is the one with the questions: they take part in no earlier one
     joins = [x for x in plan(found).splitlines() if "Join" in x]
     assert "SortMergeJoin [question_id" in joins[0]
+
+
+def test_assessments_are_dealt_before_they_are_written_and_read(spark):
+    assert "REPARTITION_BY_NUM" in plan(entry.queries()["assessment_payloads"](spark, "/root/testdata/sf0.001"))
+
+
+def test_members_of_a_reply_are_listed_once(spark):
+    assert str(V.assessment(F.col("v"))._jc).count("map_keys") == 1
+    held = {"ab": True, "abc": True, "a": False, "abd": False, "abcd": False, "": False, "aab": None}
+    rows = [("{" + ",".join(f'"{c}":1' for c in reversed(names)) + "}",) for names in held] + [("[1]",), ("null",)]
+    value = F.try_parse_json("reply")
+    found = spark.createDataFrame(rows, "reply string").select(V._members(value, ("b", "a"), ("c",)).alias("ok")).collect()
+    assert [r.ok for r in found] == [*held.values(), None, None]
+
+
+def test_blank_and_fenced_texts_are_told_as_before(spark):
+    texts = [(c, False) for c in ("", " ", _WHITE, None)] + [(t, True) for t in ("a", _WHITE + "~", "\u00e9", " \u200b", "\x00", "\x7f", "\x1b")]
+    found = spark.createDataFrame(texts, "t string, ok boolean").select("ok", has_text(F.col("t")).alias("is")).collect()
+    assert [r["is"] for r in found] == [ok for _, ok in texts]
+    replies = [(" ```JSON {}\n``` ", "{}"), ("```{}```", "```{}```"), ("x```json {}```", "x```json {}```"), ("```json {}", "```json {}"), (None, None)]
+    found = spark.createDataFrame(replies, "t string, body string").select("body", unfence_json(F.col("t")).alias("is")).collect()
+    assert [r["is"] for r in found] == [body for _, body in replies]
