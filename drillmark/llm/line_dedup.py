@@ -10,11 +10,11 @@ matter whether that one stays itself.
 2. Equal lines are one line at their first place; only it is compared.  A line
    is named by its text throughout (``same``); id and number only order lines,
    since rows without an id, or with a repeated one, share them.
-3. Two similar sets share ``l`` words among the rarest ``n - ceil(4n/5) + l`` of
-   each (prefix filter; ``l`` is 1 for short lines and up to 3 for long ones).
-   Lines meet on such words, and go on if their sizes (length filter), the
-   places of the word in both (positional filter) and a 64-bit parity sketch of
-   both sets (an upper bound of the overlap) allow it, on ``l`` words at least.
+3. Two similar sets share a word among the rarest ``n - ceil(4n/5) + 1`` of each
+   (prefix filter).  Lines meet on such words, and go on if their sizes (length
+   filter), the places of the word in both (positional filter) and a parity sketch
+   of both sets (an upper bound of the overlap) allow it.  The sketch has 64 to
+   256 bits: one of 64 tells next to nothing of lines of 100 words.
 4. Within the lines of one word, a line whose sketch is close to that of the
    first or of the one before it is paired with that one alone, so a group of g
    variants of a line does not give g*g pairs.
@@ -49,6 +49,8 @@ CLASS_BITS = 12
 TRIED_BEFORE = 1
 #: Sketches that differ in at most so many of their 64 bits are close.
 CLOSE_BITS = 18
+#: Words of a line from which its sketch has 128 and 256 bits.
+WIDE, WIDER = 40, 100
 FIRST_ID = -(1 << 63)
 #: Size of the table of prefix words that occur again: 2**24 bits, 2 MB.
 SHARED_BITS = 24
@@ -132,43 +134,82 @@ def _with_set(lines: DataFrame, ranks: Column) -> DataFrame:
         ),
     )
     with_keys = once(lines, "keys", F.sort_array(F.array_distinct(ranked)))
-    sketch = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
     # never null, so that no null test tells the two sides of a later join apart
-    return with_keys.withColumn("n", F.coalesce(F.size("keys"), F.lit(0))).withColumn("parity", F.coalesce(sketch, F.lit(0).cast("long")))
+    found = with_keys.withColumn("n", F.coalesce(F.size("keys"), F.lit(0))).withColumn("parity", F.coalesce(_sketch(lambda k: F.lit(1)), F.lit(0).cast("long")))
+    for name, (least, chosen) in _PARTS.items():
+        found = found.withColumn(name, F.when(F.col("n") >= least, _sketch(chosen)).otherwise(F.lit(0).cast("long")))
+    return found
 
 
-def _shared(n: Column) -> Column:
-    """How many prefix words a line of ``n`` words shares with a longer similar one, at least."""
-    return F.when(n < 24, 1).when(n < 60, 2).otherwise(3)
+def _sketch(chosen) -> Column:
+    """For each of 64 classes of words, the parity of the number of those that are ``chosen`` (1, else 0)."""
+
+    def flipped(a: Column, k: Column) -> Column:
+        return a.bitwiseXOR(F.call_function("shiftleft", chosen(k).cast("long"), k.bitwiseAND(F.lit(63)).cast("int")))
+
+    return F.aggregate("keys", F.lit(0).cast("long"), flipped)
+
+
+def _bit(k: Column, place: int) -> Column:
+    return F.shiftright(k, place).bitwiseAND(F.lit(1).cast("long"))
+
+
+def _apart(x, y) -> Column:
+    """Bits in which the sketches differ, of 64, 128 or 256: never more than words that only one line has."""
+    parity, half, third, fourth = [x(c).bitwiseXOR(y(c)) for c in ("parity", *_PARTS)]
+    other = parity.bitwiseXOR(half)
+    two = F.bit_count(half) + F.bit_count(other)
+    four = [third, half.bitwiseXOR(third), fourth, other.bitwiseXOR(fourth)]
+    n = F.least(x("n"), y("n"))
+    return F.when(n < WIDE, F.bit_count(parity)).when(n < WIDER, two).otherwise(sum(map(F.bit_count, four[1:]), F.bit_count(four[0])))
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
     """(token, same, id, at, n, parity, i): one row per word of the prefix, at its place i in the order."""
-    size = F.expr(f"n - (n * {NUMERATOR} + {DENOMINATOR - 1}) div {DENOMINATOR}").cast("int") + _shared(F.col("n"))
+    size = F.expr(f"n - (n * {NUMERATOR} + {DENOMINATOR - 1}) div {DENOMINATOR}").cast("int") + 1
     found = sets.select(*_LINE, F.posexplode_outer(F.slice("keys", F.lit(1), size)).alias("i", "token"))
     return found.filter("token is not null")
 
 
+def _least(x, y) -> Column:
+    """Words that two similar lines share at least."""
+    both = NUMERATOR + DENOMINATOR
+    return F.expr("0") + F.floor(((x("n") + y("n")) * NUMERATOR + (both - 1)) / both)
+
+
 def _may_match(x, y) -> Column:
     """Length, positional and parity filters for two prefix rows of one word, y earlier than x."""
-    total = x("n") + y("n")
-    both = NUMERATOR + DENOMINATOR
-    least = F.expr("0") + F.floor((total * NUMERATOR + (both - 1)) / both)  # overlap that is needed
+    total, least = x("n") + y("n"), _least(x, y)
     earlier = (y("id") < x("id")) | ((y("id") == x("id")) & (y("at") < x("at")))
-    # the word is one of the first that both share
-    rest = F.least(x("n") - x("i"), y("n") - y("i")) + _shared(F.least(x("n"), y("n"))) - 1
+    # on the first word that both share, all that they share is still to come
+    rest = F.least(x("n") - x("i"), y("n") - y("i"))
     sizes = (x("n") * DENOMINATOR >= y("n") * NUMERATOR) & (y("n") * DENOMINATOR >= x("n") * NUMERATOR)
     apart = F.bit_count(x("parity").bitwiseXOR(y("parity")))
     return earlier & sizes & (rest >= least) & (apart <= total - 2 * least)
 
 
+def _wide_match(x, y) -> Column:
+    """The filter by the whole sketch, for what ``_may_match`` lets through: a join that
+    tests it reads all parts for every two rows of a word."""
+    return _apart(x, y) <= x("n") + y("n") - 2 * _least(x, y)
+
+
 def _close(x, y) -> Column:
     return F.bit_count(x("parity").bitwiseXOR(y("parity"))) <= CLOSE_BITS
 
 
-_LINE = ("same", "id", "at", "n", "parity")
+#: The sketches of words chosen by further bits; with ``parity``, the sketch of all
+#: words, they give the sketches of the other words: two of 64 bits from WIDE words
+#: on, four from WIDER on.
+_PARTS = {
+    "half": (WIDE, lambda k: 1 - _bit(k, 6)),
+    "third": (WIDER, lambda k: (1 - _bit(k, 6)) * (1 - _bit(k, 7))),
+    "fourth": (WIDER, lambda k: _bit(k, 6) * (1 - _bit(k, 7))),
+}
+_LINE = ("same", "id", "at", "n", "parity", *_PARTS)
 #: What is left of a line once the earlier one of a pair is known.
 _END = ("same", "n")
+_ENDS = [f"{s}_{c}" for s in "xy" for c in _END]
 
 
 # ------------------------------------------------------------------ candidates
@@ -178,6 +219,8 @@ def _pairs(prefixes: DataFrame) -> DataFrame:
     """(x_same, x_n, y_same, y_n, alone): candidate pairs, y earlier; ``alone`` marks pairs of step 4."""
     # the tests a join would put before one side only: so both sides below are one exchange
     known = [F.col(c).isNotNull() for c in ("token", "n", "parity")]
+    # without the parts of a sketch the 64 bits of all words decide
+    prefixes = prefixes.withColumns({c: F.lit(0).cast("long") for c in _PARTS if c not in prefixes.columns})
     prefixes = prefixes.filter(known[0] & known[1] & known[2]).repartition("token")
     by_word = Window.partitionBy("token").orderBy("id", "at")
     me = F.struct(*_LINE, "i")
@@ -187,35 +230,32 @@ def _pairs(prefixes: DataFrame) -> DataFrame:
     def x(c):
         return F.col(c)
 
+    def r(c):
+        return F.col(f"r_{c}")
+
     def t(k):
         return lambda c: F.col(f"t{k}.{c}")
 
-    looks = F.coalesce(*[F.when(_may_match(x, t(k)) & _close(x, t(k)), F.col(f"t{k}")) for k in range(len(tried))])
+    looks = F.coalesce(*[F.when(_may_match(x, t(k)) & _wide_match(x, t(k)) & _close(x, t(k)), F.col(f"t{k}")) for k in range(len(tried))])
     left = ahead.withColumn("near", looks).select("token", *_LINE, "i", "near")
     right = prefixes.select("token", *[F.col(c).alias(f"r_{c}") for c in (*_LINE, "i")])
     joined = left.join(
         right,
-        (left["token"] == right["token"]) & F.col("near").isNull() & _may_match(x, lambda c: F.col(f"r_{c}")),
+        (left["token"] == right["token"]) & F.col("near").isNull() & _may_match(x, r),
         "left",
     )
-    y = [F.coalesce(F.col(f"near.{c}"), F.col(f"r_{c}")).alias(f"y_{c}") for c in _END]
+    y = [F.coalesce(F.col(f"near.{c}"), F.when(_wide_match(x, r), r(c))).alias(f"y_{c}") for c in _END]
     found = joined.select(*[F.col(c).alias(f"x_{c}") for c in _END], *y, F.col("near").isNotNull().alias("alone"))
-    return _often(found.filter("y_same is not null"), F.max("alone").alias("alone")).drop("times")
-
-
-def _often(found: DataFrame, *more: Column) -> DataFrame:
-    """Pairs that met on enough words, or are pairs of step 4."""
-    pairs = found.groupBy(*[f"{s}_{c}" for s in "xy" for c in _END]).agg(F.count("*").alias("times"), *more)
-    enough = F.col("times") >= _shared(F.least("x_n", "y_n"))
-    return pairs.filter(enough | F.col("alone") if more else enough)
+    return found.filter("y_same is not null").groupBy(*_ENDS).agg(F.max("alone").alias("alone"))
 
 
 def _all_pairs(some: DataFrame, prefixes: DataFrame) -> DataFrame:
     left = some.select("token", *_LINE, "i")
     right = prefixes.select("token", *[F.col(c).alias(f"r_{c}") for c in (*_LINE, "i")])
     joined = left.join(right, (left["token"] == right["token"]) & _may_match(F.col, lambda c: F.col(f"r_{c}")))
+    joined = joined.filter(_wide_match(F.col, lambda c: F.col(f"r_{c}")))
     found = joined.select(*[F.col(c).alias(f"x_{c}") for c in _END], *[F.col(f"r_{c}").alias(f"y_{c}") for c in _END])
-    return _often(found).drop("times")
+    return found.distinct()
 
 
 def _verified(pairs: DataFrame, compared: DataFrame, ranks: Column) -> DataFrame:

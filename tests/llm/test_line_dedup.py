@@ -103,3 +103,39 @@ def test_one_exchange_for_both_sides(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     assert plan.count("+- Exchange hashpartitioning(token") == 1 and "ReusedExchange" in plan
+
+
+def _rows(texts):
+    return [("k", k, text, "d", 1, "i", "s", "en", "src0") for k, text in enumerate(texts)]
+
+
+def _drawn(rng, words, n):
+    return " ".join(rng.sample(words, n))
+
+
+def test_long_lines_that_differ_are_no_candidates(spark):
+    """Lines of 50 to 200 words of one vocabulary share many words and are not similar."""
+    rng = random.Random(5)
+    words = [f"v{k}" for k in range(600)]
+    data = _rows([_drawn(rng, words, n) for n in range(50, 200, 2) for _ in range(4)])
+    docs = line_dedup._narrow(frame(spark, data), "doc_id", "text")
+    sets = line_dedup._with_set(line_dedup._lines(docs), line_dedup.rarity(docs))
+    found = line_dedup._pairs(line_dedup.kept(line_dedup._prefixes(sets), "few"))
+    assert found.filter("not alone").count() < 100
+
+
+def test_long_lines_against_brute_force(spark):
+    """Variants on both sides of the least similarity, about the lengths where sketches widen."""
+    rng = random.Random(6)
+    words = [f"v{k}" for k in range(2000)]
+    texts = []
+    for n in (36, 40, 44, 49, 90, 100, 110, 124, 160):
+        base = rng.sample(words, n)
+        for change in (0, n // 9 - 1, n // 9, n // 9 + 1, n // 5):
+            texts.append(" ".join(base[change:] + rng.sample(words, change)))
+            texts.append(" ".join(base[: n - change]))
+            texts.append(" ".join(base + rng.sample(words, change)))
+    rng.shuffle(texts)
+    data = _rows(["\n".join(texts[k : k + 3]) for k in range(0, len(texts), 3)])
+    found = line_dedup.without_repeats(frame(spark, data)).collect()
+    assert {(r["doc_id"], old[2]): r["text"] for r in found for old in data if old[1] == r["doc_id"]} == brute(data)
