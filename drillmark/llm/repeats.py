@@ -18,10 +18,12 @@ Two Spark rounds follow the local ones.
 1. *Reveal.*  Each boundary of the high-level parse is the start of a phrase of
    ``window - 2**r + 1`` words.  Every window of ``window`` words holds the whole
    phrase of some boundary in its first 2**r words, at the same place in each
-   occurrence.  Phrases are counted by name; a window whose phrases all occur
-   once occurs once.
-2. *Verify.*  Windows around the phrases that occur again are counted by the
-   two independent 64-bit names of their words.
+   occurrence.  Parses that agree at a boundary agree at all later ones that the
+   window's end is far enough from, so the last boundary in the first 2**r words
+   is such a one.  Phrases are counted by name; a window whose phrase at that
+   last boundary occurs once occurs once.
+2. *Verify.*  The windows whose last phrase occurs again are counted by the two
+   independent 64-bit names of their words.
 
 Each map task sends one row per name and block of rows with the places packed,
 so a passage in a third of all documents reaches its reducer as a few rows.
@@ -225,13 +227,18 @@ def _verify(window: int, rounds: int):
                 found = [batch.column("places")[k].values.to_numpy() + b for k, b in zip(at, base)]
                 owner = np.repeat(np.arange(len(sizes)), [len(f) for f in found])
                 place = np.concatenate(found).astype(np.int64)
-                # starts of the windows that hold the phrase: place - reach + 1 .. place
-                mark = np.zeros(len(names) + 1, np.int32)
-                np.add.at(mark, np.maximum(place - reach + 1, base[owner]), 1)
-                np.add.at(mark, place + 1, -1)
-                start = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
                 of = np.repeat(np.arange(len(sizes)), sizes)
-                start = start[start + window <= (base + sizes)[of[start]]]
+                # the last boundary up to each word; every text begins with one
+                cut = np.zeros(len(names), np.int64)
+                bounds = parse(names, of, rounds)[0]
+                cut[bounds] = bounds
+                last = np.maximum.accumulate(cut)
+                again = np.zeros(len(names), bool)
+                again[place] = True
+                # a window starts at least ``window`` words before its text's end
+                start = np.flatnonzero(np.arange(len(names)) + window <= (base + sizes)[of])
+                end = last[start + reach - 1]
+                start = start[(end >= start) & again[end]]
                 if not len(start):
                     continue
                 key, check = (rolling(names, window, s)[start].view(np.int64) for s in (0, 1))

@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from corpus import empty, frame, rows
 from hypothesis import given, settings
@@ -67,3 +68,42 @@ def test_names_of_words_follow_content(values, length):
 
 def test_empty(spark):
     assert repeats.digests(empty(spark)).collect() == []
+
+
+def test_windows_before_and_behind_a_passage_are_not_all_verified():
+    """Of a passage of 60 words: its 26 windows, at most 15 before them and none after them."""
+    rng = np.random.default_rng(4)
+    shared = [f"s{k}" for k in rng.permutation(60)]
+    texts = [" ".join([f"{side}{k}" for k in range(200)] + shared + [f"{side}x{k}" for k in range(200)]) for side in "ab"]
+    places = []
+    for text in texts:
+        names = repeats.word_names(text.encode().split())
+        start, _ = repeats.parse(names, np.zeros(len(names), int))
+        places.append([int(p) for p in start if 200 <= p <= 260 - 20])
+    batch = pa.RecordBatch.from_pydict({"doc": [1, 2], "text": texts, "places": pa.array(places, pa.list_(pa.int32()))})
+    for sent in repeats._verify(repeats.WINDOW, repeats.ROUNDS)([batch]):
+        at = {1: set(), 2: set()}
+        for docs, starts in zip(sent.column("docs").to_pylist(), sent.column("places").to_pylist()):
+            for doc, place in zip(docs, starts):
+                at[doc].add(place)
+        for found in at.values():
+            assert found >= set(range(200, 226)) and len(found) <= 26 + 15 and max(found) < 226 + 15
+            assert max(found) - 225 <= 200 + 60 - max(p for p in places[0]) - 20
+
+
+@pytest.mark.parametrize("window", [3, 7, 20, 35])
+def test_equal_windows_end_their_first_words_at_one_boundary(window):
+    """The last boundary in the first words of a window is at one place in all its occurrences."""
+    rng = np.random.default_rng(window)
+    rounds = min(repeats.ROUNDS, max(0, (window + 1).bit_length() - 2))
+    for letters in (1, 2, 3, 50):
+        for _ in range(60):
+            inner = rng.integers(0, letters, window)
+            found = set()
+            for _ in range(4):
+                left, right = rng.integers(0, letters + 1, rng.integers(0, 60)), rng.integers(0, letters + 1, rng.integers(0, 60))
+                names = repeats._mix(np.r_[left, inner, right].astype(np.uint64))
+                start, _ = repeats.parse(names, np.zeros(len(names), int), rounds)
+                at = start[(start >= len(left)) & (start < len(left) + (1 << rounds))]
+                found.add(int(at[-1]) - len(left))
+            assert len(found) == 1
