@@ -53,7 +53,7 @@ from drillmark.llm.shared import kept
 WINDOW = 35
 ROUNDS = 4
 #: Words of the texts that are parsed together; a longer text is parsed alone.
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 17
 
 _SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 

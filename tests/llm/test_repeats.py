@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -107,3 +108,18 @@ def test_equal_windows_end_their_first_words_at_one_boundary(window):
                 at = start[(start >= len(left)) & (start < len(left) + (1 << rounds))]
                 found.add(int(at[-1]) - len(left))
             assert len(found) == 1
+
+
+def test_memory_of_a_batch_of_many_words():
+    """Two workers an executor hold the arrays of a block: their size must not follow the batch."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(map(str, rng.integers(0, 10**6, 250))) for _ in range(4000)]
+    texts[3] = texts[0]
+    batch = pa.RecordBatch.from_pydict({"doc": list(range(4000)), "text": texts})
+    tracemalloc.start()
+    try:
+        starts = sum(sent.num_rows for sent in repeats._reveal(repeats.WINDOW, repeats.ROUNDS)([batch]))
+        assert tracemalloc.get_traced_memory()[1] < 40e6
+    finally:
+        tracemalloc.stop()
+    assert starts > 4000
