@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+import xxhash
 from corpus import SCHEMA, empty, frame, rows
 
 from drillmark.llm import line_dedup
@@ -139,3 +140,28 @@ def test_long_lines_against_brute_force(spark):
     data = _rows(["\n".join(texts[k : k + 3]) for k in range(0, len(texts), 3)])
     found = line_dedup.without_repeats(frame(spark, data)).collect()
     assert {(r["doc_id"], old[2]): r["text"] for r in found for old in data if old[1] == r["doc_id"]} == brute(data)
+
+
+def test_a_rare_word_is_not_taken_for_a_frequent_one_of_near_hash(spark):
+    """Words that agree in the first 12 bits of their hashes only are counted apart."""
+
+    def top(word, bits):
+        return xxhash.xxh64_intdigest(word.encode(), 42) >> (64 - bits)
+
+    rare = next(w for w in map("r{}".format, range(10**6)) if top(w, 12) == top("often", 12) and top(w, 16) != top("often", 16))
+    docs = line_dedup._narrow(frame(spark, _rows([f"{rare} often middle", *["often"] * 9, *["middle"] * 3])), "doc_id", "text")
+    sets = line_dedup._with_set(line_dedup._lines(docs), line_dedup.rarity(docs))
+    first = sets.filter("n = 3").first()["keys"][0]
+    low = (1 << (64 - line_dedup.CLASS_BITS)) - 1
+    assert first & low == xxhash.xxh64_intdigest(rare.encode(), 42) & low
+
+
+def test_prefixes_are_stored_once_per_line(spark, monkeypatch):
+    """The words of a prefix are stored in one row, not with the columns of their line each."""
+    rng = random.Random(9)
+    words = [f"v{k}" for k in range(300)]
+    data = _rows([_drawn(rng, words, 60) for _ in range(20)])
+    stored, real = {}, line_dedup.kept
+    monkeypatch.setattr(line_dedup, "kept", lambda df, name: stored.setdefault((name, len(stored)), real(df, name)))
+    line_dedup.without_repeats(frame(spark, data))
+    assert [df.count() for (name, _), df in stored.items() if name == "prefixes"] == [20]
