@@ -4,24 +4,27 @@ A line is the set of its words.  A line goes when an earlier line, by (document
 id, line number), has a set of Jaccard similarity 4/5 or more; it does not
 matter whether that one stays itself.
 
-1. Words are ordered by rarity.  Counts of all words are kept for 65,536 classes
-   of words (by hash), so the table that gives the order has a fixed size;
-   within a class words are ordered by hash.  Few classes would make each as
-   frequent as any other: with 4,096 the lines that meet are 4.6 times as many.
+1. Words are ordered by length, the longest first, then by hash: long words are
+   the rare ones, and nothing has to be counted.  Where that leaves lines crowded
+   on the same keys (``CROWD``), words are ordered by rarity instead, from counts
+   of all words in 65,536 classes.  Any order gives the same result.
 2. Equal lines are one line at their first place; only it is compared.  A line
    is named by its text throughout (``same``); id and number only order lines,
    since rows without an id, or with a repeated one, share them.
-3. Two similar sets share a word among the rarest ``n - ceil(4n/5) + 1`` of each
-   (prefix filter).  Lines meet on such words, and go on if their sizes (length
-   filter), the places of the word in both (positional filter) and a parity sketch
-   of both sets (an upper bound of the overlap) allow it.  The sketch has 64 to
-   256 bits: one of 64 tells next to nothing of lines of 100 words.
-4. Within the lines of one word, a line whose sketch is close to that of the
+3. A key of a line is a word and the one before it in this order (the first word:
+   alone).  Sets of n and m words that share o and differ in d = n + m - 2o have at
+   least o - d keys in common: a word in one set only breaks one at most.  For
+   similar sets that is a third of n + m or more, so they share a key among the
+   first ``n - ceil((n + ceil(4n/5)) / 3) + 1`` of each (prefix filter).  Lines meet
+   on such keys, and go on if their sizes (length filter) and a parity sketch of
+   both sets (an upper bound of the overlap) allow it.  The sketch has 64 to 256
+   bits: one of 64 tells next to nothing of lines of 100 words.
+4. Within the lines of one key, a line whose sketch is close to that of the
    first or of the one before it is paired with that one alone, so a group of g
    variants of a line does not give g*g pairs.
 5. The pairs that are left are verified on the words themselves.  Lines that
    step 4 kept from other partners and that nothing matched are paired with all
-   lines of their words.
+   lines of their keys.
 
 Everything is built-in DataFrame functions.  Fixed-size bit tables (``_bits``)
 keep rows that cannot matter out of a shuffle; false positives in them cost time
@@ -46,15 +49,21 @@ from drillmark.operators.barrier import once
 #: Similarity, as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
 CLASS_BITS = 16
-#: Earlier lines of a word that are tried before all others.
+#: Bits of a word's place in the order that its length takes, the rest are its hash.
+LENGTH_BITS = 5
+#: Lines of one key from which it is crowded.  If the lines have more than one such
+#: key each on average, words are ordered by rarity.
+CROWD = 1000
+#: Earlier lines of a key that are tried before all others.
 TRIED_BEFORE = 1
 #: Sketches that differ in at most so many of their 64 bits are close.
 CLOSE_BITS = 18
-#: Words of a line from which its sketch has 128 and 256 bits.
-WIDE, WIDER = 40, 100
+#: Words of a line from which its sketch has 128 and 256 bits.  Sketches of lines that share
+#: little differ in half of their bits, four deviations or so above what these lengths allow.
+WIDE, WIDER = 72, 144
 FIRST_ID = -(1 << 63)
-#: Size of the table of prefix words that occur again: 2**24 bits, 2 MB.
-SHARED_BITS = 24
+#: Size of the table of keys that occur again: 2**25 bits, 4 MB.
+SHARED_BITS = 25
 
 
 # ------------------------------------------------------------ fixed-size tables
@@ -74,10 +83,17 @@ def _bits(hashes: DataFrame, bits: int) -> DataFrame:
     )
 
 
-def _again(hashes: DataFrame, bits: int) -> DataFrame:
-    """As ``_bits``, over the places that several rows have."""
-    places = hashes.groupBy(F.pmod("h", F.lit(1 << bits)).alias("h")).agg(F.count("*").alias("_n"))
-    return _bits(places.filter("_n > 1").select("h"), bits)
+def _again(hashes: DataFrame, bits: int) -> tuple[DataFrame, int]:
+    """As ``_bits``, over the hashes that several rows have; and the rows of crowded ones."""
+    counts = hashes.groupBy("h").agg(F.count("*").alias("_n")).filter("_n > 1")
+    place = F.pmod("h", F.lit(1 << bits))
+    found = kept(
+        counts.select(
+            F.shiftright(place, 6).cast("int").alias("_word"), place.bitwiseAND(F.lit(63)).cast("int").alias("_bit"),
+            F.when(F.col("_n") > CROWD, F.col("_n")).otherwise(F.lit(0)).alias("_many"),
+        ).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_set"), F.sum("_many").alias("_many")), "bits"
+    )
+    return found.drop("_many"), found.agg(F.sum("_many")).first()[0] or 0
 
 
 def _told(df: DataFrame, h: Column, table: DataFrame, bits: int) -> DataFrame:
@@ -123,19 +139,29 @@ def rarity(docs: DataFrame) -> Column:
     return _numbers(rank)
 
 
-def _with_set(lines: DataFrame, ranks: Column) -> DataFrame:
-    """Adds the words as sorted longs, rarest first, their number and their parity sketch."""
+def _by_length(word: Column) -> Column:
+    """Place of a word in the order by length, the longest first."""
+    low = 64 - LENGTH_BITS
+    longest = 1 << LENGTH_BITS
+    short = F.lit(longest // 2 - 1) - F.least(F.octet_length(word), F.lit(longest - 1))  # signed, as longs compare
+    return F.shiftleft(short.cast("long"), low).bitwiseOR(F.xxhash64(word).bitwiseAND(F.lit((1 << low) - 1)))
+
+
+def _by_rarity(word: Column, ranks: Column) -> Column:
     low = 64 - CLASS_BITS
-    words = F.array_remove(F.split("line", f"[{BLANK}]+"), "")
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    # never null, so that the keys are sorted as plain longs
-    ranked = F.transform(
-        hashes,
-        lambda h: F.shiftleft(F.coalesce(ranks[F.shiftrightunsigned(h, low).cast("int")], F.lit(0).cast("long")), low).bitwiseOR(
-            h.bitwiseAND(F.lit((1 << low) - 1))
-        ),
-    )
-    with_keys = once(lines, "keys", F.sort_array(F.array_distinct(ranked)))
+    h = F.xxhash64(word)
+    rank = F.coalesce(ranks[F.shiftrightunsigned(h, low).cast("int")], F.lit(0).cast("long"))
+    return F.shiftleft(rank, low).bitwiseOR(h.bitwiseAND(F.lit((1 << low) - 1)))
+
+
+def _with_set(lines: DataFrame, ranks: Column | None = None) -> DataFrame:
+    """Adds the words as sorted longs, longest or rarest first, their number and their parity sketch."""
+    blank = F.col("line")
+    for c in "\t\x0b\x0c\r":  # a split at one plain character is the fast one; a line holds no newline
+        blank = F.replace(blank, F.lit(c), F.lit(" "))
+    words = F.array_remove(F.split(blank, " "), "")
+    ordered = F.transform(words, lambda w: _by_length(w) if ranks is None else _by_rarity(w, ranks))
+    with_keys = once(lines, "keys", F.sort_array(F.array_distinct(ordered)))
     # never null, so that no null test tells the two sides of a later join apart
     found = with_keys.withColumn("n", F.coalesce(F.size("keys"), F.lit(0))).withColumn("parity", F.coalesce(_sketch(F.col("keys")), F.lit(0).cast("long")))
     for name, (least, *bits) in _PARTS.items():
@@ -168,14 +194,16 @@ def _apart(x, y) -> Column:
 
 
 def _with_prefix(sets: DataFrame) -> DataFrame:
-    """The lines with the words of their prefix instead of all words."""
-    size = F.expr(f"n - (n * {NUMERATOR} + {DENOMINATOR - 1}) div {DENOMINATOR}").cast("int") + 1
-    return sets.select(*_LINE, F.slice("keys", F.lit(1), size).alias("prefix"))
+    """The lines with the keys of their prefix instead of all words."""
+    least = F.expr(f"(n + (n * {NUMERATOR} + {DENOMINATOR - 1}) div {DENOMINATOR} + 2) div 3")
+    size = (F.col("n") - least + 1).cast("int")
+    before = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.col("keys")[i - 1])
+    return sets.select(*_LINE, F.transform(F.slice("keys", F.lit(1), size), lambda k, i: F.xxhash64(k, before(i))).alias("prefix"))
 
 
 def _words_of(lines: DataFrame) -> DataFrame:
-    """(token, same, id, at, n, parity, i): one row per word of the prefix, at its place i in the order."""
-    return lines.select(*_LINE, F.posexplode_outer("prefix").alias("i", "token")).filter("token is not null")
+    """(token, same, id, at, n, parity): one row per key of the prefix."""
+    return lines.select(*_LINE, F.explode_outer("prefix").alias("token")).filter("token is not null")
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
@@ -189,19 +217,17 @@ def _least(x, y) -> Column:
 
 
 def _may_match(x, y) -> Column:
-    """Length, positional and parity filters for two prefix rows of one word, y earlier than x."""
+    """Length and parity filters for two prefix rows of one key, y earlier than x."""
     total, least = x("n") + y("n"), _least(x, y)
     earlier = (y("id") < x("id")) | ((y("id") == x("id")) & (y("at") < x("at")))
-    # on the first word that both share, all that they share is still to come
-    rest = F.least(x("n") - x("i"), y("n") - y("i"))
     sizes = (x("n") * DENOMINATOR >= y("n") * NUMERATOR) & (y("n") * DENOMINATOR >= x("n") * NUMERATOR)
     apart = F.bit_count(x("parity").bitwiseXOR(y("parity")))
-    return earlier & sizes & (rest >= least) & (apart <= total - 2 * least)
+    return earlier & sizes & (apart <= total - 2 * least)
 
 
 def _wide_match(x, y) -> Column:
     """The filter by the whole sketch, for what ``_may_match`` lets through: a join that
-    tests it reads all parts for every two rows of a word."""
+    tests it reads all parts for every two rows of a key."""
     return _apart(x, y) <= x("n") + y("n") - 2 * _least(x, y)
 
 
@@ -234,7 +260,7 @@ def _pairs(prefixes: DataFrame) -> DataFrame:
     prefixes = prefixes.withColumns({c: F.lit(0).cast("long") for c in _PARTS if c not in prefixes.columns})
     prefixes = prefixes.filter(known[0] & known[1] & known[2]).repartition("token")
     by_word = Window.partitionBy("token").orderBy("id", "at")
-    me = F.struct(*_LINE, "i")
+    me = F.struct(*_LINE)
     tried = [F.first(me).over(by_word), *[F.lag(me, k).over(by_word) for k in range(1, TRIED_BEFORE + 1)]]
     ahead = prefixes.select("*", *[t.alias(f"t{k}") for k, t in enumerate(tried)])
 
@@ -248,8 +274,8 @@ def _pairs(prefixes: DataFrame) -> DataFrame:
         return lambda c: F.col(f"t{k}.{c}")
 
     looks = F.coalesce(*[F.when(_may_match(x, t(k)) & _wide_match(x, t(k)) & _close(x, t(k)), F.col(f"t{k}")) for k in range(len(tried))])
-    left = ahead.withColumn("near", looks).select("token", *_LINE, "i", "near")
-    right = prefixes.select("token", *[F.col(c).alias(f"r_{c}") for c in (*_LINE, "i")])
+    left = ahead.withColumn("near", looks).select("token", *_LINE, "near")
+    right = prefixes.select("token", *[F.col(c).alias(f"r_{c}") for c in _LINE])
     joined = left.join(
         right,
         (left["token"] == right["token"]) & F.col("near").isNull() & _may_match(x, r),
@@ -261,19 +287,19 @@ def _pairs(prefixes: DataFrame) -> DataFrame:
 
 
 def _all_pairs(some: DataFrame, prefixes: DataFrame) -> DataFrame:
-    left = some.select("token", *_LINE, "i")
-    right = prefixes.select("token", *[F.col(c).alias(f"r_{c}") for c in (*_LINE, "i")])
+    left = some.select("token", *_LINE)
+    right = prefixes.select("token", *[F.col(c).alias(f"r_{c}") for c in _LINE])
     joined = left.join(right, (left["token"] == right["token"]) & _may_match(F.col, lambda c: F.col(f"r_{c}")))
     joined = joined.filter(_wide_match(F.col, lambda c: F.col(f"r_{c}")))
     found = joined.select(*[F.col(c).alias(f"x_{c}") for c in _END], *[F.col(f"r_{c}").alias(f"y_{c}") for c in _END])
     return found.distinct()
 
 
-def _verified(pairs: DataFrame, compared: DataFrame, ranks: Column) -> DataFrame:
+def _verified(pairs: DataFrame, compared: DataFrame) -> DataFrame:
     """(same) of the lines with a similar earlier line among ``pairs``."""
     ends = pairs.select(F.col("x_same").alias("h")).union(pairs.select("y_same"))
     wanted = _bits(ends, 22)
-    sets = _with_set(_told(compared, F.col("same"), wanted, 22).filter("_in"), ranks).select("same", "keys")
+    sets = kept(_with_set(_told(compared, F.col("same"), wanted, 22).filter("_in")).select("same", "keys"), "sets")
 
     def side(s):
         return sets.select(F.col("same").alias(f"{s}_same"), F.col("keys").alias(f"{s}_keys"))
@@ -287,9 +313,17 @@ def _verified(pairs: DataFrame, compared: DataFrame, ranks: Column) -> DataFrame
 # -------------------------------------------------------------------- decision
 
 
+def _keyed(compared: DataFrame, ranks: Column | None) -> tuple[DataFrame, DataFrame, bool]:
+    """The lines with their keys, a bit table of the keys of several lines, whether these are crowded."""
+    # one row per line: a row per key would be written, and read again, with its line's columns each time
+    short = kept(_with_prefix(_with_set(compared, ranks)), "prefixes")
+    # a key that one line alone has in its prefix brings it together with nothing
+    shared, many = _again(_words_of(short).select(F.col("token").alias("h")), SHARED_BITS)
+    return short, shared, many > short.count()
+
+
 def _kept_places(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All lines as (id, doc, at, same, words) and the (same, id, at) of those with words that stay."""
-    ranks = rarity(docs)
     lines = _lines(docs)
     narrow = kept(lines.select("id", "doc", "at", "same", _has_word().alias("words")), "lines")
     place = F.struct("id", "at")
@@ -304,13 +338,12 @@ def _kept_places(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # several rows without an id may hold a line at its first place
     more = kept(more.groupBy("same").agg(*[F.first(c).alias(c) for c in ("id", "at", "line")]), "more")
     compared = single.select("same", "id", "at", "line").unionByName(more)  # one row per text
-    # one row per line: a row per word would be written, and read again, with its line's columns each time
-    short = kept(_with_prefix(_with_set(compared, ranks)), "prefixes")
+    short, shared, crowded = _keyed(compared, None)
+    if crowded:
+        short, shared, _ = _keyed(compared, rarity(docs))
     prefixes = _words_of(short)
-    # a word that one line alone has in its prefix brings it together with nothing
-    shared = _again(prefixes.select(F.col("token").alias("h")), SHARED_BITS)
     pairs = kept(_pairs(_told(prefixes, F.col("token"), shared, SHARED_BITS).filter("_in").drop("_in")), "pairs")
-    matched = kept(_verified(pairs, compared, ranks), "matched")
+    matched = kept(_verified(pairs, compared), "matched")
     # lines that were paired with one line only, which then was not similar
     open_ = pairs.filter("alone").select(F.col("x_same").alias("same")).distinct().join(matched, "same", "left_anti")
     open_ = kept(open_, "open")
@@ -320,7 +353,7 @@ def _kept_places(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     words_open = _bits(some.select(F.col("token").alias("h")), 20)
     others = _told(prefixes, F.col("token"), words_open, 20).filter("_in").drop("_in")
     rest = kept(_all_pairs(some, others), "pairs")
-    late = _verified(rest, compared, ranks)
+    late = _verified(rest, compared)
     gone = matched.unionByName(late)
     stay = firsts.select("same", "id", "at").join(gone, "same", "left_anti")
     return narrow, stay

@@ -165,3 +165,63 @@ def test_prefixes_are_stored_once_per_line(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "kept", lambda df, name: stored.setdefault((name, len(stored)), real(df, name)))
     line_dedup.without_repeats(frame(spark, data))
     assert [df.count() for (name, _), df in stored.items() if name == "prefixes"] == [20]
+
+
+def _meeting(spark, data):
+    """Pairs of rows of different lines that meet on a key."""
+    docs = line_dedup._narrow(frame(spark, data), "doc_id", "text")
+    keys = line_dedup._prefixes(line_dedup._with_set(line_dedup._lines(docs)))
+    return sum(r["count"] * (r["count"] - 1) // 2 for r in keys.groupBy("token").count().collect())
+
+
+def test_lines_do_not_meet_on_single_words(spark):
+    """Lines of words that ten others have too, but seldom beside the same word: by single words of
+    9 of 40 some 16,000 pairs would meet."""
+    rng = random.Random(11)
+    words = [f"{'abcdefghij'[k % 10] * (4 + k % 17)}{k}" for k in range(1500)]
+    assert _meeting(spark, _rows([_drawn(rng, words, 40) for _ in range(400)])) < 3000
+
+
+def test_similar_sets_share_a_key_of_their_prefixes(spark):
+    """As many words changed, added or left out as 4/5 allows, wherever they stand in the order."""
+    rng = random.Random(12)
+    texts, pairs = [], []
+    for k in range(150):
+        words = [f"{'x' * rng.randrange(1, 35)}{k}_{j}" for j in range(60)]
+        n = rng.randrange(1, 45)
+        x = words[:n]
+        fewer, more = rng.randrange(n // 5 + 1), rng.randrange(n // 4 + 1)
+        y = rng.sample(x, n - fewer) + words[45 : 45 + min(more, 15)]
+        if 9 * (n - fewer) >= 4 * (len(x) + len(y)):
+            pairs.append((" ".join(x), " ".join(y)))
+            texts += pairs[-1]
+    docs = line_dedup._narrow(frame(spark, _rows(texts)), "doc_id", "text")
+    sets = line_dedup._with_set(line_dedup._lines(docs))
+    found = {}
+    for r in line_dedup._with_prefix(sets).collect():
+        found.setdefault(r["same"], set()).update(r["prefix"])
+    assert len(pairs) > 50
+    names = {r["line"]: r["same"] for r in line_dedup._lines(docs).collect()}
+    assert all(found[names[x]] & found[names[y]] for x, y in pairs)
+
+
+def test_words_are_counted_where_their_lengths_tell_nothing(spark, monkeypatch):
+    """Many lines of one key: words are ordered by rarity instead, with the same result."""
+    calls, real = [], line_dedup.rarity
+    monkeypatch.setattr(line_dedup, "rarity", lambda docs: calls.append(1) or real(docs))
+    data = variants()
+    want = sorted((str(r[1]), str(brute(data)[r[1], r[2]])) for r in data)
+    for crowd, counted in ((line_dedup.CROWD, 0), (1, 1)):
+        monkeypatch.setattr(line_dedup, "CROWD", crowd)
+        left = line_dedup.without_repeats(frame(spark, data))
+        assert sorted((str(r.doc_id), str(r.text)) for r in left.collect()) == want
+        assert len(calls) == counted
+
+
+def test_sets_are_made_once_for_both_ends_of_the_pairs(spark, monkeypatch):
+    made, real = [], line_dedup._with_set
+    monkeypatch.setattr(line_dedup, "_with_set", lambda *a: made.append(1) or real(*a))
+    stored, keep = [], line_dedup.kept
+    monkeypatch.setattr(line_dedup, "kept", lambda df, name: stored.append(name) or keep(df, name))
+    line_dedup.without_repeats(frame(spark))
+    assert stored.count("sets") == 2 and len(made) == 3
