@@ -51,19 +51,18 @@ NUMERATOR, DENOMINATOR = 4, 5
 CLASS_BITS = 16
 #: Bits of a word's place in the order that its length takes, the rest are its hash.
 LENGTH_BITS = 5
-#: Lines of one key from which it is crowded.  If the lines have more than one such
-#: key each on average, words are ordered by rarity.
-CROWD = 1000
+#: Lines of one key from which it is crowded, and such keys a line, on average, from
+#: which words are ordered by rarity.
+CROWD, CROWDED_KEYS = 1000, 2
 #: Earlier lines of a key that are tried before all others.
 TRIED_BEFORE = 1
 #: Sketches that differ in at most so many of their 64 bits are close.
 CLOSE_BITS = 18
-#: Words of a line from which its sketch has 128 and 256 bits.  Sketches of lines that share
-#: little differ in half of their bits, four deviations or so above what these lengths allow.
-WIDE, WIDER = 72, 144
+#: Words of a line from which its sketch has 128 and 256 bits.
+WIDE, WIDER = 40, 100
 FIRST_ID = -(1 << 63)
-#: Size of the table of keys that occur again: 2**25 bits, 4 MB.
-SHARED_BITS = 25
+#: Size of the table of keys that occur again: 2**26 bits, 8 MB.
+SHARED_BITS = 26
 
 
 # ------------------------------------------------------------ fixed-size tables
@@ -253,7 +252,8 @@ _ENDS = [f"{s}_{c}" for s in "xy" for c in _END]
 
 
 def _pairs(prefixes: DataFrame) -> DataFrame:
-    """(x_same, x_n, y_same, y_n, alone): candidate pairs, y earlier; ``alone`` marks pairs of step 4."""
+    """(x_same, x_n, y_same, y_n, alone, apart): candidate pairs, y earlier; ``alone`` marks pairs
+    of step 4, whose sketches differ in ``apart`` bits."""
     # the tests a join would put before one side only: so both sides below are one exchange
     known = [F.col(c).isNotNull() for c in ("token", "n", "parity")]
     # without the parts of a sketch the 64 bits of all words decide
@@ -282,8 +282,16 @@ def _pairs(prefixes: DataFrame) -> DataFrame:
         "left",
     )
     y = [F.coalesce(F.col(f"near.{c}"), F.when(_wide_match(x, r), r(c))).alias(f"y_{c}") for c in _END]
-    found = joined.select(*[F.col(c).alias(f"x_{c}") for c in _END], *y, F.col("near").isNotNull().alias("alone"))
-    return found.filter("y_same is not null").groupBy(*_ENDS).agg(F.max("alone").alias("alone"))
+    apart = F.bit_count(F.col("parity").bitwiseXOR(F.col("near.parity"))).alias("apart")
+    found = joined.select(*[F.col(c).alias(f"x_{c}") for c in _END], *y, F.col("near").isNotNull().alias("alone"), apart)
+    return found.filter("y_same is not null").groupBy(*_ENDS).agg(F.max("alone").alias("alone"), F.min("apart").alias("apart"))
+
+
+def _to_verify(pairs: DataFrame) -> DataFrame:
+    """The pairs, but of those of step 4 one for each line, the closest: a line may have another one
+    for each of its keys, and one that is not matched is compared with all lines of its keys anyway."""
+    closest = pairs.filter("alone").groupBy("x_same", "x_n").agg(F.min(F.struct("apart", "y_same", "y_n")).alias("y"))
+    return pairs.filter("not alone").select(*_ENDS).union(closest.select("x_same", "x_n", "y.y_same", "y.y_n"))
 
 
 def _all_pairs(some: DataFrame, prefixes: DataFrame) -> DataFrame:
@@ -319,7 +327,7 @@ def _keyed(compared: DataFrame, ranks: Column | None) -> tuple[DataFrame, DataFr
     short = kept(_with_prefix(_with_set(compared, ranks)), "prefixes")
     # a key that one line alone has in its prefix brings it together with nothing
     shared, many = _again(_words_of(short).select(F.col("token").alias("h")), SHARED_BITS)
-    return short, shared, many > short.count()
+    return short, shared, many > CROWDED_KEYS * short.count()
 
 
 def _kept_places(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -343,7 +351,7 @@ def _kept_places(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         short, shared, _ = _keyed(compared, rarity(docs))
     prefixes = _words_of(short)
     pairs = kept(_pairs(_told(prefixes, F.col("token"), shared, SHARED_BITS).filter("_in").drop("_in")), "pairs")
-    matched = kept(_verified(pairs, compared), "matched")
+    matched = kept(_verified(kept(_to_verify(pairs), "pairs"), compared), "matched")
     # lines that were paired with one line only, which then was not similar
     open_ = pairs.filter("alone").select(F.col("x_same").alias("same")).distinct().join(matched, "same", "left_anti")
     open_ = kept(open_, "open")
